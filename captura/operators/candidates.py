@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from captura.functions import geometry as G
 from captura.functions.rounding import clamp01, round_half_even
-from captura.operators.grouping import tiles, with_group_size
+from captura.operators.grouping import split_by_size, tiles
 
 # --- fixed values ---------------------------------------------------------
 SCORE_WEIGHTS = {
@@ -245,11 +245,9 @@ def nms(candidates: DataFrame, iou: float = DUPLICATE_IOU, keys=FRAME, group_lim
     )
     slim = candidates.select(*keys, "bbox", order.alias("o"), F.when(degenerate, F.col("cand_id")).alias("flat"))
     distinct = slim.groupBy(*keys, "bbox", "flat").agg(F.min("o").alias("o")).drop("flat")
-    sized = with_group_size(distinct, keys, "__n")
-    folded = (
-        sized.filter(F.col("__n") <= group_limit)
-        .repartition(*keys)
-        .groupBy(*keys)
+    small, large = split_by_size(distinct, keys, group_limit)
+    survivors = (
+        small.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("o", "bbox"))).alias("ranked"))
         .select(
             *keys,
@@ -264,18 +262,18 @@ def nms(candidates: DataFrame, iou: float = DUPLICATE_IOU, keys=FRAME, group_lim
         .select(*keys, F.explode("kept").alias("k"))
         .select(*keys, F.col("k.o.cand_id").alias("cand_id"))
     )
-    types = dict(candidates.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "cand_id"])
-
-    def scan(batches):
-        return _scan_duplicates(batches, keys, iou)
-
-    scanned = (
-        sized.filter(F.col("__n") > group_limit)
-        .select(*keys, F.col("o.rank").alias("rank"), F.col("o.cand_id").alias("cand_id"), "bbox")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "rank", "cand_id")
-        .mapInPandas(scan, schema)
-    )
-    survivors = folded.unionByName(scanned)
+    if large is not None:
+        types = dict(candidates.dtypes)
+        schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "cand_id"])
+
+        def scan(batches):
+            return _scan_duplicates(batches, keys, iou)
+
+        scanned = (
+            large.select(*keys, F.col("o.rank").alias("rank"), F.col("o.cand_id").alias("cand_id"), "bbox")
+            .repartition(*keys)
+            .sortWithinPartitions(*keys, "rank", "cand_id")
+            .mapInPandas(scan, schema)
+        )
+        survivors = survivors.unionByName(scanned)
     return candidates.join(survivors, [*keys, "cand_id"], "left_semi")

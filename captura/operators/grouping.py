@@ -130,22 +130,44 @@ def percentiles(df: DataFrame, by, value: str, wanted: dict, lo: float = 0.0, hi
     return ranked.groupBy(*by).agg(*out)
 
 
-def with_group_size(df: DataFrame, by, name: str = "__n") -> DataFrame:
-    """Attach the row count of the group. The join may be split by adaptive skew handling."""
+def group_counts(df: DataFrame, by, name: str = "__n") -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+
+
+def largest_group(df: DataFrame, by) -> int:
+    """Size check before a plan is chosen: one small job that reads the key columns only."""
+    return group_counts(df, by).agg(F.max("__n")).first()[0] or 0
+
+
+def split_by_size(df: DataFrame, by, limit: int, counted: DataFrame | None = None):
+    """Rows of groups with at most ``limit`` rows, and rows of larger groups (None if there are none).
+
+    ``counted`` may give a cheaper table with the same number of rows per group.
+    Only the keys of the larger groups are joined. The optimizer moves the semi and
+    anti joins below projections, so split before filtering or exploding.
+    """
     by = list(by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, by)
+    counted = df if counted is None else counted
+    if largest_group(counted, by) <= limit:
+        return df, None
+    large_keys = group_counts(counted, by).filter(F.col("__n") > limit).select(*by)
+    return df.join(large_keys, by, "left_anti"), df.join(large_keys, by, "left_semi")
 
 
 def tiles(df: DataFrame, by, item, size: int) -> DataFrame:
     """Spread each group over block pairs of about ``size`` rows per side.
 
     Adds ``__ti``, ``__tj`` (tile) and ``__block`` (the side a row is on). A group
-    of at most ``size`` rows is one tile. A larger one is hashed into blocks and
-    every unordered pair of blocks becomes a tile of its own, so that all pairs
-    can be visited without ever holding the group or listing its pairs.
+    of at most ``size`` rows is one tile; when the size check finds no larger group
+    that is the whole plan. A larger group is hashed into blocks and every unordered
+    pair of blocks becomes a tile of its own, so all pairs are visited without ever
+    holding the group or listing its pairs.
     """
-    sized = with_group_size(df, by, "__n")
+    by = list(by)
+    if largest_group(df, by) <= size:
+        zero = F.lit(0)
+        return df.withColumns({"__ti": zero, "__tj": zero, "__block": zero})
+    sized = df.join(group_counts(df, by), by)
     blocks = F.ceil(F.col("__n") / F.lit(size)).cast("int")
     spread = sized.withColumn("__blocks", blocks).withColumn(
         "__block", F.pmod(F.xxhash64(*item), F.col("__blocks")).cast("int")

@@ -1,8 +1,8 @@
 """Mean similarity over all ordered frame pairs of a field, without listing the pairs.
 
 Similarity only looks at the canonical form of a value, so frames that agree
-collapse before anything is compared. Groups up to ``group_limit`` frames travel
-as one bounded array; larger ones go through value tiles.
+collapse before anything is compared. Groups of bounded size travel as one array;
+larger ones go through value tiles.
 """
 
 from difflib import SequenceMatcher
@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.functions.text import alphanumeric, canonical, levenshtein_similarity, strip
-from captura.operators.grouping import index_bucket, running_sum, tiles, with_group_size
+from captura.operators.grouping import index_bucket, running_sum, tiles
 
-GROUP_LIMIT = 2048
 TILE_VALUES = 128
 
 
@@ -86,8 +85,7 @@ def _sequence_mean(values, metric: str) -> float:
 
 def _small_groups(occurrences: DataFrame, keys, metric: str) -> DataFrame:
     packed = (
-        occurrences.repartition(*keys)
-        .groupBy(*keys)
+        occurrences.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("__f", "__c"))).alias("__seq"))
         .withColumn("__seq", F.transform("__seq", lambda s: s["__c"]))
     )
@@ -165,21 +163,27 @@ def _large_groups(occurrences: DataFrame, keys, metric: str, tile_values: int, w
 
 
 def mean_ordered_similarity(
-    values: DataFrame,
+    small: DataFrame,
+    large: DataFrame | None,
     keys,
     order: str,
     value: str,
     metric: str = "ratio",
-    group_limit: int = GROUP_LIMIT,
     tile_values: int = TILE_VALUES,
     width: int = 4096,
 ) -> DataFrame:
-    """Mean similarity over all frame pairs of each group; blanks are left out, one value gives 1.0."""
+    """Mean similarity over all frame pairs of each group; blanks are left out, one value gives 1.0.
+
+    ``small`` holds the groups that fit into one array and ``large`` all others
+    (see :func:`captura.operators.grouping.split_by_size`). Both give exact means.
+    """
     keys = list(keys)
-    occurrences = values.filter(F.col(value).isNotNull() & (strip(F.col(value)) != "")).select(
-        *keys, F.col(order).alias("__f"), canonical(F.col(value)).alias("__c")
-    )
-    sized = with_group_size(occurrences, keys, "__size")
-    small = _small_groups(sized.filter(F.col("__size") <= group_limit).drop("__size"), keys, metric)
-    large = _large_groups(sized.filter(F.col("__size") > group_limit).drop("__size"), keys, metric, tile_values, width)
-    return small.unionByName(large)
+
+    def occurrences(rows: DataFrame) -> DataFrame:
+        filled = rows.filter(F.col(value).isNotNull() & (strip(F.col(value)) != ""))
+        return filled.select(*keys, F.col(order).alias("__f"), canonical(F.col(value)).alias("__c"))
+
+    means = _small_groups(occurrences(small), keys, metric)
+    if large is None:
+        return means
+    return means.unionByName(_large_groups(occurrences(large), keys, metric, tile_values, width))

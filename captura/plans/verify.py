@@ -28,7 +28,7 @@ def verify_text(
     """
     texts = frame_text(ocr_lines, frames, min_conf, keys=("video_id", "frame_idx"))
     parsed = parse_fields(texts, "full_text", "full_text", patterns)
-    summary = text_consistency(parsed, fields, **consensus)
+    summary = text_consistency(parsed, fields, counted=frames, **consensus)
     return summary.join(video_confidence(texts), "video_id")
 
 
