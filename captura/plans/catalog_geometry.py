@@ -1 +1,643 @@
-"""Queries."""
+"""Candidate geometry, gates, localization quality and tracking queries."""
+
+from pyspark.sql import functions as F
+
+from captura.functions import geometry as G
+from captura.functions.polygons import quad_iou
+from captura.functions.rounding import round_half_even
+from captura.operators import candidates as C
+from captura.operators import gates as A
+from captura.operators import localization as L
+from captura.operators.tracking import track
+from captura.plans import views as V
+from captura.plans.registry import clamp, query, r
+
+# --- SQL of the same geometry ------------------------------------------------------
+
+
+def _dist(i: int, j: int) -> str:
+    return f"sqrt((x{i} - x{j}) * (x{i} - x{j}) + (y{i} - y{j}) * (y{i} - y{j}))"
+
+
+_W = f"(0.5e0 * ({_dist(1, 0)} + {_dist(2, 3)}))"
+_H = f"(0.5e0 * ({_dist(3, 0)} + {_dist(2, 1)}))"
+_AREA = "abs(" + " + ".join(f"(x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i})" for i in range(4)) + ") / 2e0"
+
+
+def _cosine_sql(i: int) -> str:
+    a, b = (i + 1) % 4, (i + 3) % 4
+    return (
+        f"abs(((x{a} - x{i}) * (x{b} - x{i}) + (y{a} - y{i}) * (y{b} - y{i})) / greatest(1e-6, {_dist(a, i)} * {_dist(b, i)}))"
+    )
+
+
+def _box_sql(i: int) -> str:
+    j = (i + 1) % 4
+    along = [f"((x{k} - x{i}) * (x{j} - x{i}) + (y{k} - y{i}) * (y{j} - y{i})) / {_dist(j, i)}" for k in range(4)]
+    across = [f"((y{k} - y{i}) * (x{j} - x{i}) - (x{k} - x{i}) * (y{j} - y{i})) / {_dist(j, i)}" for k in range(4)]
+    span = lambda v: f"(greatest({', '.join(v)}) - least({', '.join(v)}))"
+    return f"{span(along)} * {span(across)}"
+
+
+_COS = [_cosine_sql(i) for i in range(4)]
+_BOXES = f"least({', '.join(_box_sql(i) for i in range(4))})"
+_GEOM_SQL = (
+    f"{V.SQL_CORNERS}, geom AS (SELECT *, {_AREA} AS area, greatest({_W}, {_H}) / greatest(1e0, least({_W}, {_H})) AS det_aspect, "
+    f"greatest({_W}, 1e0, {_H}) / least(greatest({_W}, 1e0), greatest({_H}, 1e0)) AS aspect, ({' + '.join(_COS)}) / 4e0 AS mean_cos, "
+    f"greatest({', '.join(_COS)}) AS max_cos, {_BOXES} AS min_box FROM corners), "
+    "shaped AS (SELECT *, least(1e0, area / greatest(1e0, min_box)) AS rect, area / 1600000e0 AS share FROM geom)"
+)
+
+
+def _limit(v: str, top: int) -> str:
+    return f"CAST(greatest(0, least({top - 1}, round_even({v}, 0))) AS INT)"
+
+
+_XS, _YS = ", ".join(f"x{i}" for i in range(4)), ", ".join(f"y{i}" for i in range(4))
+_BBOX_SQL = (
+    f"{_limit(f'least({_XS})', V.FRAME_W)} AS b1, {_limit(f'least({_YS})', V.FRAME_H)} AS b2, "
+    f"{_limit(f'greatest({_XS})', V.FRAME_W)} AS b3, {_limit(f'greatest({_YS})', V.FRAME_H)} AS b4"
+)
+_DET_AREA = "CASE WHEN share < 0.15e0 THEN least(1e0, share / 0.15e0) ELSE greatest(0e0, 1e0 - greatest(0e0, share - 0.7e0) / 0.25e0) END"
+_CONF = (
+    "0.4e0 * rect + 0.35e0 * (1e0 - mean_cos) + 0.15e0 * greatest(0e0, 1e0 - 0.35e0 * abs(det_aspect - 1.58e0)) + 0.1e0 * ("
+    + _DET_AREA
+    + ")"
+)
+_NEAR = " AND ".join(
+    f"(x{i} <= 4e0 OR x{i} >= {V.FRAME_W - 4}e0 OR y{i} <= 4e0 OR y{i} >= {V.FRAME_H - 4}e0)" for i in range(4)
+)
+_VALID_SQL = (
+    f"{_GEOM_SQL}, plausible AS (SELECT * FROM shaped WHERE share >= 0.05e0 AND share <= 0.95e0 AND area >= 1000e0), "
+    f"valid AS (SELECT *, {clamp(r(_CONF))} AS confidence, {_BBOX_SQL} FROM plausible WHERE NOT (({_NEAR}) AND share >= 0.88e0) "
+    "AND det_aspect BETWEEN 1e0 AND 2.8e0 AND max_cos <= 0.7e0 AND rect >= 0.7e0)"
+)
+
+
+def _valid(spark, sf_dir):
+    return C.validate_quads(C.plausible_areas(V.candidates(spark, sf_dir)))
+
+
+@query(
+    "p02_p03_valid_quads",
+    f"WITH {_VALID_SQL} SELECT frame_id, cand_id, {r('det_aspect', 3)} AS aspect_ratio, {r('rect', 3)} AS rectangularity, confidence, "
+    "concat_ws(',', b1, b2, b3, b4) AS bbox FROM valid",
+)
+def valid_quads(spark, sf_dir):
+    rows = _valid(spark, sf_dir)
+    return rows.select(
+        "frame_id", "cand_id", "aspect_ratio", "rectangularity", "confidence", F.array_join("bbox", ",").alias("bbox")
+    )
+
+
+@query(
+    "g01_order_points",
+    f"WITH {V.SQL_CORNERS} SELECT frame_id, cand_id, x0, y0, x1, y1, x2, y2, x3, y3 FROM corners",
+)
+def ordered(spark, sf_dir):
+    rows = V.candidates(spark, sf_dir)
+    turn = (F.col("cand_id") % 4).cast("int")
+    rotated = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col("corners"), (i + turn) % 4))
+    points = rows.withColumn("q", rotated).withColumn("q", G.order_points(F.col("q")))
+    return points.select(
+        "frame_id", "cand_id", *[G.corner(F.col("q"), i)[a].alias(f"{a}{i}") for i in range(4) for a in ("x", "y")]
+    )
+
+
+@query(
+    "g02_g05_shape_scores",
+    f"WITH {_GEOM_SQL} SELECT frame_id, cand_id, {r('area', 2)} AS area, {r('aspect', 3)} AS aspect_ratio, "
+    + r("exp(-3.5e0 * least(abs(aspect - 1.586e0), abs(aspect - 1.42e0)) * least(abs(aspect - 1.586e0), abs(aspect - 1.42e0)))")
+    + " AS score_aspect, "
+    + r(clamp("exp(-((share - 0.32e0) * (share - 0.32e0)) / (2e0 * 0.16e0 * 0.16e0)) * CASE WHEN share > 0.6e0 THEN greatest(0e0, 1e0 - (share - 0.6e0) / 0.3e0) ELSE 1e0 END"))
+    + " AS score_area, "
+    + r(clamp("0.6e0 * rect + 0.4e0 * greatest(0e0, 1e0 - mean_cos)"))
+    + " AS score_rect FROM shaped",
+)
+def shape_scores(spark, sf_dir):
+    rows = V.candidates(spark, sf_dir)
+    q = F.col("corners")
+    aspect = G.aspect_ratio(q)
+    share = F.col("area") / float(V.FRAME_W * V.FRAME_H)
+    return rows.select(
+        "frame_id",
+        "cand_id",
+        round_half_even(F.col("area"), 2).alias("area"),
+        round_half_even(aspect, 3).alias("aspect_ratio"),
+        round_half_even(G.score_aspect_ratio(aspect)).alias("score_aspect"),
+        round_half_even(G.score_area_ratio(share)).alias("score_area"),
+        round_half_even(G.score_rectangularity(G.rectangularity(q), q)).alias("score_rect"),
+    )
+
+
+def _inside_sql(a: str, b: str) -> str:
+    tests = []
+    for p in range(4):
+        crosses = []
+        for i in range(4):
+            j = (i + 1) % 4
+            bx, by = f"trunc({b}.x{i})", f"trunc({b}.y{i})"
+            crosses.append(
+                f"((trunc({b}.x{j}) - {bx}) * ({a}.y{p} - {by}) - (trunc({b}.y{j}) - {by}) * ({a}.x{p} - {bx}))"
+            )
+        tests.append(f"(least({', '.join(crosses)}) >= 0 OR greatest({', '.join(crosses)}) <= 0)")
+    return " AND ".join(tests)
+
+
+_NEST_SQL = (
+    f"{_VALID_SQL}, inside AS (SELECT a.frame_id, a.cand_id AS inner_id, b.cand_id AS outer_id FROM valid a JOIN valid b "
+    f"ON a.frame_id = b.frame_id AND a.cand_id <> b.cand_id AND a.area < b.area * 0.85e0 WHERE {_inside_sql('a', 'b')}), "
+    "parents AS (SELECT frame_id, inner_id AS cand_id, max(outer_id) AS nested_parent_idx FROM inside GROUP BY 1, 2), "
+    "hulls AS (SELECT frame_id, outer_id AS cand_id, count(*) AS encloses_count FROM inside GROUP BY 1, 2), "
+    "nested AS (SELECT v.*, nested_parent_idx, nested_parent_idx IS NOT NULL AS is_nested, CAST(coalesce(encloses_count, 0) AS INT) AS encloses_count FROM valid v "
+    "LEFT JOIN parents p ON v.frame_id = p.frame_id AND v.cand_id = p.cand_id LEFT JOIN hulls h ON v.frame_id = h.frame_id AND v.cand_id = h.cand_id)"
+)
+_ASP3 = r("det_aspect", 3)
+_RECT3 = r("rect", 3)
+_GAP = f"least(abs({_ASP3} - 1.586e0), abs({_ASP3} - 1.42e0))"
+_SCORED_SQL = (
+    f"{_NEST_SQL}, parts AS (SELECT *, {_ASP3} AS aspect_ratio, exp(-3.5e0 * ({_GAP} * {_GAP})) AS sa, "
+    + clamp(
+        "exp(-((share - 0.32e0) * (share - 0.32e0)) / (2e0 * 0.16e0 * 0.16e0)) * CASE WHEN share > 0.6e0 THEN greatest(0e0, 1e0 - (share - 0.6e0) / 0.3e0) ELSE 1e0 END"
+    )
+    + f" AS sr, {clamp(f'0.6e0 * {_RECT3} + 0.4e0 * greatest(0e0, 1e0 - mean_cos)')} AS sq FROM nested), "
+    "deltas AS (SELECT *, CASE WHEN is_nested AND sa > 0.5e0 THEN 0.2e0 ELSE 0e0 END + CASE WHEN encloses_count > 0 THEN -0.3e0 ELSE 0e0 END AS delta FROM parts), "
+    f"scored AS (SELECT *, {r(clamp('0.3e0 * sa + 0.25e0 * sr + 0.2e0 * sq + 0.15e0 * edge_quality + 0.1e0 * delta'))} AS static_score FROM deltas)"
+)
+
+
+def _scored(spark, sf_dir):
+    return C.score_candidates(_valid(spark, sf_dir))
+
+
+@query(
+    "j09_nesting",
+    f"WITH {_NEST_SQL} SELECT frame_id, cand_id, is_nested, nested_parent_idx, encloses_count FROM nested",
+)
+def nesting(spark, sf_dir):
+    return C.nesting(_valid(spark, sf_dir)).select(
+        "frame_id", "cand_id", "is_nested", "nested_parent_idx", "encloses_count"
+    )
+
+
+@query(
+    "q02_score_candidates",
+    f"WITH {_SCORED_SQL} SELECT frame_id, cand_id, {r('sa')} AS score_aspect, {r('sr')} AS score_area, {r('sq')} AS score_rect, "
+    f"{r('edge_quality')} AS score_edge, {r('delta')} AS nesting_delta, static_score FROM scored",
+)
+def score(spark, sf_dir):
+    return _scored(spark, sf_dir).select(
+        "frame_id", "cand_id", "score_aspect", "score_area", "score_rect", "score_edge", "nesting_delta", "static_score"
+    )
+
+
+@query(
+    "w03_best_candidate",
+    f"WITH {_SCORED_SQL}, b AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY static_score DESC, cand_id) = 1) "
+    "SELECT frame_id, cand_id, static_score FROM b WHERE static_score >= 0.3e0",
+)
+def best(spark, sf_dir):
+    return C.best_candidate(_scored(spark, sf_dir)).select("frame_id", "cand_id", "static_score")
+
+
+@query(
+    "w04_baseline_candidate",
+    f"WITH {_VALID_SQL} SELECT frame_id, cand_id, confidence FROM valid "
+    "QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, area DESC, cand_id) = 1 AND confidence >= 0.35e0",
+)
+def baseline(spark, sf_dir):
+    return C.baseline_candidate(_valid(spark, sf_dir)).select("frame_id", "cand_id", "confidence")
+
+
+_IW = "greatest(0, least(k.b3, c.b3) - greatest(k.b1, c.b1))"
+_IH = "greatest(0, least(k.b4, c.b4) - greatest(k.b2, c.b2))"
+_IOU_SQL = (
+    f"({_IW} * {_IH}) / CAST((k.b3 - k.b1) * (k.b4 - k.b2) + (c.b3 - c.b1) * (c.b4 - c.b2) - {_IW} * {_IH} AS DOUBLE)"
+)
+
+
+@query(
+    "q01_suppress_duplicates",
+    f"WITH RECURSIVE {_VALID_SQL}, ranked AS (SELECT frame_id, cand_id, b1, b2, b3, b4, row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, cand_id) AS rk FROM valid), "
+    "greedy AS (SELECT frame_id, rk, [{'cand_id': cand_id, 'b1': b1, 'b2': b2, 'b3': b3, 'b4': b4}] AS kept FROM ranked WHERE rk = 1 UNION ALL "
+    "SELECT c.frame_id, c.rk, CASE WHEN len(list_filter(g.kept, lambda k: "
+    + _IOU_SQL
+    + " > 0.7e0)) > 0 THEN g.kept ELSE list_append(g.kept, {'cand_id': c.cand_id, 'b1': c.b1, 'b2': c.b2, 'b3': c.b3, 'b4': c.b4}) END "
+    "FROM greedy g JOIN ranked c ON c.frame_id = g.frame_id AND c.rk = g.rk + 1), "
+    "final AS (SELECT frame_id, kept FROM greedy QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY rk DESC) = 1) "
+    "SELECT frame_id, u.cand_id FROM (SELECT frame_id, unnest(kept) AS u FROM final)",
+)
+def suppress(spark, sf_dir):
+    return C.nms(_valid(spark, sf_dir)).select("frame_id", "cand_id")
+
+
+@query(
+    "g10_crop_rectangles",
+    f"WITH {_VALID_SQL}, pads AS (SELECT frame_id, cand_id, b1, b2, b3, b4, CAST(round_even((b3 - b1) * 0.02e0, 0) AS INT) AS px, CAST(round_even((b4 - b2) * 0.02e0, 0) AS INT) AS py FROM valid) "
+    f"SELECT frame_id, cand_id, concat_ws(',', greatest(0, b1 - px), greatest(0, b2 - py), least({V.FRAME_W}, b3 + px), least({V.FRAME_H}, b4 + py)) AS crop FROM pads WHERE b3 > b1 AND b4 > b2",
+)
+def crops(spark, sf_dir):
+    rows = _valid(spark, sf_dir)
+    rect = G.crop_rect(F.col("bbox"), F.col("frame_w"), F.col("frame_h"))
+    return rows.select("frame_id", "cand_id", F.array_join(rect, ",").alias("crop")).filter("crop IS NOT NULL")
+
+
+# --- gates -------------------------------------------------------------------------
+
+_TIER1_SQL = (
+    f"{_SCORED_SQL}, best AS (SELECT *, true AS hit FROM scored QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY static_score DESC, cand_id) = 1), "
+    "det AS (SELECT f.frame_id, coalesce(b.hit AND b.static_score >= 0.4e0, false) AS detected, b.* EXCLUDE (frame_id, hit) FROM (SELECT DISTINCT frame_id FROM corners) f "
+    "LEFT JOIN best b ON f.frame_id = b.frame_id)"
+)
+
+
+def _frames(spark, sf_dir):
+    orders = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_id")).distinct()
+    return orders.select(
+        "video_id", F.col("video_id").alias("frame_id"), F.lit(V.FRAME_W).alias("frame_w"), F.lit(V.FRAME_H).alias("frame_h")
+    )
+
+
+def _tier1(spark, sf_dir):
+    best_rows = C.best_candidate(_scored(spark, sf_dir), 0.0)
+    return A.tier1_detection(best_rows, _frames(spark, sf_dir))
+
+
+def _three(x: str) -> str:
+    return f"format('{{:.3f}}', {r(x, 3)})"
+
+
+def _gates_sql(gates) -> str:
+    def lit(v):
+        if v is None:
+            return "CAST(NULL AS DOUBLE)"
+        if isinstance(v, bool):
+            return str(v).lower()
+        return f"'{v}'" if isinstance(v, str) else f"{float(v)!r}e0"
+
+    return "gates AS (" + " UNION ALL ".join(
+        "SELECT " + ", ".join(f"{lit(v)} AS {'gate' if k == 'name' else k}" for k, v in g.items()) for g in gates
+    ) + ")"
+
+
+_TXT = "CAST({} AS VARCHAR)".format
+_NEED = "CASE WHEN pristine AND is_pristine THEN pristine_min_static ELSE min_static END"
+_REFINED = (
+    f"CASE WHEN share > max_area THEN 'carrier_area_exceeded (' || {_three('share')} || ' > ' || {_TXT('max_area')} || ')' "
+    f"WHEN share > compound_area AND aspect_ratio < compound_aspect THEN 'compound_carrier_signature (area=' || {_three('share')} || '>' || {_TXT('compound_area')} || "
+    f"' and aspect=' || {_three('aspect_ratio')} || '<' || {_TXT('compound_aspect')} || ')' "
+    "WHEN check_container AND container THEN 'encloses_inner_quad_container' "
+    f"WHEN sa < min_aspect THEN 'aspect_ratio_deviation (' || {_three('sa')} || ' < ' || {_TXT('min_aspect')} || ')' "
+    f"WHEN static_score < {_NEED} THEN 'low_static_score (' || {_three('static_score')} || ' < ' || {_three(_NEED)} || ')' "
+    "ELSE 'confident_opencv_candidate' END"
+)
+_STANDARD = (
+    f"CASE WHEN static_score < min_static THEN 'low_static_score (' || {_three('static_score')} || ' < ' || {_TXT('min_static')} || ')' "
+    f"WHEN share > max_area THEN 'area_ratio_carrier_sheet (' || {_three('share')} || ' > ' || {_TXT('max_area')} || ')' "
+    f"WHEN sa < min_aspect THEN 'aspect_ratio_deviation (' || {_three('sa')} || ' < ' || {_TXT('min_aspect')} || ')' "
+    f"WHEN min_edge > 0 AND e3 < min_edge THEN 'poor_edge_quality (' || {_three('e3')} || ' < ' || {_TXT('min_edge')} || ')' "
+    "WHEN check_container AND container THEN 'encloses_inner_quad_container' ELSE 'confident_opencv_candidate' END"
+)
+
+
+def _decisions_sql(gates) -> str:
+    return (
+        f"{_TIER1_SQL}, {_gates_sql(gates)}, sig AS (SELECT *, encloses_count > 0 OR delta < 0 AS container, {r('edge_quality', 3)} AS e3, "
+        f"share BETWEEN 0.06e0 AND 0.28e0 AND aspect_ratio BETWEEN 1.53e0 AND 1.68e0 AND {clamp('0.6e0 + 0.4e0 * greatest(0e0, 1e0 - mean_cos)')} >= 0.92e0 AS is_pristine FROM det), "
+        f"decided AS (SELECT *, CASE WHEN NOT detected THEN 'opencv_not_detected' WHEN kind = 'standard' THEN {_STANDARD} ELSE {_REFINED} END AS reason FROM sig, gates)"
+    )
+
+
+@query(
+    "p04_p06_ambiguity_gate",
+    f"WITH {_decisions_sql([A.DEFAULT_GATE])} SELECT frame_id, reason, reason <> 'confident_opencv_candidate' AS invoke_tier2, "
+    f"CASE WHEN detected THEN {r('share')} ELSE 0e0 END AS area_ratio, CASE WHEN detected THEN {r('sa')} ELSE 0e0 END AS aspect_score, "
+    "detected AND is_pristine AS is_pristine FROM decided",
+)
+def gate(spark, sf_dir):
+    decisions = A.apply_gates(_tier1(spark, sf_dir))
+    return decisions.select(
+        "frame_id", "reason", "invoke_tier2", "signals.area_ratio", "signals.aspect_score", "signals.is_pristine"
+    )
+
+
+_ALL_GATES = A.STANDARD_GATES + A.REFINED_GATES
+
+
+@query(
+    "p05_j06_gate_family",
+    f"WITH {_decisions_sql(_ALL_GATES)} SELECT gate, split_part(reason, ' ', 1) AS rule, count(*) AS frames FROM decided GROUP BY 1, 2",
+)
+def gate_family(spark, sf_dir):
+    decisions = A.apply_gates(_tier1(spark, sf_dir), _ALL_GATES)
+    return decisions.groupBy("gate", F.substring_index("reason", " ", 1).alias("rule")).agg(
+        F.count(F.lit(1)).alias("frames")
+    )
+
+
+# --- localization quality ---------------------------------------------------------------
+# Boxes are upright here, so that the checking engine can compute the overlap.
+
+_RECT = "(x2r - x1r) * (y2r - y1r)"
+_TRUTH_SQL = (
+    "truth AS (SELECT frame_id, x0 + frame_id % 23 - 11 AS tx1, y0 + frame_id % 19 - 9 AS ty1, x1 + frame_id % 23 - 11 AS tx2, y2 + frame_id % 19 - 9 AS ty2 FROM corners WHERE cand_id = 1), "
+    "tier2 AS (SELECT frame_id, frame_id % 10 <> 0 AS detected, tx1 + frame_id % 7 AS x1r, ty1 + frame_id % 5 AS y1r, tx2 + frame_id % 7 AS x2r, ty2 + frame_id % 5 AS y2r FROM truth)"
+)
+
+
+def _iou_sql() -> str:
+    inter = "greatest(0e0, least(x2r, tx2) - greatest(x1r, tx1)) * greatest(0e0, least(y2r, ty2) - greatest(y1r, ty1))"
+    return f"CASE WHEN NOT detected THEN 0e0 ELSE {inter} / ({_RECT} + (tx2 - tx1) * (ty2 - ty1) - {inter}) END"
+
+
+def _error_sql() -> str:
+    ds = [
+        f"sqrt((x{a}r - tx{a}) * (x{a}r - tx{a}) + (y{b}r - ty{b}) * (y{b}r - ty{b}))" for a, b in ((1, 1), (2, 1), (2, 2), (1, 2))
+    ]
+    return (
+        f"CASE WHEN detected THEN ({' + '.join(ds)}) / 4e0 END AS mean_error, CASE WHEN detected THEN greatest({', '.join(ds)}) END AS max_error"
+    )
+
+
+_MODE = "CASE frame_id % 4 WHEN 0 THEN 'or' WHEN 1 THEN 'cc' WHEN 2 THEN 'cg' ELSE 're' END AS mode"
+_QUALITY_SQL = (
+    f"{_VALID_SQL}, {_TRUTH_SQL}, "
+    "base AS (SELECT frame_id, x0 AS x1r, y0 AS y1r, x1 AS x2r, y2 AS y2r FROM valid QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, area DESC, cand_id) = 1 AND confidence >= 0.35e0), "
+    "methods AS (SELECT 'baseline' AS method, t.*, b.frame_id IS NOT NULL AS detected, x1r, y1r, x2r, y2r FROM truth t LEFT JOIN base b ON t.frame_id = b.frame_id "
+    "UNION ALL SELECT 'enhanced' AS method, t.*, detected, x1r, y1r, x2r, y2r FROM truth t JOIN tier2 b ON t.frame_id = b.frame_id), "
+    f"quality AS (SELECT method, frame_id, {_MODE}, detected, {_iou_sql()} AS iou, {_error_sql()} FROM methods)"
+)
+
+
+def _upright(x1, y1, x2, y2):
+    return G.quad(x1, y1, x2, y1, x2, y2, x1, y2)
+
+
+def _mode_column():
+    names = F.array(*[F.lit(m) for m in ("or", "cc", "cg", "re")])
+    return F.get(names, (F.col("frame_id") % 4).cast("int"))
+
+
+def _truth(spark, sf_dir):
+    first = V.corner_rows(spark, sf_dir).filter("cand_id = 1")
+    dx, dy = F.col("frame_id") % 23 - 11, F.col("frame_id") % 19 - 9
+    q = _upright(F.col("x0") + dx, F.col("y0") + dy, F.col("x1") + dx, F.col("y2") + dy)
+    return first.select("video_id", "frame_id", q.alias("corners"))
+
+
+def _tier2(spark, sf_dir):
+    shift_x, shift_y = F.col("frame_id") % 7, F.col("frame_id") % 5
+    moved = F.transform(
+        "corners", lambda p: F.struct((p["x"] + shift_x).alias("x"), (p["y"] + shift_y).alias("y"))
+    )
+    rows = _truth(spark, sf_dir).select("video_id", "frame_id", moved.alias("corners"))
+    return rows.select(
+        "video_id",
+        "frame_id",
+        (F.col("frame_id") % 10 != 0).alias("detected"),
+        "corners",
+        G.corners_bbox(F.col("corners")).alias("bbox"),
+        F.lit(0.9).alias("confidence"),
+    )
+
+
+def _quality(spark, sf_dir):
+    """Both methods on every frame, measured against the truth."""
+    base = C.baseline_candidate(_valid(spark, sf_dir))
+    c = lambda i, a: G.corner(F.col("corners"), i)[a]
+    upright = base.select(
+        "video_id", "frame_id", _upright(c(0, "x"), c(0, "y"), c(1, "x"), c(2, "y")).alias("corners"), F.lit(True).alias("hit")
+    )
+    truth = _truth(spark, sf_dir)
+    frames = truth.select("video_id", "frame_id")
+    first = frames.join(upright, ["video_id", "frame_id"], "left").select(
+        "video_id", "frame_id", F.coalesce("hit", F.lit(False)).alias("detected"), "corners", F.lit("baseline").alias("method")
+    )
+    second = _tier2(spark, sf_dir).select("video_id", "frame_id", "detected", "corners", F.lit("enhanced").alias("method"))
+    rows = first.unionByName(second).withColumn("mode", _mode_column())
+    return L.against_truth(rows, truth)
+
+
+@query(
+    "j01_g08_g09_frame_quality",
+    f"WITH {_QUALITY_SQL} SELECT method, frame_id, mode, detected, {r('iou')} AS iou, {r('mean_error', 2)} AS mean_corner_error, {r('max_error', 2)} AS max_corner_error FROM quality",
+)
+def frame_quality(spark, sf_dir):
+    return _quality(spark, sf_dir).select(
+        "method",
+        "frame_id",
+        "mode",
+        "detected",
+        round_half_even(F.col("iou")).alias("iou"),
+        round_half_even(F.col("mean_corner_error"), 2).alias("mean_corner_error"),
+        round_half_even(F.col("max_corner_error"), 2).alias("max_corner_error"),
+    )
+
+
+def _metrics_sql(where: str, counted: str) -> str:
+    return (
+        f"SELECT method, mode, count(*) AS frames, count_if(detected) AS detected, {r('count_if(detected) / count(*)')} AS detection_rate, "
+        f"coalesce({r(f'avg({counted})')}, 0e0) AS mean_iou, coalesce({r(f'median({counted})')}, 0e0) AS median_iou, coalesce({r(f'min({counted})')}, 0e0) AS min_iou, "
+        f"coalesce({r('avg(mean_error)', 2)}, 0e0) AS mean_corner_error, coalesce({r('median(mean_error)', 2)}, 0e0) AS median_corner_error, "
+        f"coalesce({r('max(max_error)', 2)}, 0e0) AS max_corner_error FROM ({where}) GROUP BY method, mode"
+    )
+
+
+_BOTH = "SELECT * FROM quality UNION ALL SELECT * REPLACE ('overall' AS mode) FROM quality"
+_POSITIVE = "CASE WHEN detected AND iou > 0 THEN iou END"
+
+
+@query("a20_localization_metrics", f"WITH {_QUALITY_SQL} {_metrics_sql(_BOTH, _POSITIVE)}")
+def metrics(spark, sf_dir):
+    return L.localization_metrics(_quality(spark, sf_dir), keys=("method",))
+
+
+@query(
+    "a24_undetected_policies",
+    f"WITH {_QUALITY_SQL} SELECT method, mode, {r('avg(iou)')} AS zero_mean, coalesce({r('avg(CASE WHEN detected THEN iou END)')}, 0e0) AS skip_mean FROM ({_BOTH}) GROUP BY 1, 2",
+)
+def policies(spark, sf_dir):
+    rows = _quality(spark, sf_dir)
+    zero = L.localization_metrics(rows, undetected="zero", keys=("method",))
+    skip = L.localization_metrics(rows, undetected="skip", keys=("method",))
+    a = zero.select("method", "mode", F.col("mean_iou").alias("zero_mean"))
+    return a.join(skip.select("method", "mode", F.col("mean_iou").alias("skip_mean")), ["method", "mode"])
+
+
+@query(
+    "a21_j10_compare_methods",
+    f"WITH {_QUALITY_SQL}, m AS ({_metrics_sql(_BOTH, _POSITIVE)}) SELECT a.mode, a.mean_iou AS baseline_mean_iou, b.mean_iou AS enhanced_mean_iou, "
+    f"{r('b.mean_iou - a.mean_iou')} AS mean_iou_delta, {r('b.detection_rate - a.detection_rate')} AS detection_rate_delta, {r('b.median_iou - a.median_iou')} AS median_iou_delta, "
+    f"{r('b.mean_corner_error - a.mean_corner_error', 2)} AS mean_corner_error_delta FROM m a JOIN m b ON a.mode = b.mode AND a.method = 'baseline' AND b.method = 'enhanced'",
+)
+def compare(spark, sf_dir):
+    wide = L.compare_methods(_quality(spark, sf_dir), "baseline", "enhanced")
+    return wide.select(
+        "mode",
+        "baseline_mean_iou",
+        "enhanced_mean_iou",
+        "mean_iou_delta",
+        "detection_rate_delta",
+        "median_iou_delta",
+        "mean_corner_error_delta",
+    )
+
+
+@query(
+    "w05_representative_frames",
+    f"WITH {_QUALITY_SQL} SELECT mode, frame_id, {r('iou')} AS iou FROM quality WHERE method = 'baseline' AND detected "
+    "QUALIFY row_number() OVER (PARTITION BY mode ORDER BY iou DESC, frame_id) = 1",
+)
+def representative(spark, sf_dir):
+    rows = _quality(spark, sf_dir).filter("method = 'baseline'")
+    picked = L.representatives(rows, order="frame_id")
+    return picked.select("mode", "frame_id", round_half_even(F.col("iou")).alias("iou"))
+
+
+# --- gate scorecards ------------------------------------------------------------------------
+
+_SCORE_SQL = (
+    f"{_decisions_sql(_ALL_GATES)}, {_TRUTH_SQL}, "
+    "t1 AS (SELECT d.frame_id, gate, reason <> 'confident_opencv_candidate' AS invoke, detected, x0 AS x1r, y0 AS y1r, x1 AS x2r, y2 AS y2r, tx1, ty1, tx2, ty2 FROM decided d JOIN truth t ON d.frame_id = t.frame_id), "
+    f"t1q AS (SELECT frame_id, gate, invoke, detected AS d1, {_iou_sql()} AS iou1, {_error_sql().replace('mean_error', 'err1').replace('max_error', 'mx1')} FROM t1), "
+    f"t2q AS (SELECT r.frame_id, detected AS d2, {_iou_sql()} AS iou2, {_error_sql().replace('mean_error', 'err2').replace('max_error', 'mx2')} FROM tier2 r JOIN truth t ON r.frame_id = t.frame_id), "
+    f"outcomes AS (SELECT a.frame_id, gate, {_MODE.replace('frame_id', 'a.frame_id')}, invoke, CASE WHEN invoke THEN d2 ELSE d1 END AS detected, CASE WHEN invoke THEN iou2 ELSE iou1 END AS iou, "
+    "CASE WHEN invoke THEN err2 ELSE err1 END AS err, 30e0 + a.frame_id % 31 AS t1_ms, 1500e0 + a.frame_id % 300 AS t2_ms, "
+    "CASE WHEN invoke AND d1 AND iou1 >= 0.85e0 THEN 'false_trigger' WHEN NOT invoke AND (NOT d1 OR iou1 < 0.6e0) THEN 'missed_failure' "
+    "WHEN NOT invoke AND d1 AND iou1 >= 0.85e0 THEN 'correct_pass' WHEN invoke AND (NOT d1 OR iou1 < 0.6e0) THEN 'correct_fallback' ELSE 'neutral' END AS outcome "
+    "FROM t1q a JOIN t2q b ON a.frame_id = b.frame_id), "
+    "spread AS (SELECT * FROM outcomes UNION ALL SELECT * REPLACE ('overall' AS mode) FROM outcomes)"
+)
+
+
+def _decisions(spark, sf_dir):
+    decisions = A.apply_gates(_tier1(spark, sf_dir), _ALL_GATES)
+    c = lambda i, a: G.corner(F.col("corners"), i)[a]
+    upright = F.when(F.col("corners").isNotNull(), _upright(c(0, "x"), c(0, "y"), c(1, "x"), c(2, "y")))
+    truth = _truth(spark, sf_dir)
+    keys = ["video_id", "frame_id"]
+    first = L.against_truth(
+        decisions.select(*keys, "gate", "invoke_tier2", "detected", upright.alias("corners")), truth
+    ).select(
+        *keys,
+        "gate",
+        "invoke_tier2",
+        F.col("detected").alias("t1_detected"),
+        F.col("iou").alias("t1_iou"),
+        F.col("mean_corner_error").alias("t1_error"),
+    )
+    second = L.against_truth(_tier2(spark, sf_dir).select(*keys, "detected", "corners"), truth).select(
+        *keys, F.col("detected").alias("t2_detected"), F.col("iou").alias("t2_iou"), F.col("mean_corner_error").alias("t2_error")
+    )
+    return first.join(second, keys).withColumns(
+        {
+            "mode": _mode_column(),
+            "t1_ms": 30.0 + F.col("frame_id") % 31,
+            "t2_ms": 1500.0 + F.col("frame_id") % 300,
+        }
+    )
+
+
+_LATENCY = "t1_ms + CASE WHEN invoke THEN t2_ms ELSE 0e0 END"
+_CARD_SQL = (
+    f"card AS (SELECT gate, mode, count(*) AS frames, count_if(invoke) AS invocations, {r('count_if(invoke) / count(*)')} AS invocation_rate, count_if(detected) AS detected, "
+    f"{r('avg(iou)')} AS mean_iou, {r('median(iou)')} AS median_iou, coalesce({r('avg(err)', 2)}, 0e0) AS mean_corner_error, coalesce({r('median(err)', 2)}, 0e0) AS median_corner_error, "
+    f"{r(f'avg({_LATENCY})', 1)} AS mean_latency_ms, {r('avg(t1_ms) + ' + r('count_if(invoke) / count(*)') + ' * avg(t2_ms)', 1)} AS modeled_latency_ms, "
+    "count_if(outcome = 'false_trigger') AS false_triggers, count_if(outcome = 'missed_failure') AS missed_failures FROM spread GROUP BY gate, mode)"
+)
+_CARD_COLUMNS = [
+    "gate", "mode", "frames", "invocations", "invocation_rate", "detected", "mean_iou", "median_iou", "mean_corner_error",
+    "median_corner_error", "mean_latency_ms", "modeled_latency_ms", "false_triggers", "missed_failures",
+]
+
+
+@query("a22_a23_gate_scorecard", f"WITH {_SCORE_SQL}, {_CARD_SQL} SELECT {', '.join(_CARD_COLUMNS)} FROM card")
+def scorecard(spark, sf_dir):
+    return L.gate_scorecard(_decisions(spark, sf_dir)).select(*_CARD_COLUMNS)
+
+
+@query(
+    "w06_first_examples",
+    f"WITH {_SCORE_SQL} SELECT gate, outcome, min(frame_id) AS frame_id, count(*) AS frames FROM outcomes GROUP BY 1, 2",
+)
+def examples(spark, sf_dir):
+    outcomes = L.gate_outcomes(_decisions(spark, sf_dir))
+    first = L.first_examples(outcomes, order=("frame_id",)).select("gate", "outcome", "frame_id")
+    counts = outcomes.groupBy("gate", "outcome").agg(F.count(F.lit(1)).alias("frames"))
+    return first.join(counts, ["gate", "outcome"])
+
+
+@query(
+    "p07_j05_two_tier_routing",
+    f"WITH {_decisions_sql([A.DEFAULT_GATE])}, {_TRUTH_SQL} SELECT d.frame_id, CASE WHEN reason = 'confident_opencv_candidate' THEN 'tier1' ELSE 'tier2' END AS localization_method, "
+    "CASE WHEN reason = 'confident_opencv_candidate' THEN d.detected ELSE t.detected END AS detected, "
+    "CASE WHEN reason = 'confident_opencv_candidate' THEN static_score WHEN t.detected THEN 0.9e0 ELSE 0e0 END AS confidence, "
+    "CASE WHEN reason <> 'confident_opencv_candidate' AND NOT t.detected THEN 'learned_segmentation_failed' END AS reason "
+    "FROM decided d JOIN tier2 t ON d.frame_id = t.frame_id",
+)
+def routing(spark, sf_dir):
+    decisions = A.apply_gates(_tier1(spark, sf_dir))
+    tier2 = _tier2(spark, sf_dir)
+    hits = tier2.withColumns({c: F.when(F.col("detected"), F.col(c)) for c in ("corners", "bbox", "confidence")})
+    routed = A.route(decisions, hits)
+    return routed.select("frame_id", "localization_method", "detected", "confidence", "reason")
+
+
+@query(
+    "a11_detection_summary",
+    f"WITH {_TIER1_SQL} SELECT count(*) AS total_frames, count_if(detected) AS frames_detected, count_if(NOT detected) AS frames_undetected, "
+    f"{r('count_if(detected) / count(*)', 3)} AS detection_rate, {r('avg(CASE WHEN detected THEN static_score END)')} AS mean_confidence FROM det",
+)
+def summary(spark, sf_dir):
+    return L.detection_summary(_tier1(spark, sf_dir))
+
+
+# --- tracking ------------------------------------------------------------------------------
+
+
+def tracker_tables(spark, sf_dir):
+    """Frames and scored candidates with the customer as capture and the order as frame."""
+    orders = V.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    frames = orders.select(
+        F.col("o_custkey").alias("video_id"),
+        F.col("o_orderkey").alias("frame_idx"),
+        F.lit(V.FRAME_W).alias("frame_w"),
+        F.lit(V.FRAME_H).alias("frame_h"),
+    )
+    scored = _scored(spark, sf_dir).withColumnRenamed("frame_id", "frame_idx").drop("video_id")
+    owners = orders.select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("frame_idx"))
+    return frames, scored.join(owners, "frame_idx")
+
+
+@query("q03_q04_track")
+def tracked(spark, sf_dir):
+    frames, scored = tracker_tables(spark, sf_dir)
+    rows = track(frames, scored)
+    return rows.select(
+        "video_id",
+        "frame_idx",
+        "detected",
+        "method",
+        F.array_join("bbox", ",").alias("bbox"),
+        "confidence",
+        "static_score",
+        "temporal_score",
+    )
+
+
+@query("e05_tracked_localization")
+def tracked_quality(spark, sf_dir):
+    frames, scored = tracker_tables(spark, sf_dir)
+    truth = _truth(spark, sf_dir).select(F.col("frame_id").alias("frame_idx"), "corners")
+    measured = L.against_truth(track(frames, scored), truth, keys=("frame_idx",)).withColumn(
+        "frame_id", F.col("frame_idx")
+    )
+    return L.localization_metrics(measured.withColumn("mode", _mode_column()))
+
+
+@query("g08_quad_overlap")
+def overlaps(spark, sf_dir):
+    rows = V.candidates(spark, sf_dir)
+    shift = F.col("cand_id") * 10.0
+    moved = F.transform("corners", lambda p: F.struct((p["x"] + shift).alias("x"), p["y"].alias("y")))
+    return rows.select("frame_id", "cand_id", round_half_even(quad_iou(F.col("corners"), moved)).alias("iou"))
