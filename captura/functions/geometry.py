@@ -1,10 +1,14 @@
-"""Quadrilateral geometry over ``array<struct<x:double,y:double>>`` columns.
+"""Quadrilateral geometry.
 
-A quad has four corners. Ordered quads run top-left, top-right, bottom-right,
-bottom-left. Everything here is plain arithmetic, so it is code generated.
+In tables a quad is ``array<struct<x:double,y:double>>``. For arithmetic it is
+unpacked once into eight double columns (:class:`Quad`), so that every formula is
+plain code-generated arithmetic on columns and nothing is recomputed per corner.
+Ordered quads run top-left, top-right, bottom-right, bottom-left.
 """
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captura.functions.rounding import clamp01
@@ -22,22 +26,87 @@ POINT = "struct<x:double,y:double>"
 QUAD = f"array<{POINT}>"
 
 
-def corner(quad: Column, i: int) -> Column:
-    return F.get(quad, F.lit(i))
+@dataclass(frozen=True)
+class Quad:
+    """Coordinates of four corners as columns."""
+
+    xs: tuple
+    ys: tuple
+
+    @classmethod
+    def columns(cls, prefix: str) -> "Quad":
+        return cls(tuple(F.col(f"{prefix}x{i}") for i in range(4)), tuple(F.col(f"{prefix}y{i}") for i in range(4)))
+
+    @classmethod
+    def fields(cls, struct: Column, prefix: str = "") -> "Quad":
+        return cls(tuple(struct[f"{prefix}x{i}"] for i in range(4)), tuple(struct[f"{prefix}y{i}"] for i in range(4)))
+
+    def array(self) -> Column:
+        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in zip(self.xs, self.ys)])
 
 
 def quad(*xy: Column) -> Column:
-    """Quad from eight coordinate columns x0, y0, x1, y1, ..."""
-    return F.array(
-        *[
-            F.struct(xy[2 * i].cast("double").alias("x"), xy[2 * i + 1].cast("double").alias("y"))
-            for i in range(4)
-        ]
+    """Quad array from eight coordinate columns x0, y0, x1, y1, ..."""
+    return Quad(tuple(c.cast("double") for c in xy[0::2]), tuple(c.cast("double") for c in xy[1::2])).array()
+
+
+def computed(df: DataFrame, columns: dict) -> DataFrame:
+    """Add columns that later filters and projections use by reference.
+
+    The optimizer copies the definition of a projected column into every filter it
+    pushes down, which for nested geometry grows without bound. A one-row generator
+    is evaluated once and stays where it is.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def names(prefix: str) -> list:
+    return [f"{prefix}{axis}{i}" for i in range(4) for axis in ("x", "y")]
+
+
+def unpack(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Add the eight coordinates."""
+    at = lambda i: F.get(F.col(column), F.lit(i))
+    return computed(df, {f"{prefix}{axis}{i}": at(i)[axis] for i in range(4) for axis in ("x", "y")})
+
+
+def unpack_ordered(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """:func:`unpack` in canonical corner order; the earliest corner wins ties."""
+    raw = Quad.columns("__raw_")
+    out = computed(
+        unpack(df, column, "__raw_"),
+        {
+            **{f"__sum{i}": raw.xs[i] + raw.ys[i] for i in range(4)},
+            **{f"__dif{i}": raw.ys[i] - raw.xs[i] for i in range(4)},
+        },
     )
 
+    def first(key: str, largest: bool) -> Column:
+        k = [F.col(f"{key}{i}") for i in range(4)]
+        ahead = lambda i, j: (k[i] >= k[j]) if largest else (k[i] <= k[j])
+        return (
+            F.when(ahead(0, 1) & ahead(0, 2) & ahead(0, 3), F.lit(0))
+            .when(ahead(1, 2) & ahead(1, 3), F.lit(1))
+            .when(ahead(2, 3), F.lit(2))
+            .otherwise(F.lit(3))
+        )
+
+    picks = [("__sum", False), ("__dif", False), ("__sum", True), ("__dif", True)]
+    out = computed(out, {f"__pick{n}": first(*pick) for n, pick in enumerate(picks)})
+
+    def at(n: int, values) -> Column:
+        p = F.col(f"__pick{n}")
+        return F.when(p == 0, values[0]).when(p == 1, values[1]).when(p == 2, values[2]).otherwise(values[3])
+
+    out = computed(
+        out, {f"{prefix}{axis}{n}": at(n, vals) for n in range(4) for axis, vals in (("x", raw.xs), ("y", raw.ys))}
+    )
+    helpers = [f"{h}{i}" for h in ("__sum", "__dif", "__pick") for i in range(4)]
+    return out.drop(*names("__raw_"), *helpers)
+
 
 def order_points(q: Column) -> Column:
-    """Canonical corner order; the earliest point wins ties."""
+    """Canonical corner order of a quad array; the earliest point wins ties."""
 
     def pick(key, largest):
         keyed = F.transform(
@@ -47,76 +116,84 @@ def order_points(q: Column) -> Column:
 
     total = lambda p: p["x"] + p["y"]
     difference = lambda p: p["y"] - p["x"]
-    return F.array(pick(total, False), pick(difference, False), pick(total, True), pick(difference, True))
+    ordered = F.array(pick(total, False), pick(difference, False), pick(total, True), pick(difference, True))
+    return F.when(q.isNotNull(), ordered)
 
 
-def distance(a: Column, b: Column) -> Column:
-    dx, dy = a["x"] - b["x"], a["y"] - b["y"]
+def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    dx, dy = ax - bx, ay - by
     return F.sqrt(dx * dx + dy * dy)
 
 
-def sides(q: Column):
-    """Top, bottom, left and right lengths of an ordered quad."""
-    tl, tr, br, bl = (corner(q, i) for i in range(4))
-    return distance(tr, tl), distance(br, bl), distance(bl, tl), distance(br, tr)
+def side(q: Quad, i: int, j: int) -> Column:
+    return distance(q.xs[i], q.ys[i], q.xs[j], q.ys[j])
+
 
+def mean_width(q: Quad) -> Column:
+    """Mean of the top and bottom side of an ordered quad."""
+    return 0.5 * (side(q, 1, 0) + side(q, 2, 3))
 
-def mean_sides(q: Column):
-    top, bottom, left, right = sides(q)
-    return 0.5 * (top + bottom), 0.5 * (left + right)
 
+def mean_height(q: Quad) -> Column:
+    return 0.5 * (side(q, 3, 0) + side(q, 2, 1))
 
-def aspect_ratio(q: Column) -> Column:
+
+def aspect_ratio(w: Column, h: Column) -> Column:
     """Longer over shorter mean side; sides count as at least one pixel."""
-    w, h = (F.greatest(F.lit(1.0), side) for side in mean_sides(q))
+    w, h = F.greatest(F.lit(1.0), w), F.greatest(F.lit(1.0), h)
     return F.greatest(w, h) / F.least(w, h)
 
 
-def detector_aspect_ratio(q: Column) -> Column:
-    w, h = mean_sides(q)
+def detector_aspect_ratio(w: Column, h: Column) -> Column:
     return F.greatest(w, h) / F.greatest(F.lit(1.0), F.least(w, h))
 
 
-def quad_area(q: Column) -> Column:
-    terms = []
-    for i in range(4):
-        a, b = corner(q, i), corner(q, (i + 1) % 4)
-        terms.append(a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(terms[0] + terms[1] + terms[2] + terms[3]) / 2.0
+def quad_area(q: Quad) -> Column:
+    t = [q.xs[i] * q.ys[(i + 1) % 4] - q.xs[(i + 1) % 4] * q.ys[i] for i in range(4)]
+    return F.abs(t[0] + t[1] + t[2] + t[3]) / 2.0
 
 
-def corner_cosines(q: Column):
-    """Absolute cosines of the four interior angles."""
-    out = []
-    for i in range(4):
-        here, ahead, behind = corner(q, i), corner(q, (i + 1) % 4), corner(q, (i + 3) % 4)
-        ux, uy = ahead["x"] - here["x"], ahead["y"] - here["y"]
-        vx, vy = behind["x"] - here["x"], behind["y"] - here["y"]
-        lengths = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
-        out.append(F.abs((ux * vx + uy * vy) / F.greatest(F.lit(1e-6), lengths)))
-    return out
+def corner_cosine(q: Quad, i: int) -> Column:
+    """Absolute cosine of the interior angle at a corner."""
+    a, b = (i + 1) % 4, (i + 3) % 4
+    dot = (q.xs[a] - q.xs[i]) * (q.xs[b] - q.xs[i]) + (q.ys[a] - q.ys[i]) * (q.ys[b] - q.ys[i])
+    return F.abs(dot / F.greatest(F.lit(1e-6), side(q, a, i) * side(q, b, i)))
 
 
-def orthogonality(q: Column) -> Column:
-    c = corner_cosines(q)
-    return 1.0 - (c[0] + c[1] + c[2] + c[3]) / 4.0
+def edge_box_area(q: Quad, i: int) -> Column:
+    """Area of the bounding box of the quad that is aligned with edge i."""
+    j = (i + 1) % 4
+    dx, dy = q.xs[j] - q.xs[i], q.ys[j] - q.ys[i]
+    along = [(q.xs[k] - q.xs[i]) * dx + (q.ys[k] - q.ys[i]) * dy for k in range(4)]
+    across = [(q.ys[k] - q.ys[i]) * dx - (q.xs[k] - q.xs[i]) * dy for k in range(4)]
+    span = lambda v: F.greatest(*v) - F.least(*v)
+    return span(along) * span(across) / F.greatest(F.lit(1e-12), dx * dx + dy * dy)
 
 
-def max_cosine(q: Column) -> Column:
-    return F.greatest(*corner_cosines(q))
+def with_shape(df: DataFrame, prefix: str = "__q_") -> DataFrame:
+    """Measure unpacked ordered quads: mean sides, cosines and box areas, one column each."""
+    q = Quad.columns(prefix)
+    measured = computed(
+        df,
+        {
+            "__w": mean_width(q),
+            "__h": mean_height(q),
+            **{f"__cos{i}": corner_cosine(q, i) for i in range(4)},
+        },
+    )
+    cosines = [F.col(f"__cos{i}") for i in range(4)]
+    mean = (cosines[0] + cosines[1] + cosines[2] + cosines[3]) / 4.0
+    summed = computed(measured, {"__mean_cos": mean, "__max_cos": F.greatest(*cosines)})
+    return summed.drop(*[f"__cos{i}" for i in range(4)])
 
 
-def rectangularity(q: Column) -> Column:
+def with_rectangularity(df: DataFrame, area: str = "area", prefix: str = "__q_", name: str = "__rect") -> DataFrame:
     """Area over the smallest of the four edge-aligned bounding boxes of the quad."""
-    boxes = []
-    for i in range(4):
-        a, b = corner(q, i), corner(q, (i + 1) % 4)
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        length = F.greatest(F.lit(1e-6), F.sqrt(dx * dx + dy * dy))
-        along = [((corner(q, k)["x"] - a["x"]) * dx + (corner(q, k)["y"] - a["y"]) * dy) / length for k in range(4)]
-        across = [((corner(q, k)["y"] - a["y"]) * dx - (corner(q, k)["x"] - a["x"]) * dy) / length for k in range(4)]
-        boxes.append((F.greatest(*along) - F.least(*along)) * (F.greatest(*across) - F.least(*across)))
-    return F.least(F.lit(1.0), quad_area(q) / F.greatest(F.lit(1.0), F.least(*boxes)))
+    q = Quad.columns(prefix)
+    boxed = computed(df, {f"__box{i}": edge_box_area(q, i) for i in range(4)})
+    smallest = F.least(*[F.col(f"__box{i}") for i in range(4)])
+    rect = F.least(F.lit(1.0), F.col(area) / F.greatest(F.lit(1.0), smallest))
+    return computed(boxed, {name: rect}).drop(*[f"__box{i}" for i in range(4)])
 
 
 def score_aspect_ratio(aspect: Column, targets=TARGET_ASPECTS) -> Column:
@@ -134,41 +211,39 @@ def score_area_ratio(ratio: Column) -> Column:
     return F.when((ratio <= 0.0) | (ratio >= 1.0), F.lit(0.0)).otherwise(clamp01(scored))
 
 
-def score_rectangularity(rect: Column, q: Column) -> Column:
-    square = F.greatest(F.lit(0.0), orthogonality(q))
-    mixed = clamp01(0.6 * rect + 0.4 * square)
-    return F.when(F.size(q) == 4, mixed).otherwise(clamp01(rect))
+def score_rectangularity(rect: Column, mean_cos: Column) -> Column:
+    """Mix of rectangularity and squareness of the corners; without corners the first alone."""
+    square = F.greatest(F.lit(0.0), 1.0 - mean_cos)
+    return F.when(mean_cos.isNull(), clamp01(rect)).otherwise(clamp01(0.6 * rect + 0.4 * square))
 
 
-def detector_confidence(rect: Column, q: Column, aspect: Column, area_ratio: Column) -> Column:
+def detector_confidence(rect: Column, mean_cos: Column, aspect: Column, area_ratio: Column) -> Column:
     """Unrounded detector confidence from rectangularity, angles, aspect and coverage."""
     s_aspect = F.greatest(F.lit(0.0), 1.0 - 0.35 * F.abs(aspect - 1.58))
     s_area = F.when(area_ratio < 0.15, F.least(F.lit(1.0), area_ratio / 0.15)).otherwise(
         F.greatest(F.lit(0.0), 1.0 - F.greatest(F.lit(0.0), area_ratio - 0.70) / 0.25)
     )
-    return 0.40 * rect + 0.35 * orthogonality(q) + 0.15 * s_aspect + 0.10 * s_area
+    return 0.40 * rect + 0.35 * (1.0 - mean_cos) + 0.15 * s_aspect + 0.10 * s_area
 
 
-def point_in_quad(p: Column, q: Column) -> Column:
+def point_in_quad(px: Column, py: Column, q: Quad) -> Column:
     """Boundary-inclusive test for convex quads of either orientation."""
     crosses = []
     for i in range(4):
-        a, b = corner(q, i), corner(q, (i + 1) % 4)
-        crosses.append((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+        j = (i + 1) % 4
+        crosses.append((q.xs[j] - q.xs[i]) * (py - q.ys[i]) - (q.ys[j] - q.ys[i]) * (px - q.xs[i]))
     return (F.least(*crosses) >= 0) | (F.greatest(*crosses) <= 0)
 
 
-def truncated(q: Column) -> Column:
-    return F.transform(
-        q,
-        lambda p: F.struct(p["x"].cast("int").cast("double").alias("x"), p["y"].cast("int").cast("double").alias("y")),
-    )
+def whole_pixels(q: Quad) -> Quad:
+    """Coordinates without their fraction."""
+    cut = lambda c: c.cast("int").cast("double")
+    return Quad(tuple(cut(c) for c in q.xs), tuple(cut(c) for c in q.ys))
 
 
-def quad_inside(inner: Column, outer: Column) -> Column:
-    """All four corners of ``inner`` inside ``outer``, whose corners lose their fraction."""
-    whole = truncated(outer)
-    tests = [point_in_quad(corner(inner, i), whole) for i in range(4)]
+def quad_inside(inner: Quad, outer: Quad) -> Column:
+    """All four corners of one quad inside another."""
+    tests = [point_in_quad(inner.xs[i], inner.ys[i], outer) for i in range(4)]
     return tests[0] & tests[1] & tests[2] & tests[3]
 
 
@@ -183,39 +258,44 @@ def bbox_iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
-def corner_errors(pred: Column, truth: Column) -> Column:
-    """Mean, median, max and min distance between the ordered corners of two quads."""
-    d = F.array_sort(F.zip_with(order_points(pred), order_points(truth), lambda a, b: distance(a, b)))
-    at = lambda i: F.get(d, F.lit(i))
-    present = pred.isNotNull() & truth.isNotNull()
-    return F.when(
-        present,
-        F.struct(
-            ((at(0) + at(1) + at(2) + at(3)) / 4.0).alias("mean"),
-            ((at(1) + at(2)) / 2.0).alias("median"),
-            at(3).alias("max"),
-            at(0).alias("min"),
-        ),
-    )
-
-
-def _extremes(q: Column):
-    xs = [corner(q, i)["x"] for i in range(4)]
-    ys = [corner(q, i)["y"] for i in range(4)]
-    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
-
-
-def quad_bbox(q: Column, frame_w: Column, frame_h: Column) -> Column:
+def with_corner_errors(df: DataFrame, pred: str, truth: str) -> DataFrame:
+    """Add mean, median, max and min distance between the ordered corners of two quad columns."""
+    both = unpack_ordered(unpack_ordered(df, pred, "__p_"), truth, "__t_")
+    p, t = Quad.columns("__p_"), Quad.columns("__t_")
+    far = computed(both, {f"__d{i}": distance(p.xs[i], p.ys[i], t.xs[i], t.ys[i]) for i in range(4)})
+    d = [F.col(f"__d{i}") for i in range(4)]
+    total, top, low = d[0] + d[1] + d[2] + d[3], F.greatest(*d), F.least(*d)
+    known = d[0].isNotNull()
+    return far.withColumns(
+        {
+            "mean_corner_error": total / 4.0,
+            "median_corner_error": F.when(known, (total - top - low) / 2.0),
+            "max_corner_error": F.when(known, top),
+            "min_corner_error": F.when(known, low),
+        }
+    ).drop(*names("__p_"), *names("__t_"), *[f"__d{i}" for i in range(4)])
+
+
+def quad_bbox(q: Quad, frame_w: Column, frame_h: Column) -> Column:
     """Bounding box rounded half to even and clamped to the last pixel of the frame."""
-    x1, y1, x2, y2 = _extremes(q)
     limit = lambda v, top: F.greatest(F.lit(0), F.least(top - 1, F.rint(v).cast("int")))
-    return F.array(limit(x1, frame_w), limit(y1, frame_h), limit(x2, frame_w), limit(y2, frame_h))
+    return F.array(
+        limit(F.least(*q.xs), frame_w),
+        limit(F.least(*q.ys), frame_h),
+        limit(F.greatest(*q.xs), frame_w),
+        limit(F.greatest(*q.ys), frame_h),
+    )
 
 
 def corners_bbox(q: Column) -> Column:
-    """Outward-rounded box used when only corners are known."""
-    x1, y1, x2, y2 = _extremes(q)
-    return F.array(F.floor(x1).cast("int"), F.floor(y1).cast("int"), F.ceil(x2).cast("int"), F.ceil(y2).cast("int"))
+    """Outward-rounded box of a quad array, used when only corners are known."""
+    xs, ys = F.transform(q, lambda p: p["x"]), F.transform(q, lambda p: p["y"])
+    return F.array(
+        F.floor(F.array_min(xs)).cast("int"),
+        F.floor(F.array_min(ys)).cast("int"),
+        F.ceil(F.array_max(xs)).cast("int"),
+        F.ceil(F.array_max(ys)).cast("int"),
+    )
 
 
 def crop_rect(bbox: Column, frame_w: Column, frame_h: Column, padding: float = 0.02) -> Column:

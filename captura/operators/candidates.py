@@ -41,40 +41,40 @@ def validate_quads(candidates: DataFrame, min_aspect: float = 1.0, max_aspect: f
     Corners are put in canonical order first. ``rectangularity`` is taken from the
     input when present; otherwise it is measured on the quad itself.
     """
-    ordered = candidates.withColumn("corners", G.order_points(F.col("corners")))
-    q, w, h = F.col("corners"), F.col("frame_w"), F.col("frame_h")
+    w, h = F.col("frame_w"), F.col("frame_h")
+    q = G.Quad.columns("__q_")
+    shaped = G.with_shape(G.unpack_ordered(candidates, "corners", "__q_"))
+    if "rectangularity" in candidates.columns:
+        shaped = shaped.withColumn("__rect", F.col("rectangularity"))
+    else:
+        shaped = G.with_rectangularity(shaped)
     near = [
-        (G.corner(q, i)["x"] <= 4.0)
-        | (G.corner(q, i)["x"] >= w - 4.0)
-        | (G.corner(q, i)["y"] <= 4.0)
-        | (G.corner(q, i)["y"] >= h - 4.0)
-        for i in range(4)
+        (q.xs[i] <= 4.0) | (q.xs[i] >= w - 4.0) | (q.ys[i] <= 4.0) | (q.ys[i] >= h - 4.0) for i in range(4)
     ]
-    rect = F.col("rectangularity") if "rectangularity" in candidates.columns else G.rectangularity(q)
-    measured = ordered.withColumns(
+    measured = G.computed(
+        shaped,
         {
             "__share": F.col("area") / (w.cast("double") * h),
-            "__aspect": G.detector_aspect_ratio(q),
-            "__rect": rect,
-            "__cos": G.max_cosine(q),
+            "__aspect": G.detector_aspect_ratio(F.col("__w"), F.col("__h")),
             "__border": near[0] & near[1] & near[2] & near[3],
-        }
+        },
     )
     kept = measured.filter(
         ~(F.col("__border") & (F.col("__share") >= 0.88))
         & F.col("__aspect").between(min_aspect, max_aspect)
-        & (F.col("__cos") <= 0.70)
+        & (F.col("__max_cos") <= 0.70)
         & (F.col("__rect") >= 0.70)
     )
-    confidence = G.detector_confidence(F.col("__rect"), q, F.col("__aspect"), F.col("__share"))
+    confidence = G.detector_confidence(F.col("__rect"), F.col("__mean_cos"), F.col("__aspect"), F.col("__share"))
     return kept.withColumns(
         {
+            "corners": q.array(),
             "bbox": G.quad_bbox(q, w, h),
             "aspect_ratio": round_half_even(F.col("__aspect"), 3),
             "rectangularity": round_half_even(F.col("__rect"), 3),
             "confidence": clamp01(round_half_even(confidence)),
         }
-    ).drop("__share", "__aspect", "__rect", "__cos", "__border")
+    ).drop("__share", "__aspect", "__rect", "__border", "__w", "__h", "__mean_cos", "__max_cos", *G.names("__q_"))
 
 
 def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES) -> DataFrame:
@@ -85,9 +85,11 @@ def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES)
     frame report one partial row per candidate, never one per pair.
     """
     keys = list(keys)
-    slim = candidates.select(*keys, "cand_id", "corners", "area")
+    slim = G.unpack(candidates.select(*keys, "cand_id", "corners", "area"), "corners", "q_").drop("corners")
+    cut = G.whole_pixels(G.Quad.columns("q_"))
+    slim = slim.withColumns({f"t_{a}{i}": v[i] for i in range(4) for a, v in (("x", cut.xs), ("y", cut.ys))})
     tiled = tiles(slim, keys, ["cand_id"], tile_rows)
-    entry = F.struct("cand_id", "corners", "area")
+    entry = F.struct("cand_id", "area", *G.names("q_"), *G.names("t_"))
     diagonal = F.col("__ti") == F.col("__tj")
     packed = tiled.groupBy(*keys, "__ti", "__tj").agg(
         F.collect_list(F.when(F.col("__block") == F.col("__ti"), entry)).alias("a"),
@@ -96,7 +98,7 @@ def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES)
 
     def inside(inner, outer):
         smaller = inner["area"] < outer["area"] * NESTED_AREA_SHARE
-        return smaller & G.quad_inside(inner["corners"], outer["corners"])
+        return smaller & G.quad_inside(G.Quad.fields(inner, "q_"), G.Quad.fields(outer, "t_"))
 
     def findings(side, others):
         return F.transform(
@@ -139,25 +141,25 @@ def score_candidates(
     """Static score of every candidate from aspect, area, shape, edges and nesting."""
     w = {**SCORE_WEIGHTS, **(weights or {})}
     columns = candidates.columns
-    q = F.col("corners")
-    filled = candidates.withColumns(
+    shaped = G.with_shape(G.unpack(candidates, "corners", "__q_"))
+    filled = shaped.withColumns(
         {
             "area_ratio": F.col("area_ratio")
             if "area_ratio" in columns
             else F.col("area") / F.greatest(F.lit(1.0), F.col("frame_w").cast("double") * F.col("frame_h")),
             "aspect_ratio": F.col("aspect_ratio")
             if "aspect_ratio" in columns
-            else round_half_even(G.aspect_ratio(q), 3),
+            else round_half_even(G.aspect_ratio(F.col("__w"), F.col("__h")), 3),
             "rectangularity": F.col("rectangularity") if "rectangularity" in columns else F.lit(1.0),
             "__edge": F.coalesce("edge_quality", F.lit(0.5)) if "edge_quality" in columns else F.lit(0.5),
         }
-    )
+    ).drop("__w", "__h", "__max_cos", *G.names("__q_"))
     marked = nesting(filled, keys, tile_rows)
     scored = marked.withColumns(
         {
             "__aspect": G.score_aspect_ratio(F.col("aspect_ratio"), targets),
             "__area": G.score_area_ratio(F.col("area_ratio")),
-            "__rect": G.score_rectangularity(F.col("rectangularity"), q),
+            "__rect": G.score_rectangularity(F.col("rectangularity"), F.col("__mean_cos")),
         }
     ).withColumn(
         "nesting_delta",
@@ -183,7 +185,7 @@ def score_candidates(
             "static_score": static,
             "confidence": static,
         }
-    ).drop("__aspect", "__area", "__rect", "__edge")
+    ).drop("__aspect", "__area", "__rect", "__edge", "__mean_cos")
 
 
 def _best(rows: DataFrame, keys, rank) -> DataFrame:

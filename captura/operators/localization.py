@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captura.functions.geometry import corner_errors
+from captura.functions.geometry import with_corner_errors
 from captura.functions.polygons import quad_iou
 from captura.functions.rounding import ratio_or_zero, round_half_even
 from captura.operators.grouping import percentiles
@@ -18,14 +18,17 @@ def against_truth(detections: DataFrame, truth: DataFrame, keys=("video_id", "fr
     quads = truth.select(*keys, F.col("corners").alias("__truth"))
     joined = detections.join(quads, list(keys), "left")
     usable = F.col("detected") & F.col("corners").isNotNull() & F.col("__truth").isNotNull()
-    measured = joined.withColumn("__errors", F.when(usable, corner_errors(F.col("corners"), F.col("__truth"))))
+    paired = joined.withColumns(
+        {"__pred": F.when(usable, F.col("corners")), "__gt": F.when(usable, F.col("__truth"))}
+    )
+    measured = with_corner_errors(paired, "__pred", "__gt")
     return measured.select(
         *detections.columns,
         F.col("__truth").isNotNull().alias("has_truth"),
-        quad_iou(F.when(usable, F.col("corners")), F.when(usable, F.col("__truth"))).alias("iou"),
-        F.col("__errors.mean").alias("mean_corner_error"),
-        F.col("__errors.median").alias("median_corner_error"),
-        F.col("__errors.max").alias("max_corner_error"),
+        quad_iou(F.col("__pred"), F.col("__gt")).alias("iou"),
+        "mean_corner_error",
+        "median_corner_error",
+        "max_corner_error",
     )
 
 

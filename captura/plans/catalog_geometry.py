@@ -33,10 +33,11 @@ def _cosine_sql(i: int) -> str:
 
 def _box_sql(i: int) -> str:
     j = (i + 1) % 4
-    along = [f"((x{k} - x{i}) * (x{j} - x{i}) + (y{k} - y{i}) * (y{j} - y{i})) / {_dist(j, i)}" for k in range(4)]
-    across = [f"((y{k} - y{i}) * (x{j} - x{i}) - (x{k} - x{i}) * (y{j} - y{i})) / {_dist(j, i)}" for k in range(4)]
+    along = [f"((x{k} - x{i}) * (x{j} - x{i}) + (y{k} - y{i}) * (y{j} - y{i}))" for k in range(4)]
+    across = [f"((y{k} - y{i}) * (x{j} - x{i}) - (x{k} - x{i}) * (y{j} - y{i}))" for k in range(4)]
     span = lambda v: f"(greatest({', '.join(v)}) - least({', '.join(v)}))"
-    return f"{span(along)} * {span(across)}"
+    length = f"((x{j} - x{i}) * (x{j} - x{i}) + (y{j} - y{i}) * (y{j} - y{i}))"
+    return f"{span(along)} * {span(across)} / greatest(1e-12, {length})"
 
 
 _COS = [_cosine_sql(i) for i in range(4)]
@@ -100,7 +101,7 @@ def ordered(spark, sf_dir):
     rotated = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col("corners"), (i + turn) % 4))
     points = rows.withColumn("q", rotated).withColumn("q", G.order_points(F.col("q")))
     return points.select(
-        "frame_id", "cand_id", *[G.corner(F.col("q"), i)[a].alias(f"{a}{i}") for i in range(4) for a in ("x", "y")]
+        "frame_id", "cand_id", *[F.get("q", F.lit(i))[a].alias(f"{a}{i}") for i in range(4) for a in ("x", "y")]
     )
 
 
@@ -115,9 +116,8 @@ def ordered(spark, sf_dir):
     + " AS score_rect FROM shaped",
 )
 def shape_scores(spark, sf_dir):
-    rows = V.candidates(spark, sf_dir)
-    q = F.col("corners")
-    aspect = G.aspect_ratio(q)
+    rows = G.with_rectangularity(G.with_shape(G.unpack(V.candidates(spark, sf_dir), "corners", "__q_")))
+    aspect = G.aspect_ratio(F.col("__w"), F.col("__h"))
     share = F.col("area") / float(V.FRAME_W * V.FRAME_H)
     return rows.select(
         "frame_id",
@@ -126,7 +126,7 @@ def shape_scores(spark, sf_dir):
         round_half_even(aspect, 3).alias("aspect_ratio"),
         round_half_even(G.score_aspect_ratio(aspect)).alias("score_aspect"),
         round_half_even(G.score_area_ratio(share)).alias("score_area"),
-        round_half_even(G.score_rectangularity(G.rectangularity(q), q)).alias("score_rect"),
+        round_half_even(G.score_rectangularity(F.col("__rect"), F.col("__mean_cos"))).alias("score_rect"),
     )
 
 
@@ -404,7 +404,7 @@ def _tier2(spark, sf_dir):
 def _quality(spark, sf_dir):
     """Both methods on every frame, measured against the truth."""
     base = C.baseline_candidate(_valid(spark, sf_dir))
-    c = lambda i, a: G.corner(F.col("corners"), i)[a]
+    c = lambda i, a: F.get("corners", F.lit(i))[a]
     upright = base.select(
         "video_id", "frame_id", _upright(c(0, "x"), c(0, "y"), c(1, "x"), c(2, "y")).alias("corners"), F.lit(True).alias("hit")
     )
@@ -512,7 +512,7 @@ _SCORE_SQL = (
 
 def _decisions(spark, sf_dir):
     decisions = A.apply_gates(_tier1(spark, sf_dir), _ALL_GATES)
-    c = lambda i, a: G.corner(F.col("corners"), i)[a]
+    c = lambda i, a: F.get("corners", F.lit(i))[a]
     upright = F.when(F.col("corners").isNotNull(), _upright(c(0, "x"), c(0, "y"), c(1, "x"), c(2, "y")))
     truth = _truth(spark, sf_dir)
     keys = ["video_id", "frame_id"]

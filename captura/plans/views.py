@@ -173,10 +173,10 @@ _ASPECT = (
 BOX = {
     "l_orderkey": "l_orderkey",
     "cand_id": "cand_id",
-    "bx": "CAST(40 + (l_partkey * 13 + l_suppkey * 7) % 500 AS DOUBLE)",
-    "by": "CAST(40 + (l_suppkey * 11 + l_linenumber * 17) % 300 AS DOUBLE)",
-    "bw": "CAST(420 + (l_partkey * 29 + l_linenumber * 31) % 560 AS DOUBLE)",
-    "ba": _ASPECT,
+    "px": "CAST(40 + (l_partkey * 13 + l_suppkey * 7) % 500 AS DOUBLE)",
+    "py": "CAST(40 + (l_suppkey * 11 + l_linenumber * 17) % 300 AS DOUBLE)",
+    "pw": "CAST(420 + (l_partkey * 29 + l_linenumber * 31) % 560 AS DOUBLE)",
+    "pa": _ASPECT,
     "sk": "CAST(l_partkey % 9 - 4 AS DOUBLE)",
     "edge_quality": "(l_partkey % 41) / 41e0",
 }
@@ -184,14 +184,14 @@ CORNERS = {
     "video_id": "l_orderkey",
     "frame_id": "l_orderkey",
     "cand_id": "cand_id",
-    "x0": "bx",
-    "y0": "by",
-    "x1": "bx + bw",
-    "y1": "by + sk",
-    "x2": "bx + bw + sk",
-    "y2": "by + bw / ba",
-    "x3": "bx - sk",
-    "y3": "by + bw / ba",
+    "x0": "px",
+    "y0": "py",
+    "x1": "px + pw",
+    "y1": "py + sk",
+    "x2": "px + pw + sk",
+    "y2": "py + pw / pa",
+    "x3": "px - sk",
+    "y3": "py + pw / pa",
     "edge_quality": "edge_quality",
 }
 ORDER_IN_FRAME = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
@@ -212,13 +212,19 @@ def corner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from captura.functions.geometry import quad, quad_area
+    from captura.functions.geometry import Quad, quad_area
 
     rows = corner_rows(spark, sf_dir)
-    q = quad(*[F.col(f"{axis}{i}") for i in range(4) for axis in ("x", "y")])
-    shaped = rows.select("video_id", "frame_id", "cand_id", q.alias("corners"), "edge_quality")
-    return shaped.withColumns(
-        {"area": quad_area(F.col("corners")), "frame_w": F.lit(FRAME_W), "frame_h": F.lit(FRAME_H)}
+    q = Quad.columns("")
+    return rows.select(
+        "video_id",
+        "frame_id",
+        "cand_id",
+        q.array().alias("corners"),
+        "edge_quality",
+        quad_area(q).alias("area"),
+        F.lit(FRAME_W).alias("frame_w"),
+        F.lit(FRAME_H).alias("frame_h"),
     )
 
 
