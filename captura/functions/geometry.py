@@ -1,16 +1,16 @@
 """Quadrilateral geometry.
 
-In tables a quad is ``array<struct<x:double,y:double>>``. For arithmetic it is
-unpacked once into eight double columns (:class:`Quad`), so that every formula is
-plain code-generated arithmetic on columns and nothing is recomputed per corner.
-Ordered quads run top-left, top-right, bottom-right, bottom-left.
+In tables a quad is ``array<struct<x:double,y:double>>``; ordered quads run
+top-left, top-right, bottom-right, bottom-left. Scores and box arithmetic are
+plain column expressions. Measuring a quad takes several hundred multiplications,
+which as one generated method is too large for the JVM to compile, so it happens
+once per row in Arrow batches (:func:`measure`).
 """
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from captura.functions.polygons import flat, quad_agreement, quad_shape
 from captura.functions.rounding import clamp01
 
 # --- fixed values ---------------------------------------------------------
@@ -26,83 +26,43 @@ POINT = "struct<x:double,y:double>"
 QUAD = f"array<{POINT}>"
 
 
-@dataclass(frozen=True)
-class Quad:
-    """Coordinates of four corners as columns."""
-
-    xs: tuple
-    ys: tuple
-
-    @classmethod
-    def columns(cls, prefix: str) -> "Quad":
-        return cls(tuple(F.col(f"{prefix}x{i}") for i in range(4)), tuple(F.col(f"{prefix}y{i}") for i in range(4)))
-
-    @classmethod
-    def fields(cls, struct: Column, prefix: str = "") -> "Quad":
-        return cls(tuple(struct[f"{prefix}x{i}"] for i in range(4)), tuple(struct[f"{prefix}y{i}"] for i in range(4)))
-
-    def array(self) -> Column:
-        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in zip(self.xs, self.ys)])
-
-
 def quad(*xy: Column) -> Column:
     """Quad array from eight coordinate columns x0, y0, x1, y1, ..."""
-    return Quad(tuple(c.cast("double") for c in xy[0::2]), tuple(c.cast("double") for c in xy[1::2])).array()
-
-
-def computed(df: DataFrame, columns: dict) -> DataFrame:
-    """Add columns that later filters and projections use by reference.
-
-    The optimizer copies the definition of a projected column into every filter it
-    pushes down, which for nested geometry grows without bound. A one-row generator
-    is evaluated once and stays where it is.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
+    return F.array(
+        *[
+            F.struct(xy[2 * i].cast("double").alias("x"), xy[2 * i + 1].cast("double").alias("y"))
+            for i in range(4)
+        ]
+    )
 
-def names(prefix: str) -> list:
-    return [f"{prefix}{axis}{i}" for i in range(4) for axis in ("x", "y")]
 
+def unflatten(eight: Column) -> Column:
+    """Quad array from an array of eight doubles."""
+    points = [
+        F.struct(F.get(eight, F.lit(2 * i)).alias("x"), F.get(eight, F.lit(2 * i + 1)).alias("y")) for i in range(4)
+    ]
+    return F.when(eight.isNotNull(), F.array(*points))
 
-def unpack(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Add the eight coordinates."""
-    at = lambda i: F.get(F.col(column), F.lit(i))
-    return computed(df, {f"{prefix}{axis}{i}": at(i)[axis] for i in range(4) for axis in ("x", "y")})
 
+def coordinates_area(xs, ys) -> Column:
+    """Area of a quad given by coordinate columns."""
+    t = [xs[i] * ys[(i + 1) % 4] - xs[(i + 1) % 4] * ys[i] for i in range(4)]
+    return F.abs(t[0] + t[1] + t[2] + t[3]) / 2.0
 
-def unpack_ordered(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """:func:`unpack` in canonical corner order; the earliest corner wins ties."""
-    raw = Quad.columns("__raw_")
-    out = computed(
-        unpack(df, column, "__raw_"),
-        {
-            **{f"__sum{i}": raw.xs[i] + raw.ys[i] for i in range(4)},
-            **{f"__dif{i}": raw.ys[i] - raw.xs[i] for i in range(4)},
-        },
-    )
 
-    def first(key: str, largest: bool) -> Column:
-        k = [F.col(f"{key}{i}") for i in range(4)]
-        ahead = lambda i, j: (k[i] >= k[j]) if largest else (k[i] <= k[j])
-        return (
-            F.when(ahead(0, 1) & ahead(0, 2) & ahead(0, 3), F.lit(0))
-            .when(ahead(1, 2) & ahead(1, 3), F.lit(1))
-            .when(ahead(2, 3), F.lit(2))
-            .otherwise(F.lit(3))
-        )
+def measure(df: DataFrame, column: str = "corners", name: str = "m") -> DataFrame:
+    """Add a struct with the ordered quad and its measurements.
 
-    picks = [("__sum", False), ("__dif", False), ("__sum", True), ("__dif", True)]
-    out = computed(out, {f"__pick{n}": first(*pick) for n, pick in enumerate(picks)})
+    Fields: ``quad`` (eight ordered doubles), ``area``, ``w`` and ``h`` (mean
+    sides), ``mean_cos`` and ``max_cos`` (absolute corner cosines), ``rect`` (area
+    over the smallest edge-aligned bounding box), ``x1, y1, x2, y2`` (extremes).
+    """
+    return df.withColumn(name, quad_shape(flat(F.col(column))))
 
-    def at(n: int, values) -> Column:
-        p = F.col(f"__pick{n}")
-        return F.when(p == 0, values[0]).when(p == 1, values[1]).when(p == 2, values[2]).otherwise(values[3])
 
-    out = computed(
-        out, {f"{prefix}{axis}{n}": at(n, vals) for n in range(4) for axis, vals in (("x", raw.xs), ("y", raw.ys))}
-    )
-    helpers = [f"{h}{i}" for h in ("__sum", "__dif", "__pick") for i in range(4)]
-    return out.drop(*names("__raw_"), *helpers)
+def measure_agreement(df: DataFrame, pred: str, truth: str, name: str = "m") -> DataFrame:
+    """Add a struct with ``iou`` and ``mean, median, max, min`` distance of ordered corners."""
+    return df.withColumn(name, quad_agreement(flat(F.col(pred)), flat(F.col(truth))))
 
 
 def order_points(q: Column) -> Column:
@@ -120,24 +80,6 @@ def order_points(q: Column) -> Column:
     return F.when(q.isNotNull(), ordered)
 
 
-def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    dx, dy = ax - bx, ay - by
-    return F.sqrt(dx * dx + dy * dy)
-
-
-def side(q: Quad, i: int, j: int) -> Column:
-    return distance(q.xs[i], q.ys[i], q.xs[j], q.ys[j])
-
-
-def mean_width(q: Quad) -> Column:
-    """Mean of the top and bottom side of an ordered quad."""
-    return 0.5 * (side(q, 1, 0) + side(q, 2, 3))
-
-
-def mean_height(q: Quad) -> Column:
-    return 0.5 * (side(q, 3, 0) + side(q, 2, 1))
-
-
 def aspect_ratio(w: Column, h: Column) -> Column:
     """Longer over shorter mean side; sides count as at least one pixel."""
     w, h = F.greatest(F.lit(1.0), w), F.greatest(F.lit(1.0), h)
@@ -148,54 +90,6 @@ def detector_aspect_ratio(w: Column, h: Column) -> Column:
     return F.greatest(w, h) / F.greatest(F.lit(1.0), F.least(w, h))
 
 
-def quad_area(q: Quad) -> Column:
-    t = [q.xs[i] * q.ys[(i + 1) % 4] - q.xs[(i + 1) % 4] * q.ys[i] for i in range(4)]
-    return F.abs(t[0] + t[1] + t[2] + t[3]) / 2.0
-
-
-def corner_cosine(q: Quad, i: int) -> Column:
-    """Absolute cosine of the interior angle at a corner."""
-    a, b = (i + 1) % 4, (i + 3) % 4
-    dot = (q.xs[a] - q.xs[i]) * (q.xs[b] - q.xs[i]) + (q.ys[a] - q.ys[i]) * (q.ys[b] - q.ys[i])
-    return F.abs(dot / F.greatest(F.lit(1e-6), side(q, a, i) * side(q, b, i)))
-
-
-def edge_box_area(q: Quad, i: int) -> Column:
-    """Area of the bounding box of the quad that is aligned with edge i."""
-    j = (i + 1) % 4
-    dx, dy = q.xs[j] - q.xs[i], q.ys[j] - q.ys[i]
-    along = [(q.xs[k] - q.xs[i]) * dx + (q.ys[k] - q.ys[i]) * dy for k in range(4)]
-    across = [(q.ys[k] - q.ys[i]) * dx - (q.xs[k] - q.xs[i]) * dy for k in range(4)]
-    span = lambda v: F.greatest(*v) - F.least(*v)
-    return span(along) * span(across) / F.greatest(F.lit(1e-12), dx * dx + dy * dy)
-
-
-def with_shape(df: DataFrame, prefix: str = "__q_") -> DataFrame:
-    """Measure unpacked ordered quads: mean sides, cosines and box areas, one column each."""
-    q = Quad.columns(prefix)
-    measured = computed(
-        df,
-        {
-            "__w": mean_width(q),
-            "__h": mean_height(q),
-            **{f"__cos{i}": corner_cosine(q, i) for i in range(4)},
-        },
-    )
-    cosines = [F.col(f"__cos{i}") for i in range(4)]
-    mean = (cosines[0] + cosines[1] + cosines[2] + cosines[3]) / 4.0
-    summed = computed(measured, {"__mean_cos": mean, "__max_cos": F.greatest(*cosines)})
-    return summed.drop(*[f"__cos{i}" for i in range(4)])
-
-
-def with_rectangularity(df: DataFrame, area: str = "area", prefix: str = "__q_", name: str = "__rect") -> DataFrame:
-    """Area over the smallest of the four edge-aligned bounding boxes of the quad."""
-    q = Quad.columns(prefix)
-    boxed = computed(df, {f"__box{i}": edge_box_area(q, i) for i in range(4)})
-    smallest = F.least(*[F.col(f"__box{i}") for i in range(4)])
-    rect = F.least(F.lit(1.0), F.col(area) / F.greatest(F.lit(1.0), smallest))
-    return computed(boxed, {name: rect}).drop(*[f"__box{i}" for i in range(4)])
-
-
 def score_aspect_ratio(aspect: Column, targets=TARGET_ASPECTS) -> Column:
     upright = F.when(aspect >= 1.0, aspect).otherwise(1.0 / aspect)
     gaps = [F.abs(upright - t) for t in targets]
@@ -226,27 +120,15 @@ def detector_confidence(rect: Column, mean_cos: Column, aspect: Column, area_rat
     return 0.40 * rect + 0.35 * (1.0 - mean_cos) + 0.15 * s_aspect + 0.10 * s_area
 
 
-def point_in_quad(px: Column, py: Column, q: Quad) -> Column:
-    """Boundary-inclusive test for convex quads of either orientation."""
+def point_in_quad(px: Column, py: Column, xs, ys) -> Column:
+    """Boundary-inclusive test for convex quads of either orientation, given as coordinate columns."""
     crosses = []
     for i in range(4):
         j = (i + 1) % 4
-        crosses.append((q.xs[j] - q.xs[i]) * (py - q.ys[i]) - (q.ys[j] - q.ys[i]) * (px - q.xs[i]))
+        crosses.append((xs[j] - xs[i]) * (py - ys[i]) - (ys[j] - ys[i]) * (px - xs[i]))
     return (F.least(*crosses) >= 0) | (F.greatest(*crosses) <= 0)
 
 
-def whole_pixels(q: Quad) -> Quad:
-    """Coordinates without their fraction."""
-    cut = lambda c: c.cast("int").cast("double")
-    return Quad(tuple(cut(c) for c in q.xs), tuple(cut(c) for c in q.ys))
-
-
-def quad_inside(inner: Quad, outer: Quad) -> Column:
-    """All four corners of one quad inside another."""
-    tests = [point_in_quad(inner.xs[i], inner.ys[i], outer) for i in range(4)]
-    return tests[0] & tests[1] & tests[2] & tests[3]
-
-
 def bbox_iou(a: Column, b: Column) -> Column:
     """Intersection over union of ``[x1, y1, x2, y2]`` arrays."""
     at = lambda box, i: F.get(box, F.lit(i)).cast("double")
@@ -258,33 +140,10 @@ def bbox_iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
-def with_corner_errors(df: DataFrame, pred: str, truth: str) -> DataFrame:
-    """Add mean, median, max and min distance between the ordered corners of two quad columns."""
-    both = unpack_ordered(unpack_ordered(df, pred, "__p_"), truth, "__t_")
-    p, t = Quad.columns("__p_"), Quad.columns("__t_")
-    far = computed(both, {f"__d{i}": distance(p.xs[i], p.ys[i], t.xs[i], t.ys[i]) for i in range(4)})
-    d = [F.col(f"__d{i}") for i in range(4)]
-    total, top, low = d[0] + d[1] + d[2] + d[3], F.greatest(*d), F.least(*d)
-    known = d[0].isNotNull()
-    return far.withColumns(
-        {
-            "mean_corner_error": total / 4.0,
-            "median_corner_error": F.when(known, (total - top - low) / 2.0),
-            "max_corner_error": F.when(known, top),
-            "min_corner_error": F.when(known, low),
-        }
-    ).drop(*names("__p_"), *names("__t_"), *[f"__d{i}" for i in range(4)])
-
-
-def quad_bbox(q: Quad, frame_w: Column, frame_h: Column) -> Column:
+def extremes_bbox(x1: Column, y1: Column, x2: Column, y2: Column, frame_w: Column, frame_h: Column) -> Column:
     """Bounding box rounded half to even and clamped to the last pixel of the frame."""
     limit = lambda v, top: F.greatest(F.lit(0), F.least(top - 1, F.rint(v).cast("int")))
-    return F.array(
-        limit(F.least(*q.xs), frame_w),
-        limit(F.least(*q.ys), frame_h),
-        limit(F.greatest(*q.xs), frame_w),
-        limit(F.greatest(*q.ys), frame_h),
-    )
+    return F.array(limit(x1, frame_w), limit(y1, frame_h), limit(x2, frame_w), limit(y2, frame_h))
 
 
 def corners_bbox(q: Column) -> Column:

@@ -8,7 +8,7 @@ part's end points. Parts come from clipping every edge against four half planes.
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def _cross(a, b):
@@ -84,15 +84,83 @@ def quad_iou_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(np.nan_to_num(iou), 0.0, 1.0)
 
 
-@F.pandas_udf(DoubleType())
-def _quad_iou(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a))
-    known = (a.notna() & b.notna()).to_numpy()
+def order_arrays(p: np.ndarray) -> np.ndarray:
+    """Canonical corner order of quads shaped (n, 4, 2); the earliest corner wins ties."""
+    total, difference = p.sum(axis=2), p[..., 1] - p[..., 0]
+    picks = np.stack([total.argmin(1), difference.argmin(1), total.argmax(1), difference.argmax(1)], axis=1)
+    return np.take_along_axis(p, picks[:, :, None], axis=1)
+
+
+def shape_arrays(p: np.ndarray) -> dict:
+    """Measurements of ordered quads."""
+    edge = np.roll(p, -1, axis=1) - p
+    length = np.hypot(edge[..., 0], edge[..., 1])
+    back = -np.roll(edge, 1, axis=1)
+    product = length * np.roll(length, 1, axis=1)
+    cosine = np.abs((edge * back).sum(axis=2) / np.maximum(1e-6, product))
+    area = np.abs(signed_area(p))
+    rel = p[:, None, :, :] - p[:, :, None, :]
+    along = (rel * edge[:, :, None, :]).sum(axis=3)
+    across = _cross(edge[:, :, None, :], rel)
+    boxes = np.ptp(along, axis=2) * np.ptp(across, axis=2) / np.maximum(1e-12, length**2)
+    low, high = p.min(axis=1), p.max(axis=1)
+    return {
+        "area": area,
+        "w": 0.5 * (length[:, 0] + length[:, 2]),
+        "h": 0.5 * (length[:, 3] + length[:, 1]),
+        "mean_cos": cosine.mean(axis=1),
+        "max_cos": cosine.max(axis=1),
+        "rect": np.minimum(1.0, area / np.maximum(1.0, boxes.min(axis=1))),
+        "x1": low[:, 0],
+        "y1": low[:, 1],
+        "x2": high[:, 0],
+        "y2": high[:, 1],
+    }
+
+
+_NUMBERS = ("area", "w", "h", "mean_cos", "max_cos", "rect", "x1", "y1", "x2", "y2")
+_SHAPE = StructType(
+    [StructField("quad", ArrayType(DoubleType())), *[StructField(n, DoubleType()) for n in _NUMBERS]]
+)
+_AGREEMENT_FIELDS = ("iou", "mean", "median", "max", "min")
+_AGREEMENT = StructType([StructField(n, DoubleType()) for n in _AGREEMENT_FIELDS])
+
+
+def _stack(values: pd.Series) -> np.ndarray:
+    return np.stack(values.to_numpy()).astype(float).reshape(-1, 4, 2)
+
+
+@F.pandas_udf(_SHAPE)
+def _quad_shape(quads: pd.Series) -> pd.DataFrame:
+    known = quads.notna().to_numpy()
+    out = {n: np.full(len(quads), np.nan) for n in _NUMBERS}
+    ordered = np.full(len(quads), None, dtype=object)
     if known.any():
-        left = np.stack(a[known].to_numpy()).astype(float).reshape(-1, 4, 2)
-        right = np.stack(b[known].to_numpy()).astype(float).reshape(-1, 4, 2)
-        out[known] = quad_iou_arrays(left, right)
-    return pd.Series(out)
+        p = order_arrays(_stack(quads[known]))
+        for n, values in shape_arrays(p).items():
+            out[n][known] = values
+        for i, corners in zip(np.flatnonzero(known), p.reshape(-1, 8)):
+            ordered[i] = corners
+    return pd.DataFrame({"quad": ordered, **out})
+
+
+@F.pandas_udf(_AGREEMENT)
+def _quad_agreement(pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
+    known = (pred.notna() & truth.notna()).to_numpy()
+    out = {n: np.full(len(pred), np.nan) for n in _AGREEMENT_FIELDS}
+    out["iou"] = np.zeros(len(pred))
+    if known.any():
+        a, b = _stack(pred[known]), _stack(truth[known])
+        out["iou"][known] = quad_iou_arrays(a, b)
+        d = np.linalg.norm(order_arrays(a) - order_arrays(b), axis=2)
+        for n, values in (("mean", d.mean(1)), ("median", np.median(d, 1)), ("max", d.max(1)), ("min", d.min(1))):
+            out[n][known] = values
+    return pd.DataFrame(out)
+
+
+# Marked as non-deterministic so that filters on a measurement do not repeat it.
+quad_shape = _quad_shape.asNondeterministic()
+quad_agreement = _quad_agreement.asNondeterministic()
 
 
 def flat(quad):
@@ -105,4 +173,4 @@ def flat(quad):
 
 def quad_iou(a, b):
     """IoU of two quad columns; 0.0 when either is missing."""
-    return _quad_iou(flat(a), flat(b))
+    return quad_agreement(flat(a), flat(b))["iou"]

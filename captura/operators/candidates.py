@@ -4,10 +4,12 @@ Rows are ``video_id, frame_id, cand_id, corners, area, frame_w, frame_h`` plus t
 optional measurements named in each operator. ``cand_id`` is the input order.
 """
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.functions import geometry as G
+from captura.functions.polygons import flat
 from captura.functions.rounding import clamp01, round_half_even
 from captura.operators.grouping import split_by_size, tiles
 
@@ -42,85 +44,123 @@ def validate_quads(candidates: DataFrame, min_aspect: float = 1.0, max_aspect: f
     input when present; otherwise it is measured on the quad itself.
     """
     w, h = F.col("frame_w"), F.col("frame_h")
-    q = G.Quad.columns("__q_")
-    shaped = G.with_shape(G.unpack_ordered(candidates, "corners", "__q_"))
-    if "rectangularity" in candidates.columns:
-        shaped = shaped.withColumn("__rect", F.col("rectangularity"))
-    else:
-        shaped = G.with_rectangularity(shaped)
+    m = lambda field: F.col(f"__m.{field}")
+    at = lambda i: F.get(F.col("__m.quad"), F.lit(i))
+    shaped = G.measure(candidates, "corners", "__m")
     near = [
-        (q.xs[i] <= 4.0) | (q.xs[i] >= w - 4.0) | (q.ys[i] <= 4.0) | (q.ys[i] >= h - 4.0) for i in range(4)
+        (at(2 * i) <= 4.0) | (at(2 * i) >= w - 4.0) | (at(2 * i + 1) <= 4.0) | (at(2 * i + 1) >= h - 4.0)
+        for i in range(4)
     ]
-    measured = G.computed(
-        shaped,
-        {
-            "__share": F.col("area") / (w.cast("double") * h),
-            "__aspect": G.detector_aspect_ratio(F.col("__w"), F.col("__h")),
-            "__border": near[0] & near[1] & near[2] & near[3],
-        },
-    )
-    kept = measured.filter(
-        ~(F.col("__border") & (F.col("__share") >= 0.88))
-        & F.col("__aspect").between(min_aspect, max_aspect)
-        & (F.col("__max_cos") <= 0.70)
-        & (F.col("__rect") >= 0.70)
+    share = F.col("area") / (w.cast("double") * h)
+    aspect = G.detector_aspect_ratio(m("w"), m("h"))
+    rect = F.col("rectangularity") if "rectangularity" in candidates.columns else m("rect")
+    kept = shaped.filter(
+        ~(near[0] & near[1] & near[2] & near[3] & (share >= 0.88))
+        & aspect.between(min_aspect, max_aspect)
+        & (m("max_cos") <= 0.70)
+        & (rect >= 0.70)
     )
-    confidence = G.detector_confidence(F.col("__rect"), F.col("__mean_cos"), F.col("__aspect"), F.col("__share"))
+    confidence = G.detector_confidence(rect, m("mean_cos"), aspect, share)
     return kept.withColumns(
         {
-            "corners": q.array(),
-            "bbox": G.quad_bbox(q, w, h),
-            "aspect_ratio": round_half_even(F.col("__aspect"), 3),
-            "rectangularity": round_half_even(F.col("__rect"), 3),
+            "corners": G.unflatten(F.col("__m.quad")),
+            "bbox": G.extremes_bbox(m("x1"), m("y1"), m("x2"), m("y2"), w, h),
+            "aspect_ratio": round_half_even(aspect, 3),
+            "rectangularity": round_half_even(rect, 3),
             "confidence": clamp01(round_half_even(confidence)),
         }
-    ).drop("__share", "__aspect", "__rect", "__border", "__w", "__h", "__mean_cos", "__max_cos", *G.names("__q_"))
+    ).drop("__m")
+
+
+def _inside(points: np.ndarray, polygon: np.ndarray) -> np.ndarray:
+    """Per pair (n, 4, 2): all points in the convex polygon of either orientation, boundary included."""
+    edge = np.roll(polygon, -1, axis=1) - polygon
+    offset = points[:, :, None, :] - polygon[:, None, :, :]
+    cross = edge[:, None, :, 0] * offset[..., 1] - edge[:, None, :, 1] * offset[..., 0]
+    return ((cross.min(axis=2) >= 0) | (cross.max(axis=2) <= 0)).all(axis=1)
+
+
+def _nest_pairs(ids, areas, quads, inner, outer):
+    """Containment of candidate pairs, reduced to the last parent and a count per candidate."""
+    small = areas[inner] < areas[outer] * NESTED_AREA_SHARE
+    inner, outer = inner[small], outer[small]
+    hit = _inside(quads[inner], np.trunc(quads[outer])) if len(inner) else np.zeros(0, bool)
+    inner, outer = inner[hit], outer[hit]
+    parent = np.full(len(ids), -1, dtype=np.int64)
+    np.maximum.at(parent, inner, ids[outer])
+    return parent, np.bincount(outer, minlength=len(ids))
+
+
+def _nest_tiles(batches, keys, budget: int = 200_000):
+    """Find nested candidates in packed tiles; only candidates with a finding leave."""
+    for pdf in batches:
+        start = 0
+        while start < len(pdf):
+            ids, areas, quads, owners, inner, outer = [], [], [], [], [], []
+            base = pairs = 0
+            row = start
+            while row < len(pdf) and (row == start or pairs < budget):
+                left, right = pdf["left"].iat[row], pdf["right"].iat[row]
+                n, m = len(left), len(right)
+                for item in (*left, *right):
+                    ids.append(item["cand_id"])
+                    areas.append(item["area"])
+                    quads.append(item["quad"])
+                owners.extend([row] * (n + m))
+                if m:
+                    i, j = np.meshgrid(np.arange(n), np.arange(n, n + m), indexing="ij")
+                    i, j = np.r_[i.ravel(), j.ravel()], np.r_[j.ravel(), i.ravel()]
+                else:
+                    i, j = np.nonzero(~np.eye(n, dtype=bool))
+                inner.append(i + base)
+                outer.append(j + base)
+                base, pairs, row = base + n + m, pairs + len(i), row + 1
+            start = row
+            ids = np.asarray(ids, dtype=np.int64)
+            shapes = np.asarray(quads, dtype=float).reshape(-1, 4, 2)
+            parent, encloses = _nest_pairs(
+                ids, np.asarray(areas, dtype=float), shapes, np.concatenate(inner), np.concatenate(outer)
+            )
+            found = np.flatnonzero((parent >= 0) | (encloses > 0))
+            out = pdf[keys].iloc[np.asarray(owners)[found]].reset_index(drop=True)
+            yield out.assign(cand_id=ids[found], parent=parent[found], encloses=encloses[found])
 
 
 def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES) -> DataFrame:
     """Add ``is_nested``, ``nested_parent_idx`` and ``encloses_count``.
 
-    A is nested in B when all its corners lie in B and its area is below 85 % of
-    B's. The parent is the last enclosing candidate in input order. Tiles of a
-    frame report one partial row per candidate, never one per pair.
+    A is nested in B when all its corners lie in B, whose coordinates lose their
+    fraction, and its area is below 85 % of B's. The parent is the last enclosing
+    candidate in input order. Tiles of a frame report one partial row per candidate
+    with a finding, never one per pair.
     """
     keys = list(keys)
-    slim = G.unpack(candidates.select(*keys, "cand_id", "corners", "area"), "corners", "q_").drop("corners")
-    cut = G.whole_pixels(G.Quad.columns("q_"))
-    slim = slim.withColumns({f"t_{a}{i}": v[i] for i in range(4) for a, v in (("x", cut.xs), ("y", cut.ys))})
+    slim = candidates.select(*keys, "cand_id", "area", flat(F.col("corners")).alias("quad"))
     tiled = tiles(slim, keys, ["cand_id"], tile_rows)
-    entry = F.struct("cand_id", "area", *G.names("q_"), *G.names("t_"))
+    entry = F.struct("cand_id", F.col("area").cast("double").alias("area"), "quad")
     diagonal = F.col("__ti") == F.col("__tj")
-    packed = tiled.groupBy(*keys, "__ti", "__tj").agg(
-        F.collect_list(F.when(F.col("__block") == F.col("__ti"), entry)).alias("a"),
-        F.collect_list(F.when(~diagonal & (F.col("__block") == F.col("__tj")), entry)).alias("b"),
+    packed = (
+        tiled.groupBy(*keys, "__ti", "__tj")
+        .agg(
+            F.collect_list(F.when(F.col("__block") == F.col("__ti"), entry)).alias("left"),
+            F.collect_list(F.when(~diagonal & (F.col("__block") == F.col("__tj")), entry)).alias("right"),
+        )
+        .filter((F.size("left") > 1) | (F.size("right") > 0))
+        .select(*keys, "left", "right")
     )
+    types = dict(candidates.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", cand_id {types['cand_id']}, parent bigint, encloses bigint"
 
-    def inside(inner, outer):
-        smaller = inner["area"] < outer["area"] * NESTED_AREA_SHARE
-        return smaller & G.quad_inside(G.Quad.fields(inner, "q_"), G.Quad.fields(outer, "t_"))
-
-    def findings(side, others):
-        return F.transform(
-            side,
-            lambda c: F.struct(
-                c["cand_id"].alias("cand_id"),
-                F.array_max(
-                    F.transform(F.filter(others, lambda o: inside(c, o)), lambda o: o["cand_id"])
-                ).alias("parent"),
-                F.size(F.filter(others, lambda o: inside(o, c))).alias("encloses"),
-            ),
-        )
+    def search(batches):
+        return _nest_tiles(batches, keys)
 
-    both = F.when(diagonal, findings(F.col("a"), F.col("a"))).otherwise(
-        F.concat(findings(F.col("a"), F.col("b")), findings(F.col("b"), F.col("a")))
-    )
-    multiple = F.col("__ti") != F.col("__tj")
-    rows = packed.filter(multiple | (F.size("a") > 1)).select(*keys, F.explode(both).alias("f"))
     found = (
-        rows.filter(F.col("f.parent").isNotNull() | (F.col("f.encloses") > 0))
-        .groupBy(*keys, F.col("f.cand_id").alias("cand_id"))
-        .agg(F.max("f.parent").alias("nested_parent_idx"), F.sum("f.encloses").cast("int").alias("encloses_count"))
+        packed.mapInPandas(search, schema)
+        .groupBy(*keys, "cand_id")
+        .agg(
+            F.max(F.when(F.col("parent") >= 0, F.col("parent"))).cast(types["cand_id"]).alias("nested_parent_idx"),
+            F.sum("encloses").cast("int").alias("encloses_count"),
+        )
     )
     joined = candidates.join(found, [*keys, "cand_id"], "left")
     return joined.withColumns(
@@ -141,7 +181,7 @@ def score_candidates(
     """Static score of every candidate from aspect, area, shape, edges and nesting."""
     w = {**SCORE_WEIGHTS, **(weights or {})}
     columns = candidates.columns
-    shaped = G.with_shape(G.unpack(candidates, "corners", "__q_"))
+    shaped = G.measure(candidates, "corners", "__m")
     filled = shaped.withColumns(
         {
             "area_ratio": F.col("area_ratio")
@@ -149,11 +189,12 @@ def score_candidates(
             else F.col("area") / F.greatest(F.lit(1.0), F.col("frame_w").cast("double") * F.col("frame_h")),
             "aspect_ratio": F.col("aspect_ratio")
             if "aspect_ratio" in columns
-            else round_half_even(G.aspect_ratio(F.col("__w"), F.col("__h")), 3),
+            else round_half_even(G.aspect_ratio(F.col("__m.w"), F.col("__m.h")), 3),
             "rectangularity": F.col("rectangularity") if "rectangularity" in columns else F.lit(1.0),
             "__edge": F.coalesce("edge_quality", F.lit(0.5)) if "edge_quality" in columns else F.lit(0.5),
+            "__mean_cos": F.col("__m.mean_cos"),
         }
-    ).drop("__w", "__h", "__max_cos", *G.names("__q_"))
+    ).drop("__m")
     marked = nesting(filled, keys, tile_rows)
     scored = marked.withColumns(
         {

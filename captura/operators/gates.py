@@ -57,27 +57,27 @@ def _optional(df: DataFrame, name: str, default) -> Column:
 
 def gate_signals(detections: DataFrame) -> DataFrame:
     """Measured signals of the best candidate, with fallbacks for missing ones."""
-    quad = G.Quad.columns("__q_")
+    m = lambda field: F.col(f"__m.{field}")
     frame_area = F.greatest(F.lit(1.0), F.col("frame_w").cast("double") * F.col("frame_h"))
     area = F.coalesce(_optional(detections, "area", None).cast("double"), F.lit(0.0))
     aspect = F.coalesce(_optional(detections, "aspect_ratio", None).cast("double"), F.lit(0.0))
     delta = _optional(detections, "nesting_delta", 0.0)
     encloses = F.coalesce(_optional(detections, "encloses_count", 0), F.lit(0))
     found = F.coalesce(F.col("detected"), F.lit(False)) & F.col("corners").isNotNull()
-    shaped = G.with_shape(G.unpack_ordered(detections, "corners", "__q_"))
+    shaped = G.measure(detections, "corners", "__m")
     measured = shaped.withColumns(
         {
             "__found": found,
             "__static": F.coalesce(_optional(detections, "static_score", 0.0), F.lit(0.0)),
-            "__area": F.when(area <= 0.0, G.quad_area(quad)).otherwise(area) / frame_area,
-            "__aspect": F.when(aspect <= 0.0, G.aspect_ratio(F.col("__w"), F.col("__h"))).otherwise(aspect),
+            "__area": F.when(area <= 0.0, m("area")).otherwise(area) / frame_area,
+            "__aspect": F.when(aspect <= 0.0, G.aspect_ratio(m("w"), m("h"))).otherwise(aspect),
             "__edge": F.coalesce(_optional(detections, "edge_quality", 0.5), F.lit(0.5)),
             "__encloses": (encloses > 0) | F.coalesce(delta < 0.0, F.lit(False)),
-            "__rect": G.score_rectangularity(F.lit(1.0), F.col("__mean_cos")),
+            "__rect": G.score_rectangularity(F.lit(1.0), m("mean_cos")),
         }
     )
     scored = measured.withColumn("__aspect_score", G.score_aspect_ratio(F.col("__aspect")))
-    return scored.drop(*G.names("__q_"), "__w", "__h", "__mean_cos", "__max_cos").withColumn(
+    return scored.drop("__m").withColumn(
         "__pristine",
         F.col("__area").between(*PRISTINE_AREA)
         & F.col("__aspect").between(*PRISTINE_ASPECT)

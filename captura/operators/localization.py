@@ -3,8 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captura.functions.geometry import with_corner_errors
-from captura.functions.polygons import quad_iou
+from captura.functions.geometry import measure_agreement
 from captura.functions.rounding import ratio_or_zero, round_half_even
 from captura.operators.grouping import percentiles
 
@@ -21,14 +20,14 @@ def against_truth(detections: DataFrame, truth: DataFrame, keys=("video_id", "fr
     paired = joined.withColumns(
         {"__pred": F.when(usable, F.col("corners")), "__gt": F.when(usable, F.col("__truth"))}
     )
-    measured = with_corner_errors(paired, "__pred", "__gt")
+    measured = measure_agreement(paired, "__pred", "__gt", "__m")
     return measured.select(
         *detections.columns,
         F.col("__truth").isNotNull().alias("has_truth"),
-        quad_iou(F.col("__pred"), F.col("__gt")).alias("iou"),
-        "mean_corner_error",
-        "median_corner_error",
-        "max_corner_error",
+        F.col("__m.iou").alias("iou"),
+        F.col("__m.mean").alias("mean_corner_error"),
+        F.col("__m.median").alias("median_corner_error"),
+        F.col("__m.max").alias("max_corner_error"),
     )
 
 

@@ -116,8 +116,8 @@ def ordered(spark, sf_dir):
     + " AS score_rect FROM shaped",
 )
 def shape_scores(spark, sf_dir):
-    rows = G.with_rectangularity(G.with_shape(G.unpack(V.candidates(spark, sf_dir), "corners", "__q_")))
-    aspect = G.aspect_ratio(F.col("__w"), F.col("__h"))
+    rows = G.measure(V.candidates(spark, sf_dir))
+    aspect = G.aspect_ratio(F.col("m.w"), F.col("m.h"))
     share = F.col("area") / float(V.FRAME_W * V.FRAME_H)
     return rows.select(
         "frame_id",
@@ -126,7 +126,7 @@ def shape_scores(spark, sf_dir):
         round_half_even(aspect, 3).alias("aspect_ratio"),
         round_half_even(G.score_aspect_ratio(aspect)).alias("score_aspect"),
         round_half_even(G.score_area_ratio(share)).alias("score_area"),
-        round_half_even(G.score_rectangularity(F.col("__rect"), F.col("__mean_cos"))).alias("score_rect"),
+        round_half_even(G.score_rectangularity(F.col("m.rect"), F.col("m.mean_cos"))).alias("score_rect"),
     )
 
 

@@ -212,17 +212,18 @@ def corner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from captura.functions.geometry import Quad, quad_area
+    from captura.functions.geometry import coordinates_area, quad
 
     rows = corner_rows(spark, sf_dir)
-    q = Quad.columns("")
+    xs, ys = ([F.col(f"{axis}{i}") for i in range(4)] for axis in ("x", "y"))
+    corners = quad(*[c for pair in zip(xs, ys) for c in pair])
     return rows.select(
         "video_id",
         "frame_id",
         "cand_id",
-        q.array().alias("corners"),
+        corners.alias("corners"),
         "edge_quality",
-        quad_area(q).alias("area"),
+        coordinates_area(xs, ys).alias("area"),
         F.lit(FRAME_W).alias("frame_w"),
         F.lit(FRAME_H).alias("frame_h"),
     )
