@@ -26,6 +26,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
+def fixed(df: DataFrame, columns: dict) -> DataFrame:
+    """Rows of derived columns that later steps use by reference, as if read from a table.
+
+    The optimizer copies the definition of a projected column into every filter and
+    expression above it. A one-row generator is evaluated once and stays in place.
+    """
+    return df.select(F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _select(df: DataFrame, exprs: dict) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {a}" for a, e in exprs.items()])
 
@@ -208,7 +217,8 @@ def corner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(*ORDER_IN_FRAME, "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy(*ORDER_IN_FRAME)
     numbered = items.withColumn("cand_id", F.row_number().over(order))
-    return _select(_select(numbered, BOX), CORNERS)
+    boxes = fixed(numbered, {a: F.expr(e) for a, e in BOX.items()})
+    return fixed(boxes, {a: F.expr(e) for a, e in CORNERS.items()})
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,16 +226,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = corner_rows(spark, sf_dir)
     xs, ys = ([F.col(f"{axis}{i}") for i in range(4)] for axis in ("x", "y"))
-    corners = quad(*[c for pair in zip(xs, ys) for c in pair])
-    return rows.select(
-        "video_id",
-        "frame_id",
-        "cand_id",
-        corners.alias("corners"),
-        "edge_quality",
-        coordinates_area(xs, ys).alias("area"),
-        F.lit(FRAME_W).alias("frame_w"),
-        F.lit(FRAME_H).alias("frame_h"),
+    return fixed(
+        rows,
+        {
+            "video_id": F.col("video_id"),
+            "frame_id": F.col("frame_id"),
+            "cand_id": F.col("cand_id"),
+            "corners": quad(*[c for pair in zip(xs, ys) for c in pair]),
+            "edge_quality": F.col("edge_quality"),
+            "area": coordinates_area(xs, ys),
+            "frame_w": F.lit(FRAME_W),
+            "frame_h": F.lit(FRAME_H),
+        },
     )
 
 
