@@ -1 +1,149 @@
-"""Queries."""
+"""End-to-end verification, plug-in stages and streaming queries."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from captura.operators.audit import stage_status
+from captura.operators.frames import map_frames
+from captura.operators.fusion import assess, fuse
+from captura.operators.ocr import parse_fields
+from captura.operators.consensus import field_values
+from captura.operators.reports import report_text, structured_result
+from captura.plans import views as V
+from captura.plans.registry import query
+from captura.plans.verify import verify
+from captura.streaming.live import (
+    consensus_counts_stream,
+    leading_values,
+    run_to_table,
+    similarity_stream,
+    track_stream,
+    use_rocksdb,
+)
+
+
+def verification_inputs(spark, sf_dir):
+    """Customers as captures: scores, vectors and recognized lines for every order."""
+    orders = V.table(spark, sf_dir, "orders").selectExpr("o_custkey AS video_id", "o_orderkey AS frame_idx")
+    scores = orders.select("video_id", ((F.col("frame_idx") * 37) % 101 / 101.0).alias("integrity_score"))
+    # A short unit vector per frame that turns slowly with the frame number.
+    angle = (F.col("frame_idx") % 40) / 40.0 + F.col("video_id") % 3
+    emb = orders.select("video_id", "frame_idx", F.array(F.cos(angle), F.sin(angle)).cast("array<float>").alias("vec"))
+    return scores, emb, V.ocr_lines(spark, sf_dir), orders
+
+
+@query("e03_verify_captures")
+def verify_captures(spark, sf_dir):
+    result = verify(*verification_inputs(spark, sf_dir))
+    return result.select(
+        "video_id",
+        "visual_integrity",
+        "temporal_consistency",
+        "ocr_confidence",
+        "text_consistency",
+        "fused_integrity_score",
+        "evidence_coverage",
+        "risk_level",
+        "name",
+        "document_number",
+    )
+
+
+def _reported(spark, sf_dir):
+    fields = V.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS video_id", "c_name AS name", "CAST(NULL AS STRING) AS dob", "c_mktsegment AS document_number", "CAST(c_nationkey AS STRING) AS address"
+    )
+    return assess(fuse(V.evidence(spark, sf_dir))).join(fields, "video_id")
+
+
+@query("x16_report_text")
+def reports(spark, sf_dir):
+    return report_text(_reported(spark, sf_dir)).select("video_id", "report")
+
+
+@query("s10_structured_result")
+def structured(spark, sf_dir):
+    return structured_result(_reported(spark, sf_dir)).select("video_id", F.to_json("result").alias("result"))
+
+
+@query(
+    "u01_u05_plugin_stage",
+    "SELECT conv_id AS video_id, count_if(length(text) % 7 <> 0) AS ok, count_if(length(text) % 7 = 0) AS failed FROM conversations GROUP BY 1",
+)
+def plugin(spark, sf_dir):
+    frames = V.table(spark, sf_dir, "conversations").selectExpr("conv_id AS video_id", "turn AS frame_idx", "length(text) AS size")
+
+    def build():
+        def model(pdf):
+            if (pdf["size"] % 7 == 0).any():
+                raise ValueError("unreadable frame")
+            return pdf.assign(score=pdf["size"] / 10.0)[["score"]]
+
+        return model
+
+    good, bad = map_frames(frames, build, "score double")
+    marks = good.select("video_id", F.lit(1).alias("ok")).unionByName(bad.select("video_id", F.lit(0).alias("ok")))
+    return marks.groupBy("video_id").agg(F.count_if(F.col("ok") == 1).alias("ok"), F.count_if(F.col("ok") == 0).alias("failed"))
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+
+def _shared_folder(spark) -> str:
+    """A fresh folder on the storage the cluster names; a temporary one where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+
+
+def stream_of(spark, sf_dir, name):
+    """A file stream over one driver table."""
+    schema = V.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("r01_live_tracker")
+def live_tracker(spark, sf_dir):
+    use_rocksdb(spark)
+    items = stream_of(spark, sf_dir, "lineitem")
+    boxes = items.withColumn("cand_id", F.xxhash64(*V.ORDER_IN_FRAME))
+    shaped = V.fixed(V.fixed(boxes.withColumn("ts", F.col("l_shipdate")), {**{a: F.expr(e) for a, e in V.BOX.items()}, "ts": F.col("ts")}),
+                     {**{a: F.expr(e) for a, e in V.CORNERS.items()}, "ts": F.col("ts")})
+    from captura.functions.geometry import coordinates_area, quad
+
+    xs, ys = ([F.col(f"{axis}{i}") for i in range(4)] for axis in ("x", "y"))
+    rows = shaped.select(
+        (F.col("frame_id") % 500).alias("video_id"),
+        F.col("frame_id").alias("frame_idx"),
+        "ts",
+        F.lit(V.FRAME_W).alias("frame_w"),
+        F.lit(V.FRAME_H).alias("frame_h"),
+        "cand_id",
+        quad(*[c for pair in zip(xs, ys) for c in pair]).alias("corners"),
+        coordinates_area(xs, ys).alias("area"),
+        F.lit(1.5).alias("aspect_ratio"),
+        F.col("edge_quality").alias("static_score"),
+    )
+    result = run_to_table(track_stream(rows), _shared_folder(spark))
+    return result.select("video_id", "frame_idx", "detected", "method", "confidence")
+
+
+@query("r02_live_similarity")
+def live_similarity(spark, sf_dir):
+    use_rocksdb(spark)
+    emb = stream_of(spark, sf_dir, "embeddings").selectExpr(
+        "label AS video_id", "vec_id AS frame_idx", "timestamp_seconds(vec_id) AS ts", "embedding AS vec"
+    )
+    return run_to_table(similarity_stream(emb), _shared_folder(spark))
+
+
+@query("r03_live_consensus")
+def live_consensus(spark, sf_dir):
+    use_rocksdb(spark)
+    events = stream_of(spark, sf_dir, "events").selectExpr(
+        "user_id AS video_id", "event_id AS frame_idx", "'type' AS field", "event_type AS value"
+    )
+    tallies = run_to_table(consensus_counts_stream(events), _shared_folder(spark), mode="update")
+    latest = tallies.groupBy("video_id", "field", "value").agg(F.max_by("n", "batch").alias("n"), F.min("first_seen").alias("first_seen"))
+    return leading_values(latest)
