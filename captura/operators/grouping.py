@@ -130,6 +130,15 @@ def percentiles(df: DataFrame, by, value: str, wanted: dict, lo: float = 0.0, hi
     return ranked.groupBy(*by).agg(*out)
 
 
+def by_hash(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows into the configured number of shuffle partitions.
+
+    Adaptive execution merges partitions by bytes. Python work on small rows is
+    bound by time instead, so its input keeps the configured parallelism.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def group_counts(df: DataFrame, by, name: str = "__n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
@@ -166,7 +175,7 @@ def tiles(df: DataFrame, by, item, size: int) -> DataFrame:
     by = list(by)
     if largest_group(df, by) <= size:
         zero = F.lit(0)
-        return df.withColumns({"__ti": zero, "__tj": zero, "__block": zero})
+        return by_hash(df, *by).withColumns({"__ti": zero, "__tj": zero, "__block": zero})
     sized = df.join(group_counts(df, by), by)
     blocks = F.ceil(F.col("__n") / F.lit(size)).cast("int")
     spread = sized.withColumn("__blocks", blocks).withColumn(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.functions.text import alphanumeric, canonical, levenshtein_similarity, strip
-from captura.operators.grouping import index_bucket, running_sum, tiles
+from captura.operators.grouping import by_hash, index_bucket, running_sum, tiles
 
 TILE_VALUES = 128
 
@@ -85,7 +85,8 @@ def _sequence_mean(values, metric: str) -> float:
 
 def _small_groups(occurrences: DataFrame, keys, metric: str) -> DataFrame:
     packed = (
-        occurrences.groupBy(*keys)
+        by_hash(occurrences, *keys)
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("__f", "__c"))).alias("__seq"))
         .withColumn("__seq", F.transform("__seq", lambda s: s["__c"]))
     )

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.functions import geometry as G
-from captura.functions.polygons import quad_iou_arrays
+from captura.functions.polygons import flat, quad_iou_arrays
+from captura.operators.grouping import by_hash
 
 
 @dataclass(frozen=True)
@@ -110,50 +111,56 @@ def take_over(quad: np.ndarray) -> TrackState:
     return TrackState(tuple(quad.ravel().tolist()), area, aspect, 0)
 
 
-def frame_step(state: TrackState, rows: pd.DataFrame, cfg: TrackerConfig):
-    """:func:`step` on the candidate rows of one frame; a NULL ``cand_id`` means no candidates."""
-    w, h = int(rows["frame_w"].iat[0]), int(rows["frame_h"].iat[0])
-    real = rows[rows["cand_id"].notna()]
-    if len(real):
-        quads = np.stack(real["quad"].to_numpy()).astype(float).reshape(-1, 4, 2)
-        areas, aspects, statics = (real[c].to_numpy(float) for c in ("area", "aspect_ratio", "static_score"))
-    else:
-        quads, areas, aspects, statics = (np.zeros((0, 4, 2)), *(np.zeros(0),) * 3)
-    state, result = step(state, quads, areas, aspects, statics, w, h, cfg)
-    if "tier2" in rows and rows["tier2"].iat[0] is not None:
-        state = take_over(np.asarray(rows["tier2"].iat[0], dtype=float).reshape(4, 2))
-    return state, result
+class FrameRows:
+    """Candidate rows of a batch as arrays; rows with NULL ``cand_id`` mark frames without candidates."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.real = pdf["cand_id"].notna().to_numpy()
+        self.quads = np.full((len(pdf), 4, 2), np.nan)
+        if self.real.any():
+            self.quads[self.real] = np.stack(pdf["quad"][self.real].to_numpy()).astype(float).reshape(-1, 4, 2)
+        self.areas, self.aspects, self.statics = (
+            pdf[c].to_numpy(float) for c in ("area", "aspect_ratio", "static_score")
+        )
+        self.w, self.h = pdf["frame_w"].to_numpy(int), pdf["frame_h"].to_numpy(int)
+        self.tier2 = pdf["tier2"].to_numpy() if "tier2" in pdf else None
+
+    def step(self, state: TrackState, a: int, b: int, cfg: TrackerConfig):
+        """:func:`step` on rows ``a`` to ``b``, which belong to one frame."""
+        c = slice(a, b if self.real[a] else a)
+        state, result = step(
+            state, self.quads[c], self.areas[c], self.aspects[c], self.statics[c], int(self.w[a]), int(self.h[a]), cfg
+        )
+        if self.tier2 is not None and self.tier2[a] is not None:
+            state = take_over(np.asarray(self.tier2[a], dtype=float).reshape(4, 2))
+        return state, result
 
 
 def _scan(batches, cfg: TrackerConfig):
     """Walk sorted rows frame by frame; frames and captures may straddle batches."""
-    state, video = TrackState(), None
-    waiting = None
+    columns = ["video_id", "frame_idx", *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]]
+    state, video, waiting = TrackState(), None, None
 
-    def run(rows, out):
-        nonlocal state, video
-        if rows["video_id"].iat[0] != video:
-            state, video = TrackState(), rows["video_id"].iat[0]
-        state, result = frame_step(state, rows, cfg)
-        out.append((rows["video_id"].iat[0], rows["frame_idx"].iat[0], *result))
+    def walk(pdf, last: bool):
+        nonlocal state, video, waiting
+        v, f = pdf["video_id"].to_numpy(), pdf["frame_idx"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (f[1:] != f[:-1]), True])
+        rows, out = FrameRows(pdf), []
+        for a, b in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1]):
+            if v[a] != video:
+                state, video = TrackState(), v[a]
+            state, result = rows.step(state, a, b, cfg)
+            out.append((v[a], f[a], *result))
+        waiting = None if last else pdf.iloc[cuts[-2] :]
+        return pd.DataFrame(out, columns=columns)
 
-    columns = ["video_id", "frame_idx", *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]]
     for pdf in batches:
         if waiting is not None:
             pdf = pd.concat([waiting, pdf], ignore_index=True)
-        if len(pdf) == 0:
-            continue
-        v, f = pdf["video_id"].to_numpy(), pdf["frame_idx"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (f[1:] != f[:-1])])
-        out: list = []
-        for a, b in zip(starts[:-1], starts[1:]):
-            run(pdf.iloc[a:b], out)
-        waiting = pdf.iloc[starts[-1] :]
-        yield pd.DataFrame(out, columns=columns)
-    if waiting is not None and len(waiting):
-        out = []
-        run(waiting, out)
-        yield pd.DataFrame(out, columns=columns)
+        if len(pdf):
+            yield walk(pdf, False)
+    if waiting is not None:
+        yield walk(waiting, True)
 
 
 def tracker_input(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = None) -> DataFrame:
@@ -163,8 +170,6 @@ def tracker_input(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None
     ``video_id, frame_idx, cand_id, corners, area, aspect_ratio, static_score``.
     ``tier2`` lists quads that replace the tracked one after their frame.
     """
-    from captura.functions.polygons import flat
-
     slim = scored.select(
         "video_id",
         "frame_idx",
@@ -186,7 +191,7 @@ def track(frames: DataFrame, scored: DataFrame, cfg: TrackerConfig = TrackerConf
     """Tracked detection for every frame of every capture."""
     rows = tracker_input(frames, scored, tier2)
     types = dict(rows.dtypes)
-    ordered = rows.repartition("video_id").sortWithinPartitions(
+    ordered = by_hash(rows, "video_id").sortWithinPartitions(
         "video_id", "frame_idx", F.col("static_score").desc(), "cand_id"
     )
     schema = f"video_id {types['video_id']}, frame_idx {types['frame_idx']}, {RESULT_SCHEMA}"

@@ -486,12 +486,11 @@ def compare(spark, sf_dir):
 @query(
     "w05_representative_frames",
     f"WITH {_QUALITY_SQL} SELECT mode, frame_id, {r('iou')} AS iou FROM quality WHERE method = 'baseline' AND detected "
-    "QUALIFY row_number() OVER (PARTITION BY mode ORDER BY iou DESC, frame_id) = 1",
+    f"QUALIFY row_number() OVER (PARTITION BY mode ORDER BY {r('iou')} DESC, frame_id) = 1",
 )
 def representative(spark, sf_dir):
-    rows = _quality(spark, sf_dir).filter("method = 'baseline'")
-    picked = L.representatives(rows, order="frame_id")
-    return picked.select("mode", "frame_id", round_half_even(F.col("iou")).alias("iou"))
+    rows = _quality(spark, sf_dir).filter("method = 'baseline'").withColumn("iou", round_half_even(F.col("iou")))
+    return L.representatives(rows, order="frame_id").select("mode", "frame_id", "iou")
 
 
 # --- gate scorecards ------------------------------------------------------------------------

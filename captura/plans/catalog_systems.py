@@ -106,17 +106,15 @@ def stream_of(spark, sf_dir, name):
 @query("r01_live_tracker")
 def live_tracker(spark, sf_dir):
     use_rocksdb(spark)
-    items = stream_of(spark, sf_dir, "lineitem")
-    boxes = items.withColumn("cand_id", F.xxhash64(*V.ORDER_IN_FRAME))
-    shaped = V.fixed(V.fixed(boxes.withColumn("ts", F.col("l_shipdate")), {**{a: F.expr(e) for a, e in V.BOX.items()}, "ts": F.col("ts")}),
-                     {**{a: F.expr(e) for a, e in V.CORNERS.items()}, "ts": F.col("ts")})
+    items = stream_of(spark, sf_dir, "lineitem").withColumn("cand_id", F.xxhash64(*V.ORDER_IN_FRAME))
+    boxes = V.fixed(items, {a: F.expr(e) for a, e in V.BOX.items()})
+    shaped = V.fixed(boxes, {a: F.expr(e) for a, e in V.CORNERS.items()})
     from captura.functions.geometry import coordinates_area, quad
 
     xs, ys = ([F.col(f"{axis}{i}") for i in range(4)] for axis in ("x", "y"))
     rows = shaped.select(
         (F.col("frame_id") % 500).alias("video_id"),
         F.col("frame_id").alias("frame_idx"),
-        "ts",
         F.lit(V.FRAME_W).alias("frame_w"),
         F.lit(V.FRAME_H).alias("frame_h"),
         "cand_id",
@@ -133,7 +131,7 @@ def live_tracker(spark, sf_dir):
 def live_similarity(spark, sf_dir):
     use_rocksdb(spark)
     emb = stream_of(spark, sf_dir, "embeddings").selectExpr(
-        "label AS video_id", "vec_id AS frame_idx", "timestamp_seconds(vec_id) AS ts", "embedding AS vec"
+        "label AS video_id", "vec_id AS frame_idx", "embedding AS vec"
     )
     return run_to_table(similarity_stream(emb), _shared_folder(spark))
 

@@ -216,7 +216,7 @@ SQL_CORNERS = (
 def corner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(*ORDER_IN_FRAME, "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy(*ORDER_IN_FRAME)
-    numbered = items.withColumn("cand_id", F.row_number().over(order))
+    numbered = spread(items, "l_orderkey").withColumn("cand_id", F.row_number().over(order))
     boxes = fixed(numbered, {a: F.expr(e) for a, e in BOX.items()})
     return fixed(boxes, {a: F.expr(e) for a, e in CORNERS.items()})
 

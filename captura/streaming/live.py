@@ -1,8 +1,7 @@
 """Live tracker, live similarity and live consensus.
 
 State is a handful of flat fields per capture and lives in the RocksDB store, so
-it survives the loss of an executor. A watermark on capture time drops frames
-that arrive too late, and a timer forgets captures that went quiet.
+it survives the loss of an executor. It expires when a capture stays quiet.
 """
 
 from collections.abc import Iterator
@@ -17,7 +16,7 @@ from captura.functions import geometry as G
 from captura.functions.polygons import flat
 from captura.operators.candidates import _best
 from captura.operators.temporal import CONSISTENCY_THRESHOLD
-from captura.operators.tracking import RESULT_SCHEMA, TrackerConfig, TrackState, frame_step
+from captura.operators.tracking import RESULT_SCHEMA, FrameRows, TrackerConfig, TrackState
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,9 +45,12 @@ class LiveTracker(StatefulProcessor):
             quad, area, aspect, lost = self.track.get()
             state = TrackState(tuple(quad) if quad is not None and len(quad) == 8 else None, area, aspect, lost)
         out = []
-        for frame, group in pdf.groupby("frame_idx", sort=True):
-            state, result = frame_step(state, group, self.cfg)
-            out.append((key[0], frame, *result))
+        frames = pdf["frame_idx"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1], True])
+        batch = FrameRows(pdf.reset_index(drop=True))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            state, result = batch.step(state, a, b, self.cfg)
+            out.append((key[0], frames[a], *result))
         self.track.update((list(state.quad or []), state.area, state.aspect, state.lost))
         columns = ["video_id", "frame_idx", *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]]
         yield pd.DataFrame(out, columns=columns)
@@ -57,14 +59,14 @@ class LiveTracker(StatefulProcessor):
         pass
 
 
-def track_stream(rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), late: str = "1 minute", idle_ms: int = 600_000) -> DataFrame:
+def track_stream(rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_ms: int = 600_000) -> DataFrame:
     """Tracked detections from a stream of candidate rows.
 
-    Rows carry ``video_id, frame_idx, ts, frame_w, frame_h, cand_id, corners, area,
+    Rows carry ``video_id, frame_idx, frame_w, frame_h, cand_id, corners, area,
     aspect_ratio, static_score``; a frame without candidates has one row with NULL
     ``cand_id``. All rows of a frame must arrive in one micro-batch.
     """
-    prepared = rows.withWatermark("ts", late).select(
+    prepared = rows.select(
         "video_id",
         "frame_idx",
         "frame_w",
@@ -113,9 +115,9 @@ class LiveSimilarity(StatefulProcessor):
         pass
 
 
-def similarity_stream(emb: DataFrame, threshold: float = CONSISTENCY_THRESHOLD, late: str = "1 minute", idle_ms: int = 600_000) -> DataFrame:
-    """Consecutive similarities and anomaly flags from a stream of ``video_id, frame_idx, ts, vec``."""
-    kept = emb.withWatermark("ts", late).filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
+def similarity_stream(emb: DataFrame, threshold: float = CONSISTENCY_THRESHOLD, idle_ms: int = 600_000) -> DataFrame:
+    """Consecutive similarities and anomaly flags from a stream of ``video_id, frame_idx, vec``."""
+    kept = emb.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
     slim = kept.select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("vec").cast("array<double>").alias("vec"))
     kind = dict(emb.dtypes)["video_id"]
     return slim.groupBy("video_id").transformWithStateInPandas(
