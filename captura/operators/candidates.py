@@ -91,39 +91,43 @@ def _nest_pairs(ids, areas, quads, inner, outer):
     return parent, np.bincount(outer, minlength=len(ids))
 
 
+def _tile_pairs(n: int, m: int, shapes: dict):
+    """Ordered candidate pairs of a tile: all i != j of one side, or both directions across sides."""
+    if (n, m) not in shapes:
+        if m:
+            i, j = np.meshgrid(np.arange(n), np.arange(n, n + m), indexing="ij")
+            shapes[n, m] = np.r_[i.ravel(), j.ravel()], np.r_[j.ravel(), i.ravel()]
+        else:
+            shapes[n, m] = np.nonzero(~np.eye(n, dtype=bool))
+    return shapes[n, m]
+
+
 def _nest_tiles(batches, keys, budget: int = 200_000):
     """Find nested candidates in packed tiles; only candidates with a finding leave."""
     for pdf in batches:
+        shapes: dict = {}
+        sizes = [(len(a), len(b)) for a, b in zip(pdf["left_id"], pdf["right_id"])]
         start = 0
         while start < len(pdf):
-            ids, areas, quads, owners, inner, outer = [], [], [], [], [], []
-            base = pairs = 0
-            row = start
-            while row < len(pdf) and (row == start or pairs < budget):
-                left, right = pdf["left"].iat[row], pdf["right"].iat[row]
-                n, m = len(left), len(right)
-                for item in (*left, *right):
-                    ids.append(item["cand_id"])
-                    areas.append(item["area"])
-                    quads.append(item["quad"])
-                owners.extend([row] * (n + m))
-                if m:
-                    i, j = np.meshgrid(np.arange(n), np.arange(n, n + m), indexing="ij")
-                    i, j = np.r_[i.ravel(), j.ravel()], np.r_[j.ravel(), i.ravel()]
-                else:
-                    i, j = np.nonzero(~np.eye(n, dtype=bool))
+            inner, outer, base, pairs, stop = [], [], 0, 0, start
+            while stop < len(pdf) and (stop == start or pairs < budget):
+                n, m = sizes[stop]
+                i, j = _tile_pairs(n, m, shapes)
                 inner.append(i + base)
                 outer.append(j + base)
-                base, pairs, row = base + n + m, pairs + len(i), row + 1
-            start = row
-            ids = np.asarray(ids, dtype=np.int64)
-            shapes = np.asarray(quads, dtype=float).reshape(-1, 4, 2)
-            parent, encloses = _nest_pairs(
-                ids, np.asarray(areas, dtype=float), shapes, np.concatenate(inner), np.concatenate(outer)
+                base, pairs, stop = base + n + m, pairs + len(i), stop + 1
+            part = pdf.iloc[start:stop]
+            joined = lambda c: np.concatenate(
+                [x for pair in zip(part[f"left_{c}"], part[f"right_{c}"]) for x in pair]
             )
+            ids, areas = joined("id").astype(np.int64), joined("area").astype(float)
+            quads = joined("quad").astype(float).reshape(-1, 4, 2)
+            parent, encloses = _nest_pairs(ids, areas, quads, np.concatenate(inner), np.concatenate(outer))
             found = np.flatnonzero((parent >= 0) | (encloses > 0))
-            out = pdf[keys].iloc[np.asarray(owners)[found]].reset_index(drop=True)
+            owners = np.repeat(np.arange(start, stop), [n + m for n, m in sizes[start:stop]])
+            out = pdf[keys].iloc[owners[found]].reset_index(drop=True)
             yield out.assign(cand_id=ids[found], parent=parent[found], encloses=encloses[found])
+            start = stop
 
 
 def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES) -> DataFrame:
@@ -146,7 +150,18 @@ def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES)
             F.collect_list(F.when(~diagonal & (F.col("__block") == F.col("__tj")), entry)).alias("right"),
         )
         .filter((F.size("left") > 1) | (F.size("right") > 0))
-        .select(*keys, "left", "right")
+        .select(
+            *keys,
+            *[
+                c
+                for side in ("left", "right")
+                for c in (
+                    F.col(f"{side}.cand_id").alias(f"{side}_id"),
+                    F.col(f"{side}.area").alias(f"{side}_area"),
+                    F.flatten(F.col(f"{side}.quad")).alias(f"{side}_quad"),
+                )
+            ],
+        )
     )
     types = dict(candidates.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", cand_id {types['cand_id']}, parent bigint, encloses bigint"
