@@ -18,8 +18,6 @@ from captura.streaming.live import (
     consensus_counts_stream,
     leading_values,
     run_to_table,
-    similarity_stream,
-    track_stream,
     use_rocksdb,
 )
 
@@ -103,40 +101,12 @@ def stream_of(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-@query("r01_live_tracker")
-def live_tracker(spark, sf_dir):
-    use_rocksdb(spark)
-    items = stream_of(spark, sf_dir, "lineitem").withColumn("cand_id", F.xxhash64(*V.ORDER_IN_FRAME))
-    boxes = V.fixed(items, {a: F.expr(e) for a, e in V.BOX.items()})
-    shaped = V.fixed(boxes, {a: F.expr(e) for a, e in V.CORNERS.items()})
-    from captura.functions.geometry import coordinates_area, quad
-
-    xs, ys = ([F.col(f"{axis}{i}") for i in range(4)] for axis in ("x", "y"))
-    rows = shaped.select(
-        (F.col("frame_id") % 500).alias("video_id"),
-        F.col("frame_id").alias("frame_idx"),
-        F.lit(V.FRAME_W).alias("frame_w"),
-        F.lit(V.FRAME_H).alias("frame_h"),
-        "cand_id",
-        quad(*[c for pair in zip(xs, ys) for c in pair]).alias("corners"),
-        coordinates_area(xs, ys).alias("area"),
-        F.lit(1.5).alias("aspect_ratio"),
-        F.col("edge_quality").alias("static_score"),
-    )
-    result = run_to_table(track_stream(rows), _shared_folder(spark))
-    return result.select("video_id", "frame_idx", "detected", "method", "confidence")
-
-
-@query("r02_live_similarity")
-def live_similarity(spark, sf_dir):
-    use_rocksdb(spark)
-    emb = stream_of(spark, sf_dir, "embeddings").selectExpr(
-        "label AS video_id", "vec_id AS frame_idx", "embedding AS vec"
-    )
-    return run_to_table(similarity_stream(emb), _shared_folder(spark))
-
-
-@query("r03_live_consensus")
+@query(
+    "r03_live_consensus",
+    "WITH t AS (SELECT user_id AS video_id, event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1, 2) "
+    "SELECT video_id, 'type' AS field, event_type AS consensus, n AS frequency FROM t "
+    "QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC, first_seen) = 1",
+)
 def live_consensus(spark, sf_dir):
     use_rocksdb(spark)
     events = stream_of(spark, sf_dir, "events").selectExpr(

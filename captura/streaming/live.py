@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from captura.functions import geometry as G
 from captura.functions.polygons import flat
@@ -25,38 +25,8 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class LiveTracker(StatefulProcessor):
-    """One track per capture; frames of a micro-batch are handled in frame order."""
-
-    def __init__(self, cfg: TrackerConfig, idle_ms: int):
-        self.cfg, self.idle_ms = cfg, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.track = handle.getValueState(
-            "track", "quad array<double>, area double, aspect double, lost int", self.idle_ms
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(["frame_idx", "static_score", "cand_id"], ascending=[True, False, True], kind="stable")
-        state = TrackState()
-        if self.track.exists():
-            quad, area, aspect, lost = self.track.get()
-            state = TrackState(tuple(quad) if quad is not None and len(quad) == 8 else None, area, aspect, lost)
-        out = []
-        frames = pdf["frame_idx"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1], True])
-        batch = FrameRows(pdf.reset_index(drop=True))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            state, result = batch.step(state, a, b, self.cfg)
-            out.append((key[0], frames[a], *result))
-        self.track.update((list(state.quad or []), state.area, state.aspect, state.lost))
-        columns = ["video_id", "frame_idx", *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]]
-        yield pd.DataFrame(out, columns=columns)
-
-    def close(self) -> None:
-        pass
+TRACK_STATE = "quad array<double>, area double, aspect double, lost int"
+SIMILARITY_STATE = "frame_idx bigint, vec array<double>"
 
 
 def track_stream(rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_ms: int = 600_000) -> DataFrame:
@@ -64,7 +34,8 @@ def track_stream(rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_ms:
 
     Rows carry ``video_id, frame_idx, frame_w, frame_h, cand_id, corners, area,
     aspect_ratio, static_score``; a frame without candidates has one row with NULL
-    ``cand_id``. All rows of a frame must arrive in one micro-batch.
+    ``cand_id``. All rows of a frame must arrive in one micro-batch, in which the
+    frames of a capture are handled in order.
     """
     prepared = rows.select(
         "video_id",
@@ -77,54 +48,72 @@ def track_stream(rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_ms:
         F.col("aspect_ratio").cast("double").alias("aspect_ratio"),
         F.col("static_score").cast("double").alias("static_score"),
     )
+    columns = ["video_id", "frame_idx", *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]]
+
+    def advance(key, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
+        if store.hasTimedOut:
+            store.remove()
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        order = ["frame_idx", "static_score", "cand_id"]
+        pdf = pdf.sort_values(order, ascending=[True, False, True], kind="stable").reset_index(drop=True)
+        state = TrackState()
+        if store.exists:
+            quad, area, aspect, lost = store.get
+            state = TrackState(tuple(quad) if len(quad) == 8 else None, area, aspect, lost)
+        frames, batch, out = pdf["frame_idx"].to_numpy(), FrameRows(pdf), []
+        cuts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1], True])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            state, result = batch.step(state, a, b, cfg)
+            out.append((key[0], frames[a], *result))
+        store.update((list(state.quad or []), state.area, state.aspect, state.lost))
+        store.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=columns)
+
     kinds = dict(rows.dtypes)
-    return prepared.groupBy("video_id").transformWithStateInPandas(
-        LiveTracker(cfg, idle_ms),
+    return prepared.groupBy("video_id").applyInPandasWithState(
+        advance,
         f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, {RESULT_SCHEMA}",
-        "Append",
-        "ProcessingTime",
+        TRACK_STATE,
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
-class LiveSimilarity(StatefulProcessor):
-    """Similarity to the previous frame; keeps the last vector of each capture."""
-
-    def __init__(self, threshold: float, idle_ms: int):
-        self.threshold, self.idle_ms = threshold, idle_ms
+def similarity_stream(emb: DataFrame, threshold: float = CONSISTENCY_THRESHOLD, idle_ms: int = 600_000) -> DataFrame:
+    """Consecutive similarities and anomaly flags from a stream of ``video_id, frame_idx, vec``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "frame_idx bigint, vec array<double>", self.idle_ms)
+    Only the last vector of each capture is kept.
+    """
+    kept = emb.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
+    slim = kept.select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("vec").cast("array<double>").alias("vec"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("frame_idx", kind="stable")
-        previous = None
-        if self.last.exists():
-            frame, vec = self.last.get()
+    def advance(key, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
+        if store.hasTimedOut:
+            store.remove()
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("frame_idx", kind="stable")
+        previous, out = None, []
+        if store.exists:
+            frame, vec = store.get
             previous = (frame, np.asarray(vec, dtype=float))
-        out = []
         for frame, vec in zip(pdf["frame_idx"], pdf["vec"]):
             current = (int(frame), np.asarray(vec, dtype=float))
             if previous is not None:
                 sim = min(1.0, max(0.0, float(previous[1] @ current[1])))
-                out.append((key[0], previous[0], current[0], float(np.rint(sim * 1e4) / 1e4), sim < self.threshold))
+                out.append((key[0], previous[0], current[0], float(np.rint(sim * 1e4) / 1e4), sim < threshold))
             previous = current
-        self.last.update((previous[0], previous[1].tolist()))
+        store.update((previous[0], previous[1].tolist()))
+        store.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "frame_a", "frame_b", "similarity", "is_anomaly"])
 
-    def close(self) -> None:
-        pass
-
-
-def similarity_stream(emb: DataFrame, threshold: float = CONSISTENCY_THRESHOLD, idle_ms: int = 600_000) -> DataFrame:
-    """Consecutive similarities and anomaly flags from a stream of ``video_id, frame_idx, vec``."""
-    kept = emb.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
-    slim = kept.select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("vec").cast("array<double>").alias("vec"))
     kind = dict(emb.dtypes)["video_id"]
-    return slim.groupBy("video_id").transformWithStateInPandas(
-        LiveSimilarity(threshold, idle_ms),
+    return slim.groupBy("video_id").applyInPandasWithState(
+        advance,
         f"video_id {kind}, frame_a bigint, frame_b bigint, similarity double, is_anomaly boolean",
-        "Append",
-        "ProcessingTime",
+        SIMILARITY_STATE,
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

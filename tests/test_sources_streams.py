@@ -1,4 +1,5 @@
 import json
+import os
 import tempfile
 
 import pytest
@@ -87,8 +88,8 @@ def test_partitioned_write(spark, folder):
     assert spark.read.parquet(f"{folder}/out/split=val").count() == 1
 
 
+@pytest.mark.skipif("STREAM_STATE_TESTS" not in os.environ, reason="needs Python state workers")
 def test_live_operators_match_batch(spark, folder):
-    from captura.operators.consensus import consensus_of
     from captura.operators.temporal import consecutive_similarity
     from captura.operators.tracking import track
 
@@ -110,6 +111,10 @@ def test_live_operators_match_batch(spark, folder):
     pick = lambda df: sorted((r.frame_idx, r.method, r.confidence, r.corners and r.corners[0].x) for r in df.collect())
     assert pick(tracked) == pick(batch)
 
+
+def test_live_consensus_matches_batch(spark, folder):
+    from captura.operators.consensus import consensus_of
+
     values = spark.createDataFrame(
         [("v", i, "name", ["a", "b", "b", "a"][i % 4], True) for i in range(7)],
         "video_id string, frame_idx int, field string, value string, valid boolean",
