@@ -313,14 +313,14 @@ def first_frames(spark, sf_dir):
 
 @query(
     "q06_exponential_smoothing",
-    "WITH RECURSIVE o AS (SELECT o_custkey AS video_id, o_orderkey AS frame_idx, o_totalprice / 101e0 AS x, "
+    "WITH RECURSIVE o AS (SELECT o_custkey AS video_id, o_orderkey AS frame_idx, sqrt(o_totalprice) AS x, "
     "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders), "
     "s AS (SELECT video_id, frame_idx, p, x AS e FROM o WHERE p = 1 UNION ALL "
     "SELECT o.video_id, o.frame_idx, o.p, 0.7e0 * o.x + 0.3e0 * s.e FROM s JOIN o ON o.video_id = s.video_id AND o.p = s.p + 1) "
     "SELECT video_id, frame_idx, round(e, 4) AS smoothed FROM s",
 )
 def smoothing(spark, sf_dir):
-    frames = V.table(spark, sf_dir, "orders").selectExpr("o_custkey AS video_id", "o_orderkey AS frame_idx", "o_totalprice / 101e0 AS x")
+    frames = V.table(spark, sf_dir, "orders").selectExpr("o_custkey AS video_id", "o_orderkey AS frame_idx", "sqrt(o_totalprice) AS x")
     return ema(frames, "video_id", "frame_idx", "x").select("video_id", "frame_idx", F.round("ema", 4).alias("smoothed"))
 
 

@@ -242,3 +242,19 @@ def test_plugin_failures_are_kept(spark):
     good, bad = map_frames(df, build, "score double")
     assert sorted(r.frame_idx for r in good.collect()) == [i for i in range(10) if i != 3]
     assert [(r.frame_idx, r.reason) for r in bad.collect()] == [(3, "ValueError: bad frame")]
+
+
+def test_smoothing_matches_sequential_fold(spark):
+    from captura.operators.tracking import ema
+
+    rng = np.random.default_rng(11)
+    rows = [(v, int(f), float(x)) for v in ("a", "b") for f, x in zip(np.cumsum(rng.integers(1, 9, 40)), rng.random(40) * 1e5)]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx long, x double")
+    want, state = {}, {}
+    for v, f, x in rows:
+        state[v] = x if v not in state else 0.7 * x + 0.3 * state[v]
+        want[v, f] = state[v]
+    for width in (10, 4096):
+        got = {(r.video_id, r.frame_idx): r.ema for r in ema(df, "video_id", "frame_idx", "x", width=width).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
