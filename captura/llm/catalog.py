@@ -1,12 +1,30 @@
 """The operators applied to the given tables with production parameters."""
 
+from captura.llm import decontaminate, mixing
 from captura.llm.common import table
+from captura.llm.packed_ids import packed_corpus
 from captura.llm.registry import ORACLES, QUERIES, query
 from captura.llm.token_counts import count_tokens
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op5_decontamination", decontaminate.ORACLE)
+def op5_decontamination(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash", "spans")
+
+
+@query("op6_packed_ids")
+def op6_packed_ids(spark, sf_dir):
+    return packed_corpus(table(spark, sf_dir, "documents"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op9_mixing", mixing.ORACLE)
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
