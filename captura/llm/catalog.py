@@ -2,6 +2,7 @@
 
 from captura.llm import decontaminate, mixing
 from captura.llm.common import table
+from captura.llm.jaccard_join import near_duplicates
 from captura.llm.packed_ids import packed_corpus
 from captura.llm.registry import ORACLES, QUERIES, query
 from captura.llm.token_counts import count_tokens
@@ -9,6 +10,11 @@ from captura.llm.token_counts import count_tokens
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "keep")
+
+
 @query("op5_decontamination", decontaminate.ORACLE)
 def op5_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
