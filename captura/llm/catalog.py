@@ -5,6 +5,7 @@ from captura.llm.common import table
 from captura.llm.jaccard_join import near_duplicates
 from captura.llm.packed_ids import packed_corpus
 from captura.llm.registry import ORACLES, QUERIES, query
+from captura.llm.quality_rules import quality_verdicts
 from captura.llm.token_counts import count_tokens
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -15,6 +16,11 @@ def op2_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "keep")
 
 
+@query("op3_quality_outliers")
+def op3_quality_outliers(spark, sf_dir):
+    return quality_verdicts(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @query("op5_decontamination", decontaminate.ORACLE)
 def op5_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -87,3 +87,8 @@ def portions(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterato
             start, used = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Mark a written table for broadcast if its rows are few; a larger one is joined as Spark plans it."""
+    return F.broadcast(df) if df.count() <= limit else df
