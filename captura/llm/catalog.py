@@ -7,6 +7,7 @@ from captura.llm.packed_ids import packed_corpus
 from captura.llm.registry import ORACLES, QUERIES, query
 from captura.llm.quality_rules import quality_verdicts
 from captura.llm.token_counts import count_tokens
+from captura.llm.toxicity import toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -21,6 +22,11 @@ def op3_quality_outliers(spark, sf_dir):
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+@query("op4_toxic_segments")
+def op4_toxic_segments(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_decontamination", decontaminate.ORACLE)
 def op5_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
