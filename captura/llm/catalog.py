@@ -1,8 +1,9 @@
 """The operators applied to the given tables with production parameters."""
 
-from captura.llm import decontaminate, mixing
+from captura.llm import decontaminate, merkle, mixing
 from captura.llm.common import table
 from captura.llm.jaccard_join import near_duplicates
+from captura.llm.lm_scoring import score_texts
 from captura.llm.packed_ids import packed_corpus
 from captura.llm.registry import ORACLES, QUERIES, query
 from captura.llm.quality_rules import quality_verdicts
@@ -12,6 +13,11 @@ from captura.llm.toxicity import toxicity
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_deleted_interpolation")
+def op1_deleted_interpolation(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "keep")
@@ -43,6 +49,11 @@ def op7_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op8_merkle_fixity", merkle.ORACLE)
+def op8_merkle_fixity(spark, sf_dir):
+    return merkle.fixity_report(table(spark, sf_dir, "pages"))
+
+
 @query("op9_mixing", mixing.ORACLE)
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
