@@ -56,4 +56,4 @@ def op8_merkle_fixity(spark, sf_dir):
 
 @query("op9_mixing", mixing.ORACLE)
 def op9_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies", "text_hash")

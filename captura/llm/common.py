@@ -92,3 +92,36 @@ def portions(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterato
 def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """Mark a written table for broadcast if its rows are few; a larger one is joined as Spark plans it."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+KEY_LIMIT = 1_000_000
+
+
+def _on_key(keys: DataFrame) -> tuple[DataFrame, Column]:
+    """A written table of row keys (``doc_id, text_hash``), with the condition that joins it to documents.
+
+    Up to ``KEY_LIMIT`` keys are broadcast, so that texts need no shuffle; more are joined as Spark plans it.
+    """
+    right = small(keys, KEY_LIMIT).select(*[F.col(c).alias(f"__{c}") for c in keys.columns])
+    return right, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_hash"))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents whose id and text are not among the keys."""
+    right, same = _on_key(materialize(keys.select("doc_id", "text_hash").distinct(), "keys"))
+    return docs.join(right, same, "left_anti")
+
+
+def repeated(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Documents as often as their keys say (``doc_id, text_hash, copies``, one row for each document).
+
+    Rows with one id and text are interchangeable: the first stands for their copies together.
+    """
+    totals = counts.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    right, same = _on_key(materialize(totals.filter("copies > 0"), "copies"))
+    joined = docs.join(right, same)
+    if not right.filter("__rows > 1").isEmpty():
+        twins = joined.filter("__rows > 1").dropDuplicates(["doc_id", "text"])
+        joined = joined.filter("__rows = 1").union(twins)
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
+    return joined.select(*[F.col(c) for c in docs.columns], times.alias("__time")).drop("__time")

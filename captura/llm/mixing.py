@@ -44,7 +44,7 @@ def uniform(doc_id: Column, seed: int) -> Column:
 def mix(
     docs: DataFrame, most: float = MOST, cycle: int = 3, seed: int = 17, weight: str | None = None, rounds: int = 8
 ) -> DataFrame:
-    """How many words the mix takes of each document: ``doc_id, source, size, source_size, target, taken, copies``.
+    """How many words the mix takes of each document: ``doc_id, source, size, source_size, target, taken, copies, text_hash``.
 
     A document's expected copies are its source's target over the source's size; with a ``weight`` column
     they are in proportion to it, at most ``most``, with the rest of the source raised in ``rounds`` passes.
@@ -59,7 +59,7 @@ def mix(
     sized = materialize(
         docs.select(
             "doc_id", F.col("source").alias("source"), word_count(F.col("text")).alias("size"), w.alias("w"),
-            uniform(F.col("doc_id"), seed).alias("u"),
+            uniform(F.col("doc_id"), seed).alias("u"), F.xxhash64("text").alias("text_hash"),
         ),
         "sizes",
     )
@@ -100,7 +100,7 @@ def mix(
     copies = (F.col("sure") + F.when(extra, 1).otherwise(0)).cast("int")
     return ranked.select(
         "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"),
-        copies.alias("copies"),
+        copies.alias("copies"), "text_hash",
     )
 
 
