@@ -7,6 +7,7 @@ from captura.llm.lm_scoring import score_texts
 from captura.llm.packed_ids import packed_corpus
 from captura.llm.registry import ORACLES, QUERIES, query
 from captura.llm.quality_rules import quality_verdicts
+from captura.llm.repeats import remove_repeats
 from captura.llm.token_counts import count_tokens
 from captura.llm.toxicity import toxicity
 
@@ -57,3 +58,8 @@ def op8_merkle_fixity(spark, sf_dir):
 @query("op9_mixing", mixing.ORACLE)
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies", "text_hash")
+
+
+@query("op10_repeated_passages")
+def op10_repeated_passages(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
