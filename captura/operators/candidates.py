@@ -5,13 +5,14 @@ optional measurements named in each operator. ``cand_id`` is the input order.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.functions import geometry as G
 from captura.functions.polygons import flat
 from captura.functions.rounding import clamp01, round_half_even
-from captura.operators.grouping import split_by_size, tiles
+from captura.operators.grouping import null_safe, tiles
 
 # --- fixed values ---------------------------------------------------------
 SCORE_WEIGHTS = {
@@ -177,7 +178,7 @@ def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES)
             F.sum("encloses").cast("int").alias("encloses_count"),
         )
     )
-    joined = candidates.join(found, [*keys, "cand_id"], "left")
+    joined = null_safe(candidates, found, [*keys, "cand_id"])
     return joined.withColumns(
         {
             "is_nested": F.col("nested_parent_idx").isNotNull(),
@@ -269,32 +270,34 @@ def _scan_duplicates(batches, keys, iou):
     Only the kept boxes of the current frame stay in memory. Kept boxes overlap
     little, so their number is limited by the frame, not by the input.
     """
-    current, kept = None, []
-    for pdf in batches:
-        flags = []
-        for key, box in zip(zip(*[pdf[k] for k in keys]), pdf["bbox"]):
+    current, kept = None, np.zeros((0, 5))
+    for batch in batches:
+        rows = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+        boxes = np.array(batch.column("bbox").to_pylist(), dtype=float).reshape(-1, 4)
+        areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+        flags = np.zeros(len(rows), bool)
+        for n, key in enumerate(rows):
             if key != current:
-                current, kept = key, []
-            x1, y1, x2, y2 = (int(v) for v in box)
-            area, duplicate = (x2 - x1) * (y2 - y1), False
-            for kx1, ky1, kx2, ky2, karea in kept:
-                inter = max(0, min(x2, kx2) - max(x1, kx1)) * max(0, min(y2, ky2) - max(y1, ky1))
-                union = area + karea - inter
-                if union > 0 and inter / union > iou:
-                    duplicate = True
-                    break
-            if not duplicate:
-                kept.append((x1, y1, x2, y2, area))
-            flags.append(not duplicate)
-        yield pdf[flags][[*keys, "cand_id"]]
-
-
-def nms(candidates: DataFrame, iou: float = DUPLICATE_IOU, keys=FRAME, group_limit: int = 256) -> DataFrame:
+                current, kept = key, kept[:0]
+            box, area = boxes[n], areas[n]
+            if len(kept):
+                width = np.minimum(box[2], kept[:, 2]) - np.maximum(box[0], kept[:, 0])
+                height = np.minimum(box[3], kept[:, 3]) - np.maximum(box[1], kept[:, 1])
+                inter = np.maximum(width, 0) * np.maximum(height, 0)
+                union = area + kept[:, 4] - inter
+                if (inter / np.where(union > 0, union, np.inf) > iou).any():
+                    continue
+            kept = np.vstack([kept, [*box, area]])
+            flags[n] = True
+        yield batch.select([*keys, "cand_id"]).filter(pa.array(flags))
+
+
+def nms(candidates: DataFrame, iou: float = DUPLICATE_IOU, keys=FRAME) -> DataFrame:
     """Greedy de-duplication by confidence: drop a box that overlaps a kept one too much.
 
     Boxes with equal coordinates share their fate with the best of them, so only
-    that one is considered. Frames up to ``group_limit`` distinct boxes fold over
-    an array; larger ones are scanned in rank order with carried state.
+    that one is considered. Frames are scanned in rank order with the kept boxes
+    as the only state, whatever their size.
     """
     keys = list(keys)
     order = F.struct((-F.col("confidence")).alias("rank"), F.col("cand_id"))
@@ -303,35 +306,16 @@ def nms(candidates: DataFrame, iou: float = DUPLICATE_IOU, keys=FRAME, group_lim
     )
     slim = candidates.select(*keys, "bbox", order.alias("o"), F.when(degenerate, F.col("cand_id")).alias("flat"))
     distinct = slim.groupBy(*keys, "bbox", "flat").agg(F.min("o").alias("o")).drop("flat")
-    small, large = split_by_size(distinct, keys, group_limit)
+    types = dict(candidates.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "cand_id"])
+
+    def scan(batches):
+        return _scan_duplicates(batches, keys, iou)
+
     survivors = (
-        small.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("o", "bbox"))).alias("ranked"))
-        .select(
-            *keys,
-            F.aggregate(
-                "ranked",
-                F.slice("ranked", 1, 0),
-                lambda acc, c: F.when(
-                    F.exists(acc, lambda k: G.bbox_iou(c["bbox"], k["bbox"]) > iou), acc
-                ).otherwise(F.concat(acc, F.array(c))),
-            ).alias("kept"),
-        )
-        .select(*keys, F.explode("kept").alias("k"))
-        .select(*keys, F.col("k.o.cand_id").alias("cand_id"))
+        distinct.select(*keys, F.col("o.rank").alias("rank"), F.col("o.cand_id").alias("cand_id"), "bbox")
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "rank", "cand_id")
+        .mapInArrow(scan, schema)
     )
-    if large is not None:
-        types = dict(candidates.dtypes)
-        schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "cand_id"])
-
-        def scan(batches):
-            return _scan_duplicates(batches, keys, iou)
-
-        scanned = (
-            large.select(*keys, F.col("o.rank").alias("rank"), F.col("o.cand_id").alias("cand_id"), "bbox")
-            .repartition(*keys)
-            .sortWithinPartitions(*keys, "rank", "cand_id")
-            .mapInPandas(scan, schema)
-        )
-        survivors = survivors.unionByName(scanned)
-    return candidates.join(survivors, [*keys, "cand_id"], "left_semi")
+    return null_safe(candidates, survivors, [*keys, "cand_id"], "left_semi")

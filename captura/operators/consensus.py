@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 
 from captura.functions.rounding import mean_fixed, round_half_even, to_fixed
 from captura.functions.text import KEY_FIELDS, strip
-from captura.operators.grouping import split_by_size
+from captura.operators.grouping import null_safe
 from captura.operators.similarity import mean_ordered_similarity
 
-GROUP_LIMIT = 2048
 STABLE = 0.85
 PROBLEMATIC = 0.70
 
@@ -55,28 +54,13 @@ def field_consensus(
     key: str = "video_id",
     order: str = "frame_idx",
     metric: str = "ratio",
-    group_limit: int = GROUP_LIMIT,
-    counted: DataFrame | None = None,
     **tuning,
 ) -> DataFrame:
-    """One row per capture and field: consensus, frequency, presence, validity, consistency.
-
-    Captures with more than ``group_limit`` frames are compared in value tiles.
-    ``counted`` may list the frames of each capture, to size captures cheaply.
-    """
+    """One row per capture and field: consensus, frequency, presence, validity, consistency."""
     long = field_values(extractions, fields, key, order)
     agreed = consensus_of(long, key, order)
-    small, large = split_by_size(extractions, [key], group_limit, counted)
-    pairwise = mean_ordered_similarity(
-        field_values(small, fields, key, order),
-        None if large is None else field_values(large, fields, key, order),
-        [key, "field"],
-        order,
-        "value",
-        metric,
-        **tuning,
-    )
-    joined = agreed.join(pairwise, [key, "field"], "left")
+    pairwise = mean_ordered_similarity(long, [key, "field"], order, "value", metric, **tuning)
+    joined = null_safe(agreed, pairwise, [key, "field"])
     return joined.select(
         key,
         "field",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from captura.functions.paths import stem
 from captura.functions.rounding import ratio_or_zero, round_half_even
-from captura.operators.grouping import percentiles, positions, running_sum, text_bucket, unit_bucket
+from captura.operators.grouping import null_safe, percentiles, positions, running_sum, text_bucket, unit_bucket
 
 
 def _harmonic(p: Column, r: Column) -> Column:
@@ -51,7 +51,7 @@ def binary_metrics(pred: DataFrame, by=(), with_auc: bool = True) -> DataFrame:
         return out
     auc = roc_auc(pred, by)
     if by:
-        return out.join(auc, by, "left")
+        return null_safe(out, auc, by)
     # One row on both sides: an aggregate without grouping always returns exactly one.
     return out.withColumn("__one", F.lit(1)).join(auc.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
 
@@ -206,7 +206,7 @@ def score_stats(pred: DataFrame, by=(), value: str = "y_score", lo: float = 0.0,
     wanted = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
     ranks = percentiles(pred, by, value, wanted, lo, hi)
     if by:
-        return plain.join(ranks, by, "left")
+        return null_safe(plain, ranks, by)
     return plain.withColumn("__one", F.lit(1)).join(ranks.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 

@@ -130,62 +130,40 @@ def percentiles(df: DataFrame, by, value: str, wanted: dict, lo: float = 0.0, hi
     return ranked.groupBy(*by).agg(*out)
 
 
-def by_hash(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash rows into the configured number of shuffle partitions.
-
-    Adaptive execution merges partitions by bytes. Python work on small rows is
-    bound by time instead, so its input keeps the configured parallelism.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 def group_counts(df: DataFrame, by, name: str = "__n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
 
-def largest_group(df: DataFrame, by) -> int:
-    """Size check before a plan is chosen: one small job that reads the key columns only."""
-    return group_counts(df, by).agg(F.max("__n")).first()[0] or 0
-
-
-def split_by_size(df: DataFrame, by, limit: int, counted: DataFrame | None = None):
-    """Rows of groups with at most ``limit`` rows, and rows of larger groups (None if there are none).
-
-    ``counted`` may give a cheaper table with the same number of rows per group.
-    Only the keys of the larger groups are joined. The optimizer moves the semi and
-    anti joins below projections, so split before filtering or exploding.
-    """
-    by = list(by)
-    counted = df if counted is None else counted
-    if largest_group(counted, by) <= limit:
-        return df, None
-    large_keys = group_counts(counted, by).filter(F.col("__n") > limit).select(*by)
-    return df.join(large_keys, by, "left_anti"), df.join(large_keys, by, "left_semi")
-
-
 def tiles(df: DataFrame, by, item, size: int) -> DataFrame:
     """Spread each group over block pairs of about ``size`` rows per side.
 
     Adds ``__ti``, ``__tj`` (tile) and ``__block`` (the side a row is on). A group
-    of at most ``size`` rows is one tile; when the size check finds no larger group
-    that is the whole plan. A larger group is hashed into blocks and every unordered
-    pair of blocks becomes a tile of its own, so all pairs are visited without ever
-    holding the group or listing its pairs.
+    of at most ``size`` rows is one tile. A larger group is hashed into blocks and
+    every unordered pair of blocks becomes a tile of its own, so all pairs are
+    visited without ever holding the group or listing its pairs. Only larger
+    groups are joined back, on a struct key that also matches NULL; the plan is
+    the same at every size and nothing runs while it is built.
     """
-    by = list(by)
-    if largest_group(df, by) <= size:
-        zero = F.lit(0)
-        return by_hash(df, *by).withColumns({"__ti": zero, "__tj": zero, "__block": zero})
-    sized = df.join(group_counts(df, by), by)
+    keyed = _with_key(df, list(by))
     blocks = F.ceil(F.col("__n") / F.lit(size)).cast("int")
-    spread = sized.withColumn("__blocks", blocks).withColumn(
-        "__block", F.pmod(F.xxhash64(*item), F.col("__blocks")).cast("int")
-    )
+    large = group_counts(keyed, [_KEY]).filter(F.col("__n") > size).select(_KEY, blocks.alias("__blocks"))
+    spread = keyed.join(large, _KEY, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    spread = spread.withColumn("__block", F.pmod(F.xxhash64(*item), F.col("__blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     return (
         spread.withColumn("__other", other)
         .withColumn("__ti", F.least("__block", "__other"))
         .withColumn("__tj", F.greatest("__block", "__other"))
-        .drop("__n", "__blocks", "__other")
+        .drop(_KEY, "__blocks", "__other")
         .repartition(*by, "__ti", "__tj")
     )
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the right side's keys are dropped."""
+    keys = list(keys)
+    other = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(other, same, how).drop(*[f"__r_{k}" for k in keys])

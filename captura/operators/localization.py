@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from captura.functions.geometry import measure_agreement
 from captura.functions.rounding import ratio_or_zero, round_half_even
-from captura.operators.grouping import percentiles
+from captura.operators.grouping import null_safe, percentiles
 
 OVERALL = "overall"
 GOOD_IOU = 0.85
@@ -63,7 +63,7 @@ def localization_metrics(
     )
     iou_median = percentiles(rows, groups, "__iou", {"median_iou": 0.5})
     error_median = percentiles(rows, groups, "mean_corner_error", {"median_error": 0.5}, 0.0, error_scale)
-    joined = plain.join(iou_median, groups, "left").join(error_median, groups, "left")
+    joined = null_safe(null_safe(plain, iou_median, groups), error_median, groups)
     zero = lambda c, d: F.coalesce(round_half_even(F.col(c), d), F.lit(0.0))
     return joined.select(
         *groups,
@@ -144,7 +144,7 @@ def gate_scorecard(
     )
     iou_median = percentiles(rows, groups, "iou", {"median_iou": 0.5})
     error_median = percentiles(rows, groups, "error", {"median_error": 0.5}, 0.0, error_scale)
-    joined = plain.join(iou_median, groups, "left").join(error_median, groups, "left")
+    joined = null_safe(null_safe(plain, iou_median, groups), error_median, groups)
     rate = round_half_even(ratio_or_zero(F.col("invocations"), F.col("frames")))
     zero = lambda c, d: F.coalesce(round_half_even(F.col(c), d), F.lit(0.0))
     return joined.select(

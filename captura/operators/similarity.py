@@ -1,19 +1,19 @@
 """Mean similarity over all ordered frame pairs of a field, without listing the pairs.
 
-Similarity only looks at the canonical form of a value, so frames that agree
-collapse before anything is compared. Groups of bounded size travel as one array;
-larger ones go through value tiles.
+Similarity only looks at the canonical form of a value. Distinct values are cut into
+tiles, and each tile streams its frames in order.
 """
 
 from difflib import SequenceMatcher
-from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.functions.text import alphanumeric, canonical, levenshtein_similarity, strip
-from captura.operators.grouping import by_hash, index_bucket, running_sum, tiles
+from captura.operators.grouping import tiles
 
 TILE_VALUES = 128
 
@@ -70,121 +70,69 @@ def string_similarity(pairs: DataFrame, a: str, b: str, metric: str = "ratio", n
     return joined.withColumn(name, F.coalesce("__known", "__ratio")).drop("__a", "__b", "__known", "__ratio")
 
 
-def _sequence_mean(values, metric: str) -> float:
-    """Mean similarity over i < j of a bounded sequence of canonical values."""
-    seen: dict = {}
-    ahead: dict = {}
-    for value in values:
-        for earlier, count in seen.items():
-            ahead[(earlier, value)] = ahead.get((earlier, value), 0) + count
-        seen[value] = seen.get(value, 0) + 1
-    n = len(values)
-    total = sum(count * canonical_similarity(a, b, metric) for (a, b), count in sorted(ahead.items()))
-    return total / (n * (n - 1) / 2)
-
-
-def _small_groups(occurrences: DataFrame, keys, metric: str) -> DataFrame:
-    packed = (
-        by_hash(occurrences, *keys)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("__f", "__c"))).alias("__seq"))
-        .withColumn("__seq", F.transform("__seq", lambda s: s["__c"]))
-    )
-    differing = F.when(F.size(F.array_distinct("__seq")) > 1, F.col("__seq"))
+def _stream_tiles(batches, keys, metric: str):
+    """Similarity sums over frame pairs of value tiles, from rows sorted by tile and frame.
 
-    @F.pandas_udf("double")
-    def sequence_mean(seqs: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else _sequence_mean(s, metric) for s in seqs], dtype="float64")
-
-    return packed.select(*keys, F.coalesce(sequence_mean(differing), F.lit(1.0)).alias("mean_similarity"))
-
-
-def _compare_tile(batches, metric: str):
-    """Similarity sums of value tiles and the pairs whose two directions differ."""
-    for pdf in batches:
-        rows = []
-        for group, left, right, diagonal in zip(pdf["__g"], pdf["__left"], pdf["__right"], pdf["__diagonal"]):
-            base, uneven = 0.0, []
-            for i, x in enumerate(left):
-                for y in left[i + 1 :] if diagonal else right:
-                    a, b = sorted((x["v"], y["v"]))
-                    back = canonical_similarity(b, a, metric)
-                    base += x["n"] * y["n"] * back
-                    gap = canonical_similarity(a, b, metric) - back
-                    if gap:
-                        uneven.append({"a": a, "b": b, "gap": gap})
-            rows.append((group, base, uneven))
-        yield pd.DataFrame(rows, columns=["__g", "base", "uneven"])
-
-
-def _large_groups(occurrences: DataFrame, keys, metric: str, tile_values: int, width: int) -> DataFrame:
-    """Exact mean for groups of any size.
-
-    For distinct values a < b occurring n_a and n_b times, with N frames pairs in
-    which a comes first, the pair adds ``n_a n_b s(b,a) + N (s(a,b) - s(b,a))``.
-    The first part needs counts only and is summed inside value tiles. N is needed
-    just for pairs whose two directions differ and comes from a running count.
+    Per tile only a count and a similarity column per value are kept. A frame adds the
+    similarity of every earlier value to its own, times that value's running count.
     """
-    counts = occurrences.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__m"))
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("__m").alias("n"), F.sum(F.col("__m") * (F.col("__m") - 1) / 2).alias("same")
-    )
-    tiled = tiles(counts.withColumn("__g", F.struct(*keys)), ["__g"], ["__c"], tile_values)
-    entry = F.struct(F.col("__c").alias("v"), F.col("__m").alias("n"))
-    diagonal = F.col("__ti") == F.col("__tj")
-    packed = (
-        tiled.groupBy("__g", "__ti", "__tj")
-        .agg(
-            F.collect_list(F.when(F.col("__block") == F.col("__ti"), entry)).alias("__left"),
-            F.collect_list(F.when(~diagonal & (F.col("__block") == F.col("__tj")), entry)).alias("__right"),
+    current, total, values, counts, sides, columns = None, 0.0, {}, [], [], {}
+
+    def row():
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([v], k) for v, k in zip(current, kinds)], pa.array([total], pa.float64())], [*keys, "total"]
         )
-        .select(F.to_json("__g").alias("__g"), "__left", "__right", diagonal.alias("__diagonal"))
-    )
-    compared = packed.mapInPandas(
-        partial(_compare_tile, metric=metric),
-        "__g string, base double, uneven array<struct<a:string,b:string,gap:double>>",
-    )
-    bases = compared.groupBy("__g").agg(F.sum("base").alias("base"))
-    uneven = compared.select("__g", F.explode("uneven").alias("p")).select("__g", "p.a", "p.b", "p.gap")
-    seen = occurrences.select(F.to_json(F.struct(*keys)).alias("__g"), "__f", "__c")
-    first = uneven.join(seen.withColumnRenamed("__c", "a"), ["__g", "a"]).withColumn("__is_a", F.lit(1))
-    second = uneven.join(seen.withColumnRenamed("__c", "b"), ["__g", "b"]).withColumn("__is_a", F.lit(0))
-    timeline = first.unionByName(second)
-    ahead = running_sum(timeline, ["__g", "a", "b"], ["__f"], {"__before": "__is_a"}, index_bucket("__f", width))
-    extra = (
-        ahead.filter("__is_a = 0").groupBy("__g").agg(F.sum(F.col("__before") * F.col("gap")).alias("extra"))
-    )
-    total = F.col("same") + F.coalesce("base", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))
-    return (
-        sizes.withColumn("__g", F.to_json(F.struct(*keys)))
-        .join(bases, "__g", "left")
-        .join(extra, "__g", "left")
-        .select(*keys, (total / (F.col("n") * (F.col("n") - 1) / 2)).alias("mean_similarity"))
-    )
+
+    for batch in batches:
+        kinds = [batch.schema.field(k).type for k in keys]
+        groups = zip(*[batch.column(k).to_pylist() for k in [*keys, "__ti", "__tj"]])
+        for key, value, block in zip(groups, batch.column("__c").to_pylist(), batch.column("__block").to_pylist()):
+            if key != current:
+                if current is not None:
+                    yield row()
+                current, total, values, counts, sides, columns = key, 0.0, {}, [], [], {}
+            code = values.setdefault(value, len(values))
+            if code == len(counts):
+                counts.append(0)
+                sides.append(block)
+            known = columns.setdefault(code, [])
+            across = key[-1] != key[-2]
+            for earlier in list(values)[len(known) :]:
+                use = not across or sides[values[earlier]] != block
+                known.append(canonical_similarity(earlier, value, metric) if use else 0.0)
+            total += float(np.dot(counts, known))
+            counts[code] += 1
+    if current is not None:
+        yield row()
 
 
 def mean_ordered_similarity(
-    small: DataFrame,
-    large: DataFrame | None,
-    keys,
-    order: str,
-    value: str,
-    metric: str = "ratio",
-    tile_values: int = TILE_VALUES,
-    width: int = 4096,
+    rows: DataFrame, keys, order: str, value: str, metric: str = "ratio", tile_values: int = TILE_VALUES
 ) -> DataFrame:
-    """Mean similarity over all frame pairs of each group; blanks are left out, one value gives 1.0.
+    """Mean similarity over all frame pairs of each group, the earlier frame first; blanks are left out.
 
-    ``small`` holds the groups that fit into one array and ``large`` all others
-    (see :func:`captura.operators.grouping.split_by_size`). Both give exact means.
+    Groups with at most one distinct value give 1.0. The distinct values of other groups are cut into tiles;
+    a tile sees the frames with its values in order and leaves one sum, so no pair of frames or values
+    is ever listed. NULL keys are groups of their own.
     """
     keys = list(keys)
-
-    def occurrences(rows: DataFrame) -> DataFrame:
-        filled = rows.filter(F.col(value).isNotNull() & (strip(F.col(value)) != ""))
-        return filled.select(*keys, F.col(order).alias("__f"), canonical(F.col(value)).alias("__c"))
-
-    means = _small_groups(occurrences(small), keys, metric)
-    if large is None:
-        return means
-    return means.unionByName(_large_groups(occurrences(large), keys, metric, tile_values, width))
+    filled = rows.filter(F.col(value).isNotNull() & (strip(F.col(value)) != ""))
+    seen = filled.select(F.struct(*keys).alias("__g"), F.col(order).alias("__f"), canonical(F.col(value)).alias("__c"))
+    counts = seen.groupBy("__g", "__c").agg(F.count(F.lit(1)).alias("__m"))
+    sizes = counts.groupBy("__g").agg(F.sum("__m").alias("n"), F.count(F.lit(1)).alias("d"))
+    several = counts.join(sizes.filter("d > 1").select("__g"), "__g", "left_semi").select("__g", "__c")
+    placed = tiles(several, ["__g"], ["__c"], tile_values)
+    dealt = seen.join(placed, ["__g", "__c"]).repartition("__g", "__ti", "__tj")
+    ordered = dealt.sortWithinPartitions("__g", "__ti", "__tj", "__f", "__c")
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", total double"
+
+    def search(batches):
+        return _stream_tiles(batches, keys, metric)
+
+    sums = ordered.select(*[F.col(f"__g.{k}").alias(k) for k in keys], "__ti", "__tj", "__block", "__c").mapInArrow(search, schema)
+    totals = sums.groupBy(F.struct(*keys).alias("__g")).agg(F.sum("total").alias("total"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    mean = F.when(F.col("total").isNotNull(), F.col("total") / F.greatest(pairs, F.lit(1)))
+    joined = sizes.join(totals, "__g", "left")
+    return joined.select(*[F.col(f"__g.{k}").alias(k) for k in keys], F.coalesce(mean, F.lit(1.0)).alias("mean_similarity"))

@@ -16,16 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all cores when the input has fewer files than that.
-
-    A file with one row group is one task however costly the work on its rows is.
-    Inputs with enough files are left alone, so large tables see no extra shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
-
 def fixed(df: DataFrame, columns: dict) -> DataFrame:
     """Rows of derived columns that later steps use by reference, as if read from a table.
 
@@ -83,7 +73,7 @@ SQL_TEXT = (
 
 def frame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    orders = spread(orders.select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+    orders = orders.select("o_custkey", "o_orderkey")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
     return _select(_select(joined, TEXT_KEYS), TEXT_LINES)
 
@@ -216,7 +206,7 @@ SQL_CORNERS = (
 def corner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(*ORDER_IN_FRAME, "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy(*ORDER_IN_FRAME)
-    numbered = spread(items, "l_orderkey").withColumn("cand_id", F.row_number().over(order))
+    numbered = items.withColumn("cand_id", F.row_number().over(order))
     boxes = fixed(numbered, {a: F.expr(e) for a, e in BOX.items()})
     return fixed(boxes, {a: F.expr(e) for a, e in CORNERS.items()})
 

@@ -93,7 +93,7 @@ def tree_samples(files: DataFrame, root: str) -> DataFrame:
 
 
 def flat_samples(files: DataFrame, root: str, real_subdir: str = "REAL", attacked_subdir: str = "ATTACKED") -> DataFrame:
-    """Samples of a dataset with one directory per class, sorted by path."""
+    """Samples of a dataset with one directory per class; sort where they are written."""
     base = "^" + root.rstrip("/").replace(".", r"\.") + "/"
     top = F.get(F.split(F.regexp_replace("path", base, ""), "/"), F.lit(0))
     cls = F.when(top == real_subdir, F.lit("REAL")).when(top == attacked_subdir, F.lit("ATTACKED"))
@@ -102,7 +102,6 @@ def flat_samples(files: DataFrame, root: str, real_subdir: str = "REAL", attacke
         .withColumn("class_name", cls)
         .filter(F.col("class_name").isNotNull())
         .select("path", lookup(F.col("class_name"), CLASS_LABELS).alias("label"), "class_name", doc_id(F.col("path")).alias("doc_id"))
-        .orderBy("label", "path")
     )
 
 

@@ -9,7 +9,6 @@ from captura.functions import scores as S
 from captura.functions import text as T
 from captura.operators.consensus import field_consensus, text_consistency
 from captura.operators.fusion import assess, fuse
-from captura.operators.grouping import split_by_size
 from captura.operators.ocr import parse_fields
 from captura.operators.similarity import mean_ordered_similarity, string_similarity
 
@@ -98,21 +97,21 @@ def _brute(values):
     return sum(sim(a, b) for a, b in pairs) / len(pairs) if pairs else 1.0
 
 
-def test_value_tiles_match_brute_force(spark):
-    """The path for very large captures gives the same mean as listing all pairs."""
-    words = ["tide", "diet", "edit ", "tied", "DIET", "die-t", "tidy", "dit", "xyz", "abcab", "babca"]
+@pytest.mark.parametrize("tile", [2, 10_000])
+@pytest.mark.parametrize("frame", [lambda i: i * 7, lambda i: f"f{i:04d}"])
+def test_value_tiles_match_brute_force(spark, tile, frame):
+    """Tile size, NULL captures, single values and textual frame ids do not change the mean."""
+    words = ["tide", "diet", "edit ", "tied", "DIET", "die-t", "tidy", "dit", "xyz", "abcab", "babca", " ", None]
     values = [words[(i * i + 3 * i) % len(words)] for i in range(60)]
-    rows = [("v", "name", i * 7, w) for i, w in enumerate(values)] + [("w", "name", 0, "one")]
-    df = spark.createDataFrame(rows, "video_id string, field string, frame_idx int, value string")
-    small, large = split_by_size(df, ["video_id"], 10)
-    means = mean_ordered_similarity(small, large, ["video_id", "field"], "frame_idx", "value", tile_values=3, width=50)
+    rows = [(v, "name", frame(i), w) for v in ("v", None) for i, w in enumerate(values)] + [("w", "name", frame(0), "one")]
+    rows += [("x", "name", frame(i), "One" if i == 3 else None) for i in range(6)]
+    kind = "int" if isinstance(frame(0), int) else "string"
+    df = spark.createDataFrame(rows, f"video_id string, field string, frame_idx {kind}, value string").repartition(5)
+    means = mean_ordered_similarity(df, ["video_id", "field"], "frame_idx", "value", tile_values=tile)
     got = {r.video_id: r.mean_similarity for r in means.collect()}
-    assert got["v"] == pytest.approx(_brute(values), abs=1e-12)
-    assert got["w"] == 1.0
-    one, none = split_by_size(df, ["video_id"], 100)
-    assert none is None
-    plain = mean_ordered_similarity(one, none, ["video_id", "field"], "frame_idx", "value")
-    assert {r.video_id: r.mean_similarity for r in plain.collect()}["v"] == pytest.approx(_brute(values), abs=1e-12)
+    want = _brute([v for v in values if v and v.strip()])
+    assert got["v"] == pytest.approx(want, abs=1e-12) and got[None] == pytest.approx(want, abs=1e-12)
+    assert got["w"] == 1.0 and got["x"] == 1.0 and len(got) == 4
 
 
 def test_consensus(spark):
