@@ -5,6 +5,15 @@ from pyspark.sql import functions as F
 
 from captura.functions.rounding import ratio_or_zero, round_half_even
 
+# --- fixed values ---------------------------------------------------------
+TOO_FEW = ("Insufficient {} samples: found ", ", minimum required is {}.")
+EMPTY_SPLIT = "Partitioned dataset has 0 {} samples."
+ONE_GROUP = (
+    "Only ",
+    " unique document group detected. Multiple document/video groups are required to prevent train/test leakage.",
+)
+# --------------------------------------------------------------------------
+
 
 def split_summary(samples: DataFrame, group: str = "doc_id") -> DataFrame:
     """Rows, class counts, documents and share of the total per split."""
@@ -121,7 +130,7 @@ def validate_dataset(samples: DataFrame, by=(), min_per_class: int = 5, partitio
         return _issue(
             F.col(column) < min_per_class,
             F.concat(
-                F.lit(f"Insufficient {name} samples: found "), F.col(column), F.lit(f", minimum required is {min_per_class}.")
+                F.lit(TOO_FEW[0].format(name)), F.col(column), F.lit(TOO_FEW[1].format(min_per_class))
             ),
         )
 
@@ -129,7 +138,7 @@ def validate_dataset(samples: DataFrame, by=(), min_per_class: int = 5, partitio
     if partitioned:
         named = {"train": "training", "val": "validation", "test": "test"}
         issues += [
-            _issue(F.col(f"{s}_count") == 0, F.lit(f"Partitioned dataset has 0 {n} samples.")) for s, n in named.items()
+            _issue(F.col(f"{s}_count") == 0, F.lit(EMPTY_SPLIT.format(n))) for s, n in named.items()
         ]
     issues += [too_few("REAL", "real_count"), too_few("ATTACKED", "attacked_count")]
     if not partitioned:
@@ -137,12 +146,9 @@ def validate_dataset(samples: DataFrame, by=(), min_per_class: int = 5, partitio
             _issue(
                 (F.col("total_count") > 0) & (F.col("unique_groups") < 2),
                 F.concat(
-                    F.lit("Only "),
+                    F.lit(ONE_GROUP[0]),
                     F.col("unique_groups"),
-                    F.lit(
-                        " unique document group detected. Multiple document/video groups "
-                        "are required to prevent train/test leakage."
-                    ),
+                    F.lit(ONE_GROUP[1]),
                 ),
             )
         )

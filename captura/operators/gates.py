@@ -23,6 +23,15 @@ def gate(name, kind, min_static, max_area, min_aspect, min_edge=0.0, compound_ar
 
 
 # --- fixed values ---------------------------------------------------------
+REASON_MISSING = "opencv_not_detected"
+REASON_CONFIDENT = "confident_opencv_candidate"
+REASON_CONTAINER = "encloses_inner_quad_container"
+REASON_CARRIER = "compound_carrier_signature"
+REASON_AREA_REFINED = "carrier_area_exceeded"
+REASON_AREA_STANDARD = "area_ratio_carrier_sheet"
+REASON_ASPECT = "aspect_ratio_deviation"
+REASON_STATIC = "low_static_score"
+REASON_EDGE = "poor_edge_quality"
 STANDARD_GATES = [
     gate("failure_only", "standard", 0.0, 1.0, 0.0, check_container=False),
     gate("conservative", "standard", 0.55, 0.65, 0.45, check_container=False),
@@ -110,33 +119,33 @@ def apply_gates(detections: DataFrame, gates=(DEFAULT_GATE,)) -> DataFrame:
 
     carrier = (area > g("compound_area")) & (aspect < g("compound_aspect"))
     carrier_reason = F.concat(
-        F.lit("compound_carrier_signature (area="), _three(area), F.lit(">"), g("compound_area").cast("string"),
+        F.lit(REASON_CARRIER + " (area="), _three(area), F.lit(">"), g("compound_area").cast("string"),
         F.lit(" and aspect="), _three(aspect), F.lit("<"), g("compound_aspect").cast("string"), F.lit(")"),
     )
-    aspect_reason = below("aspect_ratio_deviation", score, g("min_aspect").cast("string"))
-    nested = F.lit("encloses_inner_quad_container")
-    confident = F.lit("confident_opencv_candidate")
+    aspect_reason = below(REASON_ASPECT, score, g("min_aspect").cast("string"))
+    nested = F.lit(REASON_CONTAINER)
+    confident = F.lit(REASON_CONFIDENT)
     refined = (
-        F.when(area > g("max_area"), exceeded("carrier_area_exceeded", area, g("max_area")))
+        F.when(area > g("max_area"), exceeded(REASON_AREA_REFINED, area, g("max_area")))
         .when(carrier, carrier_reason)
         .when(container, nested)
         .when(score < g("min_aspect"), aspect_reason)
-        .when(static < need_static, below("low_static_score", static, _three(need_static)))
+        .when(static < need_static, below(REASON_STATIC, static, _three(need_static)))
         .otherwise(confident)
     )
     standard = (
-        F.when(static < g("min_static"), below("low_static_score", static, g("min_static").cast("string")))
-        .when(area > g("max_area"), exceeded("area_ratio_carrier_sheet", area, g("max_area")))
+        F.when(static < g("min_static"), below(REASON_STATIC, static, g("min_static").cast("string")))
+        .when(area > g("max_area"), exceeded(REASON_AREA_STANDARD, area, g("max_area")))
         .when(score < g("min_aspect"), aspect_reason)
         .when(
             (g("min_edge") > 0.0) & (edge < g("min_edge")),
-            below("poor_edge_quality", edge, g("min_edge").cast("string")),
+            below(REASON_EDGE, edge, g("min_edge").cast("string")),
         )
         .when(container, nested)
         .otherwise(confident)
     )
     reason = (
-        F.when(~F.col("__found"), F.lit("opencv_not_detected"))
+        F.when(~F.col("__found"), F.lit(REASON_MISSING))
         .when(g("kind") == "standard", standard)
         .otherwise(refined)
     )

@@ -17,6 +17,13 @@ from captura.functions import geometry as G
 from captura.functions.polygons import flat, quad_iou_arrays
 
 
+# --- fixed values ---------------------------------------------------------
+NO_CANDIDATES = ("no_candidates", "No candidates provided")
+REJECTED = "rejected_low_confidence"
+REJECTED_WHY = "Best candidate score ({:.3f}) below threshold ({:.3f})"
+# --------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class TrackerConfig:
     # --- fixed values -----------------------------------------------------
@@ -72,7 +79,7 @@ def similarity_to_last(state: TrackState, quads: np.ndarray, areas, aspects, w:
 def step(state: TrackState, quads, areas, aspects, statics, w: int, h: int, cfg: TrackerConfig):
     """One frame: candidates in static-score order to (new state, result tuple)."""
     if len(quads) == 0:
-        return _miss(state, cfg), (False, "no_candidates", None, None, 0.0, 0.0, 0.0, "No candidates provided")
+        return _miss(state, cfg), (False, NO_CANDIDATES[0], None, None, 0.0, 0.0, 0.0, NO_CANDIDATES[1])
     active = cfg.temporal_enabled and state.quad is not None
     if active:
         temporal = similarity_to_last(state, quads, areas, aspects, w, h, cfg)
@@ -83,8 +90,8 @@ def step(state: TrackState, quads, areas, aspects, statics, w: int, h: int, cfg:
     best = int(np.argmax(fused))
     score, static, similar = float(fused[best]), float(statics[best]), round(float(temporal[best]), 4)
     if score < cfg.min_tracking_score:
-        why = f"Best candidate score ({score:.3f}) below threshold ({cfg.min_tracking_score:.3f})"
-        return _miss(state, cfg), (False, "rejected_low_confidence", None, None, score, static, similar, why)
+        why = REJECTED_WHY.format(score, cfg.min_tracking_score)
+        return _miss(state, cfg), (False, REJECTED, None, None, score, static, similar, why)
     quad = quads[best]
     if active:
         quad = cfg.smoothing_alpha * quad + (1.0 - cfg.smoothing_alpha) * np.asarray(state.quad).reshape(4, 2)
