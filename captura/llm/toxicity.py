@@ -15,7 +15,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 12
 PRIOR = 4.0
 DRIFT = 0.7
-FLOOR = 2.0
+SURE = 1e-6
 
 
 def units_of(word: str) -> list[str]:
@@ -36,14 +36,15 @@ def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict
         while stem and stem not in share:
             stem = stem[:-1]
         a, b = counts[unit]
-        share[unit] = (a + PRIOR * share.get(stem, base)) / (a + b + PRIOR)
+        value = (a + PRIOR * share.get(stem, base)) / (a + b + PRIOR)
+        share[unit] = min(max(value, SURE), 1 - SURE)
     return {u: math.log(s / (1 - s)) - math.log(base / (1 - base)) for u, s in share.items()}
 
 
 class Scores(dict):
     """Score of each word: the log-odds of its longest known part, less the drift."""
 
-    def __init__(self, odds: dict[str, float], limit: int = 500_000):
+    def __init__(self, odds: dict[str, float], limit: int = 250_000):
         super().__init__()
         self.odds, self.limit = odds, limit
 
@@ -86,7 +87,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def karlin(values: np.ndarray, shares: np.ndarray) -> float:
     """The positive solution of sum(share x exp(lambda x value)) = 1 for scores that fall on average."""
-    if values.max() <= 0 or (values * shares).sum() >= 0:
+    values, shares = values[shares > 0], shares[shares > 0]
+    if not len(values) or values.max() <= 0 or (values * shares).sum() >= 0:
         return 1.0
     low, high = 1e-6, 1.0
     while (shares * np.exp(np.minimum(high * values, 700))).sum() < 1:
