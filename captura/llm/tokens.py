@@ -55,7 +55,7 @@ class Encoder:
     ``cache`` bounds the words of each of the table's two generations.
     """
 
-    def __init__(self, name: str = VOCABULARY, cache: int = 500_000):
+    def __init__(self, name: str = VOCABULARY, cache: int = 250_000):
         path = vocabulary_path(name)
         self.cache, self.tables, self.pattern = cache, {}, None
         if path.endswith(".model"):

@@ -11,7 +11,7 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 class HashTable(dict):
     """64-bit hash of each word, kept for the next texts; starts anew beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
