@@ -53,18 +53,19 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(count + 1)).astype(int), BUCKETS - 1)
 
 
-def estimates(counts: list[list[np.ndarray]], docs: float, total: float, kinds: float, top: int):
+def estimates(counts: list[np.ndarray], starts: np.ndarray, docs: float, total: float, kinds: float, top: int):
     """Maximum-likelihood estimates of each token by order, with the frequencies of their contexts.
 
-    ``counts[n - 1]`` has a text's counts of the n-gram that ends at each token. The context of an n-gram is the
-    (n-1)-gram that ends one token before; marks of the start are seen once a text.
+    ``counts[n - 1]`` has the counts of the n-gram that ends at each token of some texts, which begin at
+    ``starts``. The context of an n-gram is the (n-1)-gram that ends one token before; marks of the start
+    are seen once a text.
     """
     length = len(counts[0])
     parts, contexts = [np.full(length, 1.0 / (kinds + 1)), counts[0] / max(total, 1.0)], []
     for n in range(2, top + 1):
         context = np.empty(length)
         context[1:] = counts[n - 2][:-1]
-        context[0] = docs
+        context[starts] = docs
         parts.append(np.divide(counts[n - 1], context, out=np.zeros(length), where=context > 0))
         contexts.append(context)
     return parts, contexts
@@ -121,29 +122,26 @@ def score_texts(docs: DataFrame, order: int = 2) -> DataFrame:
     docs_keep = docs_all - n_docs.get(TUNE_FOLD, 0)
 
     def counted(row, i, column):
-        """Counts of each text's n-grams by order, from one row of chunks."""
+        """Counts of all texts' n-grams by order, and where the texts begin, from one row of chunks."""
         tokens = _tokens(row.column("texts")[i].as_py(), order)
-        cuts = np.cumsum([len(t) - (order - 1) for t in tokens])[:-1]
+        lengths = np.array([len(t) - (order - 1) for t in tokens])
         out = []
         for n in range(1, order + 1):
-            flat = np.concatenate(_grams(tokens, n, order))
-            keys = np.unique(flat)
-            values = answered(row.column(f"answers{n - 1}")[i].as_py(), 2)[column]
-            out.append(np.split(values[np.searchsorted(keys, flat)].astype(float), cuts))
-        return zip(*out)
+            _, place = np.unique(np.concatenate(_grams(tokens, n, order)), return_inverse=True)
+            out.append(answered(row.column(f"answers{n - 1}")[i].as_py(), 2)[column][place].astype(float))
+        return out, np.cumsum(lengths) - lengths, lengths
 
     def events(batches):
         names = ["bucket", *[f"r{k}" for k in range(1, order + 1)]]
         for batch in batches:
             for i in range(batch.num_rows):
-                cells = []
-                for counts in counted(batch, i, 0):
-                    parts, contexts = estimates(list(counts), docs_keep, total_keep, kinds_keep, order)
-                    bucket = context_bucket(contexts[-1]) if contexts else np.zeros(len(parts[0]), int)
-                    with np.errstate(divide="ignore"):
-                        ratio = [np.log(p / parts[0]) * RATIO_STEP for p in parts[1:]]
-                    cells.append(np.column_stack([bucket, *[np.where(np.isinf(r), -10_000, np.round(r)) for r in ratio]]))
-                found, times = np.unique(np.concatenate(cells).astype(np.int64), axis=0, return_counts=True)
+                counts, starts, _ = counted(batch, i, 0)
+                parts, contexts = estimates(counts, starts, docs_keep, total_keep, kinds_keep, order)
+                bucket = context_bucket(contexts[-1]) if contexts else np.zeros(len(parts[0]), int)
+                with np.errstate(divide="ignore"):
+                    ratio = [np.log(p / parts[0]) * RATIO_STEP for p in parts[1:]]
+                cells = np.column_stack([bucket, *[np.where(np.isinf(r), -10_000, np.round(r)) for r in ratio]])
+                found, times = np.unique(cells.astype(np.int64), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(np.ascontiguousarray(found[:, k])) for k in range(order + 1)], pa.array(times)], [*names, "n"]
                 )
@@ -157,20 +155,18 @@ def score_texts(docs: DataFrame, order: int = 2) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = batch.column("doc_ids")[i].as_py()
-                tokens, known, base, score = [], [], [], []
-                for counts in counted(batch, i, 1):
-                    parts, contexts = estimates(list(counts), docs_all, total, kinds, order)
-                    bucket = context_bucket(contexts[-1]) if contexts else np.zeros(len(parts[0]), int)
-                    mixed = (weights[bucket] * np.column_stack(parts)).sum(1)
-                    tokens.append(len(mixed))
-                    known.append(int((counts[0] > 0).sum()))
-                    base.append(float(np.log10((counts[0] + 1) / (total + kinds + 1)).sum()))
-                    score.append(float(np.log10(mixed).sum()))
+                counts, starts, lengths = counted(batch, i, 1)
+                parts, contexts = estimates(counts, starts, docs_all, total, kinds, order)
+                bucket = context_bucket(contexts[-1]) if contexts else np.zeros(len(parts[0]), int)
+                mixed = sum(weights[:, k][bucket] * p for k, p in enumerate(parts))
+                base = np.add.reduceat(np.log10((counts[0] + 1) / (total + kinds + 1)), starts)
+                score = np.add.reduceat(np.log10(mixed), starts)
+                known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, batch.column("doc_ids").type.value_type),
                         pa.array([crc_fold_of(d, FOLDS) == TEST_FOLD for d in ids]),
-                        pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                        pa.array(lengths, pa.int64()), pa.array(known, pa.int64()),
                         pa.array([total] * len(ids), pa.int64()),
                         pa.array(base, pa.float64()), pa.array(score, pa.float64()),
                     ],
