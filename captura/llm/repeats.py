@@ -25,6 +25,7 @@ WIDEST = SPAN + LENGTH - 1
 KEY_BITS = 40
 KEY_MASK = np.uint64(((1 << KEY_BITS) - 1) << (64 - KEY_BITS))
 SHARD = 1 << 20
+CHUNK = 3 << 19  # bytes of text; the work on a chunk takes some fifty times as much memory
 
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
@@ -60,14 +61,20 @@ def pieces(texts: list) -> tuple[np.ndarray, ...]:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
     if SPAN > span:
         least = np.minimum(least[: count], least[SPAN - span : SPAN - span + count])
-    owner = np.repeat(np.arange(len(raw)), np.diff(ends, prepend=0))[:count]
-    at = np.flatnonzero(np.arange(count) + LENGTH <= ends[owner])
+    level = np.zeros(len(data) + 1, np.int8)  # 1 where too few bytes of the text follow
+    starts = ends - [len(r) for r in raw]
+    late = np.maximum(starts, ends - LENGTH + 1)
+    np.add.at(level, late[late < ends], 1)
+    np.add.at(level, ends[late < ends], -1)
+    at = np.flatnonzero(np.cumsum(level[:count], dtype=np.int8) == 0)
     key = least[at] & KEY_MASK
+    del h, least, level
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(at) != 1)]) if len(at) else np.zeros(0, bool)
     run = np.flatnonzero(new)
     inside = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
     first = np.flatnonzero(inside % SPAN == 0)  # a text with a short period has no other seed for long
-    return data, ends, key[first], owner[at[first]], at[first], np.diff(np.append(first, len(at)))
+    owner = np.searchsorted(ends, at[first], side="right")
+    return data, ends, key[first], owner, at[first], np.diff(np.append(first, len(at)))
 
 
 def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +190,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     input that covers it also starts in a document with a smaller id. Null texts are empty; a null id is larger
     than all others; rows with one id are one document for each other, so they remove nothing from each other.
     """
-    chunks = pack_chunks(docs)
+    chunks = pack_chunks(docs, CHUNK)
     ranges = max(1, chunks.select("chunk").count() // 2)
 
     def keys_of(doc_ids, texts):
