@@ -137,7 +137,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     entries = sets.select(
         "row", "n", "need", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "token"), "lists"
     ).select("row", "n", "need", "token", F.element_at("lists", F.col("at") + 1).alias("df"))
-    salt = F.when(F.col("df") > SALT_ROWS, F.pmod(F.xxhash64("row"), F.ceil(F.col("df") / SALT_ROWS))).otherwise(0)
+    salt = F.when(F.col("df") > SALT_ROWS, F.pmod(F.xxhash64("row"), F.ceil(F.col("df") / SALT_ROWS))).otherwise(-1)
     entries = entries.select("token", salt.cast("int").alias("salt"), "row", "n", "need")
 
     def pairs(batches):
@@ -151,7 +151,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
         key, run, size, counts, out = None, [], 0, {}, []
 
         def close():
-            if key is not None and (size > PAIR_LIST or key[1]):
+            if key is not None and (size > PAIR_LIST or key[1] >= 0):
                 out.append((key[0], run[0][0], 0, 0, 1))
             if size <= PAIR_LIST:
                 for i, (a, n, need) in enumerate(run):
@@ -166,6 +166,9 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
                     close()
                     key, run, size = (token, salt), [], 0
                 size += 1
+                if salt >= 0 and size > 1:  # part of a dealt list: linked with its first document in any case
+                    out.append((run[0][0], row, 0, 0, 2))
+                    continue
                 if size <= PAIR_LIST:
                     run.append((row, n, need))
                     continue
