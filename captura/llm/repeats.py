@@ -2,8 +2,10 @@
 
 Texts are cut where the least hashed ``SEED``-gram of a window of ``LENGTH`` bytes changes, so that all occurrences of a
 window lie in pieces that meet in one key range, whatever surrounds them. Pieces whose seed occurs once
-in the corpus are dropped by an exchange of counts. In a range equal pieces are one; pieces that share a seed
-but differ go to shards with a transform each, and the shards' transforms are merged by refining their
+in the corpus are dropped by an exchange of counts. A chunk sends equal pieces once, by the one of least rank: those of
+a larger rank go whole, those of the same rank share its answer. Pieces of a seed that more than ``HOT`` of them share are
+dealt as single windows, spread by the hash of the window, so no seed fills a range; a range gets equal ones once from
+each chunk. In a range equal pieces are one; pieces that share a seed but differ go to shards with a transform each, and the shards' transforms are merged by refining their
 interleave symbol by symbol until all windows are ordered by ``LENGTH`` bytes. Neighbours that are still in one
 block then have a common prefix of that length: a repeated interval.
 """
@@ -25,6 +27,7 @@ WIDEST = SPAN + LENGTH - 1
 KEY_BITS = 40
 KEY_MASK = np.uint64(((1 << KEY_BITS) - 1) << (64 - KEY_BITS))
 SHARD = 1 << 20
+HOT = 1 << 14  # pieces of one seed that may meet in a range, equal ones of a chunk counted once
 CHUNK = 3 << 19  # bytes of text; the work on a chunk takes some fifty times as much memory
 
 
@@ -46,6 +49,12 @@ def seed_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread hashes evenly again: the least of some is small, and key ranges are of equal width."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def pieces(texts: list) -> tuple[np.ndarray, ...]:
     """Bytes of all texts, the ends of the texts, and the pieces: key, text, first byte in all, number of windows."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -67,7 +76,7 @@ def pieces(texts: list) -> tuple[np.ndarray, ...]:
     np.add.at(level, late[late < ends], 1)
     np.add.at(level, ends[late < ends], -1)
     at = np.flatnonzero(np.cumsum(level[:count], dtype=np.int8) == 0)
-    key = least[at] & KEY_MASK
+    key = mixed(least[at]) & KEY_MASK
     del h, least, level
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(at) != 1)]) if len(at) else np.zeros(0, bool)
     run = np.flatnonzero(new)
@@ -77,6 +86,45 @@ def pieces(texts: list) -> tuple[np.ndarray, ...]:
     return data, ends, key[first], owner, at[first], np.diff(np.append(first, len(at)))
 
 
+def padded(body: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pieces, of which the bytes follow each other in ``body``, as rows of one width with the length behind them."""
+    rows = np.zeros((len(lengths), WIDEST + 4), np.uint8)
+    rows[:, :WIDEST][np.arange(WIDEST)[None, :] < lengths[:, None]] = body
+    rows[:, -1] = lengths
+    return rows
+
+
+def single_windows(data, at, windows) -> tuple[np.ndarray, np.ndarray]:
+    """Key and first byte of every window of some pieces."""
+    first = np.repeat(at, windows) + _within(windows)
+    h = seed_hashes(data)
+    key = mixed(mixed(mixed(h[first]) + h[first + SEED]) + h[first + LENGTH - SEED])
+    return key & KEY_MASK, first
+
+
+def representatives(data, keys, at, windows, ranks) -> np.ndarray:
+    """For each piece of a chunk the one that stands for all with its bytes: of these the first with the least rank."""
+    out = np.arange(len(keys))
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    shared = np.zeros(len(keys), bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    many = np.flatnonzero(shared)
+    if len(many):
+        size = windows[many] + LENGTH - 1
+        rows = padded(data[np.repeat(at[many], size) + _within(size)], size)
+        _, code = np.unique(rows.view(f"S{WIDEST + 4}").ravel(), return_inverse=True)
+        by = np.lexsort((ranks[many], code))
+        head = np.concatenate([[True], np.diff(code[by]) != 0])
+        out[many[by]] = many[by][head][np.cumsum(head) - 1]
+    return out
+
+
+def ranks_of(ids: list) -> np.ndarray:
+    return np.array([(1 << 63) - 1 if d is None else d for d in ids], np.int64)
+
+
 def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of a shard: preceding symbols by suffix rank, rank of the preceding suffix, rank by position.
 
@@ -154,9 +202,7 @@ def _within(counts: np.ndarray) -> np.ndarray:
 def marked_windows(keys, ranks, counts, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that occur under a smaller rank: piece, first window in it, number of windows."""
     lengths = counts + LENGTH - 1
-    rows = np.zeros((len(keys), WIDEST + 4), np.uint8)
-    rows[:, :WIDEST][np.arange(WIDEST)[None, :] < lengths[:, None]] = data
-    rows[:, -1] = lengths
+    rows = padded(data, lengths)
     _, first, same = np.unique(rows.view(f"S{WIDEST + 4}").ravel(), return_index=True, return_inverse=True)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, same, ranks)
@@ -194,7 +240,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ranges = max(1, chunks.select("chunk").count() // 2)
 
     def keys_of(doc_ids, texts):
-        keys, counts = np.unique(pieces(texts)[2], return_counts=True)
+        data, _, keys, owner, at, windows = pieces(texts)
+        stands = representatives(data, keys, at, windows, ranks_of(doc_ids)[owner]) == np.arange(len(keys))
+        keys, counts = np.unique(keys[stands], return_counts=True)
         return keys, [counts]
 
     seen = count_exchange(chunks, keys_of, bits=KEY_BITS, tag="seeds")
@@ -206,40 +254,55 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = batch.column("doc_ids")[i].as_py()
-                data, ends, keys, owner, at, windows = pieces(batch.column("texts")[i].as_py())
+                data, _, keys, owner, at, windows = pieces(batch.column("texts")[i].as_py())
+                if not len(keys):
+                    continue
                 (count,) = answered(batch.column("answers0")[i].as_py())
-                known = np.unique(keys)
-                chosen = np.flatnonzero(count[np.searchsorted(known, keys)] > 1) if len(keys) else np.zeros(0, np.int64)
+                count = count[np.searchsorted(np.unique(keys), keys)]
+                rank, hot = ranks_of(ids)[owner], count > HOT
+                if hot.any():
+                    split, first = single_windows(data, at[hot], windows[hot])
+                    keys, at = np.append(keys[~hot], split), np.append(at[~hot], first)
+                    rank = np.append(rank[~hot], np.repeat(rank[hot], windows[hot]))
+                    count = np.append(count[~hot], np.repeat(count[hot], windows[hot]))
+                    windows = np.append(windows[~hot], np.ones(len(first), np.int64))
+                stands = representatives(data, keys, at, windows, rank)
+                others = np.flatnonzero(stands != np.arange(len(keys)))
+                whole = others[rank[others] > rank[stands[others]]]
+                alike = others[rank[others] == rank[stands[others]]]
+                chosen = np.flatnonzero((stands == np.arange(len(keys))) & (count > 1))
                 chosen = chosen[np.argsort(keys[chosen], kind="stable")]
-                rank = np.array([(1 << 63) - 1 if d is None else d for d in ids], np.int64)
-                cuts = np.concatenate([[0], np.searchsorted(keys[chosen], edges), [len(chosen)]])
-                for r in np.flatnonzero(np.diff(cuts)).tolist():
-                    c = chosen[cuts[r] : cuts[r + 1]]
-                    size = windows[c] + LENGTH - 1
-                    body = data[np.repeat(at[c], size) + _within(size)]
-                    start = at[c] - (ends[owner[c]] - np.diff(ends, prepend=0)[owner[c]])
-                    held = [
-                        encode_sorted(keys[c], KEY_BITS),
-                        encode(rank[owner[c]].view(np.uint64) ^ np.uint64(1 << 63)),
-                        encode(owner[c]),
-                        encode(start),
-                        encode(windows[c]),
-                    ]
-                    packed = zstandard.ZstdCompressor(level=1).compress(body.tobytes())
-                    yield pa.RecordBatch.from_arrays(
+
+                def row(place, held, body):
+                    packed = zstandard.ZstdCompressor(level=1).compress(body)
+                    return pa.RecordBatch.from_arrays(
                         [
-                            pa.array([batch.column("chunk")[i].as_py()], pa.int64()), pa.array([r], pa.int32()),
-                            pa.array([held], pa.list_(pa.binary())), pa.array([packed], pa.binary()),
-                            pa.array([len(body)], pa.int64()),
+                            pa.array([batch.column("chunk")[i].as_py()], pa.int64()), pa.array([place], pa.int64()),
+                            pa.array([[encode(x) if isinstance(x, np.ndarray) else x for x in held]], pa.list_(pa.binary())),
+                            pa.array([packed], pa.binary()), pa.array([len(body)], pa.int64()),
                         ],
                         ["chunk", "range", "pieces", "data", "size"],
                     )
 
+                if len(others):  # a range of the chunk's own: these come back as they are
+                    local = [at[whole], np.zeros(len(whole), np.int64), windows[whole], at[alike], at[stands[alike]]]
+                    yield row(-1 - batch.column("chunk")[i].as_py(), local, b"")
+                cuts = np.concatenate([[0], np.searchsorted(keys[chosen], edges), [len(chosen)]])
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    c = chosen[cuts[r] : cuts[r + 1]]
+                    size = windows[c] + LENGTH - 1
+                    body = data[np.repeat(at[c], size) + _within(size)].tobytes()
+                    ranked = rank[c].view(np.uint64) ^ np.uint64(1 << 63)
+                    yield row(r, [encode_sorted(keys[c], KEY_BITS), ranked, at[c], windows[c]], body)
+
     def mark(group: pa.Table) -> pa.Table:
         import zstandard
 
+        if group.column("range")[0].as_py() < 0:
+            chunks, marks = group.column("chunk").to_pylist(), group.column("pieces").to_pylist()
+            return pa.Table.from_arrays([pa.array(chunks, pa.int64()), pa.array(marks, pa.list_(pa.binary()))], ["chunk", "marks"])
         parts = [[decode_sorted(x.as_py()[0], KEY_BITS), *map(decode, x.as_py()[1:])] for x in group.column("pieces")]
-        keys, ranks, owner, start, windows = (np.concatenate(x) for x in zip(*parts))
+        keys, ranks, first, windows = (np.concatenate(x) for x in zip(*parts))
         body = b"".join(
             zstandard.ZstdDecompressor().decompress(d.as_py(), max_output_size=n.as_py())
             for d, n in zip(group.column("data"), group.column("size"))
@@ -252,15 +315,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for k, chunk in enumerate(group.column("chunk").to_pylist()):
             own = np.flatnonzero(source == k)
             if len(own):
-                p = piece[own]
                 chunks.append(chunk)
-                marks.append([encode(owner[p]), encode(start[p].astype(np.int64) + at[own]), encode(run[own])])
+                marks.append([encode(first[piece[own]]), encode(at[own]), encode(run[own])])
         return pa.Table.from_arrays(
             [pa.array(chunks, pa.int64()), pa.array(marks, pa.list_(pa.binary()))], ["chunk", "marks"]
         )
 
     dealt = with_answers(chunks, seen).mapInArrow(
-        deal, "chunk long, range int, pieces array<binary>, data binary, size long"
+        deal, "chunk long, range long, pieces array<binary>, data binary, size long"
     )
     marks = materialize(dealt.groupBy("range").applyInArrow(mark, "chunk long, marks array<binary>"), "marks")
     per_chunk = marks.groupBy("chunk").agg(F.collect_list("marks").alias("marks"))
@@ -272,10 +334,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("texts")[i].as_py()]
                 heads = np.cumsum([0, *[len(r) for r in raw]])
                 level = np.zeros(heads[-1] + 1, np.int32)
-                for owner, start, run in [map(decode, m) for m in batch.column("marks")[i].as_py() or []]:
-                    low = heads[owner.astype(np.int64)] + start.astype(np.int64)
-                    np.add.at(level, low, 1)
-                    np.add.at(level, low + run.astype(np.int64) + LENGTH - 1, -1)
+                found = [[decode(x).astype(np.int64) for x in m] for m in batch.column("marks")[i].as_py() or []]
+                if found:
+                    first, at, run = (np.concatenate(x) for x in zip(*[m[:3] for m in found]))
+                    by = np.argsort(first, kind="stable")
+                    first, at, run = first[by], at[by], run[by]
+                    for alike, stands in [m[3:] for m in found if len(m) > 3]:  # these share an answer
+                        low = np.searchsorted(first, stands)
+                        n = np.searchsorted(first, stands, side="right") - low
+                        shared = np.repeat(low, n) + _within(n)
+                        start = np.repeat(alike, n) + at[shared]
+                        np.add.at(level, start, 1)
+                        np.add.at(level, start + run[shared] + LENGTH - 1, -1)
+                    np.add.at(level, first + at, 1)
+                    np.add.at(level, first + at + run + LENGTH - 1, -1)
                 gone = np.cumsum(level)[:-1] > 0
                 rows = []
                 for k, text in enumerate(raw):

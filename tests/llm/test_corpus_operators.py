@@ -376,6 +376,35 @@ def test_op10_matches_plain_search(docs, none, monkeypatch):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_op10_a_common_passage_fills_no_group(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    passage = " ".join(cases.words(rng, 25))
+    rows = [(i if i % 20 else None, " ".join(cases.words(rng, 12, 10**6)) + passage + " ".join(cases.words(rng, 12, 10**6)), "en", "s") for i in range(300)]
+    rows += [(i, passage * 3, "en", "s") for i in range(5)]
+    plain = repeats.marked_windows
+
+    def limited(keys, *rest):
+        most = np.unique(keys, return_counts=True)[1].max()
+        assert most <= 20, f"{most} pieces of one seed in one group"
+        return plain(keys, *rest)
+
+    monkeypatch.setattr(repeats, "marked_windows", limited)
+    monkeypatch.setattr(repeats, "CHUNK", 8000)
+    monkeypatch.setattr(repeats, "HOT", 20, raising=False)
+    got = repeats.remove_repeats(cases.frame(spark, rows)).collect()
+    assert order(got) == order((*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in cases.repeats(rows))
+
+
+def test_op10_keys_are_even():
+    import random
+
+    keys = repeats.pieces([" ".join(cases.words(random.Random(6), 20_000, 10**6))])[2]
+    parts = np.bincount((keys >> np.uint64(61)).astype(int), minlength=8)
+    assert parts.max() < 1.2 * parts.mean()
+
+
 def test_op10_merged_order_is_the_sorted_one():
     rng = np.random.default_rng(4)
     rows = np.zeros((40, repeats.WIDEST), np.uint8)
