@@ -12,12 +12,13 @@ from captura.llm.words import hash_table, hashes_of, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics with their least spread: a statistic that is constant in clean text gets this deviation.
-STATISTICS = {"word_length": 0.05, "symbols": 0.10, "signs": 0.15, "capitals": 0.25, "dup_lines": 0.20, "repeats": 0.15}
+#: That of a bounded one is small enough to reject alone: 0.38 of the lines or words where clean text has none.
+STATISTICS = {"word_length": 0.05, "symbols": 0.05, "signs": 0.15, "capitals": 0.25, "dup_lines": 0.08, "repeats": 0.08}
 UNIT = 1024  # statistics are whole multiples of 1 / UNIT, so that sums are exact in any order
 LEAST_ROWS = 50
 COVERAGE = 0.75
 STEPS = 6
-ALPHA = 1e-10  # texts have heavier tails than a normal law; junk lies far beyond this
+ALPHA = 1e-3  # of the law that has the median of the stratum's own distances
 BINS_PER_E = 50
 
 
@@ -194,6 +195,17 @@ def _nearest(rows: DataFrame, place) -> DataFrame:
     return placed.join(small(cut), "stratum").filter("place <= cut").drop("place", "cut", "total")
 
 
+def _limits(rows: DataFrame, alpha: float) -> DataFrame:
+    """Rows of each stratum and its limit: the quantile of 1 - ``alpha``, scaled where all rows' median distance is larger than the law's."""
+    p = len(STATISTICS)
+    counts = rows.groupBy("stratum", F.floor(F.log(_distance() + 1e-6) * BINS_PER_E).alias("place")).agg(F.count(F.lit(1)).alias("c"))
+    over = Window.partitionBy("stratum")
+    ranked = counts.withColumn("upto", F.sum("c").over(over.orderBy("place"))).withColumn("members", F.sum("c").over(over))
+    middle = F.exp((F.min("place") + 0.5) / BINS_PER_E) / chi2_quantile(0.5, p)
+    limit = F.greatest(F.lit(1.0), middle) * chi2_quantile(1 - alpha, p)
+    return ranked.filter("2 * upto >= members").groupBy("stratum").agg(F.max("members").alias("members"), limit.alias("limit"))
+
+
 def _medians(rows: DataFrame) -> DataFrame:
     """Median and spread of every statistic by stratum, from counts of its whole values."""
     out = None
@@ -216,7 +228,8 @@ def quality_verdicts(docs: DataFrame, least: int = LEAST_ROWS, steps: int = STEP
     ``least`` of them joins what is left of its language, then of the corpus, and if that is still too
     small they are kept. The fit starts from medians and quartiles, takes the ``COVERAGE`` share of rows
     nearest to it and concentrates: centre and covariance of those rows, then the nearest rows again, ``steps``
-    times. A row is rejected when its squared distance exceeds the chi-square quantile of 1 - ``alpha``.
+    times. A row is rejected when its squared distance exceeds the chi-square quantile of 1 - ``alpha``, times the
+    ratio of the median distance of all the stratum's rows to the law's where that is over 1 (heavy tails).
     Sums are over whole numbers and cuts over counts, so the verdict does not depend on partitions.
     Null texts have no words and fail the base rule; null languages and sources are groups of their own;
     repeated rows count each; further columns are not read.
@@ -239,12 +252,11 @@ def quality_verdicts(docs: DataFrame, least: int = LEAST_ROWS, steps: int = STEP
     fits = _fits(_sums(_nearest(start, bins(far))))
     for _ in range(steps):
         fits = _fits(_sums(_nearest(judged.join(small(fits), "stratum"), bins(_distance()))))
-    members = judged.groupBy("stratum").agg(F.count(F.lit(1)).alias("members"))
-    final = small(materialize(fits.join(members, "stratum"), "fits"))
+    limits = materialize(_limits(judged.join(small(fits), "stratum"), alpha), "limits")
+    final = small(materialize(fits.join(limits, "stratum"), "fits"))
     distance = F.when(~F.col("base_failed") & (F.col("members") >= least), _distance())
-    limit = chi2_quantile(1 - alpha, len(STATISTICS))
     return rows.join(final, "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(distance <= limit, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(distance <= F.col("limit"), F.lit(True))).alias("kept"),
         distance.alias("distance"), "text_hash",
     )

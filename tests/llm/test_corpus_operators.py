@@ -159,6 +159,33 @@ def test_op3_counts_and_verdicts(spark, docs, none):
     assert order(again.collect()) == order(verdicts.collect())
 
 
+def test_op3_duplicate_lines_or_repeats_alone_reject(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    rows = [(i, "\n".join(line(8) for _ in range(12)), "en", "s") for i in range(200)]
+    many = [(1000 + i, "\n".join([line(56), *[line(2)] * 22]), "en", "s") for i in range(8)]  # 91% of lines, 44% of words
+    spread = [(1100 + i, "\n".join(x for _ in range(12) for x in (line(8), "Share.")), "en", "s") for i in range(8)]
+    phrase = line(6)
+    inside = [(1200 + i, "\n".join(f"{line(8)} {phrase}" for _ in range(6)), "en", "s") for i in range(8)]  # no line twice
+    verdicts = quality_rules.quality_verdicts(cases.frame(spark, rows + many + spread + inside)).collect()
+    assert not [r.doc_id for r in verdicts if r.base_failed]
+    assert not [r.doc_id for r in verdicts if r.kept != (r.doc_id < 1000)]
+
+
+def test_op3_heavy_tails_widen_the_limit(spark):
+    rng = np.random.default_rng(4)
+    p, fit = len(quality_rules.STATISTICS), "struct<centre: array<double>, precision: array<double>>"
+    values = np.round(rng.normal(size=(400, p)) * 3 * quality_rules.UNIT).astype(int)
+    schema = ", ".join(f"{n} long" for n in quality_rules.STATISTICS) + f", stratum struct<k: string>, fit {fit}"
+    rows = spark.createDataFrame([(*map(int, v), ("a",), ([0.0] * p, np.eye(p).ravel().tolist())) for v in values], schema)
+    got = quality_rules._limits(rows, 1e-3).first()
+    middle = np.median(((values / quality_rules.UNIT) ** 2).sum(1)) / quality_rules.chi2_quantile(0.5, p)
+    assert got.members == 400 and got.limit == pytest.approx(middle * quality_rules.chi2_quantile(0.999, p), rel=0.03)
+
+
 def test_op3_fit_is_the_plain_concentration(spark):
     rng = np.random.default_rng(2)
     p, unit = len(quality_rules.STATISTICS), quality_rules.UNIT
