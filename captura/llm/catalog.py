@@ -1,6 +1,6 @@
 """The operators applied to the given tables with production parameters."""
 
-from captura.llm import decontaminate, merkle, mixing
+from captura.llm import decontaminate, merkle, mixing, periodic_runs, spelling, vector_search
 from captura.llm.common import table
 from captura.llm.jaccard_join import near_duplicates
 from captura.llm.lm_scoring import score_texts
@@ -63,3 +63,19 @@ def op9_mixing(spark, sf_dir):
 @query("op10_repeated_passages")
 def op10_repeated_passages(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_exact_search", vector_search.ORACLE)
+def op11_exact_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.detect_runs(table(spark, sf_dir, "documents")).drop("n_words", "n_dropped")
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
