@@ -3,7 +3,9 @@
 A group (one capture, one experiment, one class) may hold a large share of all
 rows, so none of these helpers sorts or collects a whole group in one task.
 Ordered work is cut into buckets along the order column and stitched together
-with one row per bucket; pairwise work is cut into tiles of bounded size.
+with one row per bucket; pairwise work is cut into tiles of bounded size. Buckets of
+a large group end at splitters taken from its own order values (``order_buckets``), so
+they hold like numbers of rows however the values are spread.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +20,40 @@ def _with_key(df: DataFrame, by) -> DataFrame:
     return df.withColumn(_KEY, F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
 
 
-def index_bucket(order: str, width: int = 4096) -> Column:
-    return F.floor(F.col(order) / F.lit(width))
+_SIDE = 32
+_SAMPLES = 16
+
+
+def order_buckets(df: DataFrame, by, order: str, rows: int = 4096) -> DataFrame:
+    """Add ``__bucket``, which does not decrease along ``order``, with about ``rows`` rows in a bucket of a group.
+
+    A group of at most ``rows`` rows is bucket 0. Of a larger one a sample by hash, some 16 rows for each bucket,
+    gives the splitters: at most 1024 of them, in two levels so that a row compares with 64. Splitters depend on the values
+    alone, so every evaluation of the plan cuts alike, and no job runs while it is built. Equal values share a
+    bucket. A NULL order value goes to bucket 0.
+    """
+    keyed = _with_key(df, list(by))
+    buckets = F.least(F.lit(_SIDE * _SIDE), F.ceil(F.col("__n") / F.lit(rows))).cast("long")
+    large = (
+        group_counts(keyed, [_KEY])
+        .filter(F.col("__n") > rows)
+        .select(_KEY, buckets.alias("__want"), F.greatest(F.lit(1), F.floor(F.col("__n") / (buckets * _SAMPLES))).alias("__every"))
+    )
+    drawn = keyed.select(_KEY, order).join(large, _KEY).filter(F.pmod(F.xxhash64(order, F.lit("splitter")), "__every") == 0)
+    pooled = drawn.groupBy(_KEY).agg(F.sort_array(F.collect_set(order)).alias("__all"), F.max("__want").alias("__want"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("__all") / F.col("__want")))
+    thinned = pooled.select(_KEY, F.filter("__all", lambda x, i: i % step == 0).alias("__cuts"))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("__cuts") - 1) / _SIDE).cast("int")),
+        lambda k: F.slice("__cuts", k * _SIDE + 1, F.lit(_SIDE)),
+    )
+    cuts = thinned.filter(F.size("__cuts") > 0).select(_KEY, pieces.alias("__pieces"))
+    upto = lambda a: F.size(F.filter(a, lambda x: x <= F.col(order)))
+    piece = F.size(F.filter("__pieces", lambda p: F.get(p, F.lit(0)) <= F.col(order)))
+    placed = keyed.join(cuts, _KEY, "left").withColumn("__piece", piece)
+    inside = upto(F.get("__pieces", F.col("__piece") - 1))
+    bucket = F.when(F.col("__piece") > 0, (F.col("__piece") - 1) * _SIDE + inside).otherwise(F.lit(0))
+    return placed.withColumn(_BUCKET, F.coalesce(bucket, F.lit(0))).select(*df.columns, _BUCKET)
 
 
 def unit_bucket(value: str, buckets: int = 1024, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -81,12 +115,12 @@ def positions(df: DataFrame, by, order, bucket: Column, name: str = "position",
 def adjacent_pairs(df: DataFrame, by, order: str, payload, width: int = 4096) -> DataFrame:
     """Pair every row with its predecessor: ``prev_*`` columns next to the row's own.
 
-    Pairs inside a bucket come from a window over the bucket. The first and last
-    row of each bucket then meet in a second window that sees only those rows.
+    Pairs inside a bucket of about ``width`` rows come from a window over the bucket. The first and last
+    row of each bucket then meet in a second window that sees only those rows, at most some 2000 of a group.
     """
     by, payload = list(by), list(payload)
     carried = [order, *payload]
-    base = df.select(*by, *carried).withColumn(_BUCKET, index_bucket(order, width))
+    base = order_buckets(df.select(*by, *carried), by, order, width)
     inside = Window.partitionBy(*by, _BUCKET).orderBy(order)
     linked = base.select(
         "*",

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captura.operators.grouping import index_bucket, positions
+from captura.operators.grouping import order_buckets, positions
 
 
 def frame_schedule(total: Column, max_frames: int) -> Column:
@@ -60,7 +60,8 @@ def sample_frames(
     ``uniform`` spreads k frames over the capture, ``interval`` takes every
     ``step``-th frame up to k of them, ``first`` takes the first k.
     """
-    placed = positions(frames, [key], [order], index_bucket(order, width), "__pos", "__size")
+    cut = order_buckets(frames, [key], order, width)
+    placed = positions(cut, [key], [order], F.col("__bucket"), "__pos", "__size").drop("__bucket")
     if strategy == "uniform":
         keep = on_schedule(F.col("__pos"), F.col("__size"), k)
     elif strategy == "interval":

@@ -1,25 +1,28 @@
 """Stateful tracking of the best quad over the ordered frames of each capture.
 
-Rows are shuffled by capture, sorted by frame and static score inside the
-partition, and read as a stream of Arrow batches. The state is one quad and a few
-numbers, so a capture of any length needs constant memory.
+A gap that outlasts the tracker's patience erases its state, so the stretches between
+such gaps are independent: rows are shuffled by capture and segment and read in order as
+a stream of Arrow batches, in which all segments advance together, one frame a step.
+The state is one quad and a few numbers, so a capture of any length needs constant memory.
 """
 
-import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captura.functions import geometry as G
-from captura.functions.polygons import flat, quad_iou_arrays
+from captura.functions.polygons import flat, quad_iou_arrays, signed_area
+from captura.operators.grouping import null_safe, order_buckets
 
 
 # --- fixed values ---------------------------------------------------------
 NO_CANDIDATES = ("no_candidates", "No candidates provided")
 REJECTED = "rejected_low_confidence"
+METHODS = np.array([NO_CANDIDATES[0], REJECTED, "first_frame_detection", "temporally_guided"], dtype=object)
 REJECTED_WHY = "Best candidate score ({:.3f}) below threshold ({:.3f})"
 # --------------------------------------------------------------------------
 
@@ -38,211 +41,318 @@ class TrackerConfig:
     # ----------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class TrackState:
-    """Last accepted quad (ordered corners) and counters; ``quad`` is None without history."""
-
-    quad: tuple | None = None
-    area: float = 0.0
-    aspect: float = 0.0
-    lost: int = 0
-
-
 RESULT_SCHEMA = (
     "detected boolean, method string, corners array<struct<x:double,y:double>>, bbox array<int>, "
     "confidence double, static_score double, temporal_score double, reason string"
 )
-INPUT_COLUMNS = ["frame_w", "frame_h", "cand_id", "quad", "area", "aspect_ratio", "static_score"]
+RESULT_COLUMNS = [part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]
+CANDIDATES = "array<struct<rank:double,cand_id:{cand_id},quad:array<double>,area:double,aspect:double>>"
+
+
+class Tracks:
+    """State of many independent tracks: last accepted quad (ordered corners), its shape, frames lost since."""
+
+    def __init__(self, size: int):
+        self.known = np.zeros(size, bool)
+        self.quad = np.zeros((size, 4, 2))
+        self.area, self.aspect = np.zeros(size), np.zeros(size)
+        self.lost = np.zeros(size, int)
 
+    def copy_from(self, at: int, other: "Tracks", place: int) -> None:
+        for name in ("known", "quad", "area", "aspect", "lost"):
+            getattr(self, name)[at] = getattr(other, name)[place]
 
-def similarity_to_last(state: TrackState, quads: np.ndarray, areas, aspects, w: float, h: float, cfg: TrackerConfig):
-    """Temporal similarity in [0, 1] of candidate quads (n, 4, 2) to the last accepted one."""
-    last = np.asarray(state.quad, dtype=float).reshape(1, 4, 2)
-    diagonal = max(1.0, math.hypot(w, h))
+    def miss(self, at: np.ndarray, cfg: TrackerConfig) -> None:
+        self.lost[at] += 1
+        gone = at[self.lost[at] > cfg.max_frames_lost]
+        self.known[gone], self.lost[gone] = False, 0
+
+    def accept(self, at: np.ndarray, quads: np.ndarray, areas, aspects) -> None:
+        self.known[at], self.quad[at], self.area[at], self.aspect[at], self.lost[at] = True, quads, areas, aspects, 0
+
+    def take_over(self, at: np.ndarray, quads: np.ndarray) -> None:
+        """A tier-2 detection (ordered corners) replaces the tracked quad."""
+        width = np.linalg.norm(quads[:, 1] - quads[:, 0], axis=1)
+        height = np.linalg.norm(quads[:, 3] - quads[:, 0], axis=1)
+        aspect = np.maximum(width, height) / np.maximum(1.0, np.minimum(width, height))
+        self.accept(at, quads, np.abs(signed_area(quads)), aspect)
+
+
+def similarity_to_last(last, last_area, last_aspect, quads, areas, aspects, w, h, cfg: TrackerConfig) -> np.ndarray:
+    """Temporal similarity in [0, 1] of candidate quads (n, 4, 2), each to the accepted one beside it."""
+    diagonal = np.maximum(1.0, np.hypot(w, h))
     centre = np.linalg.norm(quads.mean(axis=1) - last.mean(axis=1), axis=1) / diagonal
     corner = np.linalg.norm(quads - last, axis=2).mean(axis=1) / diagonal
     s_centre = np.maximum(0.0, 1.0 - centre / max(1e-4, cfg.max_center_displacement))
     s_corner = np.maximum(0.0, 1.0 - corner / max(1e-4, cfg.max_corner_displacement))
-    s_area = np.full(len(quads), 0.5)
-    if state.area > 0:
-        ratio = np.minimum(areas, state.area) / np.maximum(areas, state.area)
-        stable = np.where(ratio >= 1.0 - cfg.max_area_change, ratio, 0.5 * ratio)
-        s_area = np.where(areas > 0, stable, 0.5)
-    s_aspect = np.full(len(quads), 0.5)
-    if state.aspect > 0:
-        s_aspect = np.where(aspects > 0, np.maximum(0.0, 1.0 - 2.5 * np.abs(aspects - state.aspect)), 0.5)
-    s_iou = quad_iou_arrays(quads, np.repeat(last, len(quads), axis=0))
-    blend = 0.35 * s_iou + 0.30 * s_corner + 0.15 * s_centre + 0.10 * s_area + 0.10 * s_aspect
-    return np.clip(blend, 0.0, 1.0)
-
-
-def step(state: TrackState, quads, areas, aspects, statics, w: int, h: int, cfg: TrackerConfig):
-    """One frame: candidates in static-score order to (new state, result tuple)."""
-    if len(quads) == 0:
-        return _miss(state, cfg), (False, NO_CANDIDATES[0], None, None, 0.0, 0.0, 0.0, NO_CANDIDATES[1])
-    active = cfg.temporal_enabled and state.quad is not None
-    if active:
-        temporal = similarity_to_last(state, quads, areas, aspects, w, h, cfg)
-        fused = (1.0 - cfg.temporal_weight) * statics + cfg.temporal_weight * temporal
-    else:
-        temporal, fused = np.ones(len(quads)), statics
-    fused = np.round(np.clip(fused, 0.0, 1.0), 4)
-    best = int(np.argmax(fused))
-    score, static, similar = float(fused[best]), float(statics[best]), round(float(temporal[best]), 4)
-    if score < cfg.min_tracking_score:
-        why = REJECTED_WHY.format(score, cfg.min_tracking_score)
-        return _miss(state, cfg), (False, REJECTED, None, None, score, static, similar, why)
-    quad = quads[best]
-    if active:
-        quad = cfg.smoothing_alpha * quad + (1.0 - cfg.smoothing_alpha) * np.asarray(state.quad).reshape(4, 2)
-    x1, y1, x2, y2 = (int(round(float(v))) for v in (*quad.min(axis=0), *quad.max(axis=0)))
-    box = [max(0, min(w - 1, x1)), max(0, min(h - 1, y1)), max(0, min(w - 1, x2)), max(0, min(h - 1, y2))]
-    accepted = TrackState(tuple(quad.ravel().tolist()), float(areas[best]), float(aspects[best]), 0)
-    method = "temporally_guided" if active else "first_frame_detection"
-    corners = [{"x": float(x), "y": float(y)} for x, y in quad]
-    return accepted, (True, method, corners, box, round(score, 4), static, similar, None)
-
-
-def _miss(state: TrackState, cfg: TrackerConfig) -> TrackState:
-    lost = state.lost + 1
-    return TrackState() if lost > cfg.max_frames_lost else replace(state, lost=lost)
-
-
-def take_over(quad: np.ndarray) -> TrackState:
-    """State after a tier-2 detection replaced the tracked quad (corners already ordered)."""
-    width, height = np.linalg.norm(quad[1] - quad[0]), np.linalg.norm(quad[3] - quad[0])
-    x, y = quad[:, 0], quad[:, 1]
-    area = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2.0
-    aspect = float(max(width, height) / max(1.0, min(width, height)))
-    return TrackState(tuple(quad.ravel().tolist()), area, aspect, 0)
-
-
-class FrameRows:
-    """Candidate rows of a batch as arrays; rows with NULL ``cand_id`` mark frames without candidates."""
-
-    def __init__(self, pdf: pd.DataFrame):
-        self.real = pdf["cand_id"].notna().to_numpy()
-        self.quads = np.full((len(pdf), 4, 2), np.nan)
-        if self.real.any():
-            self.quads[self.real] = np.stack(pdf["quad"][self.real].to_numpy()).astype(float).reshape(-1, 4, 2)
-        self.areas, self.aspects, self.statics = (
-            pdf[c].to_numpy(float) for c in ("area", "aspect_ratio", "static_score")
-        )
-        self.w, self.h = pdf["frame_w"].to_numpy(int), pdf["frame_h"].to_numpy(int)
-        self.tier2 = pdf["tier2"].to_numpy() if "tier2" in pdf else None
-
-    def step(self, state: TrackState, a: int, b: int, cfg: TrackerConfig):
-        """:func:`step` on rows ``a`` to ``b``, which belong to one frame."""
-        c = slice(a, b if self.real[a] else a)
-        state, result = step(
-            state, self.quads[c], self.areas[c], self.aspects[c], self.statics[c], int(self.w[a]), int(self.h[a]), cfg
-        )
-        if self.tier2 is not None and self.tier2[a] is not None:
-            state = take_over(np.asarray(self.tier2[a], dtype=float).reshape(4, 2))
-        return state, result
-
-
-def _scan(batches, cfg: TrackerConfig):
-    """Walk sorted rows frame by frame; frames and captures may straddle batches."""
-    columns = ["video_id", "frame_idx", *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]]
-    state, video, waiting = TrackState(), None, None
-
-    def walk(pdf, last: bool):
-        nonlocal state, video, waiting
-        v, f = pdf["video_id"].to_numpy(), pdf["frame_idx"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (f[1:] != f[:-1]), True])
-        rows, out = FrameRows(pdf), []
-        for a, b in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1]):
-            if v[a] != video:
-                state, video = TrackState(), v[a]
-            state, result = rows.step(state, a, b, cfg)
-            out.append((v[a], f[a], *result))
-        waiting = None if last else pdf.iloc[cuts[-2] :]
-        return pd.DataFrame(out, columns=columns)
-
-    for pdf in batches:
-        if waiting is not None:
-            pdf = pd.concat([waiting, pdf], ignore_index=True)
-        if len(pdf):
-            yield walk(pdf, False)
-    if waiting is not None:
-        yield walk(waiting, True)
-
-
-def tracker_input(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = None) -> DataFrame:
-    """One row per candidate, or one row with NULLs for a frame without candidates.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.minimum(areas, last_area) / np.maximum(areas, last_area)
+    stable = np.where(ratio >= 1.0 - cfg.max_area_change, ratio, 0.5 * ratio)
+    s_area = np.where((last_area > 0) & (areas > 0), stable, 0.5)
+    apart = np.maximum(0.0, 1.0 - 2.5 * np.abs(aspects - last_aspect))
+    s_aspect = np.where((last_aspect > 0) & (aspects > 0), apart, 0.5)
+    s_iou = quad_iou_arrays(quads, last)
+    return np.clip(0.35 * s_iou + 0.30 * s_corner + 0.15 * s_centre + 0.10 * s_area + 0.10 * s_aspect, 0.0, 1.0)
+
+
+class FrameBatch:
+    """Frames of an Arrow batch as arrays, with their candidates in order of static score."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        cands = batch.column("cands")
+        self.count = np.asarray(pc.fill_null(pc.list_value_length(cands), 0), int)
+        self.start = np.cumsum(self.count) - self.count
+        flat = cands.flatten()
+        number = lambda name: np.asarray(pc.fill_null(flat.field(name), float("nan")), float)
+        self.static, self.area, self.aspect = -number("rank"), number("area"), number("aspect")
+        self.quad = np.asarray(flat.field("quad").flatten(), float).reshape(-1, 4, 2)
+        self.w, self.h = (np.asarray(batch.column(c), float) for c in ("frame_w", "frame_h"))
+        tier2 = batch.column("tier2")
+        self.replaced = np.asarray(tier2.is_valid())
+        self.tier2 = np.zeros((batch.num_rows, 4, 2))
+        self.tier2[self.replaced] = np.asarray(tier2.flatten(), float).reshape(-1, 4, 2)
+        n = batch.num_rows
+        self.outcome = np.zeros(n, int)  # 0 no candidates, 1 rejected, 2 first detection, 3 guided
+        self.corners, self.box = np.zeros((n, 4, 2)), np.zeros((n, 4), int)
+        self.score, self.best_static, self.similar = np.zeros(n), np.zeros(n), np.zeros(n)
+
+    def step(self, tracks: Tracks, frames: np.ndarray, at: np.ndarray, cfg: TrackerConfig) -> None:
+        """Advance the tracks ``at`` by one frame each, all at once."""
+        count = self.count[frames]
+        tracks.miss(at[count == 0], cfg)
+        frames_with, tracks_with, count = frames[count > 0], at[count > 0], count[count > 0]
+        if len(frames_with):
+            self._choose(tracks, frames_with, tracks_with, count, cfg)
+        over = self.replaced[frames]
+        if over.any():
+            tracks.take_over(at[over], self.tier2[frames[over]])
+
+    def _choose(self, tracks: Tracks, frames, at, count, cfg: TrackerConfig) -> None:
+        first = np.cumsum(count) - count
+        owner = np.repeat(np.arange(len(frames)), count)
+        c = np.arange(len(owner)) - first[owner] + self.start[frames][owner]
+        guided = tracks.known[at] if cfg.temporal_enabled else np.zeros(len(at), bool)
+        temporal, fused = np.ones(len(c)), self.static[c]
+        g = guided[owner]
+        if g.any():
+            mine, cg, f = at[owner[g]], c[g], frames[owner[g]]
+            temporal[g] = similarity_to_last(
+                tracks.quad[mine], tracks.area[mine], tracks.aspect[mine], self.quad[cg], self.area[cg], self.aspect[cg], self.w[f], self.h[f], cfg
+            )
+            fused = np.where(g, (1.0 - cfg.temporal_weight) * fused + cfg.temporal_weight * temporal, fused)
+        fused = np.round(np.clip(fused, 0.0, 1.0), 4)
+        top = np.maximum.reduceat(fused, first)
+        hits = np.flatnonzero(fused == top[owner])
+        best = hits[np.unique(owner[hits], return_index=True)[1]]
+        pick = c[best]
+        self.score[frames], self.best_static[frames] = top, self.static[pick]
+        self.similar[frames] = np.round(temporal[best], 4)
+        taken = top >= cfg.min_tracking_score
+        tracks.miss(at[~taken], cfg)
+        self.outcome[frames] = np.where(taken, np.where(guided, 3, 2), 1)
+        quads = self.quad[pick]
+        smooth = cfg.smoothing_alpha * quads + (1.0 - cfg.smoothing_alpha) * tracks.quad[at]
+        quads = np.where(guided[:, None, None], smooth, quads)
+        yes = np.flatnonzero(taken)
+        tracks.accept(at[yes], quads[yes], self.area[pick[yes]], self.aspect[pick[yes]])
+        f = frames[yes]
+        self.corners[f] = quads[yes]
+        low, high = np.rint(quads[yes].min(axis=1)), np.rint(quads[yes].max(axis=1))
+        edge = np.stack([self.w[f], self.h[f]], axis=1) - 1
+        self.box[f] = np.concatenate([np.clip(low, 0, edge), np.clip(high, 0, edge)], axis=1)
+
+    def results(self, cfg: TrackerConfig) -> list[pa.Array]:
+        """Columns of ``RESULT_SCHEMA``."""
+        taken = self.outcome >= 2
+        rejected = np.flatnonzero(self.outcome == 1)
+        reasons = np.where(self.outcome == 0, NO_CANDIDATES[1], None).astype(object)
+        reasons[rejected] = [REJECTED_WHY.format(s, cfg.min_tracking_score) for s in self.score[rejected].tolist()]
+        points = self.corners[taken].reshape(-1, 2)
+        xy = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+        ends = lambda k: pa.array(np.concatenate([[0], np.cumsum(taken * k)]).astype(np.int32), mask=np.append(~taken, False))
+        return [
+            pa.array(taken),
+            pa.array(METHODS[self.outcome], pa.string()),
+            pa.ListArray.from_arrays(ends(4), xy),
+            pa.ListArray.from_arrays(ends(4), pa.array(self.box[taken].ravel().astype(np.int32))),
+            pa.array(self.score),
+            pa.array(self.best_static),
+            pa.array(self.similar),
+            pa.array(reasons, pa.string()),
+        ]
+
+
+def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = None) -> DataFrame:
+    """One row per frame with its candidates as an array in order of static score, then ``cand_id``.
 
     ``frames`` is ``video_id, frame_idx, frame_w, frame_h``; ``scored`` carries
     ``video_id, frame_idx, cand_id, corners, area, aspect_ratio, static_score``.
-    ``tier2`` lists quads that replace the tracked one after their frame.
+    ``tier2`` lists quads that replace the tracked one after their frame. A candidate without four corners is none.
     """
+    types = dict(frames.dtypes)
+    key = F.struct(*[F.col(c).cast(types[c]).alias(c) for c in ("video_id", "frame_idx")]).alias("__frame")  # NULL equals NULL
+    quad = flat(G.order_points(F.col("corners")))
     slim = scored.select(
-        "video_id",
-        "frame_idx",
-        "cand_id",
-        flat(G.order_points(F.col("corners"))).alias("quad"),
-        F.col("area").cast("double").alias("area"),
-        F.col("aspect_ratio").cast("double").alias("aspect_ratio"),
-        F.col("static_score").cast("double").alias("static_score"),
+        key,
+        F.struct(
+            -F.coalesce(F.col("static_score").cast("double"), F.lit(0.0)).alias("rank"),
+            "cand_id",
+            quad.alias("quad"),
+            F.col("area").cast("double").alias("area"),
+            F.col("aspect_ratio").cast("double").alias("aspect"),
+        ).alias("cand"),
+    ).filter("cand.quad IS NOT NULL")
+    kind = dict(scored.dtypes)["cand_id"]
+    grouped = slim.groupBy("__frame").agg(
+        F.sort_array(F.collect_list("cand")).cast(CANDIDATES.format(cand_id=kind)).alias("cands")
     )
-    keys = ["video_id", "frame_idx"]
-    joined = frames.select(*keys, "frame_w", "frame_h").join(slim, keys, "left")
-    if tier2 is not None:
-        accepted = tier2.select(*keys, flat(G.order_points(F.col("corners"))).alias("tier2"))
-        joined = joined.join(accepted, keys, "left")
-    return joined
+    given = frames.select(key, "frame_w", "frame_h").join(grouped, "__frame", "left")
+    if tier2 is None:
+        given = given.withColumn("tier2", F.lit(None).cast("array<double>"))
+    else:
+        given = given.join(tier2.select(key, quad.alias("tier2")).filter("tier2 IS NOT NULL"), "__frame", "left")
+    return given.select("__frame.video_id", "__frame.frame_idx", "frame_w", "frame_h", "cands", "tier2")
 
 
-def track(frames: DataFrame, scored: DataFrame, cfg: TrackerConfig = TrackerConfig(), tier2: DataFrame | None = None) -> DataFrame:
-    """Tracked detection for every frame of every capture."""
-    rows = tracker_input(frames, scored, tier2)
+def track_segments(rows: DataFrame, max_frames_lost: int, bucket_rows: int = 4096) -> DataFrame:
+    """Add ``segment``: frames of a capture with different segments cannot influence each other.
+
+    More than ``max_frames_lost`` frames in a row without candidates and without a take-over leave the tracker without a
+    history, whatever it was before. The frame after such a gap starts a segment, named by its index; the first
+    segment is NULL. Gaps are looked for within buckets of about ``bucket_rows`` frames, one row per bucket
+    carries the segment on; a gap across the end of a bucket may stay uncut, which only makes a segment longer.
+    """
+    cut = order_buckets(rows, ["video_id"], "frame_idx", bucket_rows)
+    inside = Window.partitionBy("video_id", "__bucket").orderBy("frame_idx")
+    live = (F.coalesce(F.size("cands"), F.lit(0)) > 0) | F.col("tier2").isNotNull()
+    numbered = cut.withColumns({"__live": live, "__rn": F.row_number().over(inside)})
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.coalesce(F.last(F.when(F.col("__live"), F.col("__rn")), ignorenulls=True).over(before), F.lit(0))
+    starts = numbered.withColumn("__start", F.when(F.col("__live") & (F.col("__rn") - last - 1 > max_frames_lost), F.col("frame_idx")))
+    begun = F.last("__start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    local = starts.withColumn("__local", begun)
+    ends = local.groupBy("video_id", "__bucket").agg(F.max("__start").alias("__last"))
+    along = Window.partitionBy("video_id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(along))
+    carried = carried.filter("__carried IS NOT NULL").select("video_id", "__bucket", "__carried")
+    joined = null_safe(local, carried, ["video_id", "__bucket"])
+    return joined.select(*rows.columns, F.coalesce("__local", "__carried").alias("segment"))
+
+
+def _lockstep(batches, cfg: TrackerConfig):
+    """Track sorted rows: the segments of a batch advance together, frame by frame.
+
+    The last segment of a batch may go on in the next, so its state is kept; nothing else is.
+    """
+    names = ["video_id", "frame_idx", *RESULT_COLUMNS]
+    kept, key = Tracks(1), None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(c) for c in ("video_id", "segment")]
+        change = np.zeros(n, bool)
+        for c in columns:
+            codes = np.asarray(c.dictionary_encode("encode").indices)
+            change[1:] |= codes[1:] != codes[:-1]
+        first = [c[0].as_py() for c in columns]
+        change[0] = True
+        start = np.flatnonzero(change)
+        size = np.diff(np.append(start, n))
+        tracks = Tracks(len(start))
+        if first == key:
+            tracks.copy_from(0, kept, 0)
+        work = FrameBatch(batch)
+        at = np.argsort(-size, kind="stable")
+        for t in range(size.max()):
+            at = at[: np.searchsorted(-size[at], -t, "left")]
+            work.step(tracks, start[at] + t, at, cfg)
+        kept.copy_from(0, tracks, len(start) - 1)
+        key = [c[n - 1].as_py() for c in columns]
+        yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), *work.results(cfg)], names)
+
+
+def track(
+    frames: DataFrame,
+    scored: DataFrame,
+    cfg: TrackerConfig = TrackerConfig(),
+    tier2: DataFrame | None = None,
+    bucket_rows: int = 4096,
+) -> DataFrame:
+    """Tracked detection for every frame of every capture.
+
+    Rows are dealt by capture and segment, so a capture with gaps is spread; a task streams its rows in order.
+    """
+    rows = track_segments(frame_rows(frames, scored, tier2), cfg.max_frames_lost, bucket_rows)
     types = dict(rows.dtypes)
-    ordered = rows.repartition("video_id").sortWithinPartitions(
-        "video_id", "frame_idx", F.col("static_score").desc(), "cand_id"
-    )
+    ordered = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx")
     schema = f"video_id {types['video_id']}, frame_idx {types['frame_idx']}, {RESULT_SCHEMA}"
 
     def scan(batches):
-        return _scan(batches, cfg)
+        return _lockstep(batches, cfg)
+
+    return ordered.mapInArrow(scan, schema)
 
-    return ordered.mapInPandas(scan, schema)
+
+def linear_scan(decay: np.ndarray, value: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solve ``s[t] = value[t] + decay[t] * s[t - 1]`` from zero within runs of rows, ``place`` counting from 0 in each.
+
+    Pairs (decay, sum) combine associatively, so spans double: after k steps a row covers 2**k rows of its run. Returns
+    the product of decays since the start of the run, and the sums.
+    """
+    decay, total, span = decay.copy(), value.copy(), 1
+    longest = int(place.max(initial=-1))
+    while span <= longest:
+        reach = np.flatnonzero(place >= span)
+        total[reach], decay[reach] = total[reach] + decay[reach] * total[reach - span], decay[reach] * decay[reach - span]
+        span *= 2
+    return decay, total
 
 
 def _recurrence(batches, group, until: str):
     """``s = x + decay * s`` along sorted rows; a new group starts from its first ``seed``.
 
-    ``until`` says whether the value after the row or before it is reported.
+    ``until`` says whether the value after the row or before it is reported. A group may go on in the next batch.
     """
-    current, s, i = None, 0.0, 0
+    key, carried, seen = None, 0.0, 0
     for pdf in batches:
-        out, seq = [], []
-        for key, x, decay, seed in zip(zip(*[pdf[g] for g in group]), pdf["__x"], pdf["__decay"], pdf["__seed"]):
-            if key != current:
-                current, s, i = key, seed, 0
-            before, s, i = s, x + decay * s, i + 1
-            out.append(before if until == "before" else s)
-            seq.append(i)
-        yield pdf.assign(__s=out, __i=seq)
+        if not len(pdf):
+            continue
+        codes = pdf.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+        new = np.r_[True, codes[1:] != codes[:-1]]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(pdf)), 0))
+        place = np.arange(len(pdf)) - start
+        entering = pdf["__seed"].to_numpy(float)[start]
+        first = pdf[group].iloc[:1].to_numpy().tolist()
+        before_batch = np.zeros(len(pdf), np.int64)
+        if first == key:
+            own = start == 0
+            entering, before_batch = np.where(own, carried, entering), np.where(own, seen, 0)
+        decay, total = linear_scan(pdf["__decay"].to_numpy(float), pdf["__x"].to_numpy(float), place)
+        after = total + decay * entering
+        index = place + 1 + before_batch
+        key, carried, seen = pdf[group].iloc[-1:].to_numpy().tolist(), after[-1], int(index[-1])
+        before = np.where(new, entering, np.r_[0.0, after[:-1]])
+        yield pdf.assign(__s=before if until == "before" else after, __i=index)
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.7, name: str = "ema", width: int = 4096) -> DataFrame:
     """Exponential smoothing ``s_t = a x_t + (1 - a) s_{t-1}`` that starts at the first value.
 
-    The smoothing is linear: every bucket of the order column is folded on its own
+    The smoothing is linear: every bucket of about ``width`` rows is scanned on its own
     from zero, and the state entering a bucket adds a decayed multiple to its rows.
     One row per bucket carries the state along the capture.
     """
     keep = 1.0 - alpha
-    base = df.withColumns(
+    base = order_buckets(df, [key], order, width).withColumns(
         {
-            "__bucket": F.floor(F.col(order) / F.lit(width)),
             "__x": F.lit(alpha) * F.col(value).cast("double"),
             "__decay": F.lit(keep),
             "__seed": F.lit(0.0),
         }
     )
     kinds = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    key_kind = dict(df.dtypes)[key]
+    key_kind, bucket_kind = dict(df.dtypes)[key], dict(base.dtypes)["__bucket"]
 
     def inside(batches):
         return _recurrence(batches, [key, "__bucket"], "after")
@@ -263,8 +373,8 @@ def ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.7, nam
     entering = (
         ends.repartition(key)
         .sortWithinPartitions(key, "__bucket")
-        .mapInPandas(across, f"`{key}` {key_kind}, __bucket long, __x double, __decay double, __seed double, __s double, __i long")
+        .mapInPandas(across, f"`{key}` {key_kind}, __bucket {bucket_kind}, __x double, __decay double, __seed double, __s double, __i long")
         .select(key, "__bucket", F.col("__s").alias("__in"))
     )
     smoothed = F.col("__s") + F.col("__in") * F.pow(F.lit(keep), F.col("__i"))
-    return local.join(entering, [key, "__bucket"]).select(*df.columns, smoothed.alias(name))
+    return null_safe(local, entering, [key, "__bucket"]).select(*df.columns, smoothed.alias(name))

@@ -16,7 +16,7 @@ from captura.functions import geometry as G
 from captura.functions.polygons import flat
 from captura.operators.candidates import _best
 from captura.operators.temporal import CONSISTENCY_THRESHOLD
-from captura.operators.tracking import RESULT_SCHEMA, FrameRows, TrackerConfig, TrackState
+from captura.operators.tracking import RESULT_SCHEMA, TrackerConfig
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
