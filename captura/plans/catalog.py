@@ -7,6 +7,7 @@ from captura.plans import (  # noqa: F401
     catalog_sets,
     catalog_systems,
     catalog_text,
+    catalog_tracking,
 )
 from captura.plans.registry import ORACLES, QUERIES
 

@@ -8,7 +8,6 @@ from captura.functions.rounding import round_half_even
 from captura.operators import candidates as C
 from captura.operators import gates as A
 from captura.operators import localization as L
-from captura.operators.tracking import track
 from captura.plans import views as V
 from captura.plans.registry import clamp, query, r
 
@@ -591,47 +590,7 @@ def summary(spark, sf_dir):
     return L.detection_summary(_tier1(spark, sf_dir))
 
 
-# --- tracking ------------------------------------------------------------------------------
-
-
-def tracker_tables(spark, sf_dir):
-    """Frames and scored candidates with the customer as capture and the order as frame."""
-    orders = V.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    frames = orders.select(
-        F.col("o_custkey").alias("video_id"),
-        F.col("o_orderkey").alias("frame_idx"),
-        F.lit(V.FRAME_W).alias("frame_w"),
-        F.lit(V.FRAME_H).alias("frame_h"),
-    )
-    scored = _scored(spark, sf_dir).withColumnRenamed("frame_id", "frame_idx").drop("video_id")
-    owners = orders.select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("frame_idx"))
-    return frames, scored.join(owners, "frame_idx")
-
-
-@query("q03_q04_track")
-def tracked(spark, sf_dir):
-    frames, scored = tracker_tables(spark, sf_dir)
-    rows = track(frames, scored)
-    return rows.select(
-        "video_id",
-        "frame_idx",
-        "detected",
-        "method",
-        F.array_join("bbox", ",").alias("bbox"),
-        "confidence",
-        "static_score",
-        "temporal_score",
-    )
-
-
-@query("e05_tracked_localization")
-def tracked_quality(spark, sf_dir):
-    frames, scored = tracker_tables(spark, sf_dir)
-    truth = _truth(spark, sf_dir).select(F.col("frame_id").alias("frame_idx"), "corners")
-    measured = L.against_truth(track(frames, scored), truth, keys=("frame_idx",)).withColumn(
-        "frame_id", F.col("frame_idx")
-    )
-    return L.localization_metrics(measured.withColumn("mode", _mode_column()))
+# --- overlap of moved quads ----------------------------------------------------------------
 
 
 @query("g08_quad_overlap")
