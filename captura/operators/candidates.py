@@ -13,6 +13,7 @@ from captura.functions import geometry as G
 from captura.functions.polygons import flat
 from captura.functions.rounding import clamp01, round_half_even
 from captura.operators.grouping import null_safe, tiles
+from captura.operators.shared import written
 
 # --- fixed values ---------------------------------------------------------
 SCORE_WEIGHTS = {
@@ -42,7 +43,8 @@ def validate_quads(candidates: DataFrame, min_aspect: float = 1.0, max_aspect: f
     """Keep physically plausible quads and add bbox, aspect, rectangularity, confidence.
 
     Corners are put in canonical order first. ``rectangularity`` is taken from the
-    input when present; otherwise it is measured on the quad itself.
+    input when present; otherwise it is measured on the quad itself. ``mean_cos`` is
+    kept, so that scoring need not measure again.
     """
     w, h = F.col("frame_w"), F.col("frame_h")
     m = lambda field: F.col(f"__m.{field}")
@@ -69,6 +71,7 @@ def validate_quads(candidates: DataFrame, min_aspect: float = 1.0, max_aspect: f
             "aspect_ratio": round_half_even(aspect, 3),
             "rectangularity": round_half_even(rect, 3),
             "confidence": clamp01(round_half_even(confidence)),
+            "mean_cos": m("mean_cos"),
         }
     ).drop("__m")
 
@@ -137,9 +140,11 @@ def nesting(candidates: DataFrame, keys=FRAME, tile_rows: int = TILE_CANDIDATES)
     A is nested in B when all its corners lie in B, whose coordinates lose their
     fraction, and its area is below 85 % of B's. The parent is the last enclosing
     candidate in input order. Tiles of a frame report one partial row per candidate
-    with a finding, never one per pair.
+    with a finding, never one per pair. Candidates are written once: tiles, sizes of frames and the
+    result read them.
     """
     keys = list(keys)
+    candidates = written(candidates, "candidates")
     slim = candidates.select(*keys, "cand_id", "area", flat(F.col("corners")).alias("quad"))
     tiled = tiles(slim, keys, ["cand_id"], tile_rows)
     entry = F.struct("cand_id", F.col("area").cast("double").alias("area"), "quad")
@@ -197,7 +202,8 @@ def score_candidates(
     """Static score of every candidate from aspect, area, shape, edges and nesting."""
     w = {**SCORE_WEIGHTS, **(weights or {})}
     columns = candidates.columns
-    shaped = G.measure(candidates, "corners", "__m")
+    known = {"mean_cos", "aspect_ratio"} <= set(columns)
+    shaped = candidates if known else G.measure(candidates, "corners", "__m")
     filled = shaped.withColumns(
         {
             "area_ratio": F.col("area_ratio")
@@ -208,7 +214,7 @@ def score_candidates(
             else round_half_even(G.aspect_ratio(F.col("__m.w"), F.col("__m.h")), 3),
             "rectangularity": F.col("rectangularity") if "rectangularity" in columns else F.lit(1.0),
             "__edge": F.coalesce("edge_quality", F.lit(0.5)) if "edge_quality" in columns else F.lit(0.5),
-            "__mean_cos": F.col("__m.mean_cos"),
+            "__mean_cos": F.col("mean_cos") if "mean_cos" in columns else F.col("__m.mean_cos"),
         }
     ).drop("__m")
     marked = nesting(filled, keys, tile_rows)

@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from captura.functions import geometry as G
-from captura.functions.polygons import flat, quad_iou_arrays, signed_area
+from captura.functions.polygons import flat, order_arrays, quad_iou_arrays, signed_area
 from captura.operators.grouping import null_safe, order_buckets
+from captura.operators.shared import written
 
 
 # --- fixed values ---------------------------------------------------------
@@ -105,12 +105,12 @@ class FrameBatch:
         flat = cands.flatten()
         number = lambda name: np.asarray(pc.fill_null(flat.field(name), float("nan")), float)
         self.static, self.area, self.aspect = -number("rank"), number("area"), number("aspect")
-        self.quad = np.asarray(flat.field("quad").flatten(), float).reshape(-1, 4, 2)
+        self.quad = order_arrays(np.asarray(flat.field("quad").flatten(), float).reshape(-1, 4, 2))
         self.w, self.h = (np.asarray(batch.column(c), float) for c in ("frame_w", "frame_h"))
         tier2 = batch.column("tier2")
         self.replaced = np.asarray(tier2.is_valid())
         self.tier2 = np.zeros((batch.num_rows, 4, 2))
-        self.tier2[self.replaced] = np.asarray(tier2.flatten(), float).reshape(-1, 4, 2)
+        self.tier2[self.replaced] = order_arrays(np.asarray(tier2.flatten(), float).reshape(-1, 4, 2))
         n = batch.num_rows
         self.outcome = np.zeros(n, int)  # 0 no candidates, 1 rejected, 2 first detection, 3 guided
         self.corners, self.box = np.zeros((n, 4, 2)), np.zeros((n, 4), int)
@@ -182,8 +182,8 @@ class FrameBatch:
         ]
 
 
-def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = None) -> DataFrame:
-    """One row per frame with its candidates as an array in order of static score, then ``cand_id``.
+def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = None, bucket_rows: int = 4096) -> DataFrame:
+    """One row per frame with its candidates as an array in order of static score, then ``cand_id``, and its order bucket.
 
     ``frames`` is ``video_id, frame_idx, frame_w, frame_h``; ``scored`` carries
     ``video_id, frame_idx, cand_id, corners, area, aspect_ratio, static_score``.
@@ -191,7 +191,7 @@ def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = N
     """
     types = dict(frames.dtypes)
     key = F.struct(*[F.col(c).cast(types[c]).alias(c) for c in ("video_id", "frame_idx")]).alias("__frame")  # NULL equals NULL
-    quad = flat(G.order_points(F.col("corners")))
+    quad = flat(F.col("corners"))  # put in canonical order by FrameBatch
     slim = scored.select(
         key,
         F.struct(
@@ -206,26 +206,27 @@ def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = N
     grouped = slim.groupBy("__frame").agg(
         F.sort_array(F.collect_list("cand")).cast(CANDIDATES.format(cand_id=kind)).alias("cands")
     )
-    given = frames.select(key, "frame_w", "frame_h").join(grouped, "__frame", "left")
+    # Buckets come from the frames alone, which are cheaper to read twice than their candidates.
+    cut = order_buckets(frames.select("video_id", "frame_idx", "frame_w", "frame_h"), ["video_id"], "frame_idx", bucket_rows)
+    given = cut.select(key, "frame_w", "frame_h", "__bucket").join(grouped, "__frame", "left")
     if tier2 is None:
         given = given.withColumn("tier2", F.lit(None).cast("array<double>"))
     else:
         given = given.join(tier2.select(key, quad.alias("tier2")).filter("tier2 IS NOT NULL"), "__frame", "left")
-    return given.select("__frame.video_id", "__frame.frame_idx", "frame_w", "frame_h", "cands", "tier2")
+    return given.select("__frame.video_id", "__frame.frame_idx", "frame_w", "frame_h", "cands", "tier2", "__bucket")
 
 
-def track_segments(rows: DataFrame, max_frames_lost: int, bucket_rows: int = 4096) -> DataFrame:
+def track_segments(rows: DataFrame, max_frames_lost: int) -> DataFrame:
     """Add ``segment``: frames of a capture with different segments cannot influence each other.
 
     More than ``max_frames_lost`` frames in a row without candidates and without a take-over leave the tracker without a
     history, whatever it was before. The frame after such a gap starts a segment, named by its index; the first
-    segment is NULL. Gaps are looked for within buckets of about ``bucket_rows`` frames, one row per bucket
+    segment is NULL. Gaps are looked for within the buckets of :func:`frame_rows`, one row per bucket
     carries the segment on; a gap across the end of a bucket may stay uncut, which only makes a segment longer.
     """
-    cut = order_buckets(rows, ["video_id"], "frame_idx", bucket_rows)
     inside = Window.partitionBy("video_id", "__bucket").orderBy("frame_idx")
     live = (F.coalesce(F.size("cands"), F.lit(0)) > 0) | F.col("tier2").isNotNull()
-    numbered = cut.withColumns({"__live": live, "__rn": F.row_number().over(inside)})
+    numbered = rows.withColumns({"__live": live, "__rn": F.row_number().over(inside)})
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     last = F.coalesce(F.last(F.when(F.col("__live"), F.col("__rn")), ignorenulls=True).over(before), F.lit(0))
     starts = numbered.withColumn("__start", F.when(F.col("__live") & (F.col("__rn") - last - 1 > max_frames_lost), F.col("frame_idx")))
@@ -236,7 +237,7 @@ def track_segments(rows: DataFrame, max_frames_lost: int, bucket_rows: int = 409
     carried = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(along))
     carried = carried.filter("__carried IS NOT NULL").select("video_id", "__bucket", "__carried")
     joined = null_safe(local, carried, ["video_id", "__bucket"])
-    return joined.select(*rows.columns, F.coalesce("__local", "__carried").alias("segment"))
+    return joined.select(*[c for c in rows.columns if c != "__bucket"], F.coalesce("__local", "__carried").alias("segment"))
 
 
 def _lockstep(batches, cfg: TrackerConfig):
@@ -281,9 +282,10 @@ def track(
 ) -> DataFrame:
     """Tracked detection for every frame of every capture.
 
-    Rows are dealt by capture and segment, so a capture with gaps is spread; a task streams its rows in order.
+    Frames with their candidates are written once, because segments look at them twice. Rows are then dealt by capture
+    and segment, so a capture with gaps is spread; a task streams its rows in order.
     """
-    rows = track_segments(frame_rows(frames, scored, tier2), cfg.max_frames_lost, bucket_rows)
+    rows = track_segments(written(frame_rows(frames, scored, tier2, bucket_rows), "frames"), cfg.max_frames_lost)
     types = dict(rows.dtypes)
     ordered = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx")
     schema = f"video_id {types['video_id']}, frame_idx {types['frame_idx']}, {RESULT_SCHEMA}"

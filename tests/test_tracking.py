@@ -135,7 +135,7 @@ def test_capture_with_gaps_is_spread(spark):
     cands = [("v", 10**6 * f, 0, card, 57000.0, 1.579, 0.7) for f in range(400) if f % 10 < 3]
     frames, scored, _ = tables(spark, rows, cands, None)
     for bucket_rows in (4096, 32):
-        sizes = track_segments(frame_rows(frames, scored), 5, bucket_rows).groupBy("segment").count().collect()
+        sizes = track_segments(frame_rows(frames, scored, bucket_rows=bucket_rows), 5).groupBy("segment").count().collect()
         assert len(sizes) >= (40 if bucket_rows == 4096 else 20) and max(r["count"] for r in sizes) <= 50
 
 
