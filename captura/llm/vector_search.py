@@ -246,8 +246,8 @@ def nearest(
 
 #: The same answer by comparing every query with every row.
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS c FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 numbered AS (SELECT *, row_number() OVER () AS n FROM v),
 pairs AS (SELECT q.n AS qn, q.vec_id AS query_id, x.vec_id, list_inner_product(q.c, x.c)::BIGINT AS score
           FROM numbered q JOIN numbered x ON q.n <> x.n WHERE q.vec_id % 100 = 0),
