@@ -55,20 +55,33 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
+def packed_texts(texts: pa.Array) -> bytes:
+    """A column of texts as one compressed Arrow stream, so that a chunk takes little where answers join it."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def texts_of(batch: pa.RecordBatch, row: int) -> list:
+    """The texts of one row of chunks."""
+    with pa.ipc.open_stream(batch.column("texts")[row].as_buffer()) as stream:
+        return stream.read_all().column("text").to_pylist()
+
+
 def pack_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of whole documents: ``chunk, doc_ids, texts``, written to the shared folder."""
+    """Chunks of whole documents: ``chunk, doc_ids, texts`` (see :func:`texts_of`), written to the shared folder."""
 
     def chunks(batches):
         task, number, held, used = TaskContext.get().partitionId(), 0, [], 0
 
         def row():
             whole = pa.Table.from_batches(held).combine_chunks()
-            lists = [
-                pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c).chunk(0))
-                for c in ("doc_id", "text")
-            ]
+            ids = pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column("doc_id").chunk(0))
+            body = pa.array([packed_texts(whole.column("text").chunk(0))], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 24) + number], pa.int64()), *lists], ["chunk", "doc_ids", "texts"]
+                [pa.array([(task << 24) + number], pa.int64()), ids, body], ["chunk", "doc_ids", "texts"]
             )
 
         for batch in batches:
@@ -82,7 +95,7 @@ def pack_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
             yield row()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(chunks, f"chunk long, doc_ids array<{kind}>, texts array<string>")
+    rows = docs.select("doc_id", "text").mapInArrow(chunks, f"chunk long, doc_ids array<{kind}>, texts binary")
     return materialize(rows, "chunks")
 
 
@@ -103,7 +116,7 @@ def count_exchange(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                keys, counts = keys_of(row.column("doc_ids")[0].as_py(), row.column("texts")[0].as_py())
+                keys, counts = keys_of(row.column("doc_ids")[0].as_py(), texts_of(row, 0))
                 cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 full = np.flatnonzero(np.diff(cuts))
                 out = [(int(r), cuts[r], cuts[r + 1]) for r in full]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.llm.common import materialize
-from captura.llm.exchange import answered, count_exchange, distinct, pack_chunks, with_answers
+from captura.llm.exchange import answered, count_exchange, distinct, pack_chunks, texts_of, with_answers
 from captura.llm.graph import Forest, components
 from captura.llm.words import hash_table, hashes_of, shingles, words_of
 
@@ -83,7 +83,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, texts = batch.column("doc_ids")[i].as_py(), batch.column("texts")[i].as_py()
+                ids, texts = batch.column("doc_ids")[i].as_py(), texts_of(batch, i)
                 held = _sets(texts, words)
                 keys = distinct(np.concatenate([s & KEY_MASK for s in held] or [np.zeros(0, np.uint64)]))
                 (count,) = answered(batch.column("answers0")[i].as_py())

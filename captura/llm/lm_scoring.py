@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.llm.common import crc_fold, crc_fold_of
-from captura.llm.exchange import answered, count_exchange, pack_chunks, totals_of, with_answers
+from captura.llm.exchange import answered, count_exchange, pack_chunks, texts_of, totals_of, with_answers
 from captura.llm.words import hash_table, hashes_of, window_hashes, words_of
 
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 3
@@ -123,7 +123,7 @@ def score_texts(docs: DataFrame, order: int = 2) -> DataFrame:
 
     def counted(row, i, column):
         """Counts of all texts' n-grams by order, and where the texts begin, from one row of chunks."""
-        tokens = _tokens(row.column("texts")[i].as_py(), order)
+        tokens = _tokens(texts_of(row, i), order)
         lengths = np.array([len(t) - (order - 1) for t in tokens])
         out = []
         for n in range(1, order + 1):

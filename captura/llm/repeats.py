@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captura.llm.common import materialize
-from captura.llm.exchange import answered, count_exchange, decode, decode_sorted, encode, encode_sorted, pack_chunks, with_answers
+from captura.llm.exchange import answered, count_exchange, decode, decode_sorted, encode, encode_sorted, pack_chunks, texts_of, with_answers
 
 LENGTH = 50
 SEED = 24
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = batch.column("doc_ids")[i].as_py()
-                data, _, keys, owner, at, windows = pieces(batch.column("texts")[i].as_py())
+                data, _, keys, owner, at, windows = pieces(texts_of(batch, i))
                 if not len(keys):
                     continue
                 (count,) = answered(batch.column("answers0")[i].as_py())
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = batch.column("doc_ids")[i].as_py()
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("texts")[i].as_py()]
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts_of(batch, i)]
                 heads = np.cumsum([0, *[len(r) for r in raw]])
                 level = np.zeros(heads[-1] + 1, np.int32)
                 found = [[decode(x).astype(np.int64) for x in m] for m in batch.column("marks")[i].as_py() or []]
