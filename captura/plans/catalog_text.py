@@ -176,6 +176,24 @@ def _canon_sql(column: str) -> str:
 
 
 _CLEAN = _canon_sql("value")
+
+
+def _ratio_sql(pairs: str) -> str:
+    """``rated(x, y, sim)`` of distinct unequal pairs: a block is the longest, then first common substring, and both sides go on."""
+    longest = (
+        "list_max(list_transform(range(1, length(x) + 1), lambda i: {'k': len(list_filter(range(1, length(x) - i + 2), "
+        "lambda k: contains(y, substr(x, i, k)))), 'i': -i}))"
+    )
+    return (
+        f"open_pairs AS (SELECT x, y, row_number() OVER () AS id FROM (SELECT DISTINCT x, y FROM ({pairs}))), "
+        "blocks AS (SELECT id, {'x': x, 'y': y, 'm': CAST(0 AS BIGINT)} AS u FROM open_pairs UNION ALL "
+        "SELECT id, unnest([{'x': substr(x, 1, i - 1), 'y': substr(y, 1, j - 1), 'm': k}, {'x': substr(x, i + k), 'y': substr(y, j + k), 'm': CAST(0 AS BIGINT)}]) AS u "
+        "FROM (SELECT *, strpos(y, substr(x, i, k)) AS j FROM (SELECT id, x, y, CAST(b.k AS BIGINT) AS k, CAST(-b.i AS BIGINT) AS i FROM "
+        f"(SELECT id, x, y, {longest} AS b FROM (SELECT id, u.x AS x, u.y AS y FROM blocks) WHERE x <> '' AND y <> '')) WHERE k > 0)), "
+        "rated AS (SELECT x, y, 2e0 * m / (length(x) + length(y)) AS sim FROM open_pairs p JOIN (SELECT id, sum(u.m) AS m FROM blocks GROUP BY 1) b ON b.id = p.id)"
+    )
+
+
 _SIM_SQL = (
     f"canon AS (SELECT video_id, field, frame_idx, {_CLEAN} AS c FROM long_fields WHERE value IS NOT NULL), "
     "alnum AS (SELECT *, regexp_replace(c, '[^\\w]', '', 'g') AS p FROM canon), "
@@ -186,6 +204,18 @@ _SIM_SQL = (
     + r("frequency / frames_analyzed")
     + " AS presence_rate FROM agreed g LEFT JOIN pair_means p ON g.video_id = p.video_id AND g.field = p.field)"
 )
+_RATIO_PAIRS = (
+    "SELECT a.c AS x, b.c AS y FROM alnum a JOIN alnum b ON a.video_id = b.video_id AND a.field = b.field AND a.frame_idx < b.frame_idx "
+    "WHERE a.c <> b.c AND NOT (a.p <> '' AND a.p = b.p)"
+)
+_EDIT_SIM = "1e0 - levenshtein(a.c, b.c) / CAST(greatest(length(a.c), length(b.c)) AS DOUBLE)"
+_MEANS = "pair_means AS (SELECT a.video_id"
+#: The same with the ratio of matching blocks for the edit distance.
+_RATIO_SIM_SQL = (
+    _SIM_SQL.replace(_MEANS, f"{_ratio_sql(_RATIO_PAIRS)}, {_MEANS}")
+    .replace(_EDIT_SIM, "r.sim")
+    .replace("AND a.frame_idx < b.frame_idx GROUP BY 1, 2)", "AND a.frame_idx < b.frame_idx LEFT JOIN rated r ON r.x = a.c AND r.y = b.c GROUP BY 1, 2)")
+)
 _PARSED_SQL = f"{V.SQL_TEXT}, {_parse_sql('frame_text')}, {_LONG_SQL}, {_CONSENSUS_SQL}"
 
 
@@ -206,7 +236,7 @@ def consistency_levenshtein(spark, sf_dir):
     return field_consensus(parse_fields(V.frame_texts(spark, sf_dir)), metric="levenshtein")
 
 
-@query("a05_a07_field_consistency")
+@query("a05_a07_field_consistency", f"WITH RECURSIVE {_PARSED_SQL}, {_RATIO_SIM_SQL} SELECT {_PER_FIELD} FROM per_field")
 def consistency(spark, sf_dir):
     return field_consensus(parse_fields(V.frame_texts(spark, sf_dir)))
 
@@ -265,7 +295,11 @@ def e1(spark, sf_dir):
     return _flat_summary(verify_text(V.ocr_lines(spark, sf_dir), _frames(spark, sf_dir), metric="levenshtein"))
 
 
-@query("e01_verify_text_ratio")
+@query(
+    "e01_verify_text_ratio",
+    f"WITH RECURSIVE {_E1_SQL.replace(_SIM_SQL, _RATIO_SIM_SQL)} SELECT {', '.join('s.' + c for c in _SUMMARY_COLUMNS)}, ocr_confidence "
+    "FROM summary s JOIN ocr_conf o ON s.video_id = o.video_id",
+)
 def e1_ratio(spark, sf_dir):
     return _flat_summary(verify_text(V.ocr_lines(spark, sf_dir), _frames(spark, sf_dir)))
 
@@ -312,7 +346,14 @@ def levenshtein(spark, sf_dir):
     return rated.select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("x08_ratio_similarity")
+@query(
+    "x08_ratio_similarity",
+    f"WITH RECURSIVE {_PAIR_SQL}, c AS (SELECT id, a, b, {_canon_sql('a')} AS x, {_canon_sql('b')} AS y FROM pairs), "
+    + _ratio_sql("SELECT x, y FROM c WHERE a IS NOT NULL AND b IS NOT NULL AND x <> y")
+    + " SELECT c.id, round(CASE WHEN a IS NULL AND b IS NULL THEN 1e0 WHEN a IS NULL OR b IS NULL THEN 0e0 WHEN c.x = c.y THEN 1e0 "
+    "WHEN regexp_replace(c.x, '[^\\w]', '', 'g') = regexp_replace(c.y, '[^\\w]', '', 'g') THEN 1e0 ELSE sim END, 6) AS similarity "
+    "FROM c LEFT JOIN rated r ON r.x = c.x AND r.y = c.y",
+)
 def ratio(spark, sf_dir):
     rated = string_similarity(_pairs(spark, sf_dir), "a", "b")
     return rated.select("id", F.round("similarity", 6).alias("similarity"))
