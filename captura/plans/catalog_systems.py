@@ -1,8 +1,5 @@
 """End-to-end verification, plug-in stages and streaming queries."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from captura.operators.audit import stage_status
@@ -11,13 +8,18 @@ from captura.operators.fusion import assess, fuse
 from captura.operators.ocr import parse_fields
 from captura.operators.consensus import field_values
 from captura.operators.reports import report_text, structured_result
+from captura.operators.shared import new_path, written
+from captura.plans import catalog_scores  # noqa: F401
 from captura.plans import views as V
-from captura.plans.registry import query
+from captura.plans.catalog_tracking import shown_tracks, tracker_tables
+from captura.plans.registry import ORACLES, query
 from captura.plans.verify import verify
 from captura.streaming.live import (
     consensus_counts_stream,
     leading_values,
     run_to_table,
+    similarity_stream,
+    track_stream,
     use_rocksdb,
 )
 
@@ -89,10 +91,26 @@ def plugin(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------------
 
 
-def _shared_folder(spark) -> str:
-    """A fresh folder on the storage the cluster names; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+def live(df, time: str, odd: str, operator, slices: int = 2, spill: int = 5):
+    """What a streaming operator gives if rows arrive slice by slice of a time column, with a restart after each slice.
+
+    Rows with an odd number in ``odd`` come up to ``spill`` seconds too late for their slice, so that frames are split over
+    micro-batches. A last row of no capture, far in the future, moves the watermark past all of them.
+    """
+    spark, rows, folder = df.sparkSession, new_path(df.sparkSession, "arriving"), new_path(df.sparkSession, "stream")
+    low, high = (x or 0 for x in df.agg(F.min(time), F.max(time)).first())
+    late = F.coalesce(F.abs(F.col(odd)) % 2, F.lit(0)) * spill
+    cut = F.least(F.lit(slices), F.floor((F.col(time) - low + late) / ((high - low) // slices + 1)))
+    when = F.timestamp_seconds(F.col(time) - low + 1000)
+    timed = written(df.select("*", when.alias("event_time"), cut.alias("slice")), "stream-rows")
+    shape = timed.drop("slice").schema
+    # A copy of some row: one without values could be filtered out before the watermark sees it.
+    end = timed.limit(1).drop("slice").withColumns({"video_id": F.lit(None).cast(shape["video_id"].dataType), "event_time": F.timestamp_seconds(F.lit(8 * 10**9))})
+    for k in range(slices + 2):
+        part = end if k > slices else timed.filter(F.col("slice") == k).drop("slice")
+        part.write.mode("append").parquet(rows)
+        found = run_to_table(operator(spark.readStream.schema(shape).parquet(rows)), folder)
+    return found.filter("video_id IS NOT NULL")
 
 
 def stream_of(spark, sf_dir, name):
@@ -112,6 +130,25 @@ def live_consensus(spark, sf_dir):
     events = stream_of(spark, sf_dir, "events").selectExpr(
         "user_id AS video_id", "event_id AS frame_idx", "'type' AS field", "event_type AS value"
     )
-    tallies = run_to_table(consensus_counts_stream(events), _shared_folder(spark), mode="update")
+    tallies = run_to_table(consensus_counts_stream(events), new_path(spark, "stream"), mode="update")
     latest = tallies.groupBy("video_id", "field", "value").agg(F.max_by("n", "batch").alias("n"), F.min("first_seen").alias("first_seen"))
     return leading_values(latest)
+
+
+NEVER = 10**14  # milliseconds: the batch operators keep a state for ever
+
+
+@query("r01_live_tracker", ORACLES["q03_q04_track"])
+def live_tracker(spark, sf_dir):
+    """The tracker over a stream of candidates whose frames are split over micro-batches: the rows of the batch tracker."""
+    frames, scored = tracker_tables(spark, sf_dir)
+    rows = frames.join(scored.drop("frame_w", "frame_h"), ["video_id", "frame_idx"], "left")
+    columns = ["video_id", "frame_idx", "frame_w", "frame_h", "cand_id", "corners", "area", "aspect_ratio", "static_score"]
+    found = live(rows.select(*columns), "frame_idx", "cand_id", lambda stream: track_stream(stream, idle_ms=NEVER))
+    return shown_tracks(found)
+
+
+@query("r02_live_similarity", ORACLES["w01_consecutive_similarity"])
+def live_similarity(spark, sf_dir):
+    found = live(V.embeddings(spark, sf_dir), "frame_idx", "frame_idx", lambda stream: similarity_stream(stream, idle_ms=NEVER))
+    return found.select("video_id", "frame_a", "frame_b", "similarity", "is_anomaly")

@@ -141,13 +141,13 @@ def tracker_tables(spark, sf_dir):
     return frames, scored.join(owners, "frame_idx")
 
 
-def _shown(rows):
+def shown_tracks(rows):
     return rows.withColumn("bbox", F.array_join("bbox", ",")).select(*_COLUMNS)
 
 
 @query("q03_q04_track", f"WITH RECURSIVE {G._SCORED_SQL}, {tracker_sql(_NO_TIER2)} SELECT {', '.join(_COLUMNS)} FROM walk WHERE p > 0")
 def tracked(spark, sf_dir):
-    return _shown(track(*tracker_tables(spark, sf_dir)))
+    return shown_tracks(track(*tracker_tables(spark, sf_dir)))
 
 
 @query(
@@ -160,7 +160,7 @@ def taken_over(spark, sf_dir):
     invoked = A.apply_gates(G._tier1(spark, sf_dir)).filter("invoke_tier2").select("frame_id")
     found = G._tier2(spark, sf_dir).filter("detected").join(invoked, "frame_id").select(F.col("frame_id").alias("frame_idx"), "corners")
     owners = frames.select("video_id", "frame_idx")
-    return _shown(track(frames, scored, tier2=found.join(owners, "frame_idx")))
+    return shown_tracks(track(frames, scored, tier2=found.join(owners, "frame_idx")))
 
 
 _MEASURED = (

@@ -1,6 +1,8 @@
 """Live tracker, live similarity and live consensus.
 
-State is a handful of flat fields per capture and lives in the RocksDB store, so
+Rows wait in the state until the watermark has passed their frame, so frames may be split over
+micro-batches and arrive out of order; what depends on earlier frames sees whole frames in order. State is a handful
+of flat fields and the rows that wait, per capture, and lives in the state store of the query's checkpoint, so
 it survives the loss of an executor. It expires when a capture stays quiet.
 """
 
@@ -8,15 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from captura.functions import geometry as G
 from captura.functions.polygons import flat
 from captura.operators.candidates import _best
 from captura.operators.temporal import CONSISTENCY_THRESHOLD
-from captura.operators.tracking import RESULT_SCHEMA, TrackerConfig
+from captura.operators.tracking import RESULT_COLUMNS, RESULT_SCHEMA, FrameBatch, TrackerConfig, Tracks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,95 +27,155 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-TRACK_STATE = "quad array<double>, area double, aspect double, lost int"
-SIMILARITY_STATE = "frame_idx bigint, vec array<double>"
+TRACK_STATE = "last_ms bigint, pending binary, known boolean, quad array<double>, area double, aspect double, lost int"
+SIMILARITY_STATE = "last_ms bigint, pending binary, frame_idx bigint, vec array<double>"
+EXPIRY = GroupStateTimeout.EventTimeTimeout
 
 
-def track_stream(rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_ms: int = 600_000) -> DataFrame:
-    """Tracked detections from a stream of candidate rows.
+def _stored(rows: pd.DataFrame) -> bytes:
+    """Rows as an Arrow stream, the form in which they wait in the state store."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    Rows carry ``video_id, frame_idx, frame_w, frame_h, cand_id, corners, area,
-    aspect_ratio, static_score``; a frame without candidates has one row with NULL
-    ``cand_id``. All rows of a frame must arrive in one micro-batch, in which the
-    frames of a capture are handled in order.
+
+class Waiting:
+    """Rows of one capture that arrived, split by the watermark: rows before it are complete, the others wait on.
+
+    Frames may be split over micro-batches and come out of order by less than the watermark's delay; what waits
+    is the data of that stretch of time. Spark drops rows that arrive behind the watermark.
+    """
+
+    def __init__(self, pdfs: Iterator[pd.DataFrame], store: GroupState):
+        self.store, self.state = store, store.get if store.exists else None
+        parts = [] if store.hasTimedOut else [p for p in pdfs if len(p)]
+        if self.state is not None and len(self.state[1]):
+            parts.insert(0, pa.ipc.open_stream(bytes(self.state[1])).read_pandas())
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"ms": pd.Series(dtype="int64")})
+        passed = (rows["ms"] <= store.getCurrentWatermarkMs()).to_numpy(bool)
+        self.ready, self.rest = rows[passed], rows[~passed]
+        before = self.state[0] if self.state is not None else 0
+        self.last_ms = max(before, int(self.ready["ms"].max())) if len(self.ready) else before
+
+    def expired(self, idle_ms: int) -> bool:
+        """Whether the capture has been quiet for so long that its state is void."""
+        now = self.store.getCurrentWatermarkMs()
+        return not len(self.ready) and not len(self.rest) and self.last_ms + idle_ms < now
+
+    def keep(self, state: tuple, idle_ms: int) -> None:
+        """Store the state with the rows that wait, and ask to be called when the first of them is due or the state expires."""
+        self.store.update((self.last_ms, _stored(self.rest) if len(self.rest) else b"", *state))
+        due = int(self.rest["ms"].min()) if len(self.rest) else self.last_ms + idle_ms
+        self.store.setTimeoutTimestamp(max(due, self.store.getCurrentWatermarkMs() + 1))
+
+
+def track_stream(
+    rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), delay: str = "10 seconds", idle_ms: int = 600_000
+) -> DataFrame:
+    """Tracked detections from a stream of candidate rows, in append mode.
+
+    Rows carry ``video_id, frame_idx, event_time, frame_w, frame_h, cand_id, corners, area,
+    aspect_ratio, static_score``; a frame without candidates has one row with NULL ``cand_id``, and the rows of a frame
+    share its event time. A frame is tracked once the watermark, ``delay`` behind the latest event time, has passed it, so
+    its rows may come in several micro-batches; frames go in order of event time, then index. After ``idle_ms`` without a frame
+    a capture loses its state, as after too many lost frames.
     """
-    prepared = rows.select(
+    kinds = dict(rows.dtypes)
+    slim = rows.withWatermark("event_time", delay).select(
         "video_id",
         "frame_idx",
-        "frame_w",
-        "frame_h",
-        "cand_id",
-        flat(G.order_points(F.col("corners"))).alias("quad"),
+        "event_time",
+        F.unix_millis("event_time").alias("ms"),
+        F.col("frame_w").cast("double").alias("frame_w"),
+        F.col("frame_h").cast("double").alias("frame_h"),
+        F.when(F.size("corners") == 4, F.col("cand_id")).cast("double").alias("cand_id"),
+        flat(F.col("corners")).alias("quad"),
         F.col("area").cast("double").alias("area"),
-        F.col("aspect_ratio").cast("double").alias("aspect_ratio"),
-        F.col("static_score").cast("double").alias("static_score"),
+        F.col("aspect_ratio").cast("double").alias("aspect"),
+        (-F.coalesce(F.col("static_score").cast("double"), F.lit(0.0))).alias("rank"),
     )
-    columns = ["video_id", "frame_idx", *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]]
+    columns = ["video_id", "frame_idx", *RESULT_COLUMNS]
+
+    def batch_of(rows: pd.DataFrame, first: np.ndarray) -> FrameBatch:
+        """Sorted rows as frames; ``first`` has the first row of each."""
+        real = rows["cand_id"].notna().to_numpy()
+        ends = np.append(np.append(0, np.cumsum(real))[first], real.sum()).astype(np.int32)
+        cands = rows[real]
+        fields = {c: pa.array(cands[c].to_numpy(float)) for c in ("rank", "area", "aspect")}
+        fields["quad"] = pa.array(cands["quad"].tolist(), pa.list_(pa.float64()))
+        entries = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+        sizes = [pa.array(rows[c].to_numpy(float)[first]) for c in ("frame_w", "frame_h")]
+        none = pa.nulls(len(first), pa.list_(pa.float64()))
+        columns = [*sizes, pa.ListArray.from_arrays(pa.array(ends), entries), none]
+        return FrameBatch(pa.RecordBatch.from_arrays(columns, ["frame_w", "frame_h", "cands", "tier2"]))
 
     def advance(key, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        if store.hasTimedOut:
+        given = Waiting(pdfs, store)
+        if given.expired(idle_ms):
             store.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        order = ["frame_idx", "static_score", "cand_id"]
-        pdf = pdf.sort_values(order, ascending=[True, False, True], kind="stable").reset_index(drop=True)
-        state = TrackState()
-        if store.exists:
-            quad, area, aspect, lost = store.get
-            state = TrackState(tuple(quad) if len(quad) == 8 else None, area, aspect, lost)
-        frames, batch, out = pdf["frame_idx"].to_numpy(), FrameRows(pdf), []
-        cuts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1], True])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            state, result = batch.step(state, a, b, cfg)
-            out.append((key[0], frames[a], *result))
-        store.update((list(state.quad or []), state.area, state.aspect, state.lost))
-        store.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=columns)
+        tracks, at = Tracks(1), np.zeros(1, np.int64)
+        if given.state is not None:
+            known, quad, area, aspect, lost = given.state[2:]
+            tracks.known[0], tracks.area[0], tracks.aspect[0], tracks.lost[0] = known, area, aspect, lost
+            tracks.quad[0] = np.reshape(quad, (4, 2))
+        if len(given.ready):
+            ready = given.ready.sort_values(["ms", "frame_idx", "rank", "cand_id"], kind="stable")
+            ms, index = ready["ms"].to_numpy(), ready["frame_idx"].to_numpy()
+            first = np.flatnonzero(np.r_[True, (ms[1:] != ms[:-1]) | (index[1:] != index[:-1])])
+            work, before = batch_of(ready, first), given.state[0] if given.state is not None else 0
+            for t, now in enumerate(ms[first].tolist()):
+                if before and now - before > idle_ms:
+                    tracks = Tracks(1)
+                before = now
+                work.step(tracks, at + t, at, cfg)
+            results = [c.to_pylist() for c in work.results(cfg)]
+            yield pd.DataFrame(dict(zip(columns, [[key[0]] * len(first), index[first], *results])))
+        given.keep((bool(tracks.known[0]), tracks.quad[0].ravel().tolist(), float(tracks.area[0]), float(tracks.aspect[0]), int(tracks.lost[0])), idle_ms)
 
-    kinds = dict(rows.dtypes)
-    return prepared.groupBy("video_id").applyInPandasWithState(
-        advance,
-        f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, {RESULT_SCHEMA}",
-        TRACK_STATE,
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+    return slim.groupBy("video_id").applyInPandasWithState(
+        advance, f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, {RESULT_SCHEMA}", TRACK_STATE, "append", EXPIRY
     )
 
 
-def similarity_stream(emb: DataFrame, threshold: float = CONSISTENCY_THRESHOLD, idle_ms: int = 600_000) -> DataFrame:
-    """Consecutive similarities and anomaly flags from a stream of ``video_id, frame_idx, vec``.
+def similarity_stream(
+    emb: DataFrame, threshold: float = CONSISTENCY_THRESHOLD, delay: str = "10 seconds", idle_ms: int = 600_000
+) -> DataFrame:
+    """Consecutive similarities and anomaly flags from a stream of ``video_id, frame_idx, event_time, vec``.
 
-    Only the last vector of each capture is kept.
+    A frame is compared once the watermark has passed it, so frames that arrive out of order within ``delay`` meet their
+    true neighbour; later ones are dropped and their neighbours are compared with each other. The last vector of each
+    capture is kept until no frame has come for ``idle_ms``.
     """
-    kept = emb.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
-    slim = kept.select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("vec").cast("array<double>").alias("vec"))
+    slim = (
+        emb.withWatermark("event_time", delay)
+        .filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
+        .select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), "event_time", F.unix_millis("event_time").alias("ms"), F.col("vec").cast("array<double>").alias("vec"))
+    )
 
     def advance(key, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        if store.hasTimedOut:
+        given = Waiting(pdfs, store)
+        if given.expired(idle_ms):
             store.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("frame_idx", kind="stable")
-        previous, out = None, []
-        if store.exists:
-            frame, vec = store.get
-            previous = (frame, np.asarray(vec, dtype=float))
-        for frame, vec in zip(pdf["frame_idx"], pdf["vec"]):
-            current = (int(frame), np.asarray(vec, dtype=float))
-            if previous is not None:
-                sim = min(1.0, max(0.0, float(previous[1] @ current[1])))
-                out.append((key[0], previous[0], current[0], float(np.rint(sim * 1e4) / 1e4), sim < threshold))
-            previous = current
-        store.update((previous[0], previous[1].tolist()))
-        store.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["video_id", "frame_a", "frame_b", "similarity", "is_anomaly"])
+        ready = given.ready.sort_values(["ms", "frame_idx"], kind="stable") if len(given.ready) else pd.DataFrame({"ms": [], "frame_idx": [], "vec": []})
+        times, index = [int(x) for x in ready["ms"]], [int(x) for x in ready["frame_idx"]]
+        vectors = [np.asarray(v, dtype=float) for v in ready["vec"]]
+        if given.state is not None and len(given.state[3]):
+            times, index = [given.state[0], *times], [given.state[2], *index]
+            vectors = [np.asarray(given.state[3], dtype=float), *vectors]
+        near = [k for k in range(1, len(times)) if times[k] - times[k - 1] <= idle_ms]
+        if near:
+            sims = np.array([min(1.0, max(0.0, float(vectors[k - 1] @ vectors[k]))) for k in near])
+            pairs = {"frame_a": [index[k - 1] for k in near], "frame_b": [index[k] for k in near]}
+            yield pd.DataFrame({"video_id": [key[0]] * len(near), **pairs, "similarity": np.rint(sims * 1e4) / 1e4, "is_anomaly": sims < threshold})
+        given.keep((index[-1], vectors[-1].tolist()) if index else (0, []), idle_ms)
 
     kind = dict(emb.dtypes)["video_id"]
     return slim.groupBy("video_id").applyInPandasWithState(
-        advance,
-        f"video_id {kind}, frame_a bigint, frame_b bigint, similarity double, is_anomaly boolean",
-        SIMILARITY_STATE,
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        advance, f"video_id {kind}, frame_a bigint, frame_b bigint, similarity double, is_anomaly boolean", SIMILARITY_STATE, "append", EXPIRY
     )
 
 

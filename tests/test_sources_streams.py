@@ -88,28 +88,60 @@ def test_partitioned_write(spark, folder):
     assert spark.read.parquet(f"{folder}/out/split=val").count() == 1
 
 
-@pytest.mark.skipif("STREAM_STATE_TESTS" not in os.environ, reason="needs Python state workers")
-def test_live_operators_match_batch(spark, folder):
+def slices(df, folder, parts):
+    """Append rows to a folder in order of time, one file each, so that a stream takes one slice after the other."""
+    for k in range(parts):
+        df.filter(f"part = {k}").drop("part").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_live_similarity_matches_batch(spark, folder):
+    """Frames of a capture come out of order within the delay; one comes too late and is dropped."""
     from captura.operators.temporal import consecutive_similarity
-    from captura.operators.tracking import track
 
-    use_rocksdb(spark)
-    vec = [(f"v{i % 2}", i, [float(i % 3), 1.0]) for i in range(8)]
-    emb = spark.createDataFrame(vec, "video_id string, frame_idx long, vec array<double>")
-    emb.write.parquet(f"{folder}/emb")
-    live = run_to_table(similarity_stream(spark.readStream.schema(emb.schema).parquet(f"{folder}/emb")), f"{folder}/s1")
+    vec = [(f"v{i % 2}", i, [float(i % 3), 1.0, 0.1 * i], (i + 3 * (i % 2)) // 8) for i in range(40)]
+    vec += [("v0", 1, [9.0, 9.0, 9.0], 5), ("end", 10**6, [1.0], 6)]
+    emb = spark.createDataFrame(vec, "video_id string, frame_idx long, vec array<double>, part int")
+    emb = emb.withColumn("event_time", F.timestamp_seconds(F.col("frame_idx") + 1000))
+    slices(emb, f"{folder}/emb", 7)
+    stream = spark.readStream.schema(emb.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/emb")
+    live = run_to_table(similarity_stream(stream, idle_ms=10**9), f"{folder}/s1").filter("video_id <> 'end'")
     columns = ["video_id", "frame_a", "frame_b", "similarity", "is_anomaly"]
-    assert sorted(live.select(columns).collect()) == sorted(consecutive_similarity(emb).select(columns).collect())
-
-    quad = lambda d: [(100.0 + d, 100.0), (400.0 + d, 100.0), (400.0 + d, 290.0), (100.0 + d, 290.0)]
-    rows = [("v", f, 640, 480, 0 if f != 2 else None, quad(f) if f != 2 else None, 57000.0, 1.579, 0.7) for f in range(5)]
-    schema = "video_id string, frame_idx int, frame_w int, frame_h int, cand_id int, corners array<struct<x:double,y:double>>, area double, aspect_ratio double, static_score double"
-    cands = spark.createDataFrame(rows, schema)
-    cands.write.parquet(f"{folder}/c")
-    tracked = run_to_table(track_stream(spark.readStream.schema(cands.schema).parquet(f"{folder}/c")), f"{folder}/s2")
-    batch = track(cands.select("video_id", "frame_idx", "frame_w", "frame_h").distinct(), cands.filter("cand_id IS NOT NULL"))
-    pick = lambda df: sorted((r.frame_idx, r.method, r.confidence, r.corners and r.corners[0].x) for r in df.collect())
-    assert pick(tracked) == pick(batch)
+    batch = consecutive_similarity(emb.filter("video_id <> 'end' AND part < 5 OR part = 5 AND frame_idx <> 1"))
+    assert sorted(live.select(columns).collect()) == sorted(batch.select(columns).collect())
+    assert live.count() == 38
+
+
+def test_live_tracker_matches_batch(spark, folder):
+    """The candidates of every fourth frame are split over two micro-batches."""
+    from captura.operators.tracking import track
+    from tests.test_tracking import CANDS, FRAMES, sequences
+
+    rows, cands, _ = sequences(3, ("a", "b"), 40)
+    when = {k: n for n, k in enumerate(sorted({(r[1], r[0]) for r in rows}))}
+    frames, scored = spark.createDataFrame(rows, FRAMES), spark.createDataFrame(cands, CANDS)
+    times = spark.createDataFrame([(v, f, n) for (f, v), n in when.items()], "video_id string, frame_idx long, n int")
+    part = F.least(F.lit(9), F.floor((F.col("n") + F.when((F.col("n") % 4 == 0) & (F.col("cand_id") == 1), 9).otherwise(0)) / 8))
+    joined = frames.join(scored, ["video_id", "frame_idx"], "left").join(times, ["video_id", "frame_idx"])
+    given = joined.select("*", F.timestamp_seconds(F.col("n") + 1000).alias("event_time"), part.cast("int").alias("part")).drop("n")
+    last = spark.createDataFrame([("end", 0, 640, 480)], FRAMES).select("*", F.timestamp_seconds(F.lit(10**6)).alias("event_time"), F.lit(10).alias("part"))
+    given = given.unionByName(last, allowMissingColumns=True)
+    slices(given, f"{folder}/c", 11)
+    stream = spark.readStream.schema(given.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/c")
+    live = run_to_table(track_stream(stream, delay="20 seconds", idle_ms=10**9), f"{folder}/s2").filter("video_id <> 'end'")
+    pick = lambda df: sorted((r.video_id, r.frame_idx, r.method, r.confidence, r.bbox, r.reason) for r in df.collect())
+    assert pick(live) == pick(track(frames, scored)) and len({r.method for r in live.collect()}) >= 3
+
+
+def test_state_expires(spark, folder):
+    """A capture that was quiet for longer than the expiry starts anew."""
+    quad = [(100.0, 100.0), (400.0, 100.0), (400.0, 290.0), (100.0, 290.0)]
+    rows = [("v", k, t, 640, 480, 0, quad, 57000.0, 1.579, 0.7, k) for k, t in enumerate((0, 10, 2000))] + [("end", 0, t, 640, 480, None, None, None, None, None, p) for t, p in ((1000, 1), (10**6, 3))]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, t long, frame_w int, frame_h int, cand_id int, corners array<struct<x:double,y:double>>, area double, aspect_ratio double, static_score double, part int")
+    df = df.withColumn("event_time", F.timestamp_seconds(F.col("t") + 1000)).drop("t")
+    slices(df, f"{folder}/c", 4)
+    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/c")
+    live = run_to_table(track_stream(stream, idle_ms=60_000), f"{folder}/s").filter("video_id = 'v'")
+    assert [r.method for r in live.sort("frame_idx").collect()] == ["first_frame_detection", "temporally_guided", "first_frame_detection"]
 
 
 def test_live_consensus_matches_batch(spark, folder):
