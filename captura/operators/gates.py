@@ -211,11 +211,3 @@ def route(decisions: DataFrame, tier2: DataFrame, keys=("video_id", "frame_id"))
         F.col("reason").alias("gate_reason"),
         F.when(use2 & ~hit2, F.lit("learned_segmentation_failed")).alias("reason"),
     )
-
-
-def reuse_cached(frames: DataFrame, cache: DataFrame, keys, compute) -> DataFrame:
-    """Take cached rows where they exist and call ``compute`` on the missing frames only."""
-    keys = list(keys)
-    hits = frames.join(cache, keys)
-    misses = compute(frames.join(cache.select(*keys), keys, "left_anti"))
-    return hits.select(*misses.columns).unionByName(misses)

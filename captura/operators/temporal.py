@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from captura.functions.rounding import clamp01, round_half_even, to_fixed
 from captura.functions.vector import cosine, l2_normalize
-from captura.operators.grouping import adjacent_pairs, tiles
+from captura.operators.grouping import adjacent_pairs, null_safe, tiles
 from captura.operators.sampling import sample_frames
 
 # --- fixed values ---------------------------------------------------------
@@ -143,7 +143,7 @@ def temporal_consistency(
         F.count_if("is_anomaly").alias("anomalies"),
     )
     pairs = mean_pairwise_similarity(emb, key, tile_rows)
-    joined = base.join(steps, key, "left").join(pairs, key, "left")
+    joined = null_safe(null_safe(base, steps, [key]), pairs, [key])
     scored = joined.withColumn("mean_cons", F.col("units") / F.col("steps") / 10000.0)
     blend = CONSECUTIVE_SHARE * F.col("mean_cons") + PAIRWISE_SHARE * F.col("mean_pairwise")
     penalty = F.when(

@@ -2,6 +2,7 @@
 
 from captura.plans import (  # noqa: F401
     catalog_evaluation,
+    catalog_files,
     catalog_geometry,
     catalog_scores,
     catalog_sets,

@@ -43,7 +43,7 @@ def fuse_sql(weights: dict, source: str = "evidence") -> str:
     )
 
 
-_RISK_SQL = (
+RISK_SQL = (
     "CASE WHEN fused_integrity_score >= 0.7e0 THEN 'LOW' WHEN fused_integrity_score >= 0.4e0 THEN 'MEDIUM' ELSE 'HIGH' END"
 )
 
@@ -51,7 +51,7 @@ _RISK_SQL = (
 @query(
     "x11_fuse_evidence",
     f"WITH {V.SQL_EVIDENCE}, {fuse_sql(_WEIGHTS)} SELECT video_id, fused_integrity_score, evidence_coverage, "
-    f"num_sources_available, missing AS missing_sources, {_RISK_SQL} AS risk_level FROM fused",
+    f"num_sources_available, missing AS missing_sources, {RISK_SQL} AS risk_level FROM fused",
 )
 def fuse_evidence(spark, sf_dir):
     fused = assess(fuse(V.evidence(spark, sf_dir)))
@@ -114,7 +114,7 @@ def normalize_score(spark, sf_dir):
 
 @query(
     "p08_p09_p10_risk_status",
-    f"WITH {V.SQL_EVIDENCE}, {fuse_sql(_WEIGHTS)}, a AS (SELECT *, {_RISK_SQL} AS risk_level FROM fused) "
+    f"WITH {V.SQL_EVIDENCE}, {fuse_sql(_WEIGHTS)}, a AS (SELECT *, {RISK_SQL} AS risk_level FROM fused) "
     "SELECT video_id, risk_level, "
     + ", ".join(
         f"CASE WHEN n_{c} IS NULL THEN 'MISSING' WHEN n_{c} >= 0.7e0 THEN 'PASS' WHEN n_{c} >= 0.4e0 THEN 'REVIEW' "
@@ -158,7 +158,7 @@ _CONS_SQL = (
     "lag(vec) OVER w AS pv, vec FROM emb WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)), "
     f"sims AS (SELECT video_id, frame_a, frame_b, {clamp('list_dot_product(pv, vec)')} AS raw FROM pairs WHERE pv IS NOT NULL)"
 )
-_SUMMARY_SQL = (
+SUMMARY_SQL = (
     f"{_CONS_SQL}, allp AS (SELECT a.video_id, avg({clamp('list_dot_product(a.vec, b.vec)')}) AS mean_pair FROM emb a JOIN emb b "
     "ON a.video_id = b.video_id AND a.frame_idx < b.frame_idx GROUP BY a.video_id), "
     f"steps AS (SELECT video_id, avg({r('raw')}) AS mc, min({r('raw')}) AS mn, count_if(raw < 0.85e0) AS anomalies "
@@ -201,7 +201,7 @@ def pairwise(spark, sf_dir):
 
 @query(
     "a09_temporal_consistency",
-    f"WITH {_SUMMARY_SQL} SELECT video_id, 'success' AS status, num_frames, score AS temporal_consistency_score, "
+    f"WITH {SUMMARY_SQL} SELECT video_id, 'success' AS status, num_frames, score AS temporal_consistency_score, "
     f"{r('mc')} AS mean_consecutive_similarity, mn AS min_consecutive_similarity, {r('mean_pair')} AS mean_pairwise_similarity, "
     "anomalies AS num_anomalies, score >= 0.85e0 AND anomalies = 0 AS is_consistent FROM temporal",
 )

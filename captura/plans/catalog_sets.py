@@ -329,10 +329,14 @@ def quads(spark, sf_dir):
 
 @query(
     "s06_j11_template_fields",
-    f"WITH a AS ({V.sql_select(_CORNERS, 'orders')}) SELECT clip_id, replace(filename, '.jpg', '') AS document, '{{\"surname\":\"N' || CAST(ax AS VARCHAR) || '\"}}' AS ground_truth_text FROM a",
+    f"WITH a AS ({V.sql_select(_CORNERS, 'orders')}), clips AS (SELECT 'lva_passport_' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS clip_id FROM customer) "
+    "SELECT c.clip_id, coalesce('{\"surname\":\"N' || CAST(ax AS VARCHAR) || '\"}', '') AS ground_truth_text "
+    "FROM clips c LEFT JOIN a ON replace(c.clip_id, 'lva_passport_', '') = replace(a.filename, '.jpg', '')",
 )
 def template(spark, sf_dir):
-    return VIA.template_fields(annotation_json(spark, sf_dir)).select("clip_id", "document", "ground_truth_text")
+    number = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    clips = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("lva_passport_"), number).alias("clip_id"))
+    return VIA.with_template_text(clips, VIA.template_fields(annotation_json(spark, sf_dir)))
 
 
 @query("s12_checksums", "SELECT page_id, sha256(html) AS sha256, md5(html) AS md5 FROM pages")

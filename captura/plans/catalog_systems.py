@@ -9,7 +9,9 @@ from captura.operators.ocr import parse_fields
 from captura.operators.consensus import field_values
 from captura.operators.reports import report_text, structured_result
 from captura.operators.shared import new_path, written
-from captura.plans import catalog_scores  # noqa: F401
+from captura.functions.scores import DEFAULT_WEIGHTS
+from captura.plans import catalog_scores as S
+from captura.plans import catalog_text as T
 from captura.plans import views as V
 from captura.plans.catalog_tracking import shown_tracks, tracker_tables
 from captura.plans.registry import ORACLES, query
@@ -34,7 +36,23 @@ def verification_inputs(spark, sf_dir):
     return scores, emb, V.ocr_lines(spark, sf_dir), orders
 
 
-@query("e03_verify_captures")
+_TURNING = (
+    "emb AS (SELECT o_custkey AS video_id, o_orderkey AS frame_idx, [CAST(CAST(cos(angle) AS FLOAT) AS DOUBLE), CAST(CAST(sin(angle) AS FLOAT) AS DOUBLE)] AS vec "
+    "FROM (SELECT *, (o_orderkey % 40) / 40e0 + o_custkey % 3 AS angle FROM orders))"
+)
+_E3_SQL = (
+    f"{T.E1_RATIO_SQL}, {S.SUMMARY_SQL.replace(V.SQL_EMBEDDINGS, _TURNING)}, "
+    "visual AS (SELECT o_custkey AS video_id, round_even(sum(CAST(round_even((o_orderkey * 37) % 101 / 101e0 * 1e4, 0) AS BIGINT)) / CAST(count(*) AS DOUBLE), 0) / 1e4 AS visual_integrity FROM orders GROUP BY 1), "
+    "evidence AS (SELECT v.video_id, visual_integrity, CASE WHEN num_frames >= 2 THEN score END AS temporal_consistency, ocr_confidence, text_consistency, name, document_number "
+    "FROM visual v JOIN temporal t ON t.video_id = v.video_id JOIN summary s ON s.video_id = v.video_id JOIN ocr_conf o ON o.video_id = v.video_id), "
+    f"{S.fuse_sql(DEFAULT_WEIGHTS)}"
+)
+
+
+@query(
+    "e03_verify_captures",
+    f"WITH RECURSIVE {_E3_SQL} SELECT video_id, visual_integrity, temporal_consistency, ocr_confidence, text_consistency, fused_integrity_score, evidence_coverage, {S.RISK_SQL} AS risk_level, name, document_number FROM fused",
+)
 def verify_captures(spark, sf_dir):
     result = verify(*verification_inputs(spark, sf_dir))
     return result.select(

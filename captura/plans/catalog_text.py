@@ -295,9 +295,12 @@ def e1(spark, sf_dir):
     return _flat_summary(verify_text(V.ocr_lines(spark, sf_dir), _frames(spark, sf_dir), metric="levenshtein"))
 
 
+E1_RATIO_SQL = _E1_SQL.replace(_SIM_SQL, _RATIO_SIM_SQL)
+
+
 @query(
     "e01_verify_text_ratio",
-    f"WITH RECURSIVE {_E1_SQL.replace(_SIM_SQL, _RATIO_SIM_SQL)} SELECT {', '.join('s.' + c for c in _SUMMARY_COLUMNS)}, ocr_confidence "
+    f"WITH RECURSIVE {E1_RATIO_SQL} SELECT {', '.join('s.' + c for c in _SUMMARY_COLUMNS)}, ocr_confidence "
     "FROM summary s JOIN ocr_conf o ON s.video_id = o.video_id",
 )
 def e1_ratio(spark, sf_dir):

@@ -9,6 +9,7 @@ from captura.functions.text import KEY_FIELDS
 from captura.operators.consensus import text_consistency
 from captura.operators.evaluation import binary_metrics
 from captura.operators.fusion import assess, fuse
+from captura.operators.grouping import null_safe
 from captura.operators.ocr import MIN_CONFIDENCE, frame_text, parse_fields, video_confidence
 from captura.operators.temporal import CONSISTENCY_THRESHOLD, temporal_consistency
 
@@ -29,7 +30,7 @@ def verify_text(
     texts = frame_text(ocr_lines, frames, min_conf, keys=("video_id", "frame_idx"))
     parsed = parse_fields(texts, "full_text", "full_text", patterns)
     summary = text_consistency(parsed, fields, **consensus)
-    return summary.join(video_confidence(texts), "video_id")
+    return null_safe(summary, video_confidence(texts), ["video_id"], "inner")
 
 
 def visual_scores(frame_scores: DataFrame) -> DataFrame:
@@ -52,7 +53,10 @@ def capture_evidence(
     if missing_temporal == "zero":
         scored = F.coalesce(scored, F.lit(0.0))
     t = temporal.select("video_id", scored.alias("temporal_consistency"))
-    return visual.join(t, "video_id", "full_outer").join(text, "video_id", "full_outer")
+    # A struct key also matches the capture without a name.
+    keyed = [df.select(F.struct("video_id").alias("__k"), *[c for c in df.columns if c != "video_id"]) for df in (visual, t, text)]
+    joined = keyed[0].join(keyed[1], "__k", "full_outer").join(keyed[2], "__k", "full_outer")
+    return joined.select("__k.video_id", *[c for c in joined.columns if c != "__k"])
 
 
 def verify(

@@ -81,3 +81,15 @@ def template_fields(annotations: DataFrame, key: str = "clip_id", json: str = "j
         .filter(F.size("fields") > 0)
         .withColumn("ground_truth_text", F.to_json("fields"))
     )
+
+
+def with_template_text(clips: DataFrame, fields: DataFrame, prefix: str = "lva_passport_", key: str = "clip_id") -> DataFrame:
+    """Clips with the ground-truth text of the template document of their number, empty where there is none.
+
+    The number is what follows ``prefix`` in the clip's name and the whole name of the template document. A document
+    that has fields in several annotation files counts once, with the text that is last in order.
+    """
+    one = fields.groupBy(F.col("document").alias("__number")).agg(F.max("ground_truth_text").alias("ground_truth_text"))
+    number = F.replace(F.col(key), F.lit(prefix), F.lit(""))
+    joined = clips.withColumn("__of", number).join(one, F.col("__of") == F.col("__number"), "left")
+    return joined.select(*clips.columns, F.coalesce("ground_truth_text", F.lit("")).alias("ground_truth_text"))

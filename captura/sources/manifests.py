@@ -63,7 +63,7 @@ def manifest_samples(manifest: DataFrame, base_dir: str = "", validation_alias:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path and length of every file below a directory; contents are never read."""
+    """Path and length of every file below a directory; contents are never read. Spark's scans leave out empty files."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return listing.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "length")
 
