@@ -71,11 +71,11 @@ def op11_exact_search(spark, sf_dir):
     return vector_search.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
-@query("op12_periodic_runs")
+@query("op12_periodic_runs", periodic_runs.ORACLE)
 def op12_periodic_runs(spark, sf_dir):
     return periodic_runs.detect_runs(table(spark, sf_dir, "documents")).drop("n_words", "n_dropped")
 
 
-@query("op13_spelling_variants")
+@query("op13_spelling_variants", spelling.ORACLE)
 def op13_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))

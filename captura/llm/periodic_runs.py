@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from captura.llm.checks import crc32_sql
 from captura.llm.common import portions
 
 DIRECT = 12  # periods below are detected by shifts; 3 times the first scale
@@ -229,3 +230,26 @@ def detect_runs(docs: DataFrame, shortest: int = 24, repetition: bool = True) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
 
     return docs.select("doc_id", "text").mapInArrow(detect, schema)
+
+
+#: The same by comparing words at every distance at which sixteen words in a row recur.
+ORACLE = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h FROM documents),
+placed AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM texts),
+planted AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+  THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) ELSE w END AS w FROM placed),
+words AS (SELECT r, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM planted),
+grams AS (SELECT r, n, i, hash(list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) AS g FROM words),
+distances AS (SELECT DISTINCT x.r, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND y.i - x.i <= x.n // 3 WHERE y.i + 16 <= y.n),
+agree AS (SELECT d.r, d.q, x.i FROM distances d JOIN words x ON x.r = d.r JOIN words y ON y.r = d.r AND y.i = x.i + d.q AND y.word = x.word),
+islands AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM agree) GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+described AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+  arg_min({{'s': start, 'l': length, 'p': period}}, {{'e': -length / CAST(period AS DOUBLE), 's': start, 'p': period}}) AS b FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM planted t LEFT JOIN described d ON d.r = t.r LEFT JOIN kept k ON k.r = t.r
+"""

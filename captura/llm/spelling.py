@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from captura.llm.checks import crc32_sql
 from captura.llm.common import materialize, portions
 
 GROUP = 4096  # words of a group that one acceptor takes
@@ -272,3 +273,25 @@ def spelling_variants(docs: DataFrame, ratio: int = 10, group: int = GROUP, long
     return described.join(chains, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
+
+
+#: The same by brute force: two words are near if they agree once a letter is left out of one or of both at one place.
+ORACLE = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+hashed AS (SELECT run, n, {crc32_sql("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM counted),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS hole FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON b.word = a.hole
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON b.word = a.hole),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+formed AS (SELECT w.word, CASE WHEN other_n >= 10 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+steps AS (SELECT word, word AS root FROM formed UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.root AND f.form IS NOT NULL),
+roots AS (SELECT s.word, s.root FROM steps s JOIN formed f ON f.word = s.root AND f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots r ON r.word = f.word
+"""
