@@ -70,15 +70,48 @@ def _triangles(p: np.ndarray):
     yield np.where(use_first, p[:, [0, 2, 3]], p[:, [1, 3, 0]])
 
 
+def _crossing(p: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the side from corner ``i`` crosses the opposite side, and where."""
+    a, b, c, d = (p[:, (i + k) % 4] for k in range(4))
+    along, across = b - a, d - c
+    slope = _cross(along, across)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = _cross(c - a, across) / slope, _cross(c - a, along) / slope
+    crossed = (slope != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+    return crossed, a + np.where(crossed, t, 0.0)[:, None] * along
+
+
+def _parts(p: np.ndarray):
+    """Two triangles that cover a quad; the two lobes of one that crosses itself."""
+    first, second = _triangles(p)
+    for i in (0, 1):
+        crossed, at = _crossing(p, i)
+        corner = lambda k: p[:, (i + k) % 4]  # noqa: B023, E731
+        first = np.where(crossed[:, None, None], np.stack([at, corner(1), corner(2)], axis=1), first)
+        second = np.where(crossed[:, None, None], np.stack([at, corner(3), corner(0)], axis=1), second)
+    return first, second
+
+
+def _quad_area(p: np.ndarray, convex: np.ndarray) -> np.ndarray:
+    area = np.abs(signed_area(p))
+    if not convex.all():
+        area[~convex] = sum(np.abs(signed_area(x)) for x in _parts(p[~convex]))
+    return area
+
+
 def quad_iou_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of quads shaped (n, 4, 2); 0 where the union is empty."""
+    """Intersection over union of quads shaped (n, 4, 2); 0 where the union is empty.
+
+    A quad that crosses itself is the two lobes on both sides of its crossing.
+    """
     if len(a) == 0:
         return np.zeros(0)
     inter = _convex_overlap(a, b)
-    rough = ~(_is_convex(a) & _is_convex(b))
+    convex_a, convex_b = _is_convex(a), _is_convex(b)
+    rough = ~(convex_a & convex_b)
     if rough.any():
-        inter[rough] = sum(_convex_overlap(x, y) for x in _triangles(a[rough]) for y in _triangles(b[rough]))
-    union = np.abs(signed_area(a)) + np.abs(signed_area(b)) - inter
+        inter[rough] = sum(_convex_overlap(x, y) for x in _parts(a[rough]) for y in _parts(b[rough]))
+    union = _quad_area(a, convex_a) + _quad_area(b, convex_b) - inter
     with np.errstate(divide="ignore", invalid="ignore"):
         iou = np.where(union > 0, inter / union, 0.0)
     return np.clip(np.nan_to_num(iou), 0.0, 1.0)

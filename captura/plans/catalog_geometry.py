@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from captura.functions import geometry as G
-from captura.functions.polygons import quad_iou
 from captura.functions.rounding import round_half_even
 from captura.operators import candidates as C
 from captura.operators import gates as A
@@ -588,14 +587,3 @@ def routing(spark, sf_dir):
 )
 def summary(spark, sf_dir):
     return L.detection_summary(_tier1(spark, sf_dir))
-
-
-# --- overlap of moved quads ----------------------------------------------------------------
-
-
-@query("g08_quad_overlap")
-def overlaps(spark, sf_dir):
-    rows = V.candidates(spark, sf_dir)
-    shift = F.col("cand_id") * 10.0
-    moved = F.transform("corners", lambda p: F.struct((p["x"] + shift).alias("x"), p["y"].alias("y")))
-    return rows.select("frame_id", "cand_id", round_half_even(quad_iou(F.col("corners"), moved)).alias("iou"))

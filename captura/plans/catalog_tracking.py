@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from captura.functions.polygons import quad_iou
+from captura.functions.rounding import round_half_even
 from captura.operators import gates as A
 from captura.operators import localization as L
 from captura.operators.tracking import track
@@ -36,14 +38,18 @@ def polygon_area(p: str) -> str:
     return f"coalesce(abs(list_sum(list_transform(range(1, len({p}) + 1), lambda k: {terms}))) / 2e0, 0e0)"
 
 
-def with_iou(source: str, a: str, b: str, name: str) -> str:
-    """Rows of ``source`` with the overlap of two convex quads that turn the same way."""
+def with_common_area(source: str, a: str, b: str, name: str) -> str:
+    """Rows of ``source`` with the area that the convex quads ``a`` and ``b`` share; ``b`` turns clockwise on screen."""
     out = f"(SELECT *, {polygon(a)} AS poly0 FROM {source})"
     for i in range(4):
         out = f"(SELECT *, {cut_by_side(f'poly{i}', b, i)} AS poly{i + 1} FROM {out})"
+    return f"(SELECT * EXCLUDE (poly0, poly1, poly2, poly3, poly4), {polygon_area('poly4')} AS {name} FROM {out})"
+
+
+def with_iou(source: str, a: str, b: str, name: str) -> str:
+    """Rows of ``source`` with the overlap of two convex quads that turn the same way."""
     whole = f"({polygon_area(polygon(a))} + {polygon_area(polygon(b))})"
-    inter = polygon_area("poly4")
-    return f"(SELECT * EXCLUDE (poly0, poly1, poly2, poly3, poly4), {inter} / greatest(1e-300, {whole} - {inter}) AS {name} FROM {out})"
+    return f"(SELECT * EXCLUDE (common), common / greatest(1e-300, {whole} - common) AS {name} FROM {with_common_area(source, a, b, 'common')})"
 
 
 def _gap(a: str, b: str, i: int) -> str:
@@ -181,3 +187,45 @@ def tracked_quality(spark, sf_dir):
     truth = G._truth(spark, sf_dir).select(F.col("frame_id").alias("frame_idx"), "corners")
     measured = L.against_truth(track(frames, scored), truth, keys=("frame_idx",)).withColumn("frame_id", F.col("frame_idx"))
     return L.localization_metrics(measured.withColumn("mode", G._mode_column()))
+
+
+# --- overlap of any quads -----------------------------------------------------------------
+
+_QUAD = "[x0, y0, x1, y1, x2, y2, x3, y3]"
+_MOVED = "[" + ", ".join(f"x{i} + cand_id * 9.73e0, y{i}" for i in range(4)) + "]"
+
+
+@query(
+    "g08_quad_overlap",
+    f"WITH {V.SQL_CORNERS} SELECT frame_id, cand_id, {r('iou')} AS iou FROM {with_iou(f'(SELECT frame_id, cand_id, {_QUAD} AS q, {_MOVED} AS m FROM corners)', 'q', 'm', 'iou')}",
+)
+def overlaps(spark, sf_dir):
+    rows = V.candidates(spark, sf_dir)
+    shift = F.col("cand_id") * 9.73  # no overlap half way between two rounded values
+    moved = F.transform("corners", lambda p: F.struct((p["x"] + shift).alias("x"), p["y"].alias("y")))
+    return rows.select("frame_id", "cand_id", round_half_even(quad_iou(F.col("corners"), moved)).alias("iou"))
+
+
+# The diagonals of a convex quad cross at x, y; with its last two corners swapped it is the lobes on their two sides.
+_AT = "((x2 - x0) * (y1 - y0) - (y2 - y0) * (x1 - x0)) / ((x2 - x0) * (y1 - y3) - (y2 - y0) * (x1 - x3))"
+_LOBES = (
+    f"(SELECT *, x1 + t * (x3 - x1) AS x, y1 + t * (y3 - y1) AS y FROM (SELECT *, {_AT} AS t FROM corners))"
+)
+_CROSSED = with_common_area(
+    with_common_area(f"(SELECT frame_id, cand_id, [x0, y0, x1, y1, x, y, x, y] AS top, [x3, y3, x2, y2, x, y, x, y] AS low, {_QUAD} AS q, {_MOVED} AS m FROM {_LOBES})", "top", "m", "c1"), "low", "m", "c2"
+)
+_WHOLE = " + ".join(polygon_area(polygon(q)) for q in ("top", "low", "m"))
+
+
+@query(
+    "g08_crossed_quads",
+    f"WITH {V.SQL_CORNERS} SELECT frame_id, cand_id, {r(f'(c1 + c2) / ({_WHOLE} - c1 - c2)')} AS iou FROM {_CROSSED}",
+)
+def crossed_overlaps(spark, sf_dir):
+    """Quads whose last two corners are swapped, so that two sides cross, against whole ones."""
+    rows = V.candidates(spark, sf_dir)
+    at = lambda i: F.get("corners", F.lit(i))
+    shift = F.col("cand_id") * 9.73  # no overlap half way between two rounded values
+    moved = F.transform("corners", lambda p: F.struct((p["x"] + shift).alias("x"), p["y"].alias("y")))
+    crossed = F.array(at(0), at(1), at(3), at(2))
+    return rows.select("frame_id", "cand_id", round_half_even(quad_iou(crossed, moved)).alias("iou"))

@@ -36,6 +36,25 @@ def test_quad_overlap():
     assert quad_iou_arrays(a, diamond[:, ::-1])[0] == pytest.approx(quad_iou_arrays(diamond, a)[0])
 
 
+def test_overlap_of_rough_quads():
+    """Concave quads and quads that cross themselves, against counts on a grid (even-odd rule)."""
+    rng = np.random.default_rng(4)
+    xs, ys = np.meshgrid(np.arange(0.25, 100, 0.5), np.arange(0.25, 100, 0.5))
+
+    def inside(q):
+        out = np.zeros(xs.shape, bool)
+        for (x1, y1), (x2, y2) in zip(q, np.roll(q, -1, axis=0)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out ^= ((y1 > ys) != (y2 > ys)) & (xs < (x2 - x1) * (ys - y1) / (y2 - y1) + x1)
+        return out
+
+    quads = rng.uniform(5, 95, (60, 2, 4, 2))
+    got = quad_iou_arrays(quads[:, 0], quads[:, 1])
+    for (a, b), value in zip(quads, got):
+        p, q = inside(a), inside(b)
+        assert value == pytest.approx((p & q).sum() / max(1, (p | q).sum()), abs=0.02)
+
+
 def test_quality_against_truth(spark):
     det = spark.createDataFrame(
         [("v", 1, True, box(3, 4, 103, 104)), ("v", 2, False, None), ("v", 3, True, box(0, 0, 9, 9))],
