@@ -4,11 +4,12 @@ import traceback
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from captura.operators.shared import written
+
 
 def map_frames(df: DataFrame, build: Callable[[], Callable], schema: str, keys=("video_id", "frame_idx")):
     """Apply a model batch by batch; returns (results, failures).
@@ -16,8 +17,8 @@ def map_frames(df: DataFrame, build: Callable[[], Callable], schema: str, keys=(
     ``build`` is called once per task and returns a function from a pandas batch
     to a pandas batch of ``schema`` with the same index. When a batch fails, its
     rows are retried one at a time so that only the bad ones end up in
-    ``failures`` with the error text. Both come from one kept evaluation, so the
-    model sees every row once. Filter and prune columns before calling: the
+    ``failures`` with the error text. Outcomes are written once to shared storage and both are
+    read from there, so the model sees a row once, also if an executor is lost later. Filter and prune columns before calling: the
     optimizer does not move them past Python.
     """
     out = T._parse_datatype_string(schema)
@@ -47,7 +48,7 @@ def map_frames(df: DataFrame, build: Callable[[], Callable], schema: str, keys=(
                         why = traceback.format_exception_only(type(exc), exc)[-1].strip()
                         yield row[list(keys)].assign(error=why).reindex(columns=names)
 
-    mapped = df.mapInPandas(run, full).persist(StorageLevel.DISK_ONLY)
+    mapped = written(df.mapInPandas(run, full), "outcomes")
     results = mapped.filter(F.col("error").isNull()).drop("error")
     failures = mapped.filter(F.col("error").isNotNull()).select(*keys, F.col("error").alias("reason"))
     return results, failures
