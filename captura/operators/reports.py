@@ -32,14 +32,39 @@ DISCLAIMER = (
 
 
 def percent(score: Column) -> Column:
-    return F.concat(F.format_string("%.1f", round_half_even(score * 100.0, 1)), F.lit("%"))
+    # format_string prints a NULL as text, so it must not see one.
+    return F.when(score.isNotNull(), F.concat(F.format_string("%.1f", round_half_even(score * 100.0, 1)), F.lit("%")))
+
+
+def stage_seconds(runs: DataFrame, key: str = "video_id") -> DataFrame:
+    """``stage_times`` per capture: stages by name with their seconds over all runs, a few entries each."""
+    per_stage = runs.groupBy(key, "stage_name").agg(F.sum("duration_seconds").alias("seconds"))
+    entry = F.struct("stage_name", round_half_even(F.col("seconds"), 3).alias("seconds"))
+    return per_stage.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("stage_times"))
+
+
+def _seconds(value: Column) -> Column:
+    return F.concat(F.format_string("%.3f", round_half_even(value, 3)), F.lit(" s"))
+
+
+def _processing_lines(assessed: DataFrame, rule: str) -> list:
+    lines = []
+    if "frames_read" in assessed.columns:
+        lines.append(F.concat(F.lit("  Frames read: "), F.coalesce(F.col("frames_read").cast("string"), F.lit("NOT AVAILABLE"))))
+    if "stage_times" in assessed.columns:
+        known = F.coalesce("stage_times", F.array().cast("array<struct<stage_name:string,seconds:double>>"))
+        total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x["seconds"])
+        each = F.transform(known, lambda x: F.concat(F.lit("    "), x["stage_name"], F.lit(": "), _seconds(x["seconds"])))
+        lines += [F.concat(F.lit("  Processing time: "), _seconds(total)), F.when(F.size(known) > 0, F.array_join(each, "\n"))]
+    return [F.lit(rule), *lines] if lines else []
 
 
 def report_text(assessed: DataFrame, low: float = LOW_RISK, medium: float = MEDIUM_RISK) -> DataFrame:
     """Add ``report``: outcome, extracted fields, evidence and thresholds as text.
 
     Needs the four evidence columns, the four fields, ``integrity_score``,
-    ``risk_level`` and ``evidence_coverage``. No time stamp is printed.
+    ``risk_level`` and ``evidence_coverage``. With ``stage_times`` (:func:`stage_seconds`) and ``frames_read`` the
+    report also lists processing times and the frames that were read. No time stamp is printed.
     """
     bar, rule = "=" * 70, "-" * 70
     advice = F.coalesce(
@@ -69,6 +94,7 @@ def report_text(assessed: DataFrame, low: float = LOW_RISK, medium: float = MEDI
             )
             for label, source in EVIDENCE_LABELS
         ],
+        *_processing_lines(assessed, rule),
         F.lit(rule),
         F.lit(f"  Low risk: score >= {low * 100:.0f}%"),
         F.lit(f"  Medium risk: {medium * 100:.0f}% <= score < {low * 100:.0f}%"),
@@ -90,6 +116,7 @@ def structured_result(assessed: DataFrame, key: str = "video_id") -> DataFrame:
             take(["visual_integrity", "temporal_consistency", "ocr_confidence", "text_consistency"]).alias("evidence"),
             take(["name", "dob", "document_number", "address"]).alias("extracted_fields"),
             take(["available_sources", "missing_sources", "evidence_breakdown"]).alias("evidence_fusion"),
+            take(["frames_read", "stage_times"]).alias("processing"),
             F.lit(DISCLAIMER).alias("disclaimer"),
         ).alias("result"),
     )

@@ -7,15 +7,18 @@ from captura.operators.frames import map_frames
 from captura.operators.fusion import assess, fuse
 from captura.operators.ocr import parse_fields
 from captura.operators.consensus import field_values
-from captura.operators.reports import report_text, structured_result
+from captura.functions.rounding import round_half_even
+from captura.operators import reports as R
+from captura.operators.reports import report_text, stage_seconds, structured_result
 from captura.operators.shared import new_path, written
 from captura.functions.scores import DEFAULT_WEIGHTS
 from captura.plans import catalog_scores as S
 from captura.plans import catalog_text as T
 from captura.plans import views as V
 from captura.plans.catalog_tracking import shown_tracks, tracker_tables
-from captura.plans.registry import ORACLES, query
+from captura.plans.registry import ORACLES, query, r
 from captura.plans.verify import verify
+from captura.sources.sinks import write_json
 from captura.streaming.live import (
     consensus_counts_stream,
     leading_values,
@@ -73,17 +76,69 @@ def _reported(spark, sf_dir):
     fields = V.table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS video_id", "c_name AS name", "CAST(NULL AS STRING) AS dob", "c_mktsegment AS document_number", "CAST(c_nationkey AS STRING) AS address"
     )
-    return assess(fuse(V.evidence(spark, sf_dir))).join(fields, "video_id")
+    read = V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("video_id")).agg(F.count(F.lit(1)).alias("frames_read"))
+    judged = assess(fuse(V.evidence(spark, sf_dir))).join(fields, "video_id").join(read, "video_id")
+    return judged.join(stage_seconds(V.stage_runs(spark, sf_dir)), "video_id", "left")
 
 
-@query("x16_report_text")
+def _percent(score: str) -> str:
+    return f"format('{{:.1f}}', {r(score + ' * 100e0', 1)}) || '%'"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_REPORTED_SQL = (
+    f"{V.SQL_EVIDENCE}, {S.fuse_sql(DEFAULT_WEIGHTS)}, {V.SQL_STAGES}, "
+    "per_stage AS (SELECT video_id, stage_name, sum(duration_seconds) AS seconds FROM stages GROUP BY 1, 2), "
+    f"times AS (SELECT video_id, sum({r('seconds', 3)}) AS total, string_agg('    ' || stage_name || ': ' || format('{{:.3f}}', {r('seconds', 3)}) || ' s', chr(10) ORDER BY stage_name) AS listed, count(*) AS n FROM per_stage GROUP BY 1), "
+    "frames AS (SELECT o_custkey AS video_id, count(*) AS frames_read FROM orders GROUP BY 1), "
+    f"reported AS (SELECT f.*, {S.RISK_SQL} AS risk_level, c_name AS name, c_mktsegment AS document_number, CAST(c_nationkey AS VARCHAR) AS address, frames_read, coalesce(total, 0e0) AS total, listed, coalesce(t.n, 0) AS stage_count "
+    "FROM fused f JOIN customer ON c_custkey = f.video_id JOIN frames m ON m.video_id = f.video_id LEFT JOIN times t ON t.video_id = f.video_id)"
+)
+_BAR, _RULE = "'" + "=" * 70 + "'", "'" + "-" * 70 + "'"
+_REPORT_LINES = [
+    _BAR, "'DOCUMENT VERIFICATION REPORT'", _BAR,
+    f"'Outcome: ' || risk_level || ' RISK (Score: ' || {_percent('fused_integrity_score')} || ')'",
+    f"'Evidence coverage: ' || {_percent('evidence_coverage')}",
+    "'Recommendation: ' || CASE risk_level " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in R.ADVICE.items()) + " END",
+    _RULE,
+    *[f"'  {label}: ' || " + ("'Not Extracted'" if field == "dob" else f"coalesce({field}, 'Not Extracted')") for label, field in R.FIELD_LABELS],
+    _RULE,
+    *[
+        f"'  * {label}: ' || coalesce({_percent(c)}, 'NOT AVAILABLE') || ' [' || CASE WHEN {c} IS NULL THEN 'MISSING' WHEN {c} >= 0.7e0 THEN 'PASS' WHEN {c} >= 0.4e0 THEN 'REVIEW' ELSE 'FLAG' END || ']'"
+        for label, c in R.EVIDENCE_LABELS
+    ],
+    _RULE, "'  Frames read: ' || frames_read", f"'  Processing time: ' || format('{{:.3f}}', {r('total', 3)}) || ' s'", "listed",
+    _RULE, "'  Low risk: score >= 70%'", "'  Medium risk: 40% <= score < 70%'", "'  High risk: score < 40%'", _RULE, _quoted("  " + R.DISCLAIMER), _BAR,
+]
+
+
+@query("x16_report_text", f"WITH {_REPORTED_SQL} SELECT video_id, concat_ws(chr(10), {', '.join(_REPORT_LINES)}) AS report FROM reported")
 def reports(spark, sf_dir):
     return report_text(_reported(spark, sf_dir)).select("video_id", "report")
 
 
-@query("s10_structured_result")
+@query(
+    "s10_structured_result",
+    f"WITH {_REPORTED_SQL} SELECT video_id, fused_integrity_score AS integrity_score, risk_level, evidence_coverage, {r('visual_integrity')} AS visual_integrity, {r('ocr_confidence')} AS ocr_confidence, name, document_number, missing AS missing_sources, frames_read, "
+    f"stage_count AS stages, {r('total', 3)} AS seconds, {_quoted(R.DISCLAIMER)} AS disclaimer FROM reported",
+)
 def structured(spark, sf_dir):
-    return structured_result(_reported(spark, sf_dir)).select("video_id", F.to_json("result").alias("result"))
+    """The nested documents as a JSON sink writes them, read back from their files."""
+    path = new_path(spark, "results")
+    documents = structured_result(_reported(spark, sf_dir))
+    write_json(documents, path)
+    back = spark.read.schema(documents.schema).json(path)
+    take = lambda c: F.col(f"result.{c}")
+    stages = F.coalesce(take("processing.stage_times"), F.array().cast("array<struct<stage_name:string,seconds:double>>"))
+    return back.select(
+        "video_id", take("verification_result.integrity_score"), take("verification_result.risk_level"), take("verification_result.evidence_coverage"),
+        round_half_even(take("evidence.visual_integrity")).alias("visual_integrity"), round_half_even(take("evidence.ocr_confidence")).alias("ocr_confidence"),
+        take("extracted_fields.name"), take("extracted_fields.document_number"), F.array_join(take("evidence_fusion.missing_sources"), ",").alias("missing_sources"),
+        take("processing.frames_read"), F.size(stages).cast("long").alias("stages"), round_half_even(F.aggregate(stages, F.lit(0.0), lambda s, x: s + x["seconds"]), 3).alias("seconds"), take("disclaimer"),
+    )
 
 
 @query(
