@@ -34,11 +34,19 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/llm/{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str) -> DataFrame:
+#: For tables whose rows have a megabyte each: Parquet looks at the size of its pages and row groups after every row, not
+#: after a hundred, so that neither writers nor readers hold more than a few rows.
+LARGE_ROWS = {f"parquet.{part}.size.row.check.{end}": "1" for part in ("page", "block") for end in ("min", "max")} | {
+    "parquet.block.size": str(8 << 20),
+    "parquet.enable.dictionary": "false",
+}
+
+
+def materialize(df: DataFrame, kind: str, options: dict | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

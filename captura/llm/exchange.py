@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captura.llm.common import materialize, portions
+from captura.llm.common import LARGE_ROWS, materialize, portions
 
 CHUNK_BYTES = 4 << 20
 CHUNKS_PER_RANGE = 4
@@ -55,19 +55,26 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
-def packed_texts(texts: pa.Array) -> bytes:
-    """A column of texts as one compressed Arrow stream, so that a chunk takes little where answers join it."""
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([texts], ["text"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        stream.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def packed_texts(texts: list) -> bytes:
+    """Texts (UTF-8 bytes or null) as one compressed block, so that a chunk takes little where answers join it."""
+    import zstandard
+
+    sizes = encode(np.array([0 if t is None else len(t) + 1 for t in texts], np.uint64))
+    body = b"".join(t for t in texts if t)
+    return struct.pack("<IQ", len(sizes), len(body)) + sizes + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def texts_of(batch: pa.RecordBatch, row: int) -> list:
     """The texts of one row of chunks."""
-    with pa.ipc.open_stream(batch.column("texts")[row].as_buffer()) as stream:
-        return stream.read_all().column("text").to_pylist()
+    import zstandard
+
+    data = batch.column("texts")[row].as_py()
+    head = struct.calcsize("<IQ")
+    width, size = struct.unpack_from("<IQ", data)
+    sizes = decode(data[head : head + width]).astype(np.int64)
+    body = zstandard.ZstdDecompressor().decompress(data[head + width :], max_output_size=size)
+    ends = np.cumsum(np.maximum(sizes - 1, 0)).tolist()
+    return [body[e - n + 1 : e].decode("utf-8", "surrogatepass") if n else None for n, e in zip(sizes.tolist(), ends)]
 
 
 def pack_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
@@ -79,7 +86,7 @@ def pack_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
         def row():
             whole = pa.Table.from_batches(held).combine_chunks()
             ids = pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column("doc_id").chunk(0))
-            body = pa.array([packed_texts(whole.column("text").chunk(0))], pa.binary())
+            body = pa.array([packed_texts(whole.column("text").cast(pa.large_binary()).to_pylist())], pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array([(task << 24) + number], pa.int64()), ids, body], ["chunk", "doc_ids", "texts"]
             )
@@ -96,7 +103,7 @@ def pack_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(chunks, f"chunk long, doc_ids array<{kind}>, texts binary")
-    return materialize(rows, "chunks")
+    return materialize(rows, "chunks", LARGE_ROWS)
 
 
 def count_exchange(
