@@ -6,7 +6,8 @@ part's end points. Parts come from clipping every edge against four half planes.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -159,36 +160,36 @@ _AGREEMENT_FIELDS = ("iou", "mean", "median", "max", "min")
 _AGREEMENT = StructType([StructField(n, DoubleType()) for n in _AGREEMENT_FIELDS])
 
 
-def _stack(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()).astype(float).reshape(-1, 4, 2)
-
-
-@F.pandas_udf(_SHAPE)
-def _quad_shape(quads: pd.Series) -> pd.DataFrame:
-    known = quads.notna().to_numpy()
-    out = {n: np.full(len(quads), np.nan) for n in _NUMBERS}
-    ordered = np.full(len(quads), None, dtype=object)
-    if known.any():
-        p = order_arrays(_stack(quads[known]))
-        for n, values in shape_arrays(p).items():
-            out[n][known] = values
-        for i, corners in zip(np.flatnonzero(known), p.reshape(-1, 8)):
-            ordered[i] = corners
-    return pd.DataFrame({"quad": ordered, **out})
-
-
-@F.pandas_udf(_AGREEMENT)
-def _quad_agreement(pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    known = (pred.notna() & truth.notna()).to_numpy()
-    out = {n: np.full(len(pred), np.nan) for n in _AGREEMENT_FIELDS}
-    out["iou"] = np.zeros(len(pred))
-    if known.any():
-        a, b = _stack(pred[known]), _stack(truth[known])
-        out["iou"][known] = quad_iou_arrays(a, b)
-        d = np.linalg.norm(order_arrays(a) - order_arrays(b), axis=2)
-        for n, values in (("mean", d.mean(1)), ("median", np.median(d, 1)), ("max", d.max(1)), ("min", d.min(1))):
-            out[n][known] = values
-    return pd.DataFrame(out)
+def points_of(quads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which quads of an array of eight doubles are there, and those as (n, 4, 2)."""
+    return np.asarray(quads.is_valid()), np.asarray(quads.flatten(), float).reshape(-1, 4, 2)
+
+
+def spread(values: np.ndarray, known: np.ndarray, missing: float = np.nan) -> pa.Array:
+    """The values of known rows in their places; NaN is NULL."""
+    out = np.full(len(known), missing)
+    out[known] = values
+    return pa.array(out, mask=np.isnan(out))
+
+
+@F.arrow_udf(_SHAPE)
+def _quad_shape(quads: pa.Array) -> pa.Array:
+    known, p = points_of(quads)
+    p = order_arrays(p)
+    numbers = shape_arrays(p)
+    ends = np.append(0, np.cumsum(known * 8)).astype(np.int32)
+    ordered = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~known, False)), pa.array(p.ravel()))
+    return pa.StructArray.from_arrays([ordered, *[spread(numbers[n], known) for n in _NUMBERS]], ["quad", *_NUMBERS])
+
+
+@F.arrow_udf(_AGREEMENT)
+def _quad_agreement(pred: pa.Array, truth: pa.Array) -> pa.Array:
+    both = pc.and_(pred.is_valid(), truth.is_valid())
+    known = np.asarray(both)
+    a, b = points_of(pred.filter(both))[1], points_of(truth.filter(both))[1]
+    d = np.linalg.norm(order_arrays(a) - order_arrays(b), axis=2)
+    errors = [spread(x, known) for x in (d.mean(1), np.median(d, 1), d.max(1), d.min(1))] if len(d) else [pa.nulls(len(known), pa.float64())] * 4
+    return pa.StructArray.from_arrays([spread(quad_iou_arrays(a, b), known, 0.0), *errors], list(_AGREEMENT_FIELDS))
 
 
 # Marked as non-deterministic so that filters on a measurement do not repeat it.
