@@ -138,30 +138,37 @@ def adjacent_pairs(df: DataFrame, by, order: str, payload, width: int = 4096) ->
     return linked.filter(F.col("__prev").isNotNull()).select(*shape).unionByName(seams.select(*shape))
 
 
-def percentiles(df: DataFrame, by, value: str, wanted: dict, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+def percentiles(df: DataFrame, by, value: str, wanted: dict, lo: float = 0.0, hi: float = 1.0, buckets: int = 4096) -> DataFrame:
     """Exact linear-interpolation percentiles per group; ``wanted`` maps names to fractions.
 
-    Duplicates are counted before the shuffle; ranks come from a bucketed running
-    sum, so no group is held in the memory of one task.
+    A histogram per group says which buckets of ``[lo, hi]`` hold the wanted ranks; only values of those are shuffled and
+    sorted, equal ones counted before. At most two buckets per group and fraction are sent to the tasks. ``df`` is read twice.
     """
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_sum(
-        counts, by, [value], {"__upto": "__n"}, unit_bucket(value, lo=lo, hi=hi), {"__total": "__n"}
+    bucket = unit_bucket(value, buckets, lo, hi).alias(_BUCKET)
+    rows = _with_key(df.filter(F.col(value).isNotNull()), by).select(_KEY, value, bucket)
+    along = Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, 0)
+    filled = group_counts(rows, [_KEY, _BUCKET]).withColumns(
+        {"__upto": F.sum("__n").over(along), "__total": F.sum("__n").over(Window.partitionBy(_KEY))}
+    )
+    place = {name: (F.col("__total") - 1) * F.lit(float(fraction)) for name, fraction in wanted.items()}
+
+    def holds(rank: Column) -> Column:
+        return (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
+
+    needed = F.lit(False)
+    for h in place.values():
+        needed = needed | holds(F.floor(h)) | holds(F.ceil(h))
+    hits = filled.filter(needed).select(_KEY, _BUCKET, "__total", (F.col("__upto") - F.col("__n")).alias("__before"))
+    inside = Window.partitionBy(_KEY, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = group_counts(rows.join(F.broadcast(hits), [_KEY, _BUCKET]), [_KEY, _BUCKET, "__before", "__total", value]).withColumn(
+        "__upto", F.col("__before") + F.sum("__n").over(inside)
     )
-
-    def at_rank(rank: Column) -> Column:
-        hit = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
-        return F.max(F.when(hit, F.col(value)))
-
     out = []
-    for name, fraction in wanted.items():
-        h = (F.col("__total") - 1) * F.lit(float(fraction))
-        low = at_rank(F.floor(h))
-        high = at_rank(F.ceil(h))
-        weight = F.max(h - F.floor(h))
-        out.append((low + (high - low) * weight).alias(name))
-    return ranked.groupBy(*by).agg(*out)
+    for name, h in place.items():
+        low, high = (F.max(F.when(holds(rank), F.col(value))) for rank in (F.floor(h), F.ceil(h)))
+        out.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
+    return ranked.select("*", *[F.col(f"{_KEY}.{c}").alias(c) for c in by]).groupBy(*by).agg(*out)
 
 
 def group_counts(df: DataFrame, by, name: str = "__n") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from captura.functions.geometry import measure_agreement
 from captura.functions.rounding import ratio_or_zero, round_half_even
 from captura.operators.grouping import null_safe, percentiles
+from captura.operators.shared import written
 
 OVERALL = "overall"
 GOOD_IOU = 0.85
@@ -50,9 +51,10 @@ def counted_iou(undetected: str, detected: Column, iou: Column) -> Column:
 def localization_metrics(
     frames: DataFrame, by: str = "mode", undetected: str = "positive", keys=(), error_scale: float = 4096.0
 ) -> DataFrame:
-    """Detection rate, IoU and corner-error statistics per mode and overall."""
+    """Detection rate, IoU and corner-error statistics per mode and overall. Frames are written once and read from there."""
     groups = [*keys, by]
-    rows = _with_overall(frames, by).withColumn("__iou", counted_iou(undetected, F.col("detected"), F.col("iou")))
+    kept = written(frames.select(*groups, "detected", "iou", "mean_corner_error", "max_corner_error"), "rated-frames")
+    rows = _with_overall(kept, by).withColumn("__iou", counted_iou(undetected, F.col("detected"), F.col("iou")))
     plain = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if("detected").alias("detected"),
@@ -127,9 +129,14 @@ def gate_outcomes(decisions: DataFrame, undetected: str = "zero") -> DataFrame:
 def gate_scorecard(
     decisions: DataFrame, by: str = "mode", undetected: str = "zero", error_scale: float = 4096.0
 ) -> DataFrame:
-    """Invocation, detection, quality, latency and error counts per gate, for each mode and overall."""
+    """Invocation, detection, quality, latency and error counts per gate, for each mode and overall.
+
+    Decisions are written once, with the columns that count, and read from there.
+    """
     groups = ["gate", by]
-    rows = _with_overall(gate_outcomes(decisions, undetected), by)
+    tiers = [f"{t}_{c}" for t in ("t1", "t2") for c in ("detected", "iou", "error", "ms")]
+    kept = written(decisions.select(*groups, "invoke_tier2", *tiers), "decisions")
+    rows = _with_overall(gate_outcomes(kept, undetected), by)
     plain = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if("invoke_tier2").alias("invocations"),

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from captura.operators import candidates as C
+from captura.operators import localization as L
+from captura.operators.grouping import percentiles
 from captura.plans import catalog_geometry as G
 from captura.plans import catalog_sets as S
 from captura.plans import views as V
@@ -77,3 +79,31 @@ def test_truth_has_the_bits_of_its_sql(spark, items):
     want = dict(con.execute(f"WITH {V.SQL_CORNERS}, {G._TRUTH_SQL} SELECT frame_id, ty2 FROM truth").fetchall())
     got = {r.frame_id: r.corners[2].y for r in G._truth(spark, folder).collect()}
     assert got == want
+
+
+def test_percentiles_sort_only_the_buckets_of_their_ranks(spark):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.random(900), None: rng.integers(0, 3, 500) / 2.0, "c": rng.random(7) * 9 - 4, "d": np.array([0.25])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)]
+    wanted = {"p05": 0.05, "mid": 0.5, "p99": 0.99}
+    got = {r.k: r for r in percentiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", wanted).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert np.allclose([got[k][n] for n in wanted], np.quantile(v, list(wanted.values())), rtol=0, atol=1e-12)
+
+
+def test_metrics_and_scorecards_see_their_frames_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    iou = counted.asNondeterministic()
+    base = spark.range(40).withColumns({"mode": F.lit("or"), "detected": F.lit(True), "iou": iou((F.col("id") % 9) / 9.0)})
+    rated = base.withColumns({"mean_corner_error": F.col("id") * 1.0, "max_corner_error": F.col("id") * 2.0})
+    assert {r.frames for r in L.localization_metrics(rated).collect()} == {40} and seen.value == 40
+    tiers = {f"{t}_{c}": v for t in ("t1", "t2") for c, v in (("detected", F.lit(True)), ("iou", F.col("iou")), ("error", F.lit(1.0)), ("ms", F.lit(2.0)))}
+    decisions = base.withColumns({"gate": F.lit("g"), "invoke_tier2": F.col("id") % 2 == 0, **tiers})
+    assert {r.frames for r in L.gate_scorecard(decisions).collect()} == {40} and seen.value == 80
