@@ -27,7 +27,7 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-TRACK_STATE = "last_ms bigint, pending binary, known boolean, quad array<double>, area double, aspect double, lost int"
+TRACK_STATE = "last_ms bigint, pending binary, tracks binary"
 SIMILARITY_STATE = "last_ms bigint, pending binary, frame_idx bigint, vec array<double>"
 EXPIRY = GroupStateTimeout.EventTimeTimeout
 
@@ -71,8 +71,39 @@ class Waiting:
         self.store.setTimeoutTimestamp(max(due, self.store.getCurrentWatermarkMs() + 1))
 
 
+class KnownTracks:
+    """Tracks of the captures of one shard, between micro-batches a table of key, last frame's time and flat state."""
+
+    def __init__(self, stored: bytes | None):
+        flat_columns = ["last_ms", "known", "area", "aspect", "lost", *(f"q{i}" for i in range(8))]
+        empty = pd.DataFrame({"key": pd.Series(dtype=object), **{c: pd.Series(dtype=float) for c in flat_columns}})
+        self.rows = pa.ipc.open_stream(bytes(stored)).read_pandas() if stored else empty
+
+    def of(self, names) -> tuple[Tracks, np.ndarray]:
+        """Tracks of the named captures and the times of their last frames, 0 for new ones."""
+        tracks, last = Tracks(len(names)), np.zeros(len(names), np.int64)
+        place = pd.Index(self.rows["key"]).get_indexer(names)
+        old = np.flatnonzero(place >= 0)
+        rows = self.rows.iloc[place[old]]
+        last[old] = rows["last_ms"].to_numpy()
+        tracks.known[old], tracks.lost[old] = rows["known"].to_numpy(bool), rows["lost"].to_numpy()
+        tracks.area[old], tracks.aspect[old] = rows["area"].to_numpy(float), rows["aspect"].to_numpy(float)
+        tracks.quad[old] = rows[[f"q{i}" for i in range(8)]].to_numpy(float).reshape(-1, 4, 2)
+        return tracks, last
+
+    def put(self, names, tracks: Tracks, last: np.ndarray) -> None:
+        state = {"last_ms": last, "known": tracks.known, "area": tracks.area, "aspect": tracks.aspect, "lost": tracks.lost}
+        quads = {f"q{i}": c for i, c in enumerate(tracks.quad.reshape(-1, 8).T)}
+        others = self.rows[~self.rows["key"].isin(names)]
+        now = pd.DataFrame({"key": names, **state, **quads})
+        self.rows = pd.concat([others, now], ignore_index=True) if len(others) else now
+
+    def expire(self, before: int) -> None:
+        self.rows = self.rows[self.rows["last_ms"] >= before]
+
+
 def track_stream(
-    rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), delay: str = "10 seconds", idle_ms: int = 600_000
+    rows: DataFrame, cfg: TrackerConfig = TrackerConfig(), delay: str = "10 seconds", idle_ms: int = 600_000, shards: int = 512
 ) -> DataFrame:
     """Tracked detections from a stream of candidate rows, in append mode.
 
@@ -80,11 +111,13 @@ def track_stream(
     aspect_ratio, static_score``; a frame without candidates has one row with NULL ``cand_id``, and the rows of a frame
     share its event time. A frame is tracked once the watermark, ``delay`` behind the latest event time, has passed it, so
     its rows may come in several micro-batches; frames go in order of event time, then index. After ``idle_ms`` without a frame
-    a capture loses its state, as after too many lost frames.
+    a capture loses its state, as after too many lost frames. Captures are hashed into ``shards``, each with one state, whose
+    captures advance together; take more of them where the tracks of a shard grow large. The number is part of the checkpoint.
     """
     kinds = dict(rows.dtypes)
     slim = rows.withWatermark("event_time", delay).select(
-        "video_id",
+        F.pmod(F.xxhash64("video_id"), F.lit(shards)).cast("int").alias("shard"),
+        F.coalesce(F.concat(F.lit("="), F.col("video_id").cast("string")), F.lit("")).alias("key"),  # NULL is a capture of its own
         "frame_idx",
         "event_time",
         F.unix_millis("event_time").alias("ms"),
@@ -96,7 +129,7 @@ def track_stream(
         F.col("aspect_ratio").cast("double").alias("aspect"),
         (-F.coalesce(F.col("static_score").cast("double"), F.lit(0.0))).alias("rank"),
     )
-    columns = ["video_id", "frame_idx", *RESULT_COLUMNS]
+    columns = ["key", "frame_idx", *RESULT_COLUMNS]
 
     def batch_of(rows: pd.DataFrame, first: np.ndarray) -> FrameBatch:
         """Sorted rows as frames; ``first`` has the first row of each."""
@@ -111,33 +144,43 @@ def track_stream(
         columns = [*sizes, pa.ListArray.from_arrays(pa.array(ends), entries), none]
         return FrameBatch(pa.RecordBatch.from_arrays(columns, ["frame_w", "frame_h", "cands", "tier2"]))
 
-    def advance(key, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
+    def advance(shard, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
         given = Waiting(pdfs, store)
-        if given.expired(idle_ms):
-            store.remove()
-            return
-        tracks, at = Tracks(1), np.zeros(1, np.int64)
-        if given.state is not None:
-            known, quad, area, aspect, lost = given.state[2:]
-            tracks.known[0], tracks.area[0], tracks.aspect[0], tracks.lost[0] = known, area, aspect, lost
-            tracks.quad[0] = np.reshape(quad, (4, 2))
+        captures = KnownTracks(given.state[2] if given.state is not None else None)
         if len(given.ready):
-            ready = given.ready.sort_values(["ms", "frame_idx", "rank", "cand_id"], kind="stable")
-            ms, index = ready["ms"].to_numpy(), ready["frame_idx"].to_numpy()
-            first = np.flatnonzero(np.r_[True, (ms[1:] != ms[:-1]) | (index[1:] != index[:-1])])
-            work, before = batch_of(ready, first), given.state[0] if given.state is not None else 0
-            for t, now in enumerate(ms[first].tolist()):
-                if before and now - before > idle_ms:
-                    tracks = Tracks(1)
-                before = now
-                work.step(tracks, at + t, at, cfg)
+            codes, names = pd.factorize(given.ready["key"])
+            ready = given.ready.assign(code=codes).sort_values(["code", "ms", "frame_idx", "rank", "cand_id"], kind="stable")
+            code, ms, index = (ready[c].to_numpy() for c in ("code", "ms", "frame_idx"))
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (ms[1:] != ms[:-1]) | (index[1:] != index[:-1])])
+            work, time = batch_of(ready, first), ms[first]
+            tracks, last = captures.of(names)
+            start = np.flatnonzero(np.r_[True, np.diff(code[first]) != 0])
+            size = np.diff(np.append(start, len(first)))
+            at = np.argsort(-size, kind="stable")
+            for t in range(size.max()):
+                at = at[: np.searchsorted(-size[at], -t, "left")]
+                frames = start[at] + t
+                quiet = at[(last[at] > 0) & (time[frames] - last[at] > idle_ms)]
+                tracks.copy_from(quiet, Tracks(len(quiet)), slice(None))
+                last[at] = time[frames]
+                work.step(tracks, frames, at, cfg)
+            captures.put(np.asarray(names, object), tracks, last)
             results = [c.to_pylist() for c in work.results(cfg)]
-            yield pd.DataFrame(dict(zip(columns, [[key[0]] * len(first), index[first], *results])))
-        given.keep((bool(tracks.known[0]), tracks.quad[0].ravel().tolist(), float(tracks.area[0]), float(tracks.aspect[0]), int(tracks.lost[0])), idle_ms)
+            yield pd.DataFrame(dict(zip(columns, [ready["key"].to_numpy()[first], index[first], *results])))
+        now = store.getCurrentWatermarkMs()
+        captures.expire(now - idle_ms)
+        due = [int(x.min()) + d for x, d in ((given.rest["ms"], 0), (captures.rows["last_ms"], idle_ms)) if len(x)]
+        if not due:
+            store.remove()
+            return
+        store.update((given.last_ms, _stored(given.rest) if len(given.rest) else b"", _stored(captures.rows) if len(captures.rows) else b""))
+        store.setTimeoutTimestamp(max(min(due), now + 1))
 
-    return slim.groupBy("video_id").applyInPandasWithState(
-        advance, f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, {RESULT_SCHEMA}", TRACK_STATE, "append", EXPIRY
+    found = slim.groupBy("shard").applyInPandasWithState(
+        advance, f"key string, frame_idx {kinds['frame_idx']}, {RESULT_SCHEMA}", TRACK_STATE, "append", EXPIRY
     )
+    video = F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)).cast(kinds["video_id"])
+    return found.select(video.alias("video_id"), "frame_idx", *RESULT_COLUMNS)
 
 
 def similarity_stream(

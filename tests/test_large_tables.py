@@ -12,6 +12,8 @@ from captura.plans import catalog_geometry as G
 from captura.plans import catalog_sets as S
 from captura.plans import views as V
 from captura.plans.registry import ORACLES
+from captura.operators.tracking import track
+from captura.streaming.live import run_to_table, track_stream
 
 CANDIDATES = "video_id long, frame_id string, cand_id int, corners array<struct<x:double,y:double>>, area double"
 
@@ -107,3 +109,19 @@ def test_metrics_and_scorecards_see_their_frames_once(spark):
     tiers = {f"{t}_{c}": v for t in ("t1", "t2") for c, v in (("detected", F.lit(True)), ("iou", F.col("iou")), ("error", F.lit(1.0)), ("ms", F.lit(2.0)))}
     decisions = base.withColumns({"gate": F.lit("g"), "invoke_tier2": F.col("id") % 2 == 0, **tiers})
     assert {r.frames for r in L.gate_scorecard(decisions).collect()} == {40} and seen.value == 80
+
+
+def test_live_tracker_keeps_many_captures_in_a_few_states(spark, tmp_path):
+    quad = [(100.0, 100.0), (400.0, 100.0), (400.0, 290.0), (100.0, 290.0)]
+    schema = "video_id long, frame_idx int, event_time timestamp, frame_w int, frame_h int, cand_id int, corners array<struct<x:double,y:double>>, area double, aspect_ratio double, static_score double"
+    rows = [(v, f, 1000 + 2 * f, 640, 480, 0, quad, 57000.0, 1.579, 0.7 if (v or 0) % 3 else 0.2 + f / 10) for v in [*range(9), None] for f in range(4)]
+    rows.append((-1, 0, 10**6, 640, 480, None, None, None, None, None))
+    given = spark.createDataFrame(rows, schema.replace("event_time timestamp", "t long"))
+    for part in (F.col("frame_idx") % 4 < 2, F.col("frame_idx") % 4 >= 2):
+        given.filter(part).withColumn("event_time", F.timestamp_seconds("t")).select(*[c.split(" ")[0] for c in schema.split(", ")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live = run_to_table(track_stream(stream, delay="20 seconds", idle_ms=10**9, shards=2), f"{tmp_path}/out").filter("video_id IS NULL OR video_id >= 0")
+    scored = given.filter("cand_id IS NOT NULL")
+    batch = track(scored.select("video_id", "frame_idx", "frame_w", "frame_h"), scored)
+    pick = lambda df: sorted((str(r.video_id), r.frame_idx, r.method, r.confidence, r.bbox or []) for r in df.collect())
+    assert pick(live.filter("video_id IS NOT NULL")) == pick(batch.filter("video_id IS NOT NULL")) and len(pick(live)) == 40
