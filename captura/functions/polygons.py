@@ -100,6 +100,12 @@ def _quad_area(p: np.ndarray, convex: np.ndarray) -> np.ndarray:
     return area
 
 
+def _upright(p: np.ndarray) -> np.ndarray:
+    """Quads that are boxes with level and plumb sides, from a corner with a level side."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = ((p[:, i, 0], p[:, i, 1]) for i in range(4))
+    return (y0 == y1) & (x1 == x2) & (y2 == y3) & (x3 == x0)
+
+
 def quad_iou_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of quads shaped (n, 4, 2); 0 where the union is empty.
 
@@ -113,6 +119,11 @@ def quad_iou_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if rough.any():
         inter[rough] = sum(_convex_overlap(x, y) for x in _parts(a[rough]) for y in _parts(b[rough]))
     union = _quad_area(a, convex_a) + _quad_area(b, convex_b) - inter
+    boxes = _upright(a) & _upright(b)
+    if boxes.any():  # by their sides: no error of clipping moves an overlap that lies half way between two rounded values
+        low_a, high_a, low_b, high_b = a[boxes].min(1), a[boxes].max(1), b[boxes].min(1), b[boxes].max(1)
+        inter[boxes] = np.maximum(0.0, np.minimum(high_a, high_b) - np.maximum(low_a, low_b)).prod(axis=1)
+        union[boxes] = (high_a - low_a).prod(axis=1) + (high_b - low_b).prod(axis=1) - inter[boxes]
     with np.errstate(divide="ignore", invalid="ignore"):
         iou = np.where(union > 0, inter / union, 0.0)
     return np.clip(np.nan_to_num(iou), 0.0, 1.0)

@@ -6,7 +6,7 @@ from captura.functions import paths as P
 from captura.functions.rounding import round_half_even
 from captura.operators import localization as L
 from captura.operators.cache import with_cache
-from captura.operators.shared import new_path
+from captura.operators.shared import new_path, written
 from captura.plans import catalog_geometry as G
 from captura.plans import views as V
 from captura.plans.registry import query, r
@@ -116,8 +116,9 @@ def cached_metrics(spark, sf_dir):
     """Second-detector metrics of frames in three runs: finished captures, all captures, all again (no miss)."""
     path = new_path(spark, "metrics-cache")
     orders = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), "o_orderstatus")
-    truth = G._truth(spark, sf_dir).select("frame_id", "corners")
-    second = G._tier2(spark, sf_dir).select("frame_id", "detected", "corners")
+    measured = written(G._truth(spark, sf_dir), "truth")  # read by every run
+    truth = measured.select("frame_id", "corners")
+    second = G._tier2(spark, sf_dir, measured).select("frame_id", "detected", "corners")
     frames = orders.join(truth.select("frame_id"), "frame_id")
 
     def compute(missing):

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from captura.functions.polygons import quad_iou_arrays
 from captura.operators import candidates as C
 from captura.operators import localization as L
 from captura.operators.grouping import percentiles
@@ -125,3 +126,14 @@ def test_live_tracker_keeps_many_captures_in_a_few_states(spark, tmp_path):
     batch = track(scored.select("video_id", "frame_idx", "frame_w", "frame_h"), scored)
     pick = lambda df: sorted((str(r.video_id), r.frame_idx, r.method, r.confidence, r.bbox or []) for r in df.collect())
     assert pick(live.filter("video_id IS NOT NULL")) == pick(batch.filter("video_id IS NOT NULL")) and len(pick(live)) == 40
+
+
+def test_overlap_of_boxes_has_the_bits_of_their_sides():
+    rng = np.random.default_rng(1)
+    low, size = rng.integers(0, 300, (5000, 2)) + 0.0, rng.integers(400, 900, (5000, 2)) / 1.3
+    quads = lambda low, high: np.stack([low, np.c_[high[:, 0], low[:, 1]], high, np.c_[low[:, 0], high[:, 1]]], axis=1)
+    moved, high = low + rng.integers(0, 7, (5000, 2)), low + size
+    moved_high = high + (moved - low)
+    inter = np.maximum(0.0, high - moved).prod(axis=1)
+    want = inter / ((moved_high - moved).prod(axis=1) + (high - low).prod(axis=1) - inter)
+    assert (quad_iou_arrays(quads(moved, moved_high), quads(low, high)) == want).all()
