@@ -55,7 +55,7 @@ def tree(spark, sf_dir):
     """The files of the prepared set as its tree names them, against the manifest that was written beside them."""
     source, target, _ = prepared_set(spark, sf_dir)
     files = M.list_files(spark, target)
-    flags = [M.is_partitioned(M.list_files(spark, x), plain_root(x)).first().is_partitioned for x in (source, target)]
+    flags = [M.is_partitioned(x, plain_root(root)).first().is_partitioned for x, root in ((M.list_files(spark, source), source), (files, target))]
     listed = M.tree_samples(files, plain_root(target)).join(files, "path")
     manifest = M.read_manifest(spark, f"{target}/manifest.csv", PREPARED_COLUMNS)
     known = manifest.select(F.concat_ws("/", F.lit(plain_root(target)), "path").alias("path"), F.col("split").alias("__split"), F.col("label").alias("__label"))

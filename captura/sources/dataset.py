@@ -4,7 +4,6 @@ Files are copied by the tasks that own their manifest rows and never pass throug
 is any that executors share and ``pyarrow.fs`` opens by its address.
 """
 
-import re
 import uuid
 
 import pyarrow as pa
@@ -14,44 +13,40 @@ from pyspark.sql import functions as F
 from captura.operators.audit import validate_dataset
 from captura.operators.shared import written
 from captura.operators.splits import grouped_split, leakage
-from captura.sources.manifests import flat_samples, list_files, prepared_manifest
+from captura.sources.manifests import flat_samples, list_files, open_storage, plain_root, prepared_manifest
 from captura.sources.sinks import write_csv
 
 # --- fixed values ---------------------------------------------------------
 PREPARED_COLUMNS = ["sample_id", "source", "source_group", "path", "label", "document_type", "video_id", "split"]
+COPY_TASKS_PER_CORE = 4
 # --------------------------------------------------------------------------
 
 
-def plain_root(root: str) -> str:
-    """The root as listings report it: local addresses without their scheme."""
-    return re.sub(r"^file:/+", "/", root).rstrip("/")
-
-
-def _commit(system, target: str, fill) -> int:
-    """Create a file under a name of its own and move it to its place, so that a lost task leaves no half file."""
-    from pyarrow import fs
-
-    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-    draft = f"{target}.{uuid.uuid4().hex}.part"
-    fill(draft)
-    if system.get_file_info(target).type != fs.FileType.NotFound:
-        system.delete_file(target)
-    system.move(draft, target)
-    return system.get_file_info(target).size
-
-
 def _each_file(rows: DataFrame, root: str, columns: list, fill_of) -> DataFrame:
-    """Run a task per row that makes ``root/path``; one receipt ``path, length`` per file, kept as a table."""
+    """Run a task per row that makes ``root/path``; one receipt ``path, length`` per file, kept as a table.
 
-    def work(batches):
-        from pyarrow import fs
+    A file is made in a hidden folder of its task and moved over its place, so that a lost task leaves no half file and
+    tasks do not wait for each other to create files in one large folder.
+    """
 
-        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-        for batch in batches:
-            sizes = []
-            for path, *given in zip(*[batch.column(c).to_pylist() for c in columns]):
-                sizes.append(_commit(system, f"{base}/{path}", fill_of(system, *given)))
-            yield pa.RecordBatch.from_arrays([batch.column(columns[0]), pa.array(sizes, pa.int64())], ["path", "length"])
+    def work(batches):
+        system, base = open_storage(root)
+        drafts, made = f"{base}/.drafts-{uuid.uuid4().hex}", set()
+        try:
+            for batch in batches:
+                sizes = []
+                for path, *given in zip(*[batch.column(c).to_pylist() for c in columns]):
+                    target, draft = f"{base}/{path}", f"{drafts}/file"
+                    for folder in {target.rsplit("/", 1)[0], drafts} - made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    fill_of(system, *given)(draft)
+                    system.move(draft, target)
+                    sizes.append(system.get_file_info(target).size)
+                yield pa.RecordBatch.from_arrays([batch.column(columns[0]), pa.array(sizes, pa.int64())], ["path", "length"])
+        finally:
+            if made:
+                system.delete_dir(drafts)
 
     return written(rows.select(*columns).mapInArrow(work, "path string, length long"), "receipts")
 
@@ -70,12 +65,13 @@ def put_files(contents: DataFrame, root: str) -> DataFrame:
 
 
 def copy_files(manifest: DataFrame, root: str) -> DataFrame:
-    """Copy every ``source`` to ``root/path`` within one storage."""
+    """Copy every ``source`` to ``root/path`` within one storage. Rows are dealt evenly: a small manifest may be one partition."""
 
     def fill_of(system, source):
         return lambda draft: system.copy_file(source, draft)
 
-    return _each_file(manifest, root, ["path", "source"], fill_of)
+    dealt = manifest.repartition(COPY_TASKS_PER_CORE * manifest.sparkSession.sparkContext.defaultParallelism, "path")
+    return _each_file(dealt, root, ["path", "source"], fill_of)
 
 
 def build_dataset(spark: SparkSession, source: str, target: str, ratios=(0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:

@@ -1,5 +1,11 @@
 """Manifests and directory listings to samples."""
 
+import os
+import re
+from itertools import islice
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +21,11 @@ from captura.functions.paths import (
     unix_path,
 )
 from captura.functions.text import strip
+from captura.operators.shared import written
 
 _IMAGE_RE = "(?i)(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$"
 SPLIT_NAMES = ("train", "val", "test")
+LISTED_ROWS = 8192  # files of a listing's batch
 
 
 def read_manifest(spark: SparkSession, path: str, columns: list | None = None) -> DataFrame:
@@ -62,10 +70,68 @@ def manifest_samples(manifest: DataFrame, base_dir: str = "", validation_alias:
     )
 
 
+def plain_root(root: str) -> str:
+    """The root as listings report it: local addresses without their scheme."""
+    return re.sub(r"^file:/+", "/", root).rstrip("/")
+
+
+def open_storage(root: str):
+    """File system of an address and the root's path in it."""
+    system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{plain_root(root)}")
+    return system, base.rstrip("/")
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's scans leave out."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _entries(system, folder: str):
+    """Name, size and kind of what lies in a folder; a local folder is never held whole."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for e in found:
+                yield e.name, e.stat().st_size, e.is_dir()
+    else:
+        for e in system.get_file_info(fs.FileSelector(folder)):
+            yield e.base_name, e.size, e.type == fs.FileType.Directory
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path and length of every file below a directory; contents are never read. Spark's scans leave out empty files."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return listing.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "length")
+    """Path and length of every file below a directory; contents are never read. As in Spark's scans, empty files and hidden names are left out.
+
+    Tasks list the directories of a level and write what they find, so neither the driver nor a plan holds the files. The listing is
+    a table and stays as it was when it was made. What ``pyarrow.fs`` cannot open as a directory (a pattern, one file,
+    a storage that only Spark knows) goes through Spark's own scan.
+    """
+    try:
+        system, base = open_storage(root)
+        tree = system.get_file_info(base or "/").type == fs.FileType.Directory
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        tree = False
+    if not tree:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return listing.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "length")
+    top = plain_root(root)
+
+    def work(batches):
+        system, base = open_storage(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                kept = (x for x in _entries(system, (base + path[len(top) :]) or "/") if not _hidden(x[0]) and (x[2] or x[1]))
+                while part := list(islice(kept, LISTED_ROWS)):
+                    names, sizes, kinds = zip(*part)
+                    columns = [pa.array([f"{path}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array(kinds)]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "length", "is_folder"])
+
+    width = max(32, spark.sparkContext.defaultParallelism)
+    folders, out = spark.createDataFrame([(top,)], "path string"), None
+    while out is None or not folders.isEmpty():
+        found = folders.repartition(width, "path").mapInArrow(work, "path string, length long, is_folder boolean")
+        level = written(found.repartition(width, "path"), "listing")
+        files, folders = level.filter("NOT is_folder").select("path", "length"), level.filter("is_folder").select("path")
+        out = files if out is None else out.unionByName(files)
+    return out
 
 
 def images_of(files: DataFrame) -> DataFrame:

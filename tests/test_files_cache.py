@@ -1,5 +1,6 @@
 """Image sets on shared storage, the metrics cache, template texts."""
 
+import os
 import tempfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from captura.operators.cache import with_cache
 from captura.sources import manifests as M
 from captura.sources.annotations import with_template_text
-from captura.sources.dataset import PREPARED_COLUMNS, build_dataset, plain_root, put_files
+from captura.sources.dataset import PREPARED_COLUMNS, build_dataset, copy_files, plain_root, put_files
 
 
 @pytest.fixture()
@@ -41,6 +42,27 @@ def test_dataset_build_repeats_itself(spark, folder):
     assert not M.list_files(spark, target).filter("path LIKE '%.part'").count()
 
 
+def test_listing_is_made_by_tasks_and_equals_the_scan(spark, folder):
+    names = ["a.png", "x/b.png", "x/y/c d.png", "_part=1/d.png", "_metadata", "_SUCCESS", ".e.png", ".h/f.png", "_g/g.png", "x/%41.png"]
+    rows = [(n, n.encode()) for n in names] + [("x/empty.png", None)] + [(f"many/{k}.png", b"xy") for k in range(99)]
+    put_files(spark.createDataFrame(rows, "path string, content binary"), folder)
+    files = M.list_files(spark, folder)
+    assert not [f for f in files.inputFiles() if f.endswith(".png")]  # the plan reads a table, not the files
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    want = sorted((r.path.replace("file:/", "/"), r.length) for r in scan.select("path", "length").collect())
+    assert sorted(map(tuple, files.collect())) == want and len(want) == 104
+    one = M.list_files(spark, f"{folder}/x/*.png").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in one) == ["%41.png", "b.png"]
+
+
+def test_copies_of_a_small_manifest_are_dealt(spark, folder):
+    images(spark, f"{folder}/a")
+    manifest = M.list_files(spark, f"{folder}/a").select(F.concat(F.lit("all/"), F.substring_index("path", "/", -1)).alias("path"), F.col("path").alias("source"))
+    receipts = copy_files(manifest.coalesce(1), f"{folder}/b")
+    assert receipts.count() == 59 and receipts.select(F.input_file_name()).distinct().count() > 1
+    assert sorted(os.listdir(f"{plain_root(folder)}/b")) == ["all"]  # no drafts are left
+
+
 def test_unfit_source_is_refused(spark, folder):
     images(spark, folder, 6)
     with pytest.raises(ValueError):
