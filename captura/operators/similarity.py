@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captura.functions.sequences import pair_similarity
@@ -158,12 +158,41 @@ def mean_ordered_similarity(
     buckets of about ``bucket_rows`` (:func:`order_buckets`). A unit (tile, bucket) sums over the frame pairs within; one
     more unit per tile sums over pairs across buckets from counts per bucket and value. So a group of
     two values and many frames is many units, and no pair of frames or values leaves a task. NULL keys are groups of their own.
-    Frames of one group with one order value count in order of their canonical values.
+    Frames of one group with one order value count in order of their canonical values. A group of at most
+    ``tile_values`` values is one unit without buckets, tiles and their joins (:func:`_small_groups`).
     """
     keys = list(keys)
     filled = rows.filter(F.col(value).isNotNull() & (strip(F.col(value)) != ""))
     parsed = filled.select(*keys, F.col(order).alias("__f"), canonical(F.col(value)).alias("__c"))
-    parsed = written(parsed, "values")
+    counted = written(parsed.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))), "values")
+    few = min(tile_values, bucket_rows)
+    large = _large_groups(counted.filter(F.col("__n") > few).drop("__n"), dict(rows.dtypes), keys, metric, tile_values, bucket_rows)
+    return _small_groups(counted.filter(F.col("__n") <= few), dict(rows.dtypes), keys, metric).unionByName(large)
+
+
+def _small_groups(counted: DataFrame, types: dict, keys, metric: str) -> DataFrame:
+    """Groups whose rows all meet in one unit, in the order of their frames."""
+    ordered = counted.repartition(*keys).sortWithinPartitions(*keys, "__f", "__c")
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", __n long, total double"
+
+    def search(batches):
+        def units():
+            count = 0
+            for batch in batches:
+                zeros = np.zeros(batch.num_rows, np.int64)
+                added = {k: zeros for k in ("__ti", "__tj", "__block", "__part")} | {"__place": count + np.arange(batch.num_rows), "__m": zeros + 1.0}
+                count += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in added.values()]], [*batch.schema.names, *added])
+
+        return _units(units(), [*keys, "__n"], metric)
+
+    plain = alphanumeric(F.col("__c")).alias("__p")
+    sums = ordered.select(*keys, "__n", "__c", plain).mapInArrow(search, schema)
+    mean = F.when(F.col("__n") > 1, F.col("total") / (F.col("__n") * (F.col("__n") - 1) / 2)).otherwise(F.lit(1.0))
+    return sums.select(*keys, mean.alias("mean_similarity"))
+
+
+def _large_groups(parsed: DataFrame, types: dict, keys, metric: str, tile_values: int, bucket_rows: int) -> DataFrame:
     seen = order_buckets(parsed, keys, "__f", bucket_rows).withColumn("__g", F.struct(*keys)).drop(*keys)
     cells = seen.groupBy("__g", "__bucket", "__c").agg(F.count(F.lit(1)).alias("__m"))
     counts = parsed.groupBy(F.struct(*keys).alias("__g"), "__c").agg(F.count(F.lit(1)).alias("__m"))
@@ -182,7 +211,6 @@ def mean_ordered_similarity(
         F.struct(F.lit(None).cast(dict(parsed.dtypes)["__f"]).alias("__f"), "__c").alias("__at"), F.col("__bucket").cast("long").alias("__place"), F.col("__m").cast("double").alias("__m"),
     )
     ordered = within.unionByName(between).repartition("__g", "__ti", "__tj", "__part").sortWithinPartitions("__g", "__ti", "__tj", "__part", "__place", "__at")
-    types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", total double"
 
     def search(batches):

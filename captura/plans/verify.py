@@ -11,6 +11,7 @@ from captura.operators.evaluation import binary_metrics
 from captura.operators.fusion import assess, fuse
 from captura.operators.grouping import null_safe
 from captura.operators.ocr import MIN_CONFIDENCE, frame_text, parse_fields, video_confidence
+from captura.operators.shared import written
 from captura.operators.temporal import CONSISTENCY_THRESHOLD, temporal_consistency
 
 
@@ -25,12 +26,13 @@ def verify_text(
     """Text summary per capture: consensus fields, consistency and OCR confidence.
 
     ``frames`` lists every readable frame as ``video_id, frame_idx``; a frame
-    without confident lines counts with confidence 0.0.
+    without confident lines counts with confidence 0.0. The parsed frames are written once: consensus, similarity and
+    confidence all read them, and matching the patterns is the dearest step.
     """
     texts = frame_text(ocr_lines, frames, min_conf, keys=("video_id", "frame_idx"))
-    parsed = parse_fields(texts, "full_text", "full_text", patterns)
+    parsed = written(parse_fields(texts, "full_text", "full_text", patterns).drop("full_text", "line_count"), "parsed")
     summary = text_consistency(parsed, fields, **consensus)
-    return null_safe(summary, video_confidence(texts), ["video_id"], "inner")
+    return null_safe(summary, video_confidence(parsed), ["video_id"], "inner")
 
 
 def visual_scores(frame_scores: DataFrame) -> DataFrame:

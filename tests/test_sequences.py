@@ -83,3 +83,26 @@ def test_mean_over_ordered_pairs(spark, tile, bucket):
         assert set(got) == set(want)
         for k, values in want.items():
             assert got[k] == pytest.approx(plain_mean(values, rate), abs=1e-9), (metric, k)
+
+
+def test_small_groups_agree_with_tiles(spark):
+    words = ["ada lovelace", "Ada  Lovelace", "ada lovelase", "alan turing", None, " "]
+    rows = [(g if g else None, f"f{g % 2}", k // 2, words[(k * 7 + g) % 6]) for g in range(6) for k in range(g * 3)]
+    df = spark.createDataFrame(rows + [(77, "one", 0, "x")], "video_id int, field string, frame_idx int, value string")
+    for metric in ("ratio", "levenshtein"):
+        one, tiled = (
+            {(r.video_id, r.field): r.mean_similarity for r in mean_ordered_similarity(df, ["video_id", "field"], "frame_idx", "value", metric, t, b).collect()}
+            for t, b in ((128, 4096), (2, 4))
+        )
+        assert one == pytest.approx(tiled) and one[77, "one"] == 1.0 and len(one) == len({(r[0], r[1]) for r in rows if (r[3] or "").strip()}) + 1
+
+
+def test_patterns_are_matched_once(spark):
+    from captura.plans.verify import verify_text
+
+    lines = spark.createDataFrame([(1, f, 0, t, 0.9) for f, t in enumerate(["NAME: ADA", "NAME: ADA", "NAME: EDA"])], "video_id int, frame_idx int, line_no int, text string, confidence double")
+    frames = spark.createDataFrame([(1, f) for f in range(4)], "video_id int, frame_idx int")
+    found = verify_text(lines, frames)
+    assert "Full Name" not in found._jdf.queryExecution().toString()  # the parsed frames are a table by now
+    row = found.first()
+    assert (row.name, row.frames_analyzed, row.ocr_confidence) == ("ADA", 4, 0.675)
