@@ -414,58 +414,92 @@ def baseline_candidate(candidates: DataFrame, min_confidence: float = 0.35, keys
     return top.filter(F.col("confidence") >= min_confidence)
 
 
-def _scan_duplicates(batches, keys, iou):
+def _boxes(batch: pa.Table) -> np.ndarray:
+    """Boxes (n, 5): sides and area."""
+    box = np.asarray(batch.column("bbox").combine_chunks().flatten(), float).reshape(-1, 4)
+    return np.column_stack([box, (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])])
+
+
+def _too_close(a: np.ndarray, b: np.ndarray, iou: float) -> np.ndarray:
+    """Whether boxes overlap by more than ``iou``; equal boxes always do."""
+    width = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    height = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+    inter = np.maximum(width, 0) * np.maximum(height, 0)
+    union = a[..., 4] + b[..., 4] - inter
+    share = inter / np.where(union > 0, union, np.inf)
+    return (share > iou) | (share == 1)
+
+
+def _greedy(boxes: np.ndarray, kept: np.ndarray, iou: float):
+    """Flags of the boxes of one frame in rank order, and all boxes kept so far."""
+    flags = np.zeros(len(boxes), bool)
+    for n, box in enumerate(boxes):
+        if not _too_close(box, kept, iou).any():
+            kept = np.vstack([kept, box])
+            flags[n] = True
+    return flags, kept
+
+
+def _greedy_frames(boxes: np.ndarray, start: np.ndarray, size: np.ndarray, iou: float) -> np.ndarray:
+    """Flags of the boxes of many small frames at once: one step per rank, not per box."""
+    first, others = np.repeat(start, size), np.repeat(size, size)
+    rank = np.arange(len(boxes)) - first
+    ends = np.cumsum(others - rank - 1)
+    better = np.repeat(np.arange(len(boxes)), others - rank - 1)
+    worse = better + 1 + np.arange(len(better)) - np.repeat(ends - (others - rank - 1), others - rank - 1)
+    close = _too_close(boxes[better], boxes[worse], iou)
+    better, worse = better[close], worse[close]
+    order = np.argsort(rank[better], kind="stable")
+    better, worse = better[order], worse[order]
+    cuts = np.searchsorted(rank[better], np.arange(size.max(initial=0) + 1))
+    alive = np.ones(len(boxes), bool)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        alive[worse[lo:hi][alive[better[lo:hi]]]] = False
+    return alive
+
+
+def _scan_duplicates(batches, keys, iou, small: int = 64):
     """Greedy suppression over rows sorted by frame and rank.
 
-    Only the kept boxes of the current frame stay in memory. Kept boxes overlap
-    little, so their number is limited by the frame, not by the input.
+    Frames of at most ``small`` rows that lie in a batch are decided together. Of one that goes on, only
+    the kept boxes stay in memory. Kept boxes overlap little, so their number is limited by the frame, not by the input.
     """
-    current, kept = None, np.zeros((0, 5))
+    last, kept = None, np.zeros((0, 5))  # the last row given out, and the boxes kept in its frame
     for batch in batches:
-        rows = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-        boxes = np.array(batch.column("bbox").to_pylist(), dtype=float).reshape(-1, 4)
-        areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-        flags = np.zeros(len(rows), bool)
-        for n, key in enumerate(rows):
-            if key != current:
-                current, kept = key, kept[:0]
-            box, area = boxes[n], areas[n]
-            if len(kept):
-                width = np.minimum(box[2], kept[:, 2]) - np.maximum(box[0], kept[:, 0])
-                height = np.minimum(box[3], kept[:, 3]) - np.maximum(box[1], kept[:, 1])
-                inter = np.maximum(width, 0) * np.maximum(height, 0)
-                union = area + kept[:, 4] - inter
-                if (inter / np.where(union > 0, union, np.inf) > iou).any():
-                    continue
-            kept = np.vstack([kept, [*box, area]])
-            flags[n] = True
-        yield batch.select([*keys, "cand_id"]).filter(pa.array(flags))
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        same = _same_frame(rows if last is None else pa.concat_tables([last, rows]), keys)
+        goes_on = last is not None and bool(same[1])
+        start = np.flatnonzero(~same[-rows.num_rows :])
+        start = np.append(0, start) if goes_on else start
+        size = np.diff(np.append(start, rows.num_rows))
+        boxes, flags = _boxes(rows), np.zeros(rows.num_rows, bool)
+        alone = size > small
+        alone[0] |= goes_on
+        alone[-1] = True  # it may go on
+        together = np.repeat(~alone, size)
+        if together.any():
+            n = size[~alone]
+            flags[together] = _greedy_frames(boxes[together], np.cumsum(n) - n, n, iou)
+        for k in np.flatnonzero(alone):
+            a, b = start[k], start[k] + size[k]
+            flags[a:b], kept = _greedy(boxes[a:b], kept if k == 0 and goes_on else kept[:0], iou)
+        last = rows.slice(rows.num_rows - 1)
+        yield batch.filter(pa.array(flags))
 
 
 def nms(candidates: DataFrame, iou: float = DUPLICATE_IOU, keys=FRAME) -> DataFrame:
     """Greedy de-duplication by confidence: drop a box that overlaps a kept one too much.
 
-    Boxes with equal coordinates share their fate with the best of them, so only
-    that one is considered. Frames are scanned in rank order with the kept boxes
-    as the only state, whatever their size.
+    Boxes with equal coordinates share their fate with the best of them, which drops the others. Rows are dealt once by
+    frame and scanned in rank order, with the kept boxes as the only state, whatever the size of a frame.
     """
     keys = list(keys)
-    order = F.struct((-F.col("confidence")).alias("rank"), F.col("cand_id"))
-    degenerate = (F.get("bbox", F.lit(2)) <= F.get("bbox", F.lit(0))) | (
-        F.get("bbox", F.lit(3)) <= F.get("bbox", F.lit(1))
-    )
-    slim = candidates.select(*keys, "bbox", order.alias("o"), F.when(degenerate, F.col("cand_id")).alias("flat"))
-    distinct = slim.groupBy(*keys, "bbox", "flat").agg(F.min("o").alias("o")).drop("flat")
-    types = dict(candidates.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "cand_id"])
+    ranked = candidates.withColumn("__rank", -F.col("confidence"))
 
     def scan(batches):
         return _scan_duplicates(batches, keys, iou)
 
-    survivors = (
-        distinct.select(*keys, F.col("o.rank").alias("rank"), F.col("o.cand_id").alias("cand_id"), "bbox")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "rank", "cand_id")
-        .mapInArrow(scan, schema)
-    )
-    return null_safe(candidates, survivors, [*keys, "cand_id"], "left_semi")
+    dealt = ranked.repartition(*keys).sortWithinPartitions(*keys, "__rank", "cand_id")
+    return dealt.drop("__rank").mapInArrow(scan, candidates.schema)

@@ -310,3 +310,41 @@ def test_smoothing_matches_sequential_fold(spark):
         got = {(r.video_id, r.frame_idx): r.ema for r in ema(df, "video_id", "frame_idx", "x", width=width).collect()}
         assert got.keys() == want.keys()
         assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_suppression_reads_its_input_once(spark):
+    rows = [(1, 1, k, [dict(x=10.0 + k, y=10.0), dict(x=400.0, y=10.0), dict(x=400.0, y=260.0), dict(x=10.0, y=260.0)], 9e4, 1600, 1000) for k in range(3)]
+    df = spark.createDataFrame(rows, "video_id int, frame_id int, cand_id int, corners array<struct<x:double,y:double>>, area double, frame_w int, frame_h int")
+    kept = C.nms(C.validate_quads(df))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert kept.count() == 1 and kept.columns == C.validate_quads(df).columns
+
+
+def test_suppression_of_frames_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 150, 2, 7, 64, 65, 30, 1, 1, 40]
+    frame = np.repeat(np.arange(len(sizes)), sizes)
+    low = rng.integers(0, 40, (len(frame), 2))
+    box = np.hstack([low, low + rng.integers(-2, 30, (len(frame), 2))])
+    box[5:25] = box[5]  # copies
+    want = []
+    for f in range(len(sizes)):
+        kept = []
+        for n in np.flatnonzero(frame == f):
+            x = box[n].astype(float)
+
+            def share(k):
+                inter = max(0, min(x[2], k[2]) - max(x[0], k[0])) * max(0, min(x[3], k[3]) - max(x[1], k[1]))
+                union = (x[2] - x[0]) * (x[3] - x[1]) + (k[2] - k[0]) * (k[3] - k[1]) - inter
+                return inter / union if union > 0 else 0.0
+
+            if not any(share(k) > 0.5 for k in kept):
+                kept.append(x)
+                want.append(int(n))
+    table = pa.table({"video_id": pa.array([None if f == 3 else int(f) for f in frame], pa.int32()), "cand_id": np.arange(len(frame)), "bbox": pa.array(box.tolist(), pa.list_(pa.int32()))})
+    for step in (1, 7, 64, 1000):
+        out = C._scan_duplicates(iter(table.to_batches(max_chunksize=step)), ["video_id"], 0.5)
+        assert [n for b in out for n in b.column("cand_id").to_pylist()] == want
