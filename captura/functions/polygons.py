@@ -131,35 +131,48 @@ def quad_iou_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def order_arrays(p: np.ndarray) -> np.ndarray:
     """Canonical corner order of quads shaped (n, 4, 2); the earliest corner wins ties."""
-    total, difference = p.sum(axis=2), p[..., 1] - p[..., 0]
+    x, y = p[..., 0].T, p[..., 1].T
+    t, d = x + y, y - x
+    kept = (t[0] <= t[1]) & (t[0] <= t[2]) & (t[0] <= t[3]) & (d[1] < d[0]) & (d[1] <= d[2]) & (d[1] <= d[3])
+    kept &= (t[2] > t[0]) & (t[2] > t[1]) & (t[2] >= t[3]) & (d[3] > d[0]) & (d[3] > d[1]) & (d[3] > d[2])
+    if kept.all():
+        return p
+    out, moved = p.copy(), ~kept
+    total, difference = t.T[moved], d.T[moved]
     picks = np.stack([total.argmin(1), difference.argmin(1), total.argmax(1), difference.argmax(1)], axis=1)
-    return np.take_along_axis(p, picks[:, :, None], axis=1)
+    out[moved] = np.take_along_axis(p[moved], picks[:, :, None], axis=1)
+    return out
 
 
 def shape_arrays(p: np.ndarray) -> dict:
-    """Measurements of ordered quads."""
-    edge = np.roll(p, -1, axis=1) - p
-    length = np.hypot(edge[..., 0], edge[..., 1])
-    back = -np.roll(edge, 1, axis=1)
-    product = length * np.roll(length, 1, axis=1)
-    cosine = np.abs((edge * back).sum(axis=2) / np.maximum(1e-6, product))
-    area = np.abs(signed_area(p))
-    rel = p[:, None, :, :] - p[:, :, None, :]
-    along = (rel * edge[:, :, None, :]).sum(axis=3)
-    across = _cross(edge[:, :, None, :], rel)
-    boxes = np.ptp(along, axis=2) * np.ptp(across, axis=2) / np.maximum(1e-12, length**2)
-    low, high = p.min(axis=1), p.max(axis=1)
+    """Measurements of ordered quads (n, 4, 2), in arrays (4, n): long loops run over quads, not over corners."""
+    x, y = np.ascontiguousarray(p[..., 0].T), np.ascontiguousarray(p[..., 1].T)
+    turned = lambda v, k: np.concatenate([v[k:], v[:k]])
+    ex, ey = turned(x, 1) - x, turned(y, 1) - y
+    square = ex * ex + ey * ey
+    length = np.sqrt(square)
+    bx, by = -turned(ex, 3), -turned(ey, 3)
+    cosine = np.abs((ex * bx + ey * by) / np.maximum(1e-6, length * turned(length, 3)))
+    cross = x * turned(y, 1) - y * turned(x, 1)
+    area = np.abs((cross[0] + cross[1] + cross[2] + cross[3]) / 2.0)
+    # Seen from a side's first corner, that corner and the side's end lie at 0 and ``square`` along it and at 0 across it.
+    dx, dy = turned(x, 2) - x, turned(y, 2) - y
+    far, near = dx * ex + dy * ey, bx * ex + by * ey
+    along = np.maximum(np.maximum(far, near), square) - np.minimum(np.minimum(far, near), 0.0)
+    far, near = ex * dy - ey * dx, ex * by - ey * bx
+    across = np.maximum(np.maximum(far, near), 0.0) - np.minimum(np.minimum(far, near), 0.0)
+    boxes = along * across / np.maximum(1e-12, square)
     return {
         "area": area,
-        "w": 0.5 * (length[:, 0] + length[:, 2]),
-        "h": 0.5 * (length[:, 3] + length[:, 1]),
-        "mean_cos": cosine.mean(axis=1),
-        "max_cos": cosine.max(axis=1),
-        "rect": np.minimum(1.0, area / np.maximum(1.0, boxes.min(axis=1))),
-        "x1": low[:, 0],
-        "y1": low[:, 1],
-        "x2": high[:, 0],
-        "y2": high[:, 1],
+        "w": 0.5 * (length[0] + length[2]),
+        "h": 0.5 * (length[3] + length[1]),
+        "mean_cos": (cosine[0] + cosine[1] + cosine[2] + cosine[3]) / 4.0,
+        "max_cos": cosine.max(axis=0),
+        "rect": np.minimum(1.0, area / np.maximum(1.0, boxes.min(axis=0))),
+        "x1": x.min(axis=0),
+        "y1": y.min(axis=0),
+        "x2": x.max(axis=0),
+        "y2": y.max(axis=0),
     }
 
 

@@ -16,13 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fixed(df: DataFrame, columns: dict) -> DataFrame:
+def fixed(df: DataFrame, columns: dict, kept=()) -> DataFrame:
     """Rows of derived columns that later steps use by reference, as if read from a table.
 
     The optimizer copies the definition of a projected column into every filter and
     expression above it. A one-row generator is evaluated once and stays in place.
     """
-    return df.select(F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def placed(df: DataFrame, columns: dict, kept=()) -> DataFrame:
+    """The columns of :func:`fixed` as a projection, which keeps the order of rows."""
+    return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
 def _select(df: DataFrame, exprs: dict) -> DataFrame:
@@ -193,6 +198,7 @@ CORNERS = {
     "y3": "py + pw / pa",
     "edge_quality": "edge_quality",
 }
+CANDIDATE = ["video_id", "frame_id", "cand_id"]
 ORDER_IN_FRAME = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
 SQL_CORNERS = (
     "numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY "
@@ -203,31 +209,36 @@ SQL_CORNERS = (
 )
 
 
-def corner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(*ORDER_IN_FRAME, "l_orderkey")
-    order = Window.partitionBy("l_orderkey").orderBy(*ORDER_IN_FRAME)
+def corner_rows(spark: SparkSession, sf_dir: str, derive=None) -> DataFrame:
+    """Corners of every order line, dealt by frame once and in order of ``cand_id`` within it.
+
+    ``derive`` adds columns to kept ones: ``fixed`` if filters on derived columns follow, ``placed`` if none do, which
+    leaves rows dealt and sorted for the next step by frame.
+    """
+    derive = derive or fixed
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_orderkey").alias("frame_id"), *ORDER_IN_FRAME)
+    order = Window.partitionBy(*CANDIDATE[:2]).orderBy(*ORDER_IN_FRAME)
     numbered = items.withColumn("cand_id", F.row_number().over(order))
-    boxes = fixed(numbered, {a: F.expr(e) for a, e in BOX.items()})
-    return fixed(boxes, {a: F.expr(e) for a, e in CORNERS.items()})
+    for exprs in (BOX, CORNERS):
+        numbered = derive(numbered, {a: F.expr(e) for a, e in exprs.items() if a not in ("l_orderkey", *CANDIDATE)}, CANDIDATE)
+    return numbered
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, derive=None) -> DataFrame:
     from captura.functions.geometry import coordinates_area, quad
 
-    rows = corner_rows(spark, sf_dir)
+    rows = corner_rows(spark, sf_dir, derive)
     xs, ys = ([F.col(f"{axis}{i}") for i in range(4)] for axis in ("x", "y"))
-    return fixed(
+    return (derive or fixed)(
         rows,
         {
-            "video_id": F.col("video_id"),
-            "frame_id": F.col("frame_id"),
-            "cand_id": F.col("cand_id"),
             "corners": quad(*[c for pair in zip(xs, ys) for c in pair]),
             "edge_quality": F.col("edge_quality"),
             "area": coordinates_area(xs, ys),
             "frame_w": F.lit(FRAME_W),
             "frame_h": F.lit(FRAME_H),
         },
+        CANDIDATE,
     )
 
 

@@ -137,3 +137,48 @@ def test_overlap_of_boxes_has_the_bits_of_their_sides():
     inter = np.maximum(0.0, high - moved).prod(axis=1)
     want = inter / ((moved_high - moved).prod(axis=1) + (high - low).prod(axis=1) - inter)
     assert (quad_iou_arrays(quads(moved, moved_high), quads(low, high)) == want).all()
+
+
+def _quads(spark):
+    """Frames of several sizes with plain, skewed, implausible, short and missing quads."""
+    rng, rows = np.random.default_rng(8), []
+    for n, (frame, size) in enumerate({"a": 5, "b": 23, None: 4, "c": 9, "d": 2, "e": 1}.items()):
+        for c in range(size):
+            x, y, w, h = (float(v) for v in rng.integers(20, 260, 4))
+            w, h, s = w + 300, h + 150, float(rng.integers(-9, 9)) * (1 if c % 4 else 30)
+            quad = [(x, y), (x + w, y + s), (x + w + s, y + h), (x - s, y + h)]
+            quad = [quad[(i + c) % 4] for i in range(4)]
+            quad = None if c % 11 == 7 else quad[:3] if c % 11 == 8 else quad
+            area = 10.0 if frame in ("d", "e") else None if c % 11 == 9 else w * h
+            rows.append((None if n % 3 == 2 else n % 2, frame, c, quad, area, None if c % 5 == 1 else float(rng.random()), 1000, 1600, f"{frame}{c}"))
+    return spark.createDataFrame(rows, CANDIDATES + ", edge_quality double, frame_h int, frame_w int, note string")
+
+
+@pytest.mark.parametrize("tile,batch", [(128, "10000"), (8, "3"), (1, "10000")])
+def test_one_pass_gives_the_scores_of_its_steps(spark, tile, batch):
+    df = _quads(spark)
+    want = C.score_candidates(C.validate_quads(C.plausible_areas(df)))
+    rows = lambda d, names: sorted((tuple(r[n] for n in names) for r in d.collect()), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert rows(C.scored_quads(df, tile_rows=tile), want.columns) == rows(want, want.columns)
+        top, lead = C.scored_quads(df, best=True, tile_rows=tile).cache(), C.best_candidate(want, 0.0)
+        few = C.scored_quads(df, best=True, columns=["static_score"], tile_rows=tile)
+        assert rows(few, ["frame_id", "static_score"]) == rows(top, ["frame_id", "static_score"]) and few.columns == ["video_id", "frame_id", "static_score"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows(top.filter("static_score IS NOT NULL"), lead.columns) == rows(lead, lead.columns)
+    assert top.count() == 6 and {r.frame_id for r in top.filter("static_score IS NULL").collect()} == {"d", "e"}
+    assert {(r.frame_w, r.frame_h) for r in top.collect()} == {(1600, 1000)}
+
+
+def _written_plans(monkeypatch):
+    plans, keep = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, kind: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, kind))[1])
+    return plans
+
+
+def test_order_lines_are_dealt_once_for_their_best_candidates(spark, monkeypatch):
+    plans = _written_plans(monkeypatch)
+    G.best(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and plans[0].count("Sort [") == 1
