@@ -179,6 +179,16 @@ def tier1_detection(scored_best: DataFrame, frames: DataFrame, min_static: float
     return joined.withColumn("detected", F.coalesce("detected", F.lit(False)))
 
 
+def tier1_of_best(best: DataFrame, min_static: float = 0.40, keys=("video_id", "frame_id")) -> DataFrame:
+    """:func:`tier1_detection` of rows that hold every frame with its best candidate, or NULL; a frame without a key has none."""
+    found = F.coalesce(F.col("static_score") >= min_static, F.lit(False))
+    for k in keys:
+        found = found & F.col(k).isNotNull()
+    frame = (*keys, "frame_w", "frame_h")
+    shown = [F.col(c) if c in frame else F.when(F.col("__hit"), F.col(c)).alias(c) for c in best.columns]
+    return best.withColumn("__hit", found).select(*shown, F.col("__hit").alias("detected"))
+
+
 def route(decisions: DataFrame, tier2: DataFrame, keys=("video_id", "frame_id")) -> DataFrame:
     """Keep tier 1 where the gate is confident, otherwise take tier 2; a missing tier-2 result is negative.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from captura.functions.polygons import quad_iou_arrays
 from captura.operators import candidates as C
+from captura.operators import gates as A
 from captura.operators import localization as L
 from captura.operators.grouping import percentiles
 from captura.plans import catalog_geometry as G
@@ -182,3 +183,21 @@ def test_order_lines_are_dealt_once_for_their_best_candidates(spark, monkeypatch
     plans = _written_plans(monkeypatch)
     G.best(spark, "/root/testdata/sf0.001")
     assert len(plans) == 1 and plans[0].count("Exchange") == 1 and plans[0].count("Sort [") == 1
+
+
+def test_gates_read_the_order_lines_once(spark, monkeypatch):
+    """The pass gives every frame, so frames are not looked up again; the rows are those of the join."""
+    folder = "/root/testdata/sf0.001"
+    plans = _written_plans(monkeypatch)
+    best = G._tier1(spark, folder)
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "lineitem" not in best._jdf.queryExecution().executedPlan().toString()
+    want = A.tier1_detection(C.best_candidate(G._scored(spark, folder), 0.0), G._frames(spark, folder))
+    names = [c for c in want.columns if c in best.columns]
+    assert set(names) == set(want.columns)
+    assert sorted(map(str, best.select(names).collect())) == sorted(map(str, want.select(names).collect()))
+
+
+def test_a_frame_without_a_key_is_not_detected(spark):
+    rows = [(None, 1, 0.9, 5), (1, None, 0.9, 5), (1, 1, 0.9, 5), (1, 2, 0.3, 5), (1, 3, None, None)]
+    got = A.tier1_of_best(spark.createDataFrame(rows, "video_id int, frame_id int, static_score double, cand_id int")).collect()
+    assert [(r.detected, r.cand_id) for r in sorted(got, key=lambda r: (not r.detected,))] == [(True, 5)] + [(False, None)] * 4
