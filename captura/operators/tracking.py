@@ -182,18 +182,14 @@ class FrameBatch:
         ]
 
 
-def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = None, bucket_rows: int = 4096) -> DataFrame:
-    """One row per frame with its candidates as an array in order of static score, then ``cand_id``, and its order bucket.
+def frame_candidates(scored: DataFrame, keys=("video_id", "frame_idx")) -> DataFrame:
+    """One row per frame with its candidates ``cands`` in order of static score, then ``cand_id``.
 
-    ``frames`` is ``video_id, frame_idx, frame_w, frame_h``; ``scored`` carries
-    ``video_id, frame_idx, cand_id, corners, area, aspect_ratio, static_score``.
-    ``tier2`` lists quads that replace the tracked one after their frame. A candidate without four corners is none.
+    ``scored`` carries the keys and ``cand_id, corners, area, aspect_ratio, static_score``. A candidate without four corners is none.
     """
-    types = dict(frames.dtypes)
-    key = F.struct(*[F.col(c).cast(types[c]).alias(c) for c in ("video_id", "frame_idx")]).alias("__frame")  # NULL equals NULL
     quad = flat(F.col("corners"))  # put in canonical order by FrameBatch
     slim = scored.select(
-        key,
+        *keys,
         F.struct(
             -F.coalesce(F.col("static_score").cast("double"), F.lit(0.0)).alias("rank"),
             "cand_id",
@@ -202,18 +198,29 @@ def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = N
             F.col("aspect_ratio").cast("double").alias("aspect"),
         ).alias("cand"),
     ).filter("cand.quad IS NOT NULL")
-    kind = dict(scored.dtypes)["cand_id"]
-    grouped = slim.groupBy("__frame").agg(
-        F.sort_array(F.collect_list("cand")).cast(CANDIDATES.format(cand_id=kind)).alias("cands")
-    )
-    # Buckets come from the frames alone, which are cheaper to read twice than their candidates.
+    kind = CANDIDATES.format(cand_id=dict(scored.dtypes)["cand_id"])
+    return slim.groupBy(*keys).agg(F.sort_array(F.collect_list("cand")).cast(kind).alias("cands"))
+
+
+def _frame_key(types: dict):
+    return F.struct(*[F.col(c).cast(types[c]).alias(c) for c in ("video_id", "frame_idx")]).alias("__frame")  # NULL equals NULL
+
+
+def frame_rows(frames: DataFrame, scored: DataFrame, tier2: DataFrame | None = None, bucket_rows: int = 4096) -> DataFrame:
+    """One narrow row per frame with its order bucket and whether it is live: has candidates or a tier-2 quad.
+
+    ``frames`` is ``video_id, frame_idx, frame_w, frame_h``; the others are those of :func:`track`. Buckets come from the frames alone, which are cheaper to read
+    twice than their candidates.
+    """
+    key = _frame_key(dict(frames.dtypes))
     cut = order_buckets(frames.select("video_id", "frame_idx", "frame_w", "frame_h"), ["video_id"], "frame_idx", bucket_rows)
-    given = cut.select(key, "frame_w", "frame_h", "__bucket").join(grouped, "__frame", "left")
-    if tier2 is None:
-        given = given.withColumn("tier2", F.lit(None).cast("array<double>"))
-    else:
-        given = given.join(tier2.select(key, quad.alias("tier2")).filter("tier2 IS NOT NULL"), "__frame", "left")
-    return given.select("__frame.video_id", "__frame.frame_idx", "frame_w", "frame_h", "cands", "tier2", "__bucket")
+    quad = F.size("corners") == 4
+    live = scored.filter(F.size("cands") > 0 if "cands" in scored.columns else quad).select(key)
+    if tier2 is not None:
+        live = live.unionByName(tier2.filter(quad).select(key))
+    listed = live.distinct().withColumn("__live", F.lit(True))
+    given = cut.select(key, "frame_w", "frame_h", "__bucket").join(listed, "__frame", "left")
+    return given.select("__frame.video_id", "__frame.frame_idx", "frame_w", "frame_h", "__bucket", F.coalesce("__live", F.lit(False)).alias("__live"))
 
 
 def track_segments(rows: DataFrame, max_frames_lost: int) -> DataFrame:
@@ -225,8 +232,7 @@ def track_segments(rows: DataFrame, max_frames_lost: int) -> DataFrame:
     carries the segment on; a gap across the end of a bucket may stay uncut, which only makes a segment longer.
     """
     inside = Window.partitionBy("video_id", "__bucket").orderBy("frame_idx")
-    live = (F.coalesce(F.size("cands"), F.lit(0)) > 0) | F.col("tier2").isNotNull()
-    numbered = rows.withColumns({"__live": live, "__rn": F.row_number().over(inside)})
+    numbered = rows.withColumn("__rn", F.row_number().over(inside))
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     last = F.coalesce(F.last(F.when(F.col("__live"), F.col("__rn")), ignorenulls=True).over(before), F.lit(0))
     starts = numbered.withColumn("__start", F.when(F.col("__live") & (F.col("__rn") - last - 1 > max_frames_lost), F.col("frame_idx")))
@@ -237,7 +243,8 @@ def track_segments(rows: DataFrame, max_frames_lost: int) -> DataFrame:
     carried = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(along))
     carried = carried.filter("__carried IS NOT NULL").select("video_id", "__bucket", "__carried")
     joined = null_safe(local, carried, ["video_id", "__bucket"])
-    return joined.select(*[c for c in rows.columns if c != "__bucket"], F.coalesce("__local", "__carried").alias("segment"))
+    kept = [c for c in rows.columns if c not in ("__bucket", "__live")]
+    return joined.select(*kept, F.coalesce("__local", "__carried").alias("segment"))
 
 
 def _lockstep(batches, cfg: TrackerConfig):
@@ -282,10 +289,21 @@ def track(
 ) -> DataFrame:
     """Tracked detection for every frame of every capture.
 
-    Frames with their candidates are written once, because segments look at them twice. Rows are then dealt by capture
-    and segment, so a capture with gaps is spread; a task streams its rows in order.
+    ``scored`` holds scored candidates or, as ``cands``, those of :func:`frame_candidates`; ``tier2`` lists quads that replace the
+    tracked one after their frame. Candidates by frame are written once: segments come from narrow rows that know only whether a
+    frame has any, and the candidates join their frame after that. Rows are then dealt by capture and segment, so a capture
+    with gaps is spread; a task streams its rows in order.
     """
-    rows = track_segments(written(frame_rows(frames, scored, tier2, bucket_rows), "frames"), cfg.max_frames_lost)
+    key = _frame_key(dict(frames.dtypes))
+    grouped = written((scored if "cands" in scored.columns else frame_candidates(scored)).select("video_id", "frame_idx", "cands"), "frames")
+    over = None if tier2 is None else written(tier2.select("video_id", "frame_idx", "corners").filter(F.size("corners") == 4), "tier2")
+    cut = track_segments(frame_rows(frames, grouped, over, bucket_rows), cfg.max_frames_lost).select(key, "frame_w", "frame_h", "segment")
+    joined = cut.join(grouped.select(key, "cands"), "__frame", "left")
+    if over is None:
+        joined = joined.withColumn("tier2", F.lit(None).cast("array<double>"))
+    else:
+        joined = joined.join(over.select(key, flat(F.col("corners")).alias("tier2")), "__frame", "left")
+    rows = joined.select("__frame.video_id", "__frame.frame_idx", "frame_w", "frame_h", "cands", "tier2", "segment")
     types = dict(rows.dtypes)
     ordered = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx")
     schema = f"video_id {types['video_id']}, frame_idx {types['frame_idx']}, {RESULT_SCHEMA}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from captura.functions.polygons import quad_iou_arrays
 from captura.operators.grouping import order_buckets
-from captura.operators.tracking import TrackerConfig, ema, frame_rows, linear_scan, track, track_segments
+from captura.operators.tracking import TrackerConfig, ema, frame_candidates, frame_rows, linear_scan, track, track_segments
 
 QUAD = "array<struct<x:double,y:double>>"
 CANDS = f"video_id string, frame_idx long, cand_id int, corners {QUAD}, area double, aspect_ratio double, static_score double"
@@ -170,3 +170,13 @@ def test_smoothing_of_null_capture_and_sparse_frames(spark):
     for i in range(200):
         s = 0.7 * (i % 7) + 0.3 * s if i else 0.0
         assert got["a", i * i * 977] == pytest.approx(s) and got[None, i * i * 977] == pytest.approx(s)
+
+
+def test_segments_come_from_narrow_rows(spark):
+    """Candidates by frame give the tracks of single candidates, and do not pass the windows that look for gaps."""
+    rows, cands, tier2 = sequences(3)
+    frames, scored, second = tables(spark, rows, cands, tier2)
+    assert "cands" not in track_segments(frame_rows(frames, scored, second), 5).columns
+    grouped = frame_candidates(scored)
+    shown = lambda df: sorted(str(r) for r in df.collect())
+    assert shown(track(frames, grouped, tier2=second)) == shown(track(frames, scored, tier2=second))
