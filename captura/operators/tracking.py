@@ -161,12 +161,15 @@ class FrameBatch:
         edge = np.stack([self.w[f], self.h[f]], axis=1) - 1
         self.box[f] = np.concatenate([np.clip(low, 0, edge), np.clip(high, 0, edge)], axis=1)
 
-    def results(self, cfg: TrackerConfig) -> list[pa.Array]:
-        """Columns of ``RESULT_SCHEMA``."""
-        taken = self.outcome >= 2
+    def reasons(self, cfg: TrackerConfig) -> np.ndarray:
         rejected = np.flatnonzero(self.outcome == 1)
         reasons = np.where(self.outcome == 0, NO_CANDIDATES[1], None).astype(object)
         reasons[rejected] = [REJECTED_WHY.format(s, cfg.min_tracking_score) for s in self.score[rejected].tolist()]
+        return reasons
+
+    def results(self, cfg: TrackerConfig) -> list[pa.Array]:
+        """Columns of ``RESULT_SCHEMA``."""
+        taken = self.outcome >= 2
         points = self.corners[taken].reshape(-1, 2)
         xy = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
         ends = lambda k: pa.array(np.concatenate([[0], np.cumsum(taken * k)]).astype(np.int32), mask=np.append(~taken, False))
@@ -178,7 +181,7 @@ class FrameBatch:
             pa.array(self.score),
             pa.array(self.best_static),
             pa.array(self.similar),
-            pa.array(reasons, pa.string()),
+            pa.array(self.reasons(cfg), pa.string()),
         ]
 
 

@@ -1,7 +1,8 @@
 """Live tracker, live similarity and live consensus.
 
 Rows wait in the state until the watermark has passed their frame, so frames may be split over
-micro-batches and arrive out of order; what depends on earlier frames sees whole frames in order. State is a handful
+micro-batches and arrive out of order; what depends on earlier frames sees whole frames in order. Only the last stretch of a
+micro-batch, as long as the watermark's delay, waits for the next one, however large the micro-batch is. State is a handful
 of flat fields and the rows that wait, per capture, and lives in the state store of the query's checkpoint, so
 it survives the loss of an executor. It expires when a capture stays quiet.
 """
@@ -15,21 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from captura.functions.polygons import flat
 from captura.operators.candidates import _best
 from captura.operators.temporal import CONSISTENCY_THRESHOLD
-from captura.operators.tracking import RESULT_COLUMNS, RESULT_SCHEMA, FrameBatch, TrackerConfig, Tracks
+from captura.operators.tracking import METHODS, RESULT_COLUMNS, FrameBatch, TrackerConfig, Tracks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """State on the disks of the executors; what RocksDB holds of it in memory has one bound per executor. A micro-batch uploads its changes."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 TRACK_STATE = "last_ms bigint, pending binary, tracks binary"
 SIMILARITY_STATE = "last_ms bigint, pending binary, frame_idx bigint, vec array<double>"
 EXPIRY = GroupStateTimeout.EventTimeTimeout
+QUAD = [f"q{i}" for i in range(8)]
+BOX = [f"b{i}" for i in range(4)]
 
 
 def _stored(rows: pd.DataFrame) -> bytes:
@@ -41,20 +46,29 @@ def _stored(rows: pd.DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _watermarked(rows: DataFrame, delay: str) -> tuple[DataFrame, int]:
+    """The stream with its watermark, and the delay in milliseconds as Spark reads it."""
+    marked = rows.withWatermark("event_time", delay)
+    return marked, marked.schema["event_time"].metadata["spark.watermarkDelayMs"]
+
+
 class Waiting:
-    """Rows of one capture that arrived, split by the watermark: rows before it are complete, the others wait on.
+    """Rows of one group that arrived, split by the watermark: rows before it are complete, the others wait on.
 
     Frames may be split over micro-batches and come out of order by less than the watermark's delay; what waits
-    is the data of that stretch of time. Spark drops rows that arrive behind the watermark.
+    is the data of that stretch of time. Spark moves its watermark only after a micro-batch, to the latest time of all groups less the delay.
+    Rows that lie so far behind the latest of their own group will be behind it then, so they are complete already: a
+    backlog that comes as one micro-batch does not wait in the state. Spark drops rows that arrive behind its watermark.
     """
 
-    def __init__(self, pdfs: Iterator[pd.DataFrame], store: GroupState):
+    def __init__(self, pdfs: Iterator[pd.DataFrame], store: GroupState, delay_ms: int):
         self.store, self.state = store, store.get if store.exists else None
-        parts = [] if store.hasTimedOut else [p for p in pdfs if len(p)]
+        parts = [] if store.hasTimedOut else [p.drop(columns="event_time") for p in pdfs if len(p)]
         if self.state is not None and len(self.state[1]):
             parts.insert(0, pa.ipc.open_stream(bytes(self.state[1])).read_pandas())
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"ms": pd.Series(dtype="int64")})
-        passed = (rows["ms"] <= store.getCurrentWatermarkMs()).to_numpy(bool)
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"ms": pd.Series(dtype="int64"), "key": pd.Series(dtype=object)})
+        mark = max(store.getCurrentWatermarkMs(), int(rows["ms"].max()) - delay_ms) if len(rows) else 0
+        passed = (rows["ms"] <= mark).to_numpy(bool)
         self.ready, self.rest = rows[passed], rows[~passed]
         before = self.state[0] if self.state is not None else 0
         self.last_ms = max(before, int(self.ready["ms"].max())) if len(self.ready) else before
@@ -75,7 +89,7 @@ class KnownTracks:
     """Tracks of the captures of one shard, between micro-batches a table of key, last frame's time and flat state."""
 
     def __init__(self, stored: bytes | None):
-        flat_columns = ["last_ms", "known", "area", "aspect", "lost", *(f"q{i}" for i in range(8))]
+        flat_columns = ["last_ms", "known", "area", "aspect", "lost", *QUAD]
         empty = pd.DataFrame({"key": pd.Series(dtype=object), **{c: pd.Series(dtype=float) for c in flat_columns}})
         self.rows = pa.ipc.open_stream(bytes(stored)).read_pandas() if stored else empty
 
@@ -88,12 +102,12 @@ class KnownTracks:
         last[old] = rows["last_ms"].to_numpy()
         tracks.known[old], tracks.lost[old] = rows["known"].to_numpy(bool), rows["lost"].to_numpy()
         tracks.area[old], tracks.aspect[old] = rows["area"].to_numpy(float), rows["aspect"].to_numpy(float)
-        tracks.quad[old] = rows[[f"q{i}" for i in range(8)]].to_numpy(float).reshape(-1, 4, 2)
+        tracks.quad[old] = rows[QUAD].to_numpy(float).reshape(-1, 4, 2)
         return tracks, last
 
     def put(self, names, tracks: Tracks, last: np.ndarray) -> None:
         state = {"last_ms": last, "known": tracks.known, "area": tracks.area, "aspect": tracks.aspect, "lost": tracks.lost}
-        quads = {f"q{i}": c for i, c in enumerate(tracks.quad.reshape(-1, 8).T)}
+        quads = dict(zip(QUAD, tracks.quad.reshape(-1, 8).T))
         others = self.rows[~self.rows["key"].isin(names)]
         now = pd.DataFrame({"key": names, **state, **quads})
         self.rows = pd.concat([others, now], ignore_index=True) if len(others) else now
@@ -110,12 +124,16 @@ def track_stream(
     Rows carry ``video_id, frame_idx, event_time, frame_w, frame_h, cand_id, corners, area,
     aspect_ratio, static_score``; a frame without candidates has one row with NULL ``cand_id``, and the rows of a frame
     share its event time. A frame is tracked once the watermark, ``delay`` behind the latest event time, has passed it, so
-    its rows may come in several micro-batches; frames go in order of event time, then index. After ``idle_ms`` without a frame
+    its rows may come in several micro-batches; frames go in order of event time, then index. Rows that come after a later frame of
+    their capture was tracked are dropped. After ``idle_ms`` without a frame
     a capture loses its state, as after too many lost frames. Captures are hashed into ``shards``, each with one state, whose
-    captures advance together; take more of them where the tracks of a shard grow large. The number is part of the checkpoint.
+    captures advance together; a task holds the tracks of one shard and its rows of a micro-batch, so take more of them for more
+    captures or larger micro-batches. The number is part of the checkpoint.
     """
     kinds = dict(rows.dtypes)
-    slim = rows.withWatermark("event_time", delay).select(
+    marked, delay_ms = _watermarked(rows, delay)
+    corner = [F.get("corners", F.lit(i))[axis].cast("double") for i in range(4) for axis in ("x", "y")]
+    slim = marked.select(
         F.pmod(F.xxhash64("video_id"), F.lit(shards)).cast("int").alias("shard"),
         F.coalesce(F.concat(F.lit("="), F.col("video_id").cast("string")), F.lit("")).alias("key"),  # NULL is a capture of its own
         "frame_idx",
@@ -124,12 +142,11 @@ def track_stream(
         F.col("frame_w").cast("double").alias("frame_w"),
         F.col("frame_h").cast("double").alias("frame_h"),
         F.when(F.size("corners") == 4, F.col("cand_id")).cast("double").alias("cand_id"),
-        flat(F.col("corners")).alias("quad"),
+        *[c.alias(name) for c, name in zip(corner, QUAD)],
         F.col("area").cast("double").alias("area"),
         F.col("aspect_ratio").cast("double").alias("aspect"),
         (-F.coalesce(F.col("static_score").cast("double"), F.lit(0.0))).alias("rank"),
     )
-    columns = ["key", "frame_idx", *RESULT_COLUMNS]
 
     def batch_of(rows: pd.DataFrame, first: np.ndarray) -> FrameBatch:
         """Sorted rows as frames; ``first`` has the first row of each."""
@@ -137,7 +154,8 @@ def track_stream(
         ends = np.append(np.append(0, np.cumsum(real))[first], real.sum()).astype(np.int32)
         cands = rows[real]
         fields = {c: pa.array(cands[c].to_numpy(float)) for c in ("rank", "area", "aspect")}
-        fields["quad"] = pa.array(cands["quad"].tolist(), pa.list_(pa.float64()))
+        eight = pa.array(np.arange(0, 8 * len(cands) + 1, 8, dtype=np.int32))
+        fields["quad"] = pa.ListArray.from_arrays(eight, pa.array(cands[QUAD].to_numpy(float).ravel()))
         entries = pa.StructArray.from_arrays(list(fields.values()), list(fields))
         sizes = [pa.array(rows[c].to_numpy(float)[first]) for c in ("frame_w", "frame_h")]
         none = pa.nulls(len(first), pa.list_(pa.float64()))
@@ -145,28 +163,32 @@ def track_stream(
         return FrameBatch(pa.RecordBatch.from_arrays(columns, ["frame_w", "frame_h", "cands", "tier2"]))
 
     def advance(shard, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        given = Waiting(pdfs, store)
+        given = Waiting(pdfs, store, delay_ms)
         captures = KnownTracks(given.state[2] if given.state is not None else None)
-        if len(given.ready):
-            codes, names = pd.factorize(given.ready["key"])
-            ready = given.ready.assign(code=codes).sort_values(["code", "ms", "frame_idx", "rank", "cand_id"], kind="stable")
+        codes, names = pd.factorize(given.ready["key"])
+        tracks, last = captures.of(names)
+        in_time = (last[codes] <= 0) | (given.ready["ms"].to_numpy() > last[codes])
+        if in_time.any():
+            ready = given.ready.assign(code=codes)[in_time].sort_values(["code", "ms", "frame_idx", "rank", "cand_id"], kind="stable")
             code, ms, index = (ready[c].to_numpy() for c in ("code", "ms", "frame_idx"))
             first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (ms[1:] != ms[:-1]) | (index[1:] != index[:-1])])
             work, time = batch_of(ready, first), ms[first]
-            tracks, last = captures.of(names)
             start = np.flatnonzero(np.r_[True, np.diff(code[first]) != 0])
             size = np.diff(np.append(start, len(first)))
+            mine = code[first][start]  # the track of each capture that has frames
             at = np.argsort(-size, kind="stable")
             for t in range(size.max()):
                 at = at[: np.searchsorted(-size[at], -t, "left")]
-                frames = start[at] + t
-                quiet = at[(last[at] > 0) & (time[frames] - last[at] > idle_ms)]
+                frames, track = start[at] + t, mine[at]
+                quiet = track[(last[track] > 0) & (time[frames] - last[track] > idle_ms)]
                 tracks.copy_from(quiet, Tracks(len(quiet)), slice(None))
-                last[at] = time[frames]
-                work.step(tracks, frames, at, cfg)
+                last[track] = time[frames]
+                work.step(tracks, frames, track, cfg)
             captures.put(np.asarray(names, object), tracks, last)
-            results = [c.to_pylist() for c in work.results(cfg)]
-            yield pd.DataFrame(dict(zip(columns, [ready["key"].to_numpy()[first], index[first], *results])))
+            quads = dict(zip(QUAD, work.corners.reshape(-1, 8).T))
+            boxes = dict(zip(BOX, work.box.T.astype(np.int32)))
+            scores = {"confidence": work.score, "static_score": work.best_static, "temporal_score": work.similar, "reason": work.reasons(cfg)}
+            yield pd.DataFrame({"key": ready["key"].to_numpy()[first], "frame_idx": index[first], "outcome": work.outcome.astype(np.int32), **quads, **boxes, **scores})
         now = store.getCurrentWatermarkMs()
         captures.expire(now - idle_ms)
         due = [int(x.min()) + d for x, d in ((given.rest["ms"], 0), (captures.rows["last_ms"], idle_ms)) if len(x)]
@@ -176,11 +198,19 @@ def track_stream(
         store.update((given.last_ms, _stored(given.rest) if len(given.rest) else b"", _stored(captures.rows) if len(captures.rows) else b""))
         store.setTimeoutTimestamp(max(min(due), now + 1))
 
+    numbers = ", ".join([*(f"{c} double" for c in QUAD), *(f"{c} int" for c in BOX), *(f"{c} double" for c in RESULT_COLUMNS[4:7])])
     found = slim.groupBy("shard").applyInPandasWithState(
-        advance, f"key string, frame_idx {kinds['frame_idx']}, {RESULT_SCHEMA}", TRACK_STATE, "append", EXPIRY
+        advance, f"key string, frame_idx {kinds['frame_idx']}, outcome int, {numbers}, reason string", TRACK_STATE, "append", EXPIRY
     )
-    video = F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)).cast(kinds["video_id"])
-    return found.select(video.alias("video_id"), "frame_idx", *RESULT_COLUMNS)
+    taken = F.col("outcome") >= 2
+    shown = {
+        "video_id": F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)).cast(kinds["video_id"]),
+        "detected": taken,
+        "method": F.get(F.array(*map(F.lit, METHODS)), F.col("outcome")),
+        "corners": F.when(taken, F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in zip(QUAD[::2], QUAD[1::2])])),
+        "bbox": F.when(taken, F.array(*BOX)),
+    }
+    return found.select(*[shown[c].alias(c) if c in shown else c for c in ("video_id", "frame_idx", *RESULT_COLUMNS)])
 
 
 def similarity_stream(
@@ -192,18 +222,20 @@ def similarity_stream(
     true neighbour; later ones are dropped and their neighbours are compared with each other. The last vector of each
     capture is kept until no frame has come for ``idle_ms``.
     """
+    marked, delay_ms = _watermarked(emb, delay)
     slim = (
-        emb.withWatermark("event_time", delay)
-        .filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
+        marked.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
         .select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), "event_time", F.unix_millis("event_time").alias("ms"), F.col("vec").cast("array<double>").alias("vec"))
     )
 
     def advance(key, pdfs: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        given = Waiting(pdfs, store)
+        given = Waiting(pdfs, store, delay_ms)
         if given.expired(idle_ms):
             store.remove()
             return
         ready = given.ready.sort_values(["ms", "frame_idx"], kind="stable") if len(given.ready) else pd.DataFrame({"ms": [], "frame_idx": [], "vec": []})
+        if given.state is not None and len(given.state[3]):
+            ready = ready[ready["ms"] > given.state[0]]  # later frames of the capture have been compared
         times, index = [int(x) for x in ready["ms"]], [int(x) for x in ready["frame_idx"]]
         vectors = [np.asarray(v, dtype=float) for v in ready["vec"]]
         if given.state is not None and len(given.state[3]):

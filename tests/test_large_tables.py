@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,12 +11,13 @@ from captura.operators import candidates as C
 from captura.operators import gates as A
 from captura.operators import localization as L
 from captura.operators.grouping import percentiles
+from captura.operators.temporal import consecutive_similarity
 from captura.plans import catalog_geometry as G
 from captura.plans import catalog_sets as S
 from captura.plans import views as V
 from captura.plans.registry import ORACLES
 from captura.operators.tracking import track
-from captura.streaming.live import run_to_table, track_stream
+from captura.streaming.live import ROCKSDB, run_to_table, similarity_stream, track_stream
 
 CANDIDATES = "video_id long, frame_id string, cand_id int, corners array<struct<x:double,y:double>>, area double"
 
@@ -129,6 +131,49 @@ def test_live_tracker_keeps_many_captures_in_a_few_states(spark, tmp_path):
     assert pick(live.filter("video_id IS NOT NULL")) == pick(batch.filter("video_id IS NOT NULL")) and len(pick(live)) == 40
 
 
+def _waiting_rows(spark, checkpoint, batch):
+    """Rows that wait in the state after a micro-batch, by the frame's event time in milliseconds."""
+    state = spark.read.format("statestore").option("batchId", batch).load(checkpoint).select("value.groupState.pending")
+    return [ms for r in state.collect() if r.pending for ms in pa.ipc.open_stream(bytes(r.pending)).read_pandas()["ms"]]
+
+
+@pytest.mark.parametrize("provider", [None, ROCKSDB])
+def test_a_backlog_does_not_wait_in_the_state(spark, tmp_path, provider):
+    """One micro-batch brings 300 frames of each capture; what waits is its last stretch, as long as the watermark's delay."""
+    name, given = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    frames = spark.range(0, 2400).selectExpr("id % 8 AS video_id", "cast(id / 8 AS int) AS frame_idx", "640 AS frame_w", "480 AS frame_h")
+    quad = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((100.0, 100.0), (400.0, 100.0), (400.0, 290.0), (100.0, 290.0))])
+    scored = frames.withColumns({"cand_id": F.lit(0), "corners": quad, "area": F.lit(57000.0), "aspect_ratio": F.lit(1.579), "static_score": 0.2 + F.col("frame_idx") % 7 / 10})
+    rows = scored.withColumn("event_time", F.timestamp_seconds(F.col("frame_idx") + 1000))
+    late = rows.filter("frame_idx = 100").withColumn("frame_idx", F.lit(1000))  # its capture is 190 seconds further
+    try:
+        spark.conf.set(name, provider or given)
+        for k, part in enumerate((rows, late.unionByName(rows.filter("frame_idx = 299").withColumns({"video_id": F.lit(-1).cast("long"), "event_time": F.timestamp_seconds(F.lit(10**6))})))):
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+            live = run_to_table(track_stream(stream, delay="10 seconds", idle_ms=10**9, shards=3), f"{tmp_path}/out")
+            if k == 0:
+                waiting = _waiting_rows(spark, f"{tmp_path}/out/checkpoint", 0)
+                assert sorted(waiting) == [1000 * t for t in range(1290, 1300) for _ in range(8)]
+    finally:
+        spark.conf.set(name, given)
+    pick = lambda df: sorted((r.video_id, r.frame_idx, r.method, r.confidence, r.bbox or [], str(r.corners), r.reason or "") for r in df.collect())
+    assert pick(live.filter("video_id >= 0")) == pick(track(frames, scored))
+
+
+def test_similarity_of_a_backlog_does_not_wait_in_the_state(spark, tmp_path):
+    emb = spark.range(0, 600).selectExpr("id % 3 AS video_id", "cast(id / 3 AS int) AS frame_idx", "array(cos(id), sin(id)) AS vec", "timestamp_seconds(1000 + cast(id / 3 AS int)) AS event_time")
+    late = emb.filter("frame_idx = 100").withColumn("frame_idx", F.lit(1000))
+    for k, part in enumerate((emb, late.unionByName(emb.filter("frame_idx = 199").withColumns({"video_id": F.lit(-1).cast("long"), "event_time": F.timestamp_seconds(F.lit(10**6))})))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(emb.schema).parquet(f"{tmp_path}/in")
+        live = run_to_table(similarity_stream(stream, idle_ms=10**9), f"{tmp_path}/out")
+        if k == 0:
+            assert sorted(_waiting_rows(spark, f"{tmp_path}/out/checkpoint", 0)) == [1000 * t for t in range(1190, 1200) for _ in range(3)]
+    columns = ["video_id", "frame_a", "frame_b", "similarity", "is_anomaly"]
+    assert sorted(live.select(columns).collect()) == sorted(consecutive_similarity(emb).select(columns).collect())
+
+
 def test_overlap_of_boxes_has_the_bits_of_their_sides():
     rng = np.random.default_rng(1)
     low, size = rng.integers(0, 300, (5000, 2)) + 0.0, rng.integers(400, 900, (5000, 2)) / 1.3
