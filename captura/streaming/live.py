@@ -24,10 +24,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State on the disks of the executors; what RocksDB holds of it in memory has one bound per executor. A micro-batch uploads its changes."""
+    """State on the disks of the executors; what RocksDB holds of it in memory has one bound per executor.
+
+    A micro-batch uploads its changes. Every open store reserves 4 MB of disk, so those of queries that ended are closed soon.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
 
 
 TRACK_STATE = "last_ms bigint, pending binary, tracks binary"
